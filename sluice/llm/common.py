@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Text bytes handled at once inside a task; longer single texts form a slice of their own.
 SLICE_BYTES = 8 << 20
+_local: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     that is unset (tests on one machine) a temporary folder takes its place."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = tempfile.mkdtemp(prefix="sluice-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        top = _local["top"] = _local.get("top") or tempfile.mkdtemp(prefix="sluice-")
     return f"{top.rstrip('/')}/sluice-{uuid.uuid4().hex}"
 
 
