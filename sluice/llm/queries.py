@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, quality, toxicity, vectors
+from . import jaccard, language, packing, quality, toxicity, vectors
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,7 +39,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op5_quality_classifier, op6_embedding_near_dedup, op8_best_fit_packing, op9_language_id, op10_exact_top_k)}
+    return {f.__name__: f for f in (op2_toxicity, op4_ngram_jaccard_join, op5_quality_classifier, op6_embedding_near_dedup, op8_best_fit_packing, op9_language_id, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
