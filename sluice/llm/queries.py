@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language, packing, quality, toxicity, vectors
+from . import jaccard, language, ordering, packing, pieces, quality, toxicity, vectors
 from .common import table
 
 
@@ -14,10 +14,18 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"))
 
 
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.training_order(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encode_documents(table(spark, sf_dir, "documents")))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op4_ngram_jaccard_join, op5_quality_classifier, op6_embedding_near_dedup, op8_best_fit_packing, op9_language_id, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_training_order, op2_toxicity, op3_sentencepiece, op4_ngram_jaccard_join, op5_quality_classifier, op6_embedding_near_dedup, op8_best_fit_packing, op9_language_id, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
