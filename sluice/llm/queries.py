@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language, ordering, packing, pieces, quality, toxicity, vectors
+from . import jaccard, language, lm, ordering, packing, pieces, quality, toxicity, vectors
 from .common import table
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_training_order, op2_toxicity, op3_sentencepiece, op4_ngram_jaccard_join, op5_quality_classifier, op6_embedding_near_dedup, op8_best_fit_packing, op9_language_id, op10_exact_top_k)}
+    return {f.__name__: f for f in (op1_training_order, op2_toxicity, op3_sentencepiece, op4_ngram_jaccard_join, op5_quality_classifier, op6_embedding_near_dedup, op7_lm_scoring, op8_best_fit_packing, op9_language_id, op10_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
