@@ -35,9 +35,9 @@ from .components import components
 WORDS = 5
 #: One document in so many is drawn for column frequencies; columns seen this often there count
 #: as frequent; at most so many are remembered (they order columns only).
-DRAWN, SEEN, FREQUENT = 16, 2, 1 << 20
+DRAWN, SEEN, FREQUENT = 8, 2, 1 << 20
 #: Rows up to which a column gives all its pairs.
-CROWDED = 24
+CROWDED = 64
 #: Estimated rows from which a column is divided among several tasks.
 DIVIDE = 20_000
 #: Documents in a tile, set elements of small clusters handled by one task.
