@@ -33,8 +33,8 @@ from .common import materialize, ragged, segment_sum, slices
 
 MODEL = "piece_bpe_32k.model"
 #: Characters of a chunk; longer texts are giant.
-CHUNK = 16_384
-CACHED_UNITS = 500_000
+CHUNK = 65_536
+CACHED_UNITS = 300_000
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 _STAND_IN = ""  # stands for a literal "▁" until it becomes bytes
