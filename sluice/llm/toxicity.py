@@ -26,9 +26,10 @@ from .common import Grams, Words, fold, ragged, slices
 LOW, HIGH, BUCKETS, DIM = 4, 6, 1 << 16, 8
 #: Blank words that each average counts besides the text's own, so that a few words alone say little.
 PAD = 30
-#: Labelled documents learnt from, at most: clean and toxic ones.
-SAMPLE = (5000, 2000)
-EPOCHS, BATCH, RATE, GAIN, DECAY = 6, 64, 0.01, 30.0, 1e-4
+#: Labelled documents learnt from, at most: clean and toxic ones. Buckets fit 16 bits.
+SAMPLE = (4000, 2000)
+#: Steps of training; small samples are gone through more often.
+STEPS, BATCH, RATE, GAIN, DECAY = 660, 64, 0.01, 30.0, 1e-4
 THRESHOLD = 0.5
 HELD_OUT = (5, 0)
 
@@ -57,7 +58,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 weights = np.repeat(1.0 / ((n + PAD) * np.maximum(1, sizes[codes])), sizes[codes])
                 total = np.bincount(ids[ragged(starts[codes], sizes[codes])], weights, BUCKETS)
                 there = np.nonzero(total)[0]
-                for column, x in zip(rows, (y, there.astype(np.int32).tobytes(), total[there].astype(np.float32).tobytes()), strict=True):
+                for column, x in zip(rows, (y, there.astype(np.uint16).tobytes(), total[there].astype(np.float32).tobytes()), strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["y", "ids", "weights"])
 
@@ -68,10 +69,10 @@ def train(y: np.ndarray, ids: list[np.ndarray], weights: list[np.ndarray], seed:
     rng = np.random.default_rng(seed)
     e, w, b = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     held = [[np.zeros_like(p), np.zeros_like(p)] for p in (e, w, b)]
-    step = 0
-    for epoch in range(EPOCHS):
+    step, epochs = 0, -(-STEPS * BATCH // len(y))
+    for epoch in range(epochs):
         order = rng.permutation(len(y))
-        rate = RATE * (1 - epoch / EPOCHS)
+        rate = RATE * (1 - epoch / epochs)
         for s in range(0, len(order), BATCH):
             own = order[s : s + BATCH]
             sizes = np.array([len(ids[i]) for i in own])
@@ -104,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = HELD_OUT[0], remainde
     y = got.column("y").to_numpy().astype(np.int64)
     if len(set(y)) < 2:
         return np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior)))
-    table, bias = train(y, [np.frombuffer(x, np.int32) for x in got.column("ids").to_pylist()], [np.frombuffer(x, np.float32) for x in got.column("weights").to_pylist()])
+    table, bias = train(y, [np.frombuffer(x, np.uint16) for x in got.column("ids").to_pylist()], [np.frombuffer(x, np.float32) for x in got.column("weights").to_pylist()])
     drawn = y.mean()
     return table, bias + float(np.log(prior / (1 - prior)) - np.log(drawn / (1 - drawn)))
 
@@ -131,4 +132,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs."""
     scored = score(docs.select("doc_id", "text"), fit(docs, labels))
-    return scored.select("doc_id", (fold(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1], F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
