@@ -16,7 +16,7 @@ NOW = "2024-02-01 00:00:00"
 
 @query(with_views("runs", "run_regions", body=f""", last_ AS (SELECT * FROM runs WHERE status = 'complete' ORDER BY started_at DESC, run_id DESC LIMIT 1)
 , tops AS (SELECT run_id, string_agg(region_id || '=' || CAST(checked_count AS STRING), ',' ORDER BY place) AS top_regions FROM (SELECT r.*, row_number() OVER (ORDER BY r.checked_count DESC, region_id) AS place FROM run_regions r JOIN last_ USING (run_id)) t WHERE place <= 6 GROUP BY run_id)
-, timed AS (SELECT *, epoch_ms(finished_at) - epoch_ms(started_at) AS duration_ms, epoch_ms(TIMESTAMP '{NOW}') - epoch_ms(finished_at) AS age_ms FROM last_ LEFT JOIN tops USING (run_id))
+, timed AS (SELECT *, epoch_us(finished_at) // 1000 - epoch_us(started_at) // 1000 AS duration_ms, epoch_ms(TIMESTAMP '{NOW}') - epoch_us(finished_at) // 1000 AS age_ms FROM last_ LEFT JOIN tops USING (run_id))
 , secs AS (SELECT *, CAST(round(duration_ms / 1000.0) AS BIGINT) AS s FROM timed)
 SELECT run_id, duration_ms, CASE WHEN s // 60 = 0 THEN printf('%d ثانية', s % 60) WHEN s % 60 = 0 THEN printf('%d دقيقة', s // 60) ELSE printf('%d دقيقة و%d ثانية', s // 60, s % 60) END AS duration_label,
   checked_count, new_count, changed_count, regions_completed = regions_targeted AS complete, age_ms, age_ms > 14400000 AS stale, top_regions FROM secs"""))
