@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.llm import jaccard, language, packing, toxicity
-from sluice.llm.common import materialize, table
+from sluice.llm.common import materialize, short_batches, table
 
 #: Share of letters in the main language below which a text counts as a jumble of languages.
 LEAST_SHARE = 0.5
@@ -24,17 +24,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters, at least half of them in one language."""
+    short_batches(spark)
     found = language.predict(docs, language.fit(docs))
     return found.where((found["lang_pred"] != language.UNKNOWN) & (found["score"] >= LEAST_SHARE)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
+    short_batches(spark)
     return jaccard.one_per_group(docs).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The remaining documents, packed into sequences."""
+    short_batches(spark)
     return packing.best_fit_pack(docs)
 
 

@@ -20,7 +20,16 @@ _local: dict[str, str] = {}
 pa.set_memory_pool(pa.system_memory_pool())
 
 
+def short_batches(spark: SparkSession, rows: int = 1500) -> None:
+    """Arrow batches of fewer rows than Spark's default: texts are long, and a batch is held several
+    times over in an executor's memory. A smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,6 +66,22 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         at = to
 
 
+def together(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Join short batches until they hold about `most` bytes of text: what is done once per distinct
+    word is then done less often."""
+    held, size = [], 0
+    for batch in batches:
+        own = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if held and size + own > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += own
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 class Words:
     """Whitespace-separated words of an array of texts: distinct words, a code per word, words per text."""
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, local_forest, materialize, mix, slices, word_hashes
+from .common import Words, local_forest, materialize, mix, slices, together, word_hashes
 from .components import components
 
 WORDS = 5
@@ -80,7 +80,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of frequent columns, sorted, and their counts in the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in together(batches):
             for part in slices(batch):
                 sets = shingle_sets(part.column("text"))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], ["shingle"])
@@ -107,7 +107,7 @@ def _prefixes(docs: DataFrame, frequent) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = shared.value
-        for batch in batches:
+        for batch in together(batches):
             for part in slices(batch):
                 sets = shingle_sets(part.column("text"))
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
@@ -265,7 +265,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     names = [c for c in wanted.columns if c != "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in together(batches):
             for part in slices(batch):
                 sets = pa.array([s.tobytes() for s in shingle_sets(part.column("text"))], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(part.column(c) for c in names), sets], ["doc_id", *names, "shingles"])

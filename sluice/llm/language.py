@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import Grams, Words, fold, slices
+from .common import Grams, Words, fold, slices, together
 
 LOW, HIGH, BUCKETS = 1, 4, 1 << 15
 #: Cost of a switch of language between two words, in natural log units.
@@ -88,7 +88,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in together(batches):
             for part in slices(batch):
                 own = Lettered(part.column("text"))
                 coded = part.column("lang").dictionary_encode()
@@ -182,7 +182,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in together(batches):
             for part in slices(batch):
                 own = Lettered(part.column("text"))
                 n = part.num_rows
@@ -217,4 +217,4 @@ def spans(text: str, model: Model, penalty: float = SWITCH) -> list[tuple[str, s
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row of docs."""
     found = predict(docs.select("doc_id", "text"), fit(docs))
-    return found.select("doc_id", (fold(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1], F.lit(False)).alias("held_out"), "lang_pred", "score")

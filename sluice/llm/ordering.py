@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import subwords
-from .common import materialize, shared_dir, slices
+from .common import materialize, shared_dir, slices, together
 
 STRIDE, PER_SHARD, KEY, ROUNDS = 2048, 4096, 20_240_601, 4
 END_ID = PAD_ID = 0
+#: Text bytes encoded at once: larger slices repeat fewer words.
+SLICE = 8 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,15 +76,25 @@ def write_shards(docs: DataFrame, path: str, stride: int = STRIDE, per_shard: in
     source = docs.select("text", F.spark_partition_id().alias("part"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = None, 0
-        for batch in batches:
-            for piece in slices(batch):
+        """A partition's number of ids, and its first and last ids up to a stride. Only texts at the
+        partition's ends are written out as ids."""
+        part, n, head, last = None, 0, np.zeros(0, np.uint32), []
+        for batch in together(batches, most=SLICE):
+            for piece in slices(batch, most=SLICE):
                 part = piece.column("part")[0].as_py()
-                n += len(_stream(piece, words))
+                own = int(subwords.Encoded(piece.column("text"), words).counts.sum()) + piece.num_rows
+                n += own
+                if len(head) < stride:
+                    head = np.concatenate([head, _stream(piece, words)])[:stride]
+                last.append((piece, own))
+                while sum(k for _, k in last[1:]) >= stride:
+                    last.pop(0)
         if part is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
+            tail = np.concatenate([_stream(piece, words) for piece, _ in last])[-stride:]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), *(pa.array([x.astype(kind).tobytes()], pa.binary()) for x in (head, tail))], ["part", "n", "head", "tail"])
 
-    sizes = {r["part"]: r["n"] for r in materialize(source.mapInArrow(count, "part int, n long")).toLocalIterator()}  # a row per partition
+    parts = materialize(source.mapInArrow(count, "part int, n long, head binary, tail binary"))
+    sizes = {r["part"]: r["n"] for r in parts.select("part", "n").toLocalIterator()}  # a row per partition
     bases, total = {}, 0
     for part in sorted(sizes):
         bases[part] = total
@@ -92,40 +104,47 @@ def write_shards(docs: DataFrame, path: str, stride: int = STRIDE, per_shard: in
         return 0
     shared = docs.sparkSession.sparkContext.broadcast((bases, sizes))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole sequences as they fill, fragments at the partition's ends."""
-        bases, sizes = shared.value
-        at = first = None
-        held = np.zeros(0, np.uint32)
-
-        def rows(start: int, ids: np.ndarray) -> pa.RecordBatch:
-            cuts = np.arange(-(-(start + 1) // stride) * stride - start, len(ids), stride)
-            parts = [x.astype(kind) for x in np.split(ids, cuts) if len(x)]
-            starts = start + np.concatenate([[0], cuts])[: len(parts)]
-            return pa.RecordBatch.from_arrays([pa.array(permute(starts // stride, sequences, key)), pa.array((starts % stride).astype(np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], ["slot", "at", "ids"])
-
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What each partition holds of the sequences that it shares with others."""
         for batch in batches:
-            for piece in slices(batch):
+            rows = []
+            for r in batch.to_pylist():
+                base, n = shared.value[0][r["part"]], r["n"]
+                head, tail = np.frombuffer(r["head"], kind), np.frombuffer(r["tail"], kind)
+                first, last = -(-base // stride) * stride, (base + n) // stride * stride
+                if base < first:
+                    rows.append((base, head[: min(n, first - base)]))
+                if last >= first and last < base + n:
+                    rows.append((last, tail[len(tail) - (base + n - last) :]))
+            starts = np.array([s for s, _ in rows], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(permute(starts // stride, sequences, key)), pa.array((starts % stride).astype(np.int32)), pa.array([x.tobytes() for _, x in rows], pa.binary())], ["slot", "at", "ids"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sequences that lie inside one partition."""
+        at, held = None, np.zeros(0, np.uint32)
+        for batch in together(batches, most=SLICE):
+            for piece in slices(batch, most=SLICE):
                 if at is None:
                     part = piece.column("part")[0].as_py()
-                    at = first = bases[part]
-                ids = np.concatenate([held, _stream(piece, words)])
-                keep = max(0, (at + len(ids)) // stride * stride - at)
-                if keep:
-                    yield rows(at, ids[:keep])
-                held, at = ids[keep:], at + keep
-        if at is not None:
-            if at + len(held) - first != sizes[part]:
-                raise ValueError("the input's partitions changed between two scans; store it first")
-            if len(held):
-                yield rows(at, held)
-
-    fragments = source.mapInArrow(cut, "slot long, at int, ids binary")
-    full = F.length("ids") == stride * kind.itemsize
-    pieces = fragments.where(~full).groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("p"))
+                    at = shared.value[0][part]
+                    skip = -at % stride
+                held = np.concatenate([held, _stream(piece, words)])
+                if skip:
+                    gone = min(skip, len(held))
+                    held, at, skip = held[gone:], at + gone, skip - gone
+                full = len(held) // stride
+                if full and not skip:
+                    rows = held[: full * stride].astype(kind).reshape(full, stride)
+                    slots = permute(at // stride + np.arange(full), sequences, key)
+                    yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array([x.tobytes() for x in rows], pa.binary())], ["slot", "ids"])
+                    held, at = held[full * stride :], at + full * stride
+        if at is not None and at + len(held) - shared.value[0][part] != shared.value[1][part]:
+            raise ValueError("the input's partitions changed between two scans; store it first")
+
+    pieces = parts.mapInArrow(ends, "slot long, at int, ids binary").groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("p"))
     pad = F.lit(np.full(stride, PAD_ID, kind).tobytes())
     joined = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
-    whole = fragments.where(full).select("slot", "ids").unionByName(pieces.select("slot", F.substring(F.concat(joined, pad), 1, stride * kind.itemsize).alias("ids")))
+    whole = source.mapInArrow(cut, "slot long, ids binary").unionByName(pieces.select("slot", F.substring(F.concat(joined, pad), 1, stride * kind.itemsize).alias("ids")))
     shards = -(-sequences // per_shard)
     out = whole.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int")).repartition(min(shards, 4096), "shard").sortWithinPartitions("shard", "slot")
     out.select(F.col("ids").cast("string").alias("value"), "shard").write.partitionBy("shard").text(path)

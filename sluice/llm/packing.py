@@ -25,13 +25,15 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from . import subwords
-from .common import materialize, slices
+from .common import materialize, slices, together
 
 CAPACITY = 2048
 END_ID = 0
 #: Grid step of the first two lengths of a three-document pattern.
 TRIPLE_STEP = 16
 SWEEPS = 40
+#: Text bytes encoded at once: larger slices repeat fewer words.
+SLICE = 6 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = T.StructType([T.StructField(n, T.LongType()) for n in ("length", "rank_from", "rank_to", "first_sequence", "offset")])
@@ -42,8 +44,8 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
     path = vocabulary or subwords.vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
+        for batch in together(batches, most=SLICE):
+            for part in slices(batch, most=SLICE):
                 ids, counts = subwords.encode(part.column("text"), path)
                 ends = np.cumsum(counts)
                 rows = [[] for _ in range(5)]

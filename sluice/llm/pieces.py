@@ -29,12 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ragged, segment_sum, slices
+from .common import materialize, ragged, segment_sum, slices, together
 
 MODEL = "piece_bpe_32k.model"
 #: Characters of a chunk; longer texts are giant.
 CHUNK = 65_536
 CACHED_UNITS = 300_000
+#: Text bytes encoded at once.
+SLICE = 6 << 20
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 _STAND_IN = ""  # stands for a literal "▁" until it becomes bytes
@@ -337,8 +339,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, chunk: int = CHUN
     short = F.coalesce(F.char_length("text"), F.lit(0)) <= chunk
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
+        for batch in together(batches, most=SLICE):
+            for part in slices(batch, most=SLICE):
                 ids, counts = encode(part.column("text"), path)
                 ends = np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([ids[e - n : e].tobytes() for e, n in zip(ends, counts, strict=True)], pa.binary())], ["doc_id", "text", "ids"])

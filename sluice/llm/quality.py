@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Words, fold, slices
+from .common import Words, fold, slices, together
 
 #: Trusted positives and unlabelled documents learnt from, at most.
 POSITIVES, UNLABELLED = 6000, 12000
@@ -73,7 +73,7 @@ def features(text: pa.Array) -> np.ndarray:
 
 def _measured(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in together(batches):
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in features(part.column("text"))], pa.binary())], ["x"])
 
@@ -144,7 +144,7 @@ def score(docs: DataFrame, fitted: tuple[dict[str, np.ndarray] | None, float]) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, prior = shared.value
-        for batch in batches:
+        for batch in together(batches):
             for part in slices(batch):
                 found = apply(model, features(part.column("text"))) if model else np.full(part.num_rows, prior)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], names_out)
@@ -155,4 +155,4 @@ def score(docs: DataFrame, fitted: tuple[dict[str, np.ndarray] | None, float]) -
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs."""
     scored = score(docs.select("doc_id", "text"), fit(docs, labels))
-    return scored.select("doc_id", (fold(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1], F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -13,7 +13,7 @@ from .common import Words, ragged
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; others are encoded anew in each slice.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 450_000
 _state: dict[str, tuple] = {}
 
 
@@ -44,39 +44,60 @@ def _ids(words: list[str], tokenizer, cache: dict[str, bytes]) -> list[bytes]:
     return known
 
 
-def encode(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another, and ids per text.
+#: ASCII punctuation that may close a word; the apostrophe opens contractions and is left out.
+CLOSING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _stem_and_close(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Each word's stem and closing punctuation, where the stem ends in a letter; else the word and
+    nothing."""
+    stem = pc.utf8_rtrim(words, characters=CLOSING)
+    stem = pc.if_else(pc.utf8_is_alpha(pc.utf8_slice_codeunits(stem, -1)), stem, words)
+    whole, kept = (pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (words, stem))
+    rest = whole - kept
+    joined = np.frombuffer("".join(words.to_pylist()).encode(), np.uint8)
+    tails = joined[ragged(np.cumsum(whole) - rest, rest)]
+    offsets = np.concatenate([[0], np.cumsum(rest)]).astype(np.int32)
+    return stem, pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(tails.tobytes())])
+
+
+class Encoded:
+    """The ids of texts: how many each has, and on demand the ids one after another.
 
     The vocabulary lower-cases, drops white space and never joins what ASCII white space divides,
     nor a letter with the punctuation after it. So each text is cut into words, a word into its
     stem and its closing ASCII punctuation, and each distinct part is encoded once in a slice.
     Texts with "<|", which may spell special tokens, keep their case and their words whole."""
-    tokenizer, cache = _loaded(path)
-    text = pc.fill_null(text, "")
-    special = pc.any(pc.match_substring(text, "<|")).as_py()
-    words = Words(text, lower=not special)
-    parts = [words.distinct]
-    if not special and len(words.distinct):
-        cut = pc.extract_regex(words.distinct, r"^(?P<stem>.*\pL)(?P<close>[!-&(-/:-@\[-`{-~]+)$")
-        plain = pc.is_null(cut)
-        parts = [pc.if_else(plain, words.distinct, pc.struct_field(cut, 0)), pc.if_else(plain, "", pc.struct_field(cut, 1))]
-    lengths, flats, starts, at = [], [], [], 0
-    for part in parts:
-        coded = part.dictionary_encode()
-        known = _ids(coded.dictionary.to_pylist(), tokenizer, cache)
-        n = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        lengths.append(n[codes])
-        starts.append((at + np.cumsum(n) - n)[codes])
-        flats.append(np.frombuffer(b"".join(known), np.uint32))
-        at += len(flats[-1])
-    flat = np.concatenate(flats)
-    if len(parts) == 2:  # each word's ids side by side
-        both = np.stack(lengths, 1)
-        flat = flat[ragged(np.stack(starts, 1).ravel(), both.ravel())]
-        of_distinct = both.sum(1)
-        start = np.cumsum(of_distinct) - of_distinct
-    else:
-        of_distinct, start = lengths[0], starts[0]
-    of_word = of_distinct[words.codes]
-    return flat[ragged(start[words.codes], of_word)], words.per_text(of_word)
+
+    def __init__(self, text: pa.Array, path: str):
+        tokenizer, cache = _loaded(path)
+        text = pc.fill_null(text, "")
+        special = pc.any(pc.match_substring(text, "<|")).as_py()
+        self.words = words = Words(text, lower=not special)
+        parts = [words.distinct] if special or not len(words.distinct) else list(_stem_and_close(words.distinct))
+        lengths, flats, starts, at = [], [], [], 0
+        for part in parts:
+            coded = part.dictionary_encode()
+            known = _ids(coded.dictionary.to_pylist(), tokenizer, cache)
+            n = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            lengths.append(n[codes])
+            starts.append((at + np.cumsum(n) - n)[codes])
+            flats.append(np.frombuffer(b"".join(known), np.uint32))
+            at += len(flats[-1])
+        self._parts = np.concatenate(flats), np.stack(starts, 1), np.stack(lengths, 1)
+        self._of_distinct = self._parts[2].sum(1)
+        self.counts = words.per_text(self._of_distinct[words.codes])
+
+    def ids(self) -> np.ndarray:
+        flat, starts, lengths = self._parts
+        flat = flat[ragged(starts.ravel(), lengths.ravel())]
+        start = np.cumsum(self._of_distinct) - self._of_distinct
+        codes = self.words.codes
+        return flat[ragged(start[codes], self._of_distinct[codes])]
+
+
+def encode(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, and ids per text."""
+    found = Encoded(text, path)
+    return found.ids(), found.counts

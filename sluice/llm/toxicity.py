@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Grams, Words, fold, ragged, slices
+from .common import Grams, Words, fold, ragged, slices, together
 
 LOW, HIGH, BUCKETS, DIM = 4, 6, 1 << 16, 8
 #: Blank words that each average counts besides the text's own, so that a few words alone say little.
@@ -43,7 +43,7 @@ def labelled_sample(labels: DataFrame, label: str, modulus: int, remainder: int,
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text: the buckets of its n-grams and each one's share of the text's mean."""
-    for batch in batches:
+    for batch in together(batches):
         for part in slices(batch):
             words = Words(part.column("text"))
             grams = Grams(words.distinct, LOW, HIGH, BUCKETS)
@@ -116,7 +116,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, bias = shared.value
-        for batch in batches:
+        for batch in together(batches):
             for part in slices(batch):
                 words = Words(part.column("text"))
                 grams = Grams(words.distinct, LOW, HIGH, BUCKETS)
