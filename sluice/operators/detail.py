@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -49,13 +51,24 @@ def clean_detail(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(plain, r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
 
 
+def _spellings(pattern: str) -> list[str]:
+    """The texts that a label pattern fits: its classes, optional letters and optional blanks spelt out."""
+    found = [""]
+    for part in re.findall(r"\[[^]]+\]\??|\\s\*|.\??", pattern):
+        choices = ["", " "] if part == r"\s*" else list(part.rstrip("?").strip("[]"))
+        choices += [""] * (part.endswith("?") and part != r"\s*")
+        found = [f + c for f in found for c in choices]
+    return found
+
+
+#: Every spelling of every label, with its field.
+LABELS = {text_: name for name, pattern in reversed(FIELDS) for alternative in pattern.split("|") for text_ in _spellings(alternative)}
+
+
 def field_of(label: Column) -> Column:
     """The field that a label names, null for other lines."""
     plain = F.trim(F.regexp_replace(clean_detail(label), "[：:]+$", ""))
-    found = F.when(F.lit(False), F.lit(""))
-    for name, pattern in FIELDS:
-        found = found.when(plain.rlike(f"^(?:{pattern})$"), name)
-    return found
+    return F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]).getItem(plain)
 
 
 def detail_field_extract(sections: DataFrame) -> DataFrame:
@@ -63,12 +76,14 @@ def detail_field_extract(sections: DataFrame) -> DataFrame:
     lines that is neither a label nor the section's name; the first hit by section and line wins."""
     lines = sections.select("reference", "section_ord", "name", F.posexplode(F.filter(F.transform(F.split(clean_detail(F.col("text")), "\n"), clean_detail), lambda x: x != "")).alias("line", "text"))
     colon = r"^(.{2,80}?)[：:]\s*(.+)$"
-    marked = lines.withColumns({"label": F.regexp_extract("text", colon, 1), "inline": F.regexp_extract("text", colon, 2), "own": field_of(F.col("text"))})
+    marked = lines.withColumns({"label": F.regexp_extract("text", colon, 1), "inline": F.regexp_extract("text", colon, 2)})
+    marked = marked.withColumn("named", field_of(F.when(F.col("label") != "", F.col("label")).otherwise(F.col("text"))))
+    marked = marked.withColumn("own", F.when(F.col("label") == "", F.col("named")))
     w = W.partitionBy("reference", "section_ord").orderBy("line")
     after = F.array(*[F.when(F.lead("own", i).over(w).isNull() & (F.lead("text", i).over(w) != F.col("name")), F.lead("text", i).over(w)) for i in (1, 2, 3)])
     next_value = F.get(F.filter(after, lambda x: x.isNotNull()), F.lit(0))
     hits = marked.withColumn("below", next_value).select(
-        "reference", "section_ord", "line", F.when(F.col("label") != "", field_of(F.col("label"))).otherwise(F.col("own")).alias("field"), F.when(F.col("label") != "", F.col("inline")).otherwise(F.col("below")).alias("value")
+        "reference", "section_ord", "line", F.col("named").alias("field"), F.when(F.col("label") != "", F.col("inline")).otherwise(F.col("below")).alias("value")
     )
     return hits.where("field is not null and value <> ''").groupBy("reference", "field").agg(F.min_by("value", F.struct("section_ord", "line")).alias("value"))
 
