@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import fees
 
-ITEM_FIELDS = ("reference", "title", "agency", "region", "deadline", "published_at", "platform_status", "activity", "etimad_url")
+ITEM_FIELDS = ("reference", "title", "agency", "region", "deadline", "published_at", "platform_status", "activity", "portal_url")
 ENVELOPE = T.StructType(
     [
         T.StructField("schema_version", T.IntegerType()),
@@ -21,7 +21,7 @@ ENVELOPE = T.StructType(
         T.StructField("items", T.ArrayType(T.StructType([*[T.StructField(c, T.StringType()) for c in ITEM_FIELDS], T.StructField("fee", T.StringType())]))),
     ]
 )
-KNOWN_SOURCE = "etimad-tender-radar"
+KNOWN_SOURCE = "tender-portal-sync"
 
 
 def card_extract(pages: DataFrame) -> DataFrame:
@@ -78,11 +78,11 @@ def file_intake_audit(files: DataFrame, limit: int = 100_000_000) -> DataFrame:
     return files.select("file_id", "name", F.length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), verdict.alias("verdict"))
 
 
-def envelope_parse(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items, rejects) of JSON envelopes (envelope_id, body): fields trimmed, unreadable fees 0,
+def envelope_parse(raw: DataFrame, source: str = KNOWN_SOURCE) -> tuple[DataFrame, DataFrame]:
+    """(items, rejects) of JSON envelopes (envelope_id, body) of one known source: fields trimmed, unreadable fees 0,
     items without a reference dropped, the last duplicate kept at the place of the first."""
     parsed = raw.withColumn("e", F.from_json("body", ENVELOPE))
-    fine = F.coalesce((F.col("e.schema_version") == 1) & (F.col("e.source") == KNOWN_SOURCE) & F.col("e.items").isNotNull() & F.col("e.sync_id").isNotNull(), F.lit(False))
+    fine = F.coalesce((F.col("e.schema_version") == 1) & (F.col("e.source") == source) & F.col("e.items").isNotNull() & F.col("e.sync_id").isNotNull(), F.lit(False))
     items = parsed.where(fine).select("envelope_id", F.col("e.sync_id").alias("sync_id"), F.coalesce("e.dry_run", F.lit(False)).alias("dry_run"), F.posexplode("e.items").alias("pos", "i"))
     fields = F.struct(*[F.trim(F.coalesce(F.col(f"i.{c}"), F.lit(""))).alias(c) for c in ITEM_FIELDS], F.coalesce(F.col("i.fee").try_cast("double"), F.lit(0.0)).alias("fee"))
     once = items.withColumn("f", fields).where("f.reference <> ''").groupBy("envelope_id", "sync_id", "dry_run", F.col("f.reference").alias("r")).agg(F.min("pos").alias("pos"), F.max_by("f", "pos").alias("f"))

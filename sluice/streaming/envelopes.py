@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window as W
 
 #: The normalised fields that are compared.
-FIELDS = ("title", "agency", "fee", "region", "deadline", "published_at", "platform_status", "activity", "etimad_url")
+FIELDS = ("title", "agency", "fee", "region", "deadline", "published_at", "platform_status", "activity", "portal_url")
 
 
 def normalized(items: DataFrame) -> DataFrame:
