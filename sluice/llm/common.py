@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once inside a task; longer single texts form a slice of their own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _local: dict[str, str] = {}
 
 # Arrow's own allocator keeps freed memory for later; workers share an executor's memory with the JVM.

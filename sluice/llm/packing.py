@@ -33,7 +33,9 @@ END_ID = 0
 TRIPLE_STEP = 16
 SWEEPS = 40
 #: Text bytes encoded at once: larger slices repeat fewer words.
-SLICE = 6 << 20
+SLICE = 3 << 20
+#: Words whose ids a worker keeps: the pipeline's other stages need memory too.
+REMEMBERED = 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = T.StructType([T.StructField(n, T.LongType()) for n in ("length", "rank_from", "rank_to", "first_sequence", "offset")])
@@ -46,7 +48,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in together(batches, most=SLICE):
             for part in slices(batch, most=SLICE):
-                ids, counts = subwords.encode(part.column("text"), path)
+                ids, counts = subwords.encode(part.column("text"), path, REMEMBERED)
                 ends = np.cumsum(counts)
                 rows = [[] for _ in range(5)]
                 for doc, to, n in zip(part.column("doc_id").to_pylist(), ends, counts, strict=True):

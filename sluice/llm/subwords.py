@@ -32,14 +32,14 @@ def _loaded(path: str):
     return _state[path]
 
 
-def _ids(words: list[str], tokenizer, cache: dict[str, bytes]) -> list[bytes]:
+def _ids(words: list[str], tokenizer, cache: dict[str, bytes], most: int) -> list[bytes]:
     known = list(map(cache.get, words))
     new = [i for i, x in enumerate(known) if x is None]
     for at in range(0, len(new), 50_000):
         some = new[at : at + 50_000]
         for i, e in zip(some, tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False), strict=True):
             known[i] = array("I", e.ids).tobytes()
-            if len(cache) < CACHED_WORDS:
+            if len(cache) < most:
                 cache[words[i]] = known[i]
     return known
 
@@ -69,7 +69,7 @@ class Encoded:
     stem and its closing ASCII punctuation, and each distinct part is encoded once in a slice.
     Texts with "<|", which may spell special tokens, keep their case and their words whole."""
 
-    def __init__(self, text: pa.Array, path: str):
+    def __init__(self, text: pa.Array, path: str, remember: int = CACHED_WORDS):
         tokenizer, cache = _loaded(path)
         text = pc.fill_null(text, "")
         special = pc.any(pc.match_substring(text, "<|")).as_py()
@@ -78,7 +78,7 @@ class Encoded:
         lengths, flats, starts, at = [], [], [], 0
         for part in parts:
             coded = part.dictionary_encode()
-            known = _ids(coded.dictionary.to_pylist(), tokenizer, cache)
+            known = _ids(coded.dictionary.to_pylist(), tokenizer, cache, remember)
             n = np.fromiter(map(len, known), np.int64, len(known)) // 4
             codes = coded.indices.to_numpy(zero_copy_only=False)
             lengths.append(n[codes])
@@ -97,7 +97,7 @@ class Encoded:
         return flat[ragged(start[codes], self._of_distinct[codes])]
 
 
-def encode(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+def encode(text: pa.Array, path: str, remember: int = CACHED_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and ids per text."""
-    found = Encoded(text, path)
+    found = Encoded(text, path, remember)
     return found.ids(), found.counts
