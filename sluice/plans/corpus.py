@@ -77,6 +77,13 @@ def block_quality_gate(spark, sf_dir):
     return detail.block_quality_gate(words)
 
 
+@query()
+def block_quality_gate_whole(spark, sf_dir):
+    """Words of each document's whole text as blocks, split like those of block_quality_gate."""
+    words = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.explode(F.split("text", " ")).alias("text"))
+    return detail.block_quality_gate(words)
+
+
 @query(f"WITH b AS ({BLOCKS})" + _GATE + """, a AS (SELECT doc_id AS attempt_id, doc_id // 4 AS document_id, doc_id % 4 AS attempt_ord FROM documents), j AS (SELECT a.*, NOT coalesce(needs_alternate, TRUE) AS usable FROM a LEFT JOIN gates ON attempt_id = gates.document_id)
 SELECT document_id, arg_min(attempt_id, attempt_ord + CASE WHEN usable THEN 0 ELSE 100 END) AS attempt_id, arg_min(attempt_ord, attempt_ord + CASE WHEN usable THEN 0 ELSE 100 END) AS attempt_ord, NOT bool_or(usable) AS flagged, count(*) AS attempts FROM j GROUP BY document_id""")
 def extraction_choice(spark, sf_dir):
