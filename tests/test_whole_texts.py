@@ -20,3 +20,10 @@ def test_gate_reads_words_after_400_characters(spark, tmp_path):
         assert (got[i]["blocks"], round(got[i]["fragmented"], 9), round(got[i]["punctuation"], 9)) == (len(words), round(tiny, 9), round(marks, 9))
         assert (got[i]["is_fragmented"], got[i]["arabic_lost"]) == (tiny > 0.9, marks > 0.15)
     assert [got[i]["needs_alternate"] for i in range(4)] == [True, True, False, True]
+
+
+def test_narrative_issues_after_400_characters(spark, tmp_path):
+    long = "نص مؤسس طويل.\n" * 60
+    texts = [long + "المبلغ 777 ريال", long + "نص مؤسس", long + "مدينة بعيدة", "القيمة ريال\n" + long + "القيمة ريال", long + "نص 55\nنص 55. نص 66"]
+    got = {r["report_id"]: (r["issue"], r["issues"]) for r in all_queries()["narrative_check"](spark, documents(spark, tmp_path, texts)).collect()}
+    assert got == {0: ("number:777", 1), 2: ("token:مدينه", 1), 3: ("assertion:fa-2", 2), 4: ("number:66", 1)}
