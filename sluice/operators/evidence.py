@@ -172,13 +172,16 @@ RULES = (
     ("scopeOfWork", "نطاق العمل", r"نطاق العمل[:：]?\s*([^\n.]+)"),
     ("unclearItems", "بند غير واضح", r"غير واضح[:：]?\s*([^\n.]+)"),
     ("questionsForAuthority", "", r"سؤال للجهة[:：]?\s*([^\n؟?]+[؟?]?)"),
-    ("contractualRisks", "", r"((?:.|\n)*(?:غرامة تأخير|فسخ|إنهاء العقد)(?:.|\n)*)"),
 )
+#: A block with one of these is a risk as a whole: found by a search, as a pattern around it is matched recursively and ends the stack on long blocks.
+RISK = ("contractualRisks", r"غرامة تأخير|فسخ|إنهاء العقد")
 
 
 def rule_findings(blocks: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """One finding with its literal evidence per block and rule that fits, numbered per document."""
-    hits = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(c).alias("category"), F.lit(label).alias("label"), F.regexp_extract("text", p, 1).alias("hit")) for i, (c, label, p) in enumerate(rules)])
+    hit = lambda i, c, label, found: F.struct(F.lit(i).alias("rule"), F.lit(c).alias("category"), F.lit(label).alias("label"), found.alias("hit"))
+    risk = F.when(F.col("text").rlike(RISK[1]), F.col("text")).otherwise("")
+    hits = F.array(*[hit(i, c, label, F.regexp_extract("text", p, 1)) for i, (c, label, p) in enumerate(rules)], hit(len(rules), RISK[0], "", risk))
     found = blocks.select("document_id", "ord", "block_id", "text", F.explode(F.filter(hits, lambda h: h["hit"] != "")).alias("h"))
     statement = F.when(F.col("h.label") == "", F.substring(F.trim("h.hit"), 1, 160)).otherwise(F.concat(F.col("h.label"), F.lit(": "), F.trim("h.hit")))
     n = F.row_number().over(W.partitionBy("document_id").orderBy("ord", "h.rule"))

@@ -62,6 +62,14 @@ def rule_findings(spark, sf_dir):
     return ev.rule_findings(docs(spark, sf_dir).selectExpr("doc_id div 10 AS document_id", "doc_id AS ord", "'b' || CAST(doc_id AS STRING) AS block_id", f"{_RULED} AS text"))
 
 
+@query()
+def rule_findings_whole(spark, sf_dir):
+    """The same rules over the blocks of whole documents, each followed by its planted line."""
+    planted = docs(spark, sf_dir).selectExpr("doc_id", f"text || char(10) || {_RULED} AS text")
+    lines = planted.select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    return ev.rule_findings(lines.select("document_id", "ord", F.concat(F.lit("b"), "ord").alias("block_id"), "text"))
+
+
 # selections: two known candidates, and by number a repeated or an unknown one or none
 def _selections(spark, sf_dir):
     ids = "CASE doc_id % 5 WHEN 0 THEN array() WHEN 1 THEN array('c1', 'c0') WHEN 2 THEN array('c0', 'c0') WHEN 3 THEN array('c2', 'c9') ELSE array('c2', 'c1', 'c0') END AS candidate_ids"

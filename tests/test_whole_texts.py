@@ -2,6 +2,7 @@
 
 import re
 
+from sluice.operators import evidence
 from sluice.plans import all_queries
 
 
@@ -27,3 +28,19 @@ def test_narrative_issues_after_400_characters(spark, tmp_path):
     texts = [long + "المبلغ 777 ريال", long + "نص مؤسس", long + "مدينة بعيدة", "القيمة ريال\n" + long + "القيمة ريال", long + "نص 55\nنص 55. نص 66"]
     got = {r["report_id"]: (r["issue"], r["issues"]) for r in all_queries()["narrative_check"](spark, documents(spark, tmp_path, texts)).collect()}
     assert got == {0: ("number:777", 1), 2: ("token:مدينه", 1), 3: ("assertion:fa-2", 2), 4: ("number:66", 1)}
+
+
+def test_rules_fit_long_blocks(spark):
+    rows = [(1, 0, "b0", "كلمة " * 8000 + "فسخ " + "كلمة " * 8000), (1, 1, "b1", "سطر\nإنهاء العقد\nسطر"), (1, 2, "b2", "كلمة " * 8000), (2, 0, "b0", "غرامة تأخير: يومية")]
+    blocks = spark.createDataFrame(rows, "document_id long, ord int, block_id string, text string")
+    got = [(r["document_id"], r["evidence_id"], r["block_id"], r["category"], r["statement"]) for r in evidence.rule_findings(blocks).orderBy("document_id", "evidence_id").collect()]
+    assert got == [
+        (1, "ev-1", "b0", "contractualRisks", rows[0][3][:160]), (1, "ev-2", "b1", "contractualRisks", rows[1][3]),
+        (2, "ev-1", "b0", "penalties", "الغرامات: يومية"), (2, "ev-2", "b0", "contractualRisks", "غرامة تأخير: يومية"),
+    ]
+
+
+def test_rules_read_the_documents(spark, tmp_path):
+    texts = ["كلمة\nنطاق العمل: طرق\n" + "كلمة " * 5000 + "فسخ", "كلمة"]
+    got = {(r["document_id"], r["evidence_id"]): (r["block_id"], r["category"]) for r in all_queries()["rule_findings_whole"](spark, documents(spark, tmp_path, texts)).collect()}
+    assert got == {(0, "ev-1"): ("b1", "scopeOfWork"), (0, "ev-2"): ("b2", "contractualRisks"), (0, "ev-3"): ("b3", "bidBonds"), (1, "ev-1"): ("b1", "penalties"), (1, "ev-2"): ("b1", "contractualRisks")}
