@@ -2,30 +2,48 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 #: Text bytes handled at once inside a task; longer single texts form a slice of their own.
 SLICE_BYTES = 2 << 20
 _local: dict[str, str] = {}
 
-# Arrow's own allocator keeps freed memory for later; workers share an executor's memory with the JVM.
+# Workers share an executor's memory with the JVM, so what is freed goes back to the system: Arrow's
+# own allocator would keep it, and so would malloc above these thresholds.
 pa.set_memory_pool(pa.system_memory_pool())
+_M_TRIM_THRESHOLD, _M_MMAP_THRESHOLD = -1, -3
+_libc = ctypes.CDLL(None)
+if hasattr(_libc, "mallopt"):
+    _libc.mallopt(_M_MMAP_THRESHOLD, 8 << 20)
+    _libc.mallopt(_M_TRIM_THRESHOLD, 16 << 20)
 
 
-def short_batches(spark: SparkSession, rows: int = 1500) -> None:
-    """Arrow batches of fewer rows than Spark's default: texts are long, and a batch is held several
-    times over in an executor's memory. A smaller setting of the session stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+def give_back() -> None:
+    """Return freed memory to the system; called when a task's work is done."""
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+#: Rows of a batch: texts are long, and a batch is held several times over in an executor's memory.
+BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1500, "spark.sql.parquet.columnarReaderBatchSize": 1024}
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Arrow and Parquet batches of fewer rows than Spark's default. A smaller setting of the session stays."""
+    for name, rows in BATCH_ROWS.items():
+        if not 0 < int(spark.conf.get(name)) <= rows:
+            spark.conf.set(name, str(rows))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,10 +52,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; only where
-    that is unset (tests on one machine) a temporary folder takes its place."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share; where that is unset
+    a temporary folder takes its place on a single machine, and a cluster is refused."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = _local["top"] = _local.get("top") or tempfile.mkdtemp(prefix="sluice-")
     return f"{top.rstrip('/')}/sluice-{uuid.uuid4().hex}"
 
@@ -49,6 +69,26 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_udf(work: Callable[[pa.RecordBatch], pa.Array], returns: str | DataType, most: int = SLICE_BYTES) -> Callable[[Column], Column]:
+    """A column function of a text column: work answers a slice of rows with one value per row. The
+    other columns of a row never leave the JVM, so no name of theirs can clash."""
+
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        batches = (pa.RecordBatch.from_arrays([a], ["text"]) for a in arrays)
+        for batch in together(batches, most=most):
+            found = [work(part) for part in slices(batch, most=most)]
+            yield found[0] if len(found) == 1 else pa.concat_arrays(found)
+        give_back()
+
+    return F.arrow_udf(run, returns)
+
+
+def small_enough(df: DataFrame, row_bytes: int, most: int = 64 << 20) -> DataFrame:
+    """df, marked for broadcast if its rows times row_bytes stay within `most` bytes; beyond that the
+    join shuffles."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus: the folds by which labels are held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
@@ -159,7 +199,7 @@ class Grams:
         h = np.zeros(len(self.points), np.uint64)
         for n in range(1, self.high + 1):
             ahead = np.zeros_like(self.points)
-            ahead[: len(self.points) - n + 1] = self.points[n - 1 :]
+            ahead[: max(0, len(self.points) - n + 1)] = self.points[n - 1 :]
             h = h * np.uint64(0x9E3779B97F4A7C15) + ahead + np.uint64(1)
             if n >= self.low:
                 yield (mix(h + np.uint64(n)) % np.uint64(self.buckets)).astype(np.int64), left >= n

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, local_forest, materialize, mix, slices, together, word_hashes
+from .common import Words, local_forest, materialize, mix, slices, small_enough, together, word_hashes
 from .components import components
 
 WORDS = 5
@@ -55,7 +55,7 @@ def shingle_sets(text: pa.Array, size: int = WORDS) -> list[np.ndarray]:
     rolled = np.zeros(len(h), np.uint64)
     for k in range(size):
         ahead = np.zeros(len(h), np.uint64)
-        ahead[: len(h) - k] = h[k:]
+        ahead[: max(0, len(h) - k)] = h[k:]
         rolled = rolled * _P + ahead
     rolled = mix(rolled)
     found = []
@@ -303,16 +303,22 @@ def jaccard_components(docs: DataFrame, crowded: int = CROWDED, divide: int = DI
 
 def one_per_group(docs: DataFrame) -> DataFrame:
     """docs without the documents that a smaller id of their group stands for. Documents without
-    words stay. Of repeated ids one row stays."""
-    found = materialize(jaccard_components(docs))
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    kept = docs.join(small(materialize(dropped)), "doc_id", "left_anti")
-    again = materialize(again)
-    if again.isEmpty():
-        return kept
-    return kept.join(small(again), "doc_id", "left_anti").unionByName(kept.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    words stay. Where ids repeat or are null, every row is a document of its own: rows are numbered,
+    and of a group the first row stays."""
+    unique = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 or doc_id is null").isEmpty()
+    if unique:
+        return _without_copies(docs, "doc_id")
+    node = "row"
+    while node in docs.columns:
+        node += "_"
+    numbered = materialize(docs.withColumn(node, F.monotonically_increasing_id()))
+    return _without_copies(numbered, node).drop(node)
+
+
+def _without_copies(docs: DataFrame, key: str) -> DataFrame:
+    found = jaccard_components(docs.select(F.col(key).alias("doc_id"), "text"))
+    dropped = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)))
+    return docs.join(small_enough(dropped, 16), key, "left_anti").select(*(docs[f"`{c}`"] for c in docs.columns))
 
 
 def _cluster_links(docs: DataFrame, members: DataFrame, tile: int, unit: int) -> DataFrame:

@@ -8,30 +8,31 @@ in its spans is the document's, its share of the letters the score.
 
 Null texts and texts without a letter are `und` with score 0. Rows without a language are not
 learnt from; without any labelled row every text is `und`. A language is any string, the empty
-one included. Repeated rows are labelled alike; extra columns are ignored.
+one included; the model takes 128 KB for each. Letters are characters of the class L; marks belong
+to the n-grams of a word with letters and count for nothing else. Repeated rows are labelled alike;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import Grams, Words, fold, slices, together
+from .common import Grams, Words, fold, give_back, slices, text_udf, together
 
 LOW, HIGH, BUCKETS = 1, 4, 1 << 15
 #: Cost of a switch of language between two words, in natural log units.
 SWITCH = 6.0
 #: Share of a language's letters from which it counts as written in a script.
 SCRIPT_SHARE = 0.005
-#: Languages that one model may hold; more are refused rather than dropped.
-MOST_LANGUAGES = 400
+#: Text bytes handled at once.
+SLICE = 1 << 20
 HELD_OUT = (5, 0)
 UNKNOWN = "und"
 
@@ -58,18 +59,26 @@ SCRIPTS = [
 N_SCRIPTS = 15
 
 
-def letters_of(words: pa.Array) -> pa.Array:
-    """Words without what is no letter; marks that belong to letters stay."""
-    return pc.replace_substring_regex(words, r"[^\pL\pM]+", "")
+def letters_of(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words without what is neither letter nor mark, empty without a letter; and their letters' number."""
+    kept = pc.replace_substring_regex(words, r"[^\pL\pM]+", "")
+    marked = pc.match_substring_regex(kept, r"\pM")
+    plain = pc.replace_substring_regex(kept, r"\pM+", "") if pc.any(marked).as_py() else kept
+    lengths = pc.utf8_length(plain).to_numpy(zero_copy_only=False).astype(np.int64)
+    return pc.if_else(pa.array(lengths > 0), kept, ""), lengths
 
 
-def script_of(words: pa.Array) -> np.ndarray:
-    """Number of the script of each word's first letter, 0 for others and for empty words."""
-    first = np.array([ord(w[0]) if w else 0 for w in words.to_pylist()], np.int64)
-    lows = np.array([a for a, _, _ in SCRIPTS])
-    at = np.searchsorted(lows, first, side="right") - 1
-    highs, numbers = np.array([b for _, b, _ in SCRIPTS]), np.array([n for _, _, n in SCRIPTS])
-    return np.where((at >= 0) & (first <= highs[at]), numbers[at], 0)
+_LOWS, _HIGHS, _NUMBERS = (np.array(x) for x in zip(*SCRIPTS, strict=True))
+
+
+def script_of(grams: Grams) -> np.ndarray:
+    """Number of the script with the most characters of each word, 0 for others and for empty words;
+    of equally many the smallest number."""
+    points = grams.points.astype(np.int64)
+    at = np.searchsorted(_LOWS, points, side="right") - 1
+    numbers = np.where((at >= 0) & (points <= _HIGHS[at]), _NUMBERS[at], 0)
+    per_word = np.bincount(np.repeat(np.arange(len(grams.lengths)), grams.lengths) * N_SCRIPTS + numbers, minlength=len(grams.lengths) * N_SCRIPTS).reshape(-1, N_SCRIPTS)
+    return np.where(per_word[:, 1:].any(1), per_word[:, 1:].argmax(1) + 1, 0)
 
 
 class Lettered:
@@ -77,10 +86,9 @@ class Lettered:
 
     def __init__(self, text: pa.Array):
         self.words = Words(pc.utf8_lower(pc.fill_null(text, "")), lower=False)
-        self.letters = letters_of(self.words.distinct)
-        self.lengths = pc.utf8_length(self.letters).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.grams = Grams(self.letters, LOW, HIGH, BUCKETS)
-        self.scripts = script_of(self.letters)
+        letters, self.lengths = letters_of(self.words.distinct)
+        self.grams = Grams(letters, LOW, HIGH, BUCKETS)
+        self.scripts = script_of(self.grams)
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -88,21 +96,26 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        for batch in together(batches):
-            for part in slices(batch):
+        for batch in together(batches, most=SLICE):
+            for part in slices(batch, most=SLICE):
                 own = Lettered(part.column("text"))
                 coded = part.column("lang").dictionary_encode()
                 lang_of_word = coded.indices.to_numpy(zero_copy_only=False)[own.words.rows]
-                levels = [(ids[fits], np.repeat(np.arange(len(own.lengths)), own.grams.lengths)[fits]) for ids, fits in own.grams.levels()]
+                per_lang = []
                 for code, lang in enumerate(coded.dictionary.to_pylist()):
                     uses = np.bincount(own.words.codes[lang_of_word == code], minlength=len(own.lengths)) * (own.lengths > 0)
-                    total = totals.setdefault(lang, np.zeros(BUCKETS + N_SCRIPTS))
-                    for ids, owner in levels:
-                        total[:BUCKETS] += np.bincount(ids, uses[owner], BUCKETS)
+                    per_lang.append((totals.setdefault(lang, np.zeros(BUCKETS + N_SCRIPTS)), uses))
+                owner = np.repeat(np.arange(len(own.lengths), dtype=np.int32), own.grams.lengths)
+                for ids, fits in own.grams.levels():
+                    ids, of = ids[fits], owner[fits]
+                    for total, uses in per_lang:
+                        total[:BUCKETS] += np.bincount(ids, uses[of], BUCKETS)
+                for total, uses in per_lang:
                     total[BUCKETS:] += np.bincount(own.scripts, uses * own.lengths, N_SCRIPTS)
         for lang, total in totals.items():
             there = np.nonzero(total)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(there), pa.string()), pa.array(there.astype(np.int32)), pa.array(total[there].astype(np.int64))], ["lang", "bucket", "n"])
+        give_back()
 
     counted = docs.where("text is not null and lang is not null").select("text", "lang").mapInArrow(run, "lang string, bucket int, n long")
     return counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
@@ -116,18 +129,14 @@ class Model:
 
 
 def fit(docs: DataFrame, modulus: int = HELD_OUT[0], remainder: int = HELD_OUT[1]) -> Model:
-    """Learn from all rows outside the held-out fold. The model's size is bounded by BUCKETS and
-    the number of languages."""
+    """Learn from all rows outside the held-out fold. What comes to the driver is bounded by BUCKETS
+    and the number of languages."""
     own = docs.where(fold(F.col("doc_id"), modulus) != remainder)
-    counts = count_grams(own)
-    names = sorted(r["lang"] for r in own.where("text is not null and lang is not null").select("lang").distinct().limit(MOST_LANGUAGES + 1).toLocalIterator())
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    at = {n: i for i, n in enumerate(names)}
+    names = sorted(r["lang"] for r in own.where("text is not null and lang is not null").select("lang").distinct().toLocalIterator())
     table = np.zeros((BUCKETS + N_SCRIPTS, len(names)))
-    got = counts.toArrow()
-    for lang, bucket, n in zip(*(got.column(c).to_pylist() for c in ("lang", "bucket", "n")), strict=True):
-        table[bucket, at[lang]] = n
+    got = count_grams(own).toArrow()
+    at = pc.index_in(got.column("lang"), pa.array(names, pa.string()))
+    table[got.column("bucket").to_numpy(), at.to_numpy()] = got.column("n").to_numpy()
     grams, scripts = table[:BUCKETS], table[BUCKETS:]
     log_p = np.log((grams + 0.2) / (grams.sum(0) + 0.2 * BUCKETS)) if names else np.zeros((BUCKETS, 0))
     allowed = scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(0))
@@ -174,30 +183,24 @@ def label_words(own: Lettered, model: Model, penalty: float = SWITCH) -> np.ndar
     return viterbi(score[own.words.codes], own.words.starts, own.words.counts, penalty)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "score")
-    names_out = [*kept.columns, "lang_pred", "score"]
+def predictor(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """(lang, share) as a function of a text column: the language with the most letters and its share."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in together(batches):
-            for part in slices(batch):
-                own = Lettered(part.column("text"))
-                n = part.num_rows
-                if model.languages:
-                    path = label_words(own, model)
-                    share = np.zeros((n, len(model.languages)))
-                    np.add.at(share, (own.words.rows, path), own.lengths[own.words.codes])
-                    total, top = share.sum(1), share.argmax(1)
-                    names = np.array([*model.languages, UNKNOWN], object)[np.where(total > 0, top, -1)]
-                    score = share.max(1) / np.maximum(1, total)
-                else:
-                    names, score = np.full(n, UNKNOWN, object), np.zeros(n)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], names_out)
+    def work(part: pa.RecordBatch) -> pa.Array:
+        model, own = shared.value, Lettered(part.column("text"))
+        n = part.num_rows
+        if model.languages:
+            path = label_words(own, model)
+            share = np.bincount(own.words.rows * len(model.languages) + path, own.lengths[own.words.codes], n * len(model.languages)).reshape(n, -1)
+            total, top = share.sum(1), share.argmax(1)
+            names = pa.array([*model.languages, UNKNOWN]).take(pa.array(np.where(total > 0, top, len(model.languages))))
+            score = share.max(1) / np.maximum(1, total)
+        else:
+            names, score = pa.array([UNKNOWN] * n, pa.string()), np.zeros(n)
+        return pa.StructArray.from_arrays([names, pa.array(score)], ["lang", "share"])
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return text_udf(work, "lang string, share double", SLICE)
 
 
 def spans(text: str, model: Model, penalty: float = SWITCH) -> list[tuple[str, str]]:
@@ -216,5 +219,5 @@ def spans(text: str, model: Model, penalty: float = SWITCH) -> list[tuple[str, s
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row of docs."""
-    found = predict(docs.select("doc_id", "text"), fit(docs))
-    return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1], F.lit(False)).alias("held_out"), "lang_pred", "score")
+    found = docs.select("doc_id", predictor(docs.sparkSession, fit(docs))(F.col("text")).alias("found"))
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1], F.lit(False)).alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.share").alias("score"))

@@ -8,10 +8,15 @@ shards of `per_shard` slots in range order; a shard is one file of records of fi
 ids little-endian, then one line feed, which the text writer adds), so record r of a shard lies at
 byte r * record length, and a reader resumes anywhere by seeking.
 
+Texts are encoded once. Their ids are stored in the shared folder with their place in their scan
+partition; the driver adds up one total per partition (16 bytes each), which places every stored
+run in the stream. From then on everything derives from that stored table, so a task that runs
+again gives the same sequences, whatever order a second scan of the input would have. Tasks of the
+last step hold whole ranges of neighbouring shards.
+
 Files are written by Spark's writer through its commit protocol, so lost executors leave no
 partial shards. Null texts count as empty: the end id alone. Repeated rows are written each; ids
-of documents play no part. The input must be a stored table, whose scan gives every partition the
-same rows each time; this is checked. An empty table gives no shards and no rows."""
+of documents and other columns play no part. An empty table gives no shards and no rows."""
 
 from __future__ import annotations
 
@@ -24,12 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import subwords
-from .common import materialize, shared_dir, slices, together
+from .common import give_back, materialize, shared_dir, slices, together
 
 STRIDE, PER_SHARD, KEY, ROUNDS = 2048, 4096, 20_240_601, 4
 END_ID = PAD_ID = 0
 #: Text bytes encoded at once: larger slices repeat fewer words.
-SLICE = 8 << 20
+SLICE = 4 << 20
+#: Neighbouring shards that one task writes, at most.
+SHARDS_A_TASK = 16
+_KIND = np.dtype("<u2")  # the vocabulary has fewer than 65,536 entries
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,91 +71,79 @@ def permute(index: np.ndarray, size: int, key: int = KEY, back: bool = False) ->
     return value.astype(np.int64)
 
 
-def _stream(part: pa.RecordBatch, path: str) -> np.ndarray:
-    """Ids of the texts, each closed by the end id."""
-    ids, counts = subwords.encode(part.column("text"), path)
-    return np.insert(ids, np.cumsum(counts), END_ID)
+def pack(ids: np.ndarray) -> bytes:
+    """Ids as low bytes, then high bytes, compressed: they are stored once and shuffled once."""
+    return pa.compress(np.ascontiguousarray(ids.astype(_KIND).view(np.uint8).reshape(-1, 2).T), codec="zstd", asbytes=True)
 
 
-def write_shards(docs: DataFrame, path: str, stride: int = STRIDE, per_shard: int = PER_SHARD, key: int = KEY, vocabulary: str | None = None) -> int:
-    """Write the shards below path and return the number of sequences."""
-    words = vocabulary or subwords.vocabulary_path()
-    kind = np.dtype("<u2")  # the vocabulary has fewer than 65,536 entries
-    source = docs.select("text", F.spark_partition_id().alias("part"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A partition's number of ids, and its first and last ids up to a stride. Only texts at the
-        partition's ends are written out as ids."""
-        part, n, head, last = None, 0, np.zeros(0, np.uint32), []
+def unpack(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 2 * n, codec="zstd", asbytes=True), np.uint8).reshape(2, n)
+    return np.ascontiguousarray(planes.T).view(_KIND).ravel()
+
+
+def encoded_stream(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """Stored runs of ids: (part, at, n, ids), each run's place in its scan partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
         for batch in together(batches, most=SLICE):
             for piece in slices(batch, most=SLICE):
-                part = piece.column("part")[0].as_py()
-                own = int(subwords.Encoded(piece.column("text"), words).counts.sum()) + piece.num_rows
-                n += own
-                if len(head) < stride:
-                    head = np.concatenate([head, _stream(piece, words)])[:stride]
-                last.append((piece, own))
-                while sum(k for _, k in last[1:]) >= stride:
-                    last.pop(0)
-        if part is not None:
-            tail = np.concatenate([_stream(piece, words) for piece, _ in last])[-stride:]
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), *(pa.array([x.astype(kind).tobytes()], pa.binary()) for x in (head, tail))], ["part", "n", "head", "tail"])
-
-    parts = materialize(source.mapInArrow(count, "part int, n long, head binary, tail binary"))
-    sizes = {r["part"]: r["n"] for r in parts.select("part", "n").toLocalIterator()}  # a row per partition
-    bases, total = {}, 0
-    for part in sorted(sizes):
-        bases[part] = total
-        total += sizes[part]
-    sequences = -(-total // stride)
+                ids, counts = subwords.encode(piece.column("text"), vocabulary)
+                own = np.insert(ids, np.cumsum(counts), END_ID)
+                yield pa.RecordBatch.from_arrays([piece.column("part").slice(0, 1), *(pa.array([x], pa.int64()) for x in (at, len(own))), pa.array([pack(own)], pa.binary())], ["part", "at", "n", "ids"])
+                at += len(own)
+        give_back()
+
+    return materialize(docs.select("text", F.spark_partition_id().alias("part")).mapInArrow(run, "part int, at long, n long, ids binary"))
+
+
+def write_shards(docs: DataFrame, path: str, stride: int = STRIDE, per_shard: int = PER_SHARD, key: int = KEY, vocabulary: str | None = None) -> int:
+    """Write the shards below path and return the number of sequences."""
+    stream = encoded_stream(docs, vocabulary or subwords.vocabulary_path())
+    sizes = stream.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").toArrow()
+    parts, n = (sizes.column(c).to_numpy() for c in ("part", "n"))
+    sequences = -(-int(n.sum()) // stride)
     if not sequences:
         return 0
-    shared = docs.sparkSession.sparkContext.broadcast((bases, sizes))
+    shared = docs.sparkSession.sparkContext.broadcast((parts, np.cumsum(n) - n))
 
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What each partition holds of the sequences that it shares with others."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sequences that lie inside a run, and what it holds of those it shares with others."""
+        parts, bases = shared.value
         for batch in batches:
-            rows = []
             for r in batch.to_pylist():
-                base, n = shared.value[0][r["part"]], r["n"]
-                head, tail = np.frombuffer(r["head"], kind), np.frombuffer(r["tail"], kind)
-                first, last = -(-base // stride) * stride, (base + n) // stride * stride
-                if base < first:
-                    rows.append((base, head[: min(n, first - base)]))
-                if last >= first and last < base + n:
-                    rows.append((last, tail[len(tail) - (base + n - last) :]))
-            starts = np.array([s for s, _ in rows], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(permute(starts // stride, sequences, key)), pa.array((starts % stride).astype(np.int32)), pa.array([x.tobytes() for _, x in rows], pa.binary())], ["slot", "at", "ids"])
+                base = int(bases[np.searchsorted(parts, r["part"])]) + r["at"]
+                ids = unpack(r["ids"], r["n"])
+                cuts = np.unique(np.concatenate([[0, len(ids)], np.arange(-base % stride, len(ids), stride)]))
+                starts = base + cuts[:-1]
+                pieces = [pack(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(permute(starts // stride, sequences, key)), pa.array((starts % stride).astype(np.int32)), pa.array(np.diff(cuts).astype(np.int32)), pa.array(pieces, pa.binary())], ["slot", "at", "n", "ids"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole sequences as they are; parts of the others are held until the end and joined."""
+
+        def out(slots: list[int], rows: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(rows, pa.binary())], ["slot", "ids"])
+
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slots, rows = [], []
+            for r in batch.to_pylist():
+                own = unpack(r["ids"], r["n"])
+                if r["n"] == stride:
+                    slots.append(r["slot"])
+                    rows.append(own.tobytes())
+                else:
+                    held.setdefault(r["slot"], np.full(stride, PAD_ID, _KIND))[r["at"] : r["at"] + r["n"]] = own
+            yield out(slots, rows)
+        yield out(list(held), [x.tobytes() for x in held.values()])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The sequences that lie inside one partition."""
-        at, held = None, np.zeros(0, np.uint32)
-        for batch in together(batches, most=SLICE):
-            for piece in slices(batch, most=SLICE):
-                if at is None:
-                    part = piece.column("part")[0].as_py()
-                    at = shared.value[0][part]
-                    skip = -at % stride
-                held = np.concatenate([held, _stream(piece, words)])
-                if skip:
-                    gone = min(skip, len(held))
-                    held, at, skip = held[gone:], at + gone, skip - gone
-                full = len(held) // stride
-                if full and not skip:
-                    rows = held[: full * stride].astype(kind).reshape(full, stride)
-                    slots = permute(at // stride + np.arange(full), sequences, key)
-                    yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array([x.tobytes() for x in rows], pa.binary())], ["slot", "ids"])
-                    held, at = held[full * stride :], at + full * stride
-        if at is not None and at + len(held) - shared.value[0][part] != shared.value[1][part]:
-            raise ValueError("the input's partitions changed between two scans; store it first")
-
-    pieces = parts.mapInArrow(ends, "slot long, at int, ids binary").groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("p"))
-    pad = F.lit(np.full(stride, PAD_ID, kind).tobytes())
-    joined = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
-    whole = source.mapInArrow(cut, "slot long, ids binary").unionByName(pieces.select("slot", F.substring(F.concat(joined, pad), 1, stride * kind.itemsize).alias("ids")))
     shards = -(-sequences // per_shard)
-    out = whole.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int")).repartition(min(shards, 4096), "shard").sortWithinPartitions("shard", "slot")
-    out.select(F.col("ids").cast("string").alias("value"), "shard").write.partitionBy("shard").text(path)
+    a_task = max(1, min(SHARDS_A_TASK, shards // 1024))
+    shard = F.floor(F.col("slot") / per_shard)
+    dealt = stream.mapInArrow(cut, "slot long, at int, n int, ids binary").repartitionById(-(-shards // a_task), F.floor(shard / a_task).cast("int"))
+    whole = dealt.mapInArrow(join, "slot long, ids binary").withColumn("shard", shard.cast("int")).sortWithinPartitions("shard", "slot")
+    whole.select(F.col("ids").cast("string").alias("value"), "shard").write.partitionBy("shard").text(path)
     return sequences
 
 

@@ -25,15 +25,15 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from . import subwords
-from .common import materialize, slices, together
+from .common import give_back, materialize, ragged, slices, together
 
 CAPACITY = 2048
 END_ID = 0
 #: Grid step of the first two lengths of a three-document pattern.
 TRIPLE_STEP = 16
 SWEEPS = 40
-#: Text bytes encoded at once: larger slices repeat fewer words.
-SLICE = 3 << 20
+#: Text bytes encoded at once.
+SLICE = 2 << 20
 #: Words whose ids a worker keeps: the pipeline's other stages need memory too.
 REMEMBERED = 200_000
 
@@ -50,14 +50,16 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
             for part in slices(batch, most=SLICE):
                 ids, counts = subwords.encode(part.column("text"), path, REMEMBERED)
                 ends = np.cumsum(counts)
-                rows = [[] for _ in range(5)]
-                for doc, to, n in zip(part.column("doc_id").to_pylist(), ends, counts, strict=True):
-                    own = np.append(ids[to - n : to], np.uint32(end_id)).astype("<u4")
-                    for k, at in enumerate(range(0, len(own), capacity)):
-                        piece = own[at : at + capacity]
-                        for column, x in zip(rows, (doc, k, at, len(piece), zlib.crc32(piece.tobytes())), strict=True):
-                            column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if i == 1 else pa.int64()) for i, x in enumerate(rows)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                own = np.insert(ids, ends, end_id).astype("<u4")
+                counts = counts + 1
+                first = np.cumsum(counts) - counts  # of each document in own
+                of_doc = -(-counts // capacity)
+                piece = ragged(np.zeros(len(of_doc), np.int64), of_doc)
+                start, row = piece * capacity, np.repeat(np.arange(len(of_doc)), of_doc)
+                length = np.minimum(counts[row] - start, capacity)
+                marks = [zlib.crc32(own[a : a + n]) for a, n in zip(first[row] + start, length, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)).cast(pa.int64()), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(marks, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 

@@ -13,21 +13,23 @@ classes the score is the share of the one there is (0 without labels). Extra col
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.window import Window as W
 
-from .common import Grams, Words, fold, ragged, slices, together
+from .common import Grams, Words, fold, give_back, materialize, ragged, slices, text_udf, together
 
 LOW, HIGH, BUCKETS, DIM = 4, 6, 1 << 16, 8
 #: Blank words that each average counts besides the text's own, so that a few words alone say little.
 PAD = 30
 #: Labelled documents learnt from, at most: clean and toxic ones. Buckets fit 16 bits.
 SAMPLE = (4000, 2000)
+#: Text bytes learnt from, at most, per class; a byte of text gives up to 18 bytes at the driver.
+SAMPLE_BYTES = (24 << 20, 12 << 20)
 #: Steps of training; small samples are gone through more often.
 STEPS, BATCH, RATE, GAIN, DECAY = 660, 64, 0.01, 30.0, 1e-4
 THRESHOLD = 0.5
@@ -41,6 +43,15 @@ def labelled_sample(labels: DataFrame, label: str, modulus: int, remainder: int,
     return parts[0].unionByName(parts[1])
 
 
+def bounded_texts(docs: DataFrame, chosen: DataFrame, most: tuple[int, int]) -> DataFrame:
+    """text and y of the chosen documents, in each class y as many in hash order as stay within
+    most[y] bytes of text together. chosen is bounded in rows, so its join partner is small."""
+    drawn = materialize(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "y", F.xxhash64("doc_id").alias("h"), F.octet_length("text").cast("long").alias("size")))
+    upto = F.sum("size").over(W.partitionBy("y").orderBy("h", "size", F.xxhash64("text")).rowsBetween(W.unboundedPreceding, 0))
+    last = drawn.select("y", "h", "size", upto.alias("upto")).groupBy("y").agg(F.max(F.when(F.col("upto") <= F.when(F.col("y") == 0, most[0]).otherwise(most[1]), F.col("h"))).alias("last"))
+    return drawn.join(F.broadcast(last), "y").where("h <= last").select("text", "y")
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text: the buckets of its n-grams and each one's share of the text's mean."""
     for batch in together(batches):
@@ -61,6 +72,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for column, x in zip(rows, (y, there.astype(np.uint16).tobytes(), total[there].astype(np.float32).tobytes()), strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["y", "ids", "weights"])
+    give_back()
 
 
 def train(y: np.ndarray, ids: list[np.ndarray], weights: list[np.ndarray], seed: int = 3) -> tuple[np.ndarray, float]:
@@ -100,8 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = HELD_OUT[0], remainde
     shares = dict(labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), modulus) != remainder)).groupBy("toxic").count().collect())
     total = sum(shares.values())
     prior = (shares.get(1, 0) + 1e-3) / (total + 2e-3) if total else 1e-6
-    # the sample is bounded by its parameter
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y").mapInArrow(_features, "y int, ids binary, weights binary").toArrow()
+    got = bounded_texts(docs, chosen, SAMPLE_BYTES).mapInArrow(_features, "y int, ids binary, weights binary").toArrow()
     y = got.column("y").to_numpy().astype(np.int64)
     if len(set(y)) < 2:
         return np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior)))
@@ -110,26 +121,23 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = HELD_OUT[0], remainde
     return table, bias + float(np.log(prior / (1 - prior)) - np.log(drawn / (1 - drawn)))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """All columns of docs and score, the probability of label 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: tuple[np.ndarray, float]) -> Callable[[Column], Column]:
+    """The probability of label 1 as a function of a text column."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(part: pa.RecordBatch) -> pa.Array:
         z, bias = shared.value
-        for batch in together(batches):
-            for part in slices(batch):
-                words = Words(part.column("text"))
-                grams = Grams(words.distinct, LOW, HIGH, BUCKETS)
-                of_word = grams.sums(z).astype(np.float64) / np.maximum(1, grams.sizes())
-                logit = words.per_text(of_word[words.codes]) / (words.counts + PAD) + bias
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(logit, -500, 500))))], names)
+        words = Words(part.column("text"))
+        grams = Grams(words.distinct, LOW, HIGH, BUCKETS)
+        of_word = grams.sums(z).astype(np.float64) / np.maximum(1, grams.sizes())
+        logit = words.per_text(of_word[words.codes]) / (words.counts + PAD) + bias
+        return pa.array(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
 
-    kept = docs.drop("score")
-    names = [*kept.columns, "score"]
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
+    return text_udf(work, "double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs."""
-    scored = score(docs.select("doc_id", "text"), fit(docs, labels))
+    score = scorer(docs.sparkSession, fit(docs, labels))
+    scored = docs.select("doc_id", score(F.col("text")).alias("score"))
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1], F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -62,6 +62,27 @@ def test_jaccard_of_odd_and_empty_tables(odd, nothing):
     assert sorted(r["doc_id"] or -1 for r in jaccard.one_per_group(odd).collect()) == [-1, 1, 3, 4, 5, 7, 8, 10]
 
 
+def test_slices_of_very_few_words():
+    assert [len(x) for x in jaccard.shingle_sets(pa.array(["a b", None, "c"]))] == [1, 0, 1]
+    assert language.Lettered(pa.array(["a", ""])).lengths.tolist() == [1]
+
+
+def test_marks_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "ein wort", "de"), (2, "\u0301\u0301 \u0300", None), (3, "12 .", None), (4, "e\u0301", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify(docs).collect()} == {1: "de", 2: "und", 3: "und", 4: "de"}
+
+
+def test_more_languages_than_any_fixed_number(spark):
+    docs = spark.createDataFrame([(i, f"wort{i} text", f"l{i}") for i in range(900)], "doc_id long, text string, lang string")
+    assert language.identify(docs).where("lang_pred = 'und'").count() == 0
+
+
+def test_one_of_two_texts_under_one_id_is_not_lost(spark):
+    rows = [(1, "one two three four five six", "a"), (1, "six five four three two one", "b"), (1, "one two three four five six", "c"), (2, "seven eight nine", "d")]
+    kept = jaccard.one_per_group(spark.createDataFrame(rows, "doc_id long, text string, row string"))
+    assert kept.columns == ["doc_id", "text", "row"] and sorted(r["text"] for r in kept.collect()) == sorted({t for _, t, _ in rows})
+
+
 def test_crowded_columns_give_stars_not_pairs():
     rows = [np.repeat(7, 500), np.zeros(500, np.int64), np.arange(500), np.full(500, 10)]
     batch = pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["shingle", "salt", "doc", "n"])
@@ -80,7 +101,8 @@ def test_toxicity_learns_subwords(spark):
     assert set(held) == {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
     assert np.mean([r["predicted"] == i % 2 for i, r in held.items()]) > 0.95
     bent = spark.createDataFrame([(1, sound(25) + " gr0bnax"), (2, sound(25))], "doc_id long, text string")
-    a, b = (r["score"] for r in toxicity.score(bent, model).orderBy("doc_id").collect())
+    score = toxicity.scorer(spark, model)
+    a, b = (r["score"] for r in bent.select("doc_id", score("text").alias("score")).orderBy("doc_id").collect())
     assert a > b
 
 
