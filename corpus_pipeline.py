@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sluice.llm import jaccard, language, packing, toxicity
 from sluice.llm.common import materialize, short_batches, table
@@ -17,26 +18,39 @@ LEAST_SHARE = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold."""
-    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.where(scored["score"] < toxicity.THRESHOLD).select(docs.columns)
+    """Documents whose toxicity score is below the threshold. Null and empty texts score by the
+    classes' shares alone and so stay where toxic documents are the smaller class; repeated rows
+    share one fate; an empty table gives an empty one; columns of any other name pass through."""
+    short_batches(spark)
+    score = toxicity.scorer(spark, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return docs.where(score(F.col("text")) < toxicity.THRESHOLD)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters, at least half of them in one language."""
+    """Documents with letters, at least half of them in one language. Null and empty texts and those
+    without a letter go; ties between languages go to the first by name; repeated rows share one
+    fate; an empty table, or one without a known language, gives an empty one; columns of any other
+    name pass through."""
     short_batches(spark)
-    found = language.predict(docs, language.fit(docs))
-    return found.where((found["lang_pred"] != language.UNKNOWN) & (found["score"] >= LEAST_SHARE)).select(docs.columns)
+    found = language.predictor(spark, language.fit(docs))(F.col("text"))
+    return docs.where(accepted(found))
+
+
+def accepted(found: Column) -> Column:
+    return (found["lang"] != language.UNKNOWN) & (found["share"] >= LEAST_SHARE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
+    """One document of each group of near-duplicates, the one with the smallest id. Null and empty
+    texts link with nothing and stay; of equal rows one stays; where ids repeat, each row is a
+    document of its own; an empty table gives an empty one; other columns pass through."""
     short_batches(spark)
-    return jaccard.one_per_group(docs).select(docs.columns)
+    return jaccard.one_per_group(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining documents, packed into sequences."""
+    """The remaining documents, packed into sequences. A null or empty text is one piece, the end id;
+    a long one is cut; repeated rows are packed each; an empty table gives no rows."""
     short_batches(spark)
     return packing.best_fit_pack(docs)
 
