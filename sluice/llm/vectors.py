@@ -1,8 +1,14 @@
 """Operators 6 and 10: near-duplicate vectors and exact top-k inner products.
 
 Vectors that are null, or that hold null or non-finite components, take no part in either; for
-cosine, neither do zero vectors. Rows whose id is null take no part in a search. Only vectors of
-the same dimension are compared."""
+cosine, neither do zero vectors. Rows whose id is null take no part in a search, nor do rows with a
+scaled component so large that an inner product could leave 64 bits. Only vectors of the same
+dimension are compared. Empty tables give no rows; extra columns are ignored.
+
+Search: each row whose id is a query id is a query of its own, so an id that occurs twice gets two
+lists of ranks; candidates are all rows but those with the query's id, and repeated ones count as
+often as they occur. Ties go to the smaller id.
+Near-duplicates: each row gets its line; rows that repeat an id share one node of the graph."""
 
 from __future__ import annotations
 
@@ -18,7 +24,8 @@ from pyspark.sql.window import Window as W
 from .common import local_forest, materialize
 from .components import components
 
-BLOCK = 2048
+#: Rows of a block of vectors.
+BLOCK = 1024
 
 
 def usable(embedding: Column) -> Column:
@@ -36,24 +43,33 @@ def matrix(column: pa.Array) -> np.ndarray:
 K = 20
 SCALE = 64.0
 QUERY_EVERY = 20
-BINS = 256
+BINS = 2048
+#: Candidate blocks whose k-th score bounds the global one from below before the first histogram.
+SEED_BLOCKS = 2
+#: Block pairs that one cell of the grid holds.
+CELL = 64
+STATE = "q long, n int, ids binary, x binary, state binary"
 
 
 def _blocks(df: DataFrame, dim: int, scale: float) -> DataFrame:
     """Blocks of rows: ids and floor(scale * x) as packed integers, with the greatest magnitude."""
+    most_fit = math.isqrt((2**63 - 1) // dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                x = np.floor(scale * matrix(part.column("embedding"))).astype(np.int64)
-                most = int(np.abs(x).max(initial=0))
-                x = x.astype(np.int32) if most < 2**31 else x
-                ids = part.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([most], pa.int64())], ["n", "ids", "x", "most"])
+                x = np.floor(scale * matrix(part.column("embedding")))
+                fits = (np.abs(x) <= most_fit).all(1)
+                x, ids = x[fits].astype(np.int64), part.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64)[fits]
+                if len(ids):
+                    most = int(np.abs(x).max(initial=0))
+                    norm = float(np.sqrt((x.astype(np.float64) ** 2).sum(1).max(initial=0)))
+                    x = x.astype(np.int32) if most < 2**31 else x
+                    yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([most], pa.int64()), pa.array([norm])], ["n", "ids", "x", "most", "norm"])
 
     own = df.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull() & (F.size("embedding") == dim))
-    return own.select("vec_id", "embedding").mapInArrow(run, "n int, ids binary, x binary, most long")
+    return own.select("vec_id", "embedding").mapInArrow(run, "n int, ids binary, x binary, most long, norm double")
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -65,108 +81,155 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def exact_top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, scale: float = SCALE, bins: int = BINS) -> DataFrame:
-    """Distributed histogram selection. Queries are the rows whose id is divisible by query_every,
-    candidates all rows but those with the query's id. Scores are computed block against block.
-    Each pass adds up, over all blocks, a histogram per query of the scores inside its current
-    range, finds the bin that holds the k-th greatest and narrows the range to it, until the range
-    is one value. A last pass keeps what lies above that value and, of its ties, the smallest ids.
-    A block reports only its bins from the top down to its own k-th score: the global k-th score
-    cannot lie below it. Repeated rows count as often as they occur."""
-    parts = [_top_k(vectors, row["d"], k, query_every, scale, bins) for row in vectors.where(usable(F.col("embedding"))).select(F.size("embedding").alias("d")).distinct().toLocalIterator()]
+    """Distributed histogram selection. Every query's range starts between its k-th score among a few
+    candidate blocks, which the global k-th cannot be below, and the greatest product its length
+    allows. Scores are computed block against block, in a grid of query groups and candidate groups.
+    Each pass adds up, over all cells, a histogram per query of the scores inside its range, finds
+    the bin that holds the k-th greatest and narrows the range to it, until the range is one value.
+    A last pass keeps what lies above that value and, of its ties, the smallest ids. A cell reports
+    only its bins from the top down to its own k-th score: the global k-th score cannot lie below it."""
+    parts = [_top_k(vectors, row["d"], k, query_every, scale, bins) for row in vectors.where(usable(F.col("embedding"))).select(F.size("embedding").alias("d")).distinct().where("d > 0").toLocalIterator()]
     out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     for part in parts:
         out = out.unionByName(part)
     return out
 
 
-def _top_k(vectors: DataFrame, dim: int, k: int, query_every: int, scale: float, bins: int) -> DataFrame:
-    spark = vectors.sparkSession
-    width_of = dim * 4
+def _unpack(ids: bytes, x: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids, np.int64)
+    return ids, np.frombuffer(x, np.int32 if len(x) == len(ids) * dim * 4 else np.int64).reshape(len(ids), dim)
+
+
+def _grid(queries: DataFrame, candidates: DataFrame, cells: int, ratio: float) -> DataFrame:
+    """Every query block beside every candidate block, a query block's partners one after another in
+    each cell. Query blocks are copied to all candidate groups and candidate blocks to all query
+    groups; the groups' numbers keep what is copied least."""
+    of_q = max(1, min(cells, round(math.sqrt(cells * ratio))))
+    of_c = -(-cells // of_q)
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = queries.withColumn("c", spread(of_c)).withColumn("g", F.pmod(F.xxhash64("q"), F.lit(of_q)) * of_c + F.col("c")).drop("c")
+    right = candidates.select(F.pmod(F.xxhash64("ids", "x"), F.lit(of_c)).alias("c"), F.col("ids").alias("cids"), F.col("x").alias("cx"), spread(of_q).alias("r")).select((F.col("r") * of_c + F.col("c")).alias("g"), "cids", "cx")
+    return left.join(right.hint("merge"), "g").drop("g")
 
-    def unpack(ids: bytes, x: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-        kind = np.int32 if len(x) == n * width_of else np.int64
-        return np.frombuffer(ids, np.int64), np.frombuffer(x, kind).reshape(n, dim)
 
+def _top_k(vectors: DataFrame, dim: int, k: int, query_every: int, scale: float, bins: int) -> DataFrame:
+    spark = vectors.sparkSession
     candidates = materialize(_blocks(vectors, dim, scale))
-    queries = materialize(_blocks(vectors.where(F.col("vec_id") % query_every == 0), dim, scale).withColumn("q", F.xxhash64("ids", "x", F.monotonically_increasing_id())))
-    size = candidates.agg(F.max("most").alias("m"), F.count("*").alias("n")).first()
-    if not queries.take(1):
+    blocks = materialize(_blocks(vectors.where(F.col("vec_id") % query_every == 0), dim, scale).withColumn("q", F.monotonically_increasing_id()))
+    size, n_queries = candidates.agg(F.max("norm").alias("norm"), F.count("*").alias("n")).first(), blocks.count()
+    if not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    bound = dim * size["m"] ** 2 + 1
-    groups = max(1, min(size["n"], 4 * spark.sparkContext.defaultParallelism))
-    # every query block meets every candidate block: a grid of (query block, candidate group)
-    at = F.pmod(F.xxhash64("ids", "x"), F.lit(groups))
-    grid_c = candidates.select(at.alias("g"), F.col("n").alias("cn"), F.col("ids").alias("cids"), F.col("x").alias("cx"))
-
-    def passed(state: DataFrame | None, run, schema: str) -> DataFrame:
-        own = queries.select("q", "n", "ids", "x")
-        own = own.join(state, "q") if state is not None else own.withColumn("state", F.lit(None).cast("binary"))
-        own = own.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-        return own.join(grid_c, "g").mapInArrow(run, schema)
-
-    def rows(batches: Iterator[pa.RecordBatch]):
+    cells = max(1, min(size["n"] * n_queries, max(2 * spark.sparkContext.defaultParallelism, size["n"] * n_queries // CELL)))
+    seed = [_unpack(r["ids"], r["x"], dim) for r in candidates.orderBy(F.xxhash64("ids")).limit(SEED_BLOCKS).collect()]
+    shared = spark.sparkContext.broadcast((seed, size["norm"]))
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per query: the lowest value of its range, the range's length, and how many of its greatest
+        scores are wanted."""
+        seed, norm = shared.value
+        for batch in batches:
+            states = []
+            for ids, x in zip(batch.column("ids").to_pylist(), batch.column("x").to_pylist(), strict=True):
+                qi, qx = _unpack(ids, x, dim)
+                top = np.ceil(np.sqrt((qx.astype(np.float64) ** 2).sum(1)) * norm * (1 + 1e-9)).astype(np.int64) + 1
+                low, found = -top, []
+                for ci, cx in seed:
+                    score = _scores(qx, cx)
+                    found.append(np.where(qi[:, None] == ci[None], -(2**63) + 1, score))
+                all_found = np.concatenate(found, 1)
+                if all_found.shape[1] >= k:
+                    low = np.maximum(low, np.partition(all_found, -k, axis=1)[:, -k])
+                states.append(np.stack([low, top - low + 1, np.full(len(qi), k)]).astype(np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("q", "n", "ids", "x")), pa.array(states, pa.binary())], ["q", "n", "ids", "x", "state"])
+
+    def cells_of(batches: Iterator[pa.RecordBatch], take, flush) -> Iterator[pa.RecordBatch]:
+        """Runs of one query block: take() each of its candidate blocks, then flush()."""
+        at, held = None, None
         for batch in batches:
             for r in batch.to_pylist():
-                (qi, qx), (ci, cx) = unpack(r["ids"], r["x"], r["n"]), unpack(r["cids"], r["cx"], r["cn"])
-                state = np.frombuffer(r["state"], np.int64).reshape(3, -1) if r["state"] is not None else np.stack([np.full(len(qi), -bound), np.full(len(qi), k), np.zeros(len(qi))]).astype(np.int64)
-                for s in range(0, len(qi), 512):
-                    score = _scores(qx[s : s + 512], cx)
-                    yield r["q"], s, qi[s : s + 512], ci, score, state[:, s : s + 512], qi[s : s + 512, None] == ci[None]
-
-    def histogram(width: int, span: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for q, s, qi, _, score, (low, need, _), own in rows(batches):
-                at = (score - low[:, None]) // width
-                inside = (at >= 0) & (score < low[:, None] + span) & ~own
-                flat = np.bincount((np.arange(len(qi))[:, None] * bins + np.where(inside, at, 0)).ravel(), inside.ravel(), len(qi) * bins).reshape(len(qi), bins).astype(np.int64)
-                above = np.cumsum(flat[:, ::-1], 1)[:, ::-1] - flat
-                i, b = np.nonzero((flat > 0) & (above < need[:, None]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), q)), pa.array((s + i).astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(flat[i, b])], ["q", "i", "bin", "n"])
-
-        return run
-
-    sizes = queries.select("q", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    state, known, width, span = None, sizes.select("q", "i", F.lit(-bound).cast("long").alias("low"), F.lit(k).cast("long").alias("need"), F.lit(0).cast("long").alias("whole")), 0, 2 * bound + 1
-    while width != 1:
-        span, width = width or span, max(1, -(-(width or span) // bins))
-        counted = passed(state, histogram(width, span), "q long, i int, bin int, n long").groupBy("q", "i", "bin").agg(F.sum("n").alias("n"))
-        own = W.partitionBy("q", "i").orderBy(F.col("bin").desc())
-        reach = counted.withColumn("upto", F.sum("n").over(own)).join(known.select("q", "i", "need"), ["q", "i"])
-        found = reach.where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need"))).select("q", "i", "bin", (F.col("need") - F.col("upto") + F.col("n")).alias("left"))
-        # a query with fewer than k candidates keeps them all: its range becomes everything below
-        known = materialize(
-            known.join(found, ["q", "i"], "left").select("q", "i", F.when(F.col("bin").isNull(), F.col("low")).otherwise(F.col("low") + F.col("bin") * width).alias("low"), F.coalesce("left", "need").alias("need"), F.when(F.col("bin").isNull(), 1).otherwise(F.col("whole")).cast("long").alias("whole"))
-        )
-        packed = F.array_sort(F.collect_list(F.struct("i", "low", "need", "whole")))
-        state = known.groupBy("q").agg(packed.alias("s")).mapInArrow(_pack_state, "q long, state binary")
-        state = materialize(state)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, qi, ci, score, (low, need, whole), own in rows(batches):
-            order = np.argsort(ci, kind="stable")
-            tie = ((score == low[:, None]) & ~own & (whole[:, None] == 0))[:, order]
-            tie &= np.cumsum(tie, 1) <= need[:, None]
-            chosen = np.zeros_like(tie)
-            chosen[:, order] = tie
-            chosen |= ((score > low[:, None]) | (whole[:, None] == 1)) & ~own
-            i, j = np.nonzero(chosen)
-            yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(ci[j]), pa.array(score[i, j])], ["query_id", "vec_id", "score"])
-
-    # bounded: at most 2k rows per query and block, k rows per query after the cut
-    kept = passed(state, keep, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+                if r["q"] != at:
+                    if held is not None:
+                        yield flush(at, held)
+                    at, held = r["q"], None
+                (qi, qx), (ci, cx) = _unpack(r["ids"], r["x"], dim), _unpack(r["cids"], r["cx"], dim)
+                held = take(held, qi, ci, _scores(qx, cx), np.frombuffer(r["state"], np.int64).reshape(3, -1), qi[:, None] == ci[None])
+        if held is not None:
+            yield flush(at, held)
+
+    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def take(held, qi, ci, score, state, own):
+            low, span, need = state
+            i, j = np.nonzero((score >= low[:, None]) & (score < (low + span)[:, None]) & ~own)
+            at = (score[i, j] - low[i]) // -(-span[i] // bins)
+            flat = np.bincount(i * bins + at, minlength=len(qi) * bins).reshape(len(qi), bins)
+            return (flat if held is None else held[0] + flat), need
+
+        def flush(q, held):
+            flat, need = held
+            above = np.cumsum(flat[:, ::-1], 1)[:, ::-1] - flat
+            i, b = np.nonzero((flat > 0) & (above < need[:, None]))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(i), q)), pa.array(i.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(flat[i, b].astype(np.int64))], ["q", "i", "bin", "n"])
+
+        return cells_of(batches, take, flush)
+
+    def narrow(data: pa.Table) -> pa.Table:
+        """A query block with its bins' counts: the range becomes the bin that holds the k-th score.
+        A query with fewer candidates than it wants keeps its lowest value and takes them all."""
+        row = data.filter(data.column("state").is_valid())
+        low, span, need = np.frombuffer(row.column("state")[0].as_py(), np.int64).reshape(3, -1).copy()
+        found = data.filter(data.column("bin").is_valid())
+        i, b, n = (found.column(c).to_numpy().astype(np.int64) for c in ("i", "bin", "count"))
+        order = np.lexsort((-b, i))
+        i, b, n = i[order], b[order], n[order]
+        total, first = np.cumsum(n), np.searchsorted(i, i)
+        upto = total - (total[first] - n[first])
+        hit = (upto >= need[i]) & (upto - n < need[i])
+        of = i[hit]
+        need[of] -= (upto - n)[hit]
+        width = -(-span // bins)
+        low[of] += b[hit] * width[of]
+        span = np.where(np.isin(np.arange(len(span)), of), width, 1)
+        return pa.table({c: row.column(c) for c in ("q", "n", "ids", "x")} | {"state": pa.array([np.stack([low, span, need]).tobytes()], pa.binary()), "span": pa.array([int(span.max())])})
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What lies above the k-th score, and as many of its ties as are wanted."""
+
+        def take(held, qi, ci, score, state, own):
+            low, _, need = state
+            i, j = np.nonzero((score >= low[:, None]) & ~own)
+            rows = np.stack([i, qi[i], ci[j], score[i, j], score[i, j] > low[i]])
+            return cut(rows if held is None else np.concatenate([held[0], rows], 1), need), need
+
+        def cut(rows: np.ndarray, need: np.ndarray) -> np.ndarray:
+            i, _, ids, _, over = rows
+            order = np.lexsort((ids, -over, i))
+            rows = rows[:, order]
+            i, over = rows[0], rows[4]
+            place = np.arange(len(i)) - np.searchsorted(i, i) - np.bincount(i, over, need.size).astype(np.int64)[i]
+            return rows[:, (over == 1) | (place < need[i])]
+
+        def flush(q, held):
+            i, qi, ids, score, _ = held[0]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(i), q)), pa.array(i), pa.array(qi), pa.array(ids), pa.array(score)], ["q", "i", "query_id", "vec_id", "score"])
+
+        return cells_of(batches, take, flush)
+
+    ratio = n_queries / size["n"]
+    state = materialize(blocks.mapInArrow(begin, STATE))
+    while True:
+        counted = _grid(state, candidates, cells, ratio).mapInArrow(histogram, "q long, i int, bin int, n long").groupBy("q", "i", "bin").agg(F.sum("n").alias("count"))
+        none = lambda names: [F.lit(None).cast(t).alias(c) for c, t in names]
+        both = state.select("q", "n", "ids", "x", "state", *none([("i", "int"), ("bin", "int"), ("count", "long")])).unionByName(counted.select("q", *none([("n", "int"), ("ids", "binary"), ("x", "binary"), ("state", "binary")]), "i", "bin", "count"))
+        narrowed = materialize(both.groupBy("q").applyInArrow(narrow, STATE + ", span long"))
+        state = narrowed.drop("span")
+        if narrowed.where("span > 1").isEmpty():
+            break
+    # bounded: fewer than k rows above and at most k ties per query and cell, k rows per query after the cut
+    kept = _grid(state, candidates, cells, ratio).mapInArrow(exact, "q long, i long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(W.partitionBy("q", "i").orderBy(F.col("score").desc(), "vec_id"))
     return kept.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _pack_state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        q, packed = [], []
-        for r in batch.to_pylist():
-            q.append(r["q"])
-            packed.append(np.array([[x["low"], x["need"], x["whole"]] for x in r["s"]], np.int64).T.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(packed, pa.binary())], ["q", "state"])
-
-
 # --- operator 6 --------------------------------------------------------------------------------
 
 COSINE = 0.9
@@ -175,6 +238,8 @@ SAMPLE = 20_000
 #: Mean rows that a bucket is meant to hold; recall at the threshold that the tables are meant to reach.
 BUCKET, RECALL = 384, 0.98
 ROUNDS = 25
+#: Bits of the code by whose Hamming distance the rows of a bucket are compared first.
+CODE_BITS = 256
 #: Rows of a bucket that are compared at once; larger buckets are cut into tiles that meet pairwise.
 TILE = 1024
 
@@ -203,24 +268,58 @@ def table_shape(n: int, cosine: float = COSINE) -> tuple[int, int]:
     return bits, max(2, math.ceil(math.log(1 - RECALL) / math.log(1 - agree**bits)))
 
 
+def radius(bits: int, cosine: float = COSINE) -> int:
+    """Hamming distance within which all but a few in a million pairs of that cosine lie."""
+    differ = math.acos(cosine) / math.pi
+    return math.ceil(bits * differ + 5 * math.sqrt(bits * differ * (1 - differ)))
+
+
+def _tiles(data: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    tile = data.column("tile").to_numpy()
+    return np.nonzero(tile == data.column("ti")[0].as_py())[0], np.nonzero(tile == data.column("tj")[0].as_py())[0]
+
+
+def _near_codes(data: pa.Table, far: int, dim: int, bits: int) -> pa.Table:
+    """Rows of a bucket, or of two tiles of it, that have a partner within Hamming distance `far` with
+    whom they share no earlier table that the code shows."""
+    raw = np.frombuffer(b"".join(data.column("code").to_pylist()), np.uint8).reshape(data.num_rows, -1)
+    words = raw.view(np.uint64)
+    ids, t = data.column("rep").to_numpy(), data.column("t")[0].as_py()
+    left, right = _tiles(data)
+    per = dim // bits
+    shown = np.unpackbits(raw, axis=1, bitorder="little")[:, : raw.shape[1] * 8 // dim * dim].reshape(len(raw), -1, dim)[:, :, : per * bits].reshape(len(raw), -1, bits)[:, :t]
+    flagged = np.zeros(len(ids), bool)
+    for s in range(0, len(left), 128):
+        own = left[s : s + 128]
+        distance = sum(np.bitwise_count(words[own, None, k] ^ words[None, right, k]).astype(np.int16) for k in range(words.shape[1]))
+        i, j = np.nonzero(distance <= far)
+        i, j = own[i], right[j]
+        new = ids[i] != ids[j]
+        i, j = i[new], j[new]
+        for c in range(0, len(i), 20_000):
+            a, b = i[c : c + 20_000], j[c : c + 20_000]
+            first = ~(shown[a] == shown[b]).all(2).any(1)
+            flagged[a[first]] = flagged[b[first]] = True
+    return data.select(["t", "key", "ti", "tj", "tile", "rep"]).filter(pa.array(flagged))
+
+
 def _group_links(data: pa.Table, cosine: float) -> pa.Table:
-    """Links inside one bucket, or between two tiles of it, that no earlier table has found."""
+    """Exact links among the rows kept of a bucket, or of two tiles of it, that no earlier table has found."""
     x = matrix(data.column("unit").combine_chunks())
-    codes = np.stack([np.frombuffer(b, np.int64) for b in data.column("codes").to_pylist()])
+    keys = np.stack(data.column("keys").combine_chunks().to_numpy(zero_copy_only=False))
     ids = data.column("rep").to_numpy()
     copies = data.column("copies").to_numpy()
-    t = data.column("t")[0].as_py()
-    tile, a, b = data.column("tile").to_numpy(), data.column("ti")[0].as_py(), data.column("tj")[0].as_py()
-    left, right = np.nonzero(tile == a)[0], np.nonzero(tile == b)[0]
+    t, diagonal = data.column("t")[0].as_py(), data.column("ti")[0].as_py() == data.column("tj")[0].as_py()
+    left, right = _tiles(data)
     links = np.zeros(len(ids), np.int64)
     us, vs = [], []
     for s in range(0, len(left), 512):
-        l = left[s : s + 512]
-        i, j = np.nonzero(x[l] @ x[right].T >= cosine)
-        i, j = l[i], right[j]
-        fine = ids[i] < ids[j] if a == b else ids[i] != ids[j]
+        own = left[s : s + 512]
+        i, j = np.nonzero(x[own] @ x[right].T >= cosine)
+        i, j = own[i], right[j]
+        fine = ids[i] < ids[j] if diagonal else ids[i] != ids[j]
         i, j = i[fine], j[fine]
-        new = ~(codes[i, :t] == codes[j, :t]).any(1)
+        new = ~(keys[i, :t] == keys[j, :t]).any(1)
         i, j = i[new], j[new]
         links += np.bincount(i, copies[j], len(ids)).astype(np.int64) + np.bincount(j, copies[i], len(ids)).astype(np.int64)
         if len(i):
@@ -236,11 +335,12 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, sample: i
     """Multi-index Hamming tables over learnt binary codes, reranked by exact cosine.
 
     Equal vectors are one class first, which counts with its copies. Each table takes a run of
-    bits of a learnt rotation; vectors that agree in all bits of a table are compared, a pair in
-    its first such table only, so links are counted once. Buckets above TILE rows are cut into
-    tiles and every two tiles meet in a task of their own: no pair is emitted, only counts and a
-    spanning forest. Zero and unusable vectors get no links and are their own component. A null
-    id never links."""
+    bits of a learnt rotation. What a bucket shuffles is ids and codes: inside it, rows within a
+    Hamming radius of each other are candidates, in the first table they share. Only candidates
+    fetch their vectors and are compared exactly, a pair in its first common table, so links are
+    counted once. Buckets above TILE rows are cut into tiles and every two tiles meet in a task of
+    their own: no pair is emitted, only rows, counts and a spanning forest. Zero and unusable
+    vectors get no links and are their own component. A null id never links."""
     spark = vectors.sparkSession
     e = F.transform("embedding", lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x))
@@ -270,21 +370,27 @@ def _links(classes: DataFrame, dim: int, n: int, cosine: float, sample: int) ->
     bits, tables = table_shape(n, cosine)
     bits = min(bits, dim)
     per = dim // bits
+    width = -(-CODE_BITS // dim)  # rotations that the code shows
     drawn = classes.orderBy(F.xxhash64("rep")).limit(sample).select("unit").toArrow()
-    rotations = spark.sparkContext.broadcast(learn_rotations(matrix(drawn.column("unit").combine_chunks()), -(-tables // per)).astype(np.float64))
+    rotations = spark.sparkContext.broadcast(learn_rotations(matrix(drawn.column("unit").combine_chunks()), max(width, -(-tables // per))).astype(np.float64))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
             x = matrix(batch.column("unit"))
-            signs = np.concatenate([(x @ r > 0)[:, : per * bits].reshape(len(x), per, bits) @ weight for r in rotations.value], 1)[:, :tables]
-            codes = pa.array([row.tobytes() for row in np.ascontiguousarray(signs.astype(np.int64))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, codes, pa.array(list(signs.astype(np.int64)), pa.list_(pa.int64()))], ["rep", "copies", "unit", "codes", "keys"])
-
-    coded = materialize(classes.select("rep", "copies", "unit").mapInArrow(code, "rep long, copies long, unit array<double>, codes binary, keys array<long>"))
-    spread = coded.select("rep", F.posexplode("keys").alias("t", "key"))
+            signs = [x @ r > 0 for r in rotations.value]
+            keys = np.concatenate([s[:, : per * bits].reshape(len(x), per, bits) @ weight for s in signs], 1)[:, :tables].astype(np.int64)
+            shown = np.concatenate(signs[:width], 1)
+            packed = np.packbits(np.pad(shown, ((0, 0), (0, -shown.shape[1] % 64))), axis=1, bitorder="little")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([row.tobytes() for row in packed], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], ["rep", "copies", "unit", "code", "keys"])
+
+    coded = materialize(classes.select("rep", "copies", "unit").mapInArrow(code, "rep long, copies long, unit array<double>, code binary, keys array<long>"))
+    spread = coded.select("rep", "code", F.posexplode("keys").alias("t", "key"))
     large = spread.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1").withColumn("tiles", F.ceil(F.col("size") / TILE))
-    rows = coded.select("rep", "copies", "unit", "codes", F.posexplode("keys").alias("t", "key")).join(large.select("t", "key", "tiles"), ["t", "key"])
+    rows = spread.join(large.select("t", "key", "tiles"), ["t", "key"])
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    rows = rows.select("t", "key", F.least("tile", "with").alias("ti"), F.greatest("tile", "with").alias("tj"), "tile", "rep", "copies", "unit", "codes")
-    return rows.groupBy("t", "key", "ti", "tj").applyInArrow(lambda data: _group_links(data, cosine), "id long, links long, low long")
+    rows = rows.select("t", "key", F.least("tile", "with").alias("ti"), F.greatest("tile", "with").alias("tj"), "tile", "rep", "code")
+    bucket, far = ["t", "key", "ti", "tj"], radius(width * dim, cosine)
+    near = materialize(rows.groupBy(*bucket).applyInArrow(lambda data: _near_codes(data, far, dim, bits), "t int, key long, ti long, tj long, tile long, rep long"))
+    full = near.join(coded.select("rep", "copies", "unit", "keys"), "rep")
+    return full.groupBy(*bucket).applyInArrow(lambda data: _group_links(data, cosine), "id long, links long, low long")
