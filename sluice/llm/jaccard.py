@@ -6,8 +6,11 @@ Two documents link when 100 * |A and B| >= 80 * |A or B|. The steps:
 1. Documents with equal sets are one class, found by a 128-bit print of the sorted set.
 2. Columns are ordered from rare to frequent (frequencies from a hash-drawn sample, which steers
    cost and never results). Linked sets must share a column among the first
-   n - ceil(0.8 n) + 1 of each, the prefix. The product of the prefix matrix with its transpose is
-   formed column by column: a column of few rows gives its pairs, a column of many gives a star.
+   n - ceil(0.8 n) + 1 of each, the prefix. The rows of every prefix column are counted exactly.
+   The product of the prefix matrix with its transpose is formed column by column: a column of few
+   rows gives its pairs of compatible sizes. A crowded column is cut into cells of similar set
+   sizes, two overlapping grids of cells, so that any two compatible sizes share a cell; each cell
+   gives a star around its smallest id, by plain aggregation and joins.
 3. Overlap counts of pairs are added up over columns. A pair that shares no crowded column has
    its whole prefix overlap there; pairs below the bound that sizes and overlap imply are dropped.
 4. What is left, with the stars, joins documents to clusters. Inside a cluster whole rows meet in
@@ -17,11 +20,12 @@ Two documents link when 100 * |A and B| >= 80 * |A or B|. The steps:
 
 Null, empty and blank texts have no set (n_shingles 0) and link with nothing. Texts of 1 to 4
 words have the whole sequence as their only shingle. Repeated rows (same id and text) are one
-document; ids are taken to be unique otherwise. A null id is never part of a link. Extra columns
-are ignored."""
+document; different texts under one id are one node of the graph, which has the links of both. A
+null id is never part of a link. Ties: a group takes its smallest id. Extra columns are ignored."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,21 +33,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, local_forest, materialize, mix, slices, small_enough, together, word_hashes
+from .common import Words, give_back, local_forest, materialize, mix, slices, small_enough, together, word_hashes
 from .components import components
 
 WORDS = 5
 #: One document in so many is drawn for column frequencies; columns seen this often there count
-#: as frequent; at most so many are remembered (they order columns only).
+#: as frequent; at most so many are remembered, the most frequent (they order columns only).
 DRAWN, SEEN, FREQUENT = 8, 2, 1 << 20
 #: Rows up to which a column gives all its pairs.
 CROWDED = 64
-#: Estimated rows from which a column is divided among several tasks.
-DIVIDE = 20_000
+#: Ratio of the greatest to the smallest set size in a cell of a crowded column: its root is above 1.25,
+#: the ratio of the sizes of linked sets.
+CELL = 1.6
 #: Documents in a tile, set elements of small clusters handled by one task.
 TILE, UNIT = 256, 400_000
-#: Ids up to which the documents to be compared are broadcast rather than joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,13 +90,18 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(DRAWN)) == 0).select("text")
     counts = materialize(drawn.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN))
-    least, total = SEEN, 0
-    for row in counts.groupBy(F.least("n", F.lit(4096)).alias("n")).agg(F.count("*").alias("c")).orderBy(F.col("n").desc()).collect():
-        total += row["c"]
-        if total > FREQUENT:
-            least = row["n"] + 1
+    # by sixteenths of a doubling: few groups whatever the counts
+    size = F.floor(16 * F.log2("n"))
+    least, total = 0, 0
+    for row in counts.groupBy(size.alias("size")).agg(F.count("*").alias("c")).orderBy(F.col("size").desc()).collect():
+        if total + row["c"] > FREQUENT:
+            # of equally frequent columns as many as fit, by hash
+            share = (FREQUENT - total) / row["c"]
+            least = row["size"]
+            counts = counts.where((size > least) | ((size == least) & (F.pmod(F.xxhash64("shingle"), F.lit(1 << 20)) < int(share * (1 << 20)))))
             break
-    got = counts.where(F.col("n") >= least).toArrow() if least <= 4096 else counts.limit(0).toArrow()
+        total += row["c"]
+    got = counts.toArrow()
     hashes, n = got.column("shingle").to_numpy(), got.column("n").to_numpy()
     order = np.argsort(hashes)
     return hashes[order], n[order]
@@ -128,94 +136,54 @@ def _prefixes(docs: DataFrame, frequent) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, prefix binary")
 
 
-def _columns(classes: DataFrame, frequent, divide: int) -> DataFrame:
-    """(shingle, salt, doc, n): the prefix incidence, very frequent columns divided by salt."""
-    shared = classes.sparkSession.sparkContext.broadcast(frequent)
+def _columns(classes: DataFrame) -> DataFrame:
+    """(shingle, doc, n): the prefix incidence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = shared.value
         for batch in batches:
             sets = [np.frombuffer(b, np.int64) for b in batch.column("prefix").to_pylist()]
             sizes = np.array([len(x) for x in sets], np.int64)
             flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.int64)
-            docs = np.repeat(batch.column("doc_id").to_numpy(), sizes)
-            salt = np.zeros(len(flat), np.int64)
-            if len(hashes):
-                at = np.minimum(np.searchsorted(hashes, flat), len(hashes) - 1)
-                ways = np.where(hashes[at] == flat, counts[at] * DRAWN // divide, 0)
-                salt = np.where(ways > 0, 1 + docs % np.maximum(1, ways + 1), 0)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(salt.astype(np.int32)), pa.array(docs), pa.array(np.repeat(batch.column("n").to_numpy(), sizes).astype(np.int32))], ["shingle", "salt", "doc", "n"])
-
-    return classes.select("doc_id", "n", "prefix").mapInArrow(run, "shingle long, salt int, doc long, n int")
-
-
-def _near_size(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
-
-
-def _products(crowded: int):
-    """Over rows sorted by (shingle, salt): pairs of small columns (kind 0), stars of crowded ones
-    (kind 1), and one head of each divided part (kind 2: a is the shingle, b the head)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a, b, na, nb, kind):
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(na), pa.array(nb), pa.array(np.full(len(a), kind, np.int32))], ["a", "b", "na", "nb", "kind"])
-
-        def star(block: np.ndarray, head: int) -> pa.RecordBatch:
-            return out(block[2], np.full(block.shape[1], head), block[3], block[3], 1)
-
-        rest = np.zeros((4, 0), np.int64)
-        head = None  # of a crowded column whose rows go on: (shingle, salt, doc)
-        for batch in batches:
-            rows = np.concatenate([rest, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])], 1)
-            if head is not None:
-                same = (rows[0] == head[0]) & (rows[1] == head[1])
-                if same.any():
-                    yield star(rows[:, same], head[2])
-                if not same.all():
-                    head = None
-                rows = rows[:, ~same]
-            rest, finished = rows[:, rows.shape[1] :], []
-            if rows.shape[1]:
-                change = np.nonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0))[0] + 1
-                starts = np.concatenate([[0], change])
-                last = rows[:, starts[-1] :]
-                finished.append((rows[:, : starts[-1]], starts[:-1]))
-                if last.shape[1] > crowded or last[1, 0] > 0:
-                    head = (last[0, 0], last[1, 0], last[2, 0])
-                    if last[1, 0] > 0:
-                        yield out(last[0, :1], last[2, :1], last[3, :1], last[3, :1], 2)
-                    yield star(last[:, 1:], head[2])
-                else:
-                    rest = last
-            for done, starts in finished:
-                yield from _blocks(done, starts, crowded, out, star)
-        if rest.shape[1]:
-            yield from _blocks(rest, np.array([0]), crowded, out, star)
-
-    return run
-
-
-def _blocks(rows: np.ndarray, starts: np.ndarray, crowded: int, out, star) -> Iterator[pa.RecordBatch]:
-    sizes = np.diff(np.concatenate([starts, [rows.shape[1]]]))
-    for g in np.unique(sizes[sizes > 1]):
-        if g > crowded:
-            continue
-        own = starts[(sizes == g) & (rows[1, starts] == 0 if len(starts) else True)]
-        i, j = np.triu_indices(g, 1)
-        left, right = (own[:, None] + i).ravel(), (own[:, None] + j).ravel()
-        fits = _near_size(rows[3, left], rows[3, right]) & (rows[2, left] != rows[2, right])
-        left, right = left[fits], right[fits]
-        flip = rows[2, left] > rows[2, right]
-        left, right = np.where(flip, right, left), np.where(flip, left, right)
-        if len(left):
-            yield out(rows[2, left], rows[2, right], rows[3, left], rows[3, right], 0)
-    for at, g in zip(starts, sizes, strict=True):
-        if g > crowded or rows[1, at] > 0:
-            if rows[1, at] > 0:
-                yield out(rows[0, at : at + 1], rows[2, at : at + 1], rows[3, at : at + 1], rows[3, at : at + 1], 2)
-            if g > 1:
-                yield star(rows[:, at + 1 : at + g], rows[2, at])
+            docs, n = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("doc_id", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(docs), pa.array(n)], ["shingle", "doc", "n"])
+
+    return classes.select("doc_id", "n", "prefix").mapInArrow(run, "shingle long, doc long, n long")
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (shingle, doc, n) sorted by shingle, none of them crowded: pairs of compatible sizes."""
+
+    def finished(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.nonzero(np.diff(rows[0], prepend=rows[0, 0] - 1 if rows.shape[1] else 0))[0]
+        sizes = np.diff(np.append(starts, rows.shape[1]))
+        for g in np.unique(sizes[sizes > 1]):
+            i, j = np.triu_indices(g, 1)
+            own = starts[sizes == g][:, None]
+            left, right = rows[1:, (own + i).ravel()], rows[1:, (own + j).ravel()]
+            fits = (5 * np.minimum(left[1], right[1]) >= 4 * np.maximum(left[1], right[1])) & (left[0] != right[0])
+            left, right = left[:, fits], right[:, fits]
+            flip = left[0] > right[0]
+            (a, na), (b, nb) = np.where(flip, right, left), np.where(flip, left, right)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, na, nb)], ["a", "b", "na", "nb"])
+
+    rest = np.zeros((3, 0), np.int64)
+    for batch in batches:
+        rows = np.concatenate([rest, np.stack([c.to_numpy() for c in batch.columns])], 1)
+        cut = np.searchsorted(rows[0], rows[0, -1]) if rows.shape[1] else 0
+        yield from finished(rows[:, :cut])
+        rest = rows[:, cut:]
+    yield from finished(rest)
+
+
+def _stars(columns: DataFrame, crowded: DataFrame) -> DataFrame:
+    """(a, b) of every row of a crowded column with the smallest id of each of its two cells."""
+    step = math.log(CELL)
+    at = F.log(F.col("n").cast("double")) / step
+    cells = F.explode(F.array(F.floor(at) * 2, F.floor(at + 0.5) * 2 + 1)).alias("cell")
+    rows = columns.join(crowded, "shingle").select("shingle", "doc", cells)
+    heads = rows.groupBy("shingle", "cell").agg(F.min("doc").alias("head"), F.count("*").alias("rows")).where("rows > 1").select("shingle", "cell", "head")
+    return rows.join(heads, ["shingle", "cell"]).where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b"))
 
 
 def tile_links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +229,7 @@ def _link_unit(data: pa.Table) -> pa.Table:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (doc_id, ...) with the document's whole shingle set."""
+    """wanted (doc_id, ...), a row per document, with the document's whole shingle set."""
     names = [c for c in wanted.columns if c != "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,34 +237,32 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for part in slices(batch):
                 sets = pa.array([s.tobytes() for s in shingle_sets(part.column("text"))], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(part.column(c) for c in names), sets], ["doc_id", *names, "shingles"])
+        give_back()
 
-    small = wanted.count() <= BROADCAST_ROWS
-    joined = docs.select("doc_id", "text").join(F.broadcast(wanted) if small else wanted, "doc_id")
+    joined = docs.select("doc_id", "text").join(small_enough(wanted, 8 * len(wanted.columns)), "doc_id")
     schema = ", ".join(["doc_id long", *(f"{c} {t}" for c, t in wanted.dtypes if c != "doc_id"), "shingles binary"])
     return joined.select("doc_id", "text", *names).mapInArrow(run, schema)
 
 
-def jaccard_components(docs: DataFrame, crowded: int = CROWDED, divide: int = DIVIDE, tile: int = TILE, unit: int = UNIT) -> DataFrame:
+def jaccard_components(docs: DataFrame, crowded: int = CROWDED, tile: int = TILE, unit: int = UNIT) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs."""
     docs = docs.select("doc_id", "text")
     frequent = _frequent(docs)
     rows = materialize(_prefixes(docs, frequent))
     classes = rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     heads = rows.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    columns = _columns(heads, frequent, divide).repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "doc")
-    found = materialize(columns.mapInArrow(_products(crowded), "a long, b long, na long, nb long, kind int"), "kind")
-    pairs = found.where("kind = 0").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    columns = _columns(heads)
+    many = materialize(columns.groupBy("shingle").agg(F.count("*").alias("rows")).where(F.col("rows") > crowded).select("shingle"))
+    many = small_enough(many, 8)
+    few = columns.join(many, "shingle", "left_anti").repartition("shingle").sortWithinPartitions("shingle")
+    pairs = few.mapInArrow(_pairs, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
     least = lambda n: F.ceil(F.lit(4) * F.col(n) / 5) - 1
     bound = F.col("c") + F.greatest(least("na"), least("nb"))
     near = pairs.where(9 * bound >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
-    stars = found.where("kind = 1").select("a", "b")
-    parts = found.where("kind = 2").select("a", "b")
-    heads_of = parts.join(parts.groupBy("a").agg(F.min("b").alias("low")), "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-    clusters = materialize(components(near.union(stars).union(heads_of)))
+    clusters = materialize(components(near.union(_stars(columns, many))))
     members = clusters.union(clusters.select(F.col("component").alias("id"), "component").distinct())
-    sized = members.join(heads.select(F.col("doc_id").alias("id"), "n").distinct(), "id").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"), "n")
-    links = _cluster_links(docs, materialize(sized), tile, unit)
-    groups = components(links)
+    sized = members.join(heads.groupBy(F.col("doc_id").alias("id")).agg(F.max("n").alias("n")), "id").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"), "n")
+    groups = components(_cluster_links(docs, materialize(sized), tile, unit))
     of_class = classes.join(groups, F.col("rep") == groups["id"], "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     return rows.join(of_class, ["f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -323,22 +289,23 @@ def _without_copies(docs: DataFrame, key: str) -> DataFrame:
 
 def _cluster_links(docs: DataFrame, members: DataFrame, tile: int, unit: int) -> DataFrame:
     """Spanning forests of the links inside clusters. Small clusters share units; a large one is
-    cut by set size, a factor of 1.3 apart, and then by hash, and neighbouring tiles meet."""
+    cut by set size, a factor of 1.3 apart, and then by hash, and neighbouring tiles meet. A
+    document's set is computed once and copied to its tiles afterwards."""
     total = members.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     counts = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("elements"))
-    large = counts.where((F.col("docs") > tile) | (F.col("elements") > unit))
+    large = counts.where((F.col("docs") > tile) | (F.col("elements") > unit)).select("cluster")
     units = max(1, -(-total // unit))
-    small = members.join(large, "cluster", "left_anti").select("doc_id", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(units)).alias("unit"), *(F.lit(0).cast("long").alias(c) for c in ("tile", "ti", "tj")))
+    nothing = F.lit(None).cast("long")
+    small = members.join(large, "cluster", "left_anti").select("doc_id", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(units)).alias("unit"), nothing.alias("band"), nothing.alias("tile"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.3)))
-    cut = members.join(large.select("cluster"), "cluster", "left_semi").withColumn("band", band)
-    bands = cut.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count("*") / F.lit(tile)), F.ceil(F.sum("n") / F.lit(unit))).alias("tiles"))
-    own = cut.join(bands, ["cluster", "band"]).withColumn("tile", F.col("band") * (1 << 32) + F.pmod(F.xxhash64("doc_id"), F.col("tiles")))
-    other = bands.select("cluster", F.col("band").alias("with"), F.col("tiles").alias("of"))
-    meets = own.withColumn("with", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(other, ["cluster", "with"]).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1))).withColumn("o", F.col("with") * (1 << 32) + F.col("s"))
-    big = meets.select("doc_id", "cluster", F.lit(-1).cast("long").alias("unit"), "tile", F.least("tile", "o").alias("ti"), F.greatest("tile", "o").alias("tj"))
-    wanted = materialize(small.unionByName(big))
-    ids = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("cluster", "unit", "tile", "ti", "tj")).alias("places"))
-    sets = _sets_of(docs, materialize(ids))
-    placed = sets.withColumn("p", F.explode("places")).select("doc_id", "p.*", "shingles")
-    key = F.when(F.col("unit") >= 0, F.col("unit")).otherwise(F.col("cluster"))
-    return placed.withColumn("key", key).withColumn("big", F.col("unit") < 0).groupBy("big", "key", "ti", "tj").applyInArrow(_link_unit, "a long, b long")
+    cut = members.join(large, "cluster", "left_semi").withColumn("band", band)
+    bands = materialize(cut.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count("*") / F.lit(tile)), F.ceil(F.sum("n") / F.lit(unit))).alias("tiles")))
+    own = cut.join(bands, ["cluster", "band"]).select("doc_id", "cluster", nothing.alias("unit"), "band", (F.col("band") * (1 << 32) + F.pmod(F.xxhash64("doc_id"), F.col("tiles"))).alias("tile"))
+    sets = materialize(_sets_of(docs, materialize(small.unionByName(own))))
+    zero = F.lit(0).cast("long")
+    in_units = sets.where("unit is not null").select("doc_id", "cluster", F.lit(False).alias("big"), F.col("unit").alias("key"), zero.alias("tile"), zero.alias("ti"), zero.alias("tj"), "shingles")
+    other = small_enough(bands.select("cluster", F.col("band").alias("with"), F.col("tiles").alias("of")), 24)
+    meets = sets.where("unit is null").withColumn("with", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(other, ["cluster", "with"])
+    meets = meets.withColumn("s", F.explode(F.sequence(zero, F.col("of") - 1))).withColumn("other", F.col("with") * (1 << 32) + F.col("s"))
+    in_tiles = meets.select("doc_id", "cluster", F.lit(True).alias("big"), F.col("cluster").alias("key"), "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "shingles")
+    return in_units.unionByName(in_tiles).groupBy("big", "key", "ti", "tj").applyInArrow(_link_unit, "a long, b long")
