@@ -5,6 +5,11 @@ vocabulary pieces with the greatest sum of scores, the longer last piece winning
 outside the vocabulary become byte pieces. Decoding is the exact inverse: a literal "▁" in a text
 is encoded as bytes, so every text comes back unchanged.
 
+The vocabulary gives a piece's rank r, not its probability. Ranks follow use, so a piece scores as
+in a Zipf-Mandelbrot law, the log of 1 / (r + RANK_SHIFT); nothing is fitted to a corpus. The sum is
+then the log-likelihood of a segmentation. The vocabulary's own program joins pairs greedily; four
+words in five get its ids, and no more ids are needed than it takes.
+
 No piece holds "▁" after another character, so a text falls apart into units, each encoded once
 per slice. Giant documents are cut at fixed lengths whatever the characters there. A chunk's
 state at a boundary is how far before it the path's last cut lies. Each chunk yields the max-plus
@@ -17,6 +22,7 @@ Null and empty texts have no ids. Repeated rows are encoded each. Extra columns
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
@@ -29,14 +35,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ragged, segment_sum, slices, together
+from .common import give_back, materialize, ragged, segment_sum, slices, together
 
 MODEL = "piece_bpe_32k.model"
 #: Characters of a chunk; longer texts are giant.
-CHUNK = 65_536
+CHUNK = 32_768
+#: What a rank is raised by before its logarithm; scores are in thousandths, so sums are exact.
+RANK_SHIFT, UNIT_SCORE = 200, 1000
 CACHED_UNITS = 300_000
 #: Text bytes encoded at once.
-SLICE = 6 << 20
+SLICE = 4 << 20
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 _STAND_IN = ""  # stands for a literal "▁" until it becomes bytes
@@ -51,11 +59,12 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         plain = [i for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-        # scores below -1e6 mark runs of spaces that merging never prefers; they rank last here
-        worst = min(s for i in plain if (s := model.get_score(i)) > -1e6)
-        self.score = {model.id_to_piece(i): (int(max(model.get_score(i), worst - 1)), i) for i in plain}
+        # a stored score is the negative rank; below -1e6 it marks runs of spaces that merging never prefers, which rank last here
+        last = 1 - min(s for i in plain if (s := model.get_score(i)) > -1e6)
+        of_rank = lambda r: -round(UNIT_SCORE * math.log(r + RANK_SHIFT))
+        self.score = {model.id_to_piece(i): (of_rank(min(-model.get_score(i), last)), i) for i in plain}
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.penalty = int(worst) - 10
+        self.penalty = 3 * of_rank(last)
         self.longest = max(map(len, self.score))
         self.text = {i: p.replace(SPACE, " ").encode() for p, (_, i) in self.score.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes)}
         self.prefixes = {p[:n] for p in self.score for n in range(1, len(p) + 1)}
@@ -344,6 +353,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, chunk: int = CHUN
                 ids, counts = encode(part.column("text"), path)
                 ends = np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([ids[e - n : e].tobytes() for e, n in zip(ends, counts, strict=True)], pa.binary())], ["doc_id", "text", "ids"])
+        give_back()
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, text string, ids binary"
     small = docs.where(short).mapInArrow(plain, schema)
@@ -363,7 +373,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, chunk: int = CHUN
     maps = _per_chunk(known, path, ["key", "k", "part", "first", "entry"], lambda m, r: exit_map(m, r["part"], r["first"], np.frombuffer(r["entry"], np.int64)).tobytes(), "key long, k int, map binary", "map")
     ends = materialize(_per_document(maps, "map", lambda ms: [[s] for s in _end_states(ms)]).withColumnRenamed("answer", "end"))
     traced = _per_chunk(known.join(ends, ["key", "k"]), path, ["key", "k", "part", "first", "entry", "end"], lambda m, r: array("I", trace_chunk(m, r["part"], r["first"], np.frombuffer(r["entry"], np.int64), int(np.frombuffer(r["end"], np.int64)[0]))).tobytes(), "key long, k int, ids binary", "ids")
-    whole = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("p")).select("key", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
+    whole = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("p")).select("key", F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["ids"])), "")).alias("ids"))
     return small.unionByName(giant.join(whole, "key").select("doc_id", "text", "ids"))
 
 
