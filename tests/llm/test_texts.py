@@ -39,7 +39,7 @@ def brute_groups(rows):
     return {i: (len(sets[i]), top(i)) for i in ids}
 
 
-@pytest.mark.parametrize("how", [{}, {"crowded": 2, "divide": 8, "tile": 3, "unit": 500}])
+@pytest.mark.parametrize("how", [{}, {"crowded": 2, "tile": 3, "unit": 500}])
 def test_jaccard_equals_brute_force(spark, documents, how):
     rows = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
     rng = np.random.default_rng(0)
@@ -83,11 +83,19 @@ def test_one_of_two_texts_under_one_id_is_not_lost(spark):
     assert kept.columns == ["doc_id", "text", "row"] and sorted(r["text"] for r in kept.collect()) == sorted({t for _, t, _ in rows})
 
 
-def test_crowded_columns_give_stars_not_pairs():
-    rows = [np.repeat(7, 500), np.zeros(500, np.int64), np.arange(500), np.full(500, 10)]
-    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["shingle", "salt", "doc", "n"])
-    out = pa.Table.from_batches(jaccard._products(64)(iter([batch.slice(0, 30), batch.slice(30, 100), batch.slice(130)])))
-    assert out.num_rows == 499 and set(out.column("b").to_pylist()) == {0}
+def test_columns_give_pairs_and_crowded_ones_stars(spark):
+    rows = [np.repeat([5, 7], [3, 500]), np.r_[[4, 9, 2], np.arange(500)], np.full(503, 10)]
+    few = pa.RecordBatch.from_arrays([pa.array(x[:3]) for x in rows], ["shingle", "doc", "n"])
+    out = pa.Table.from_batches(jaccard._pairs(iter([few.slice(0, 1), few.slice(1)])))
+    assert sorted(zip(*(out.column(c).to_pylist() for c in "ab"), strict=True)) == [(2, 4), (2, 9), (4, 9)]
+    columns = spark.createDataFrame(list(zip(*(x.tolist() for x in rows), strict=True)), "shingle long, doc long, n long")
+    stars = jaccard._stars(columns, spark.createDataFrame([(7,)], "shingle long")).distinct().collect()
+    assert {tuple(r) for r in stars} == {(i, 0) for i in range(1, 500)}
+
+
+def test_compatible_sizes_share_a_cell():
+    cells = lambda n: {(0, math.floor(math.log(n) / math.log(jaccard.CELL))), (1, math.floor(math.log(n) / math.log(jaccard.CELL) + 0.5))}
+    assert all(cells(n) & cells(m) for n in range(1, 400) for m in range(n, 5 * n // 4 + 1))
 
 
 def test_toxicity_learns_subwords(spark):
@@ -181,19 +189,71 @@ def test_base_scores_equal_brute_force(documents, head):
     assert np.mean([r["score"] > r["base_score"] for r in got.values()]) > 0.9
 
 
-def test_the_network_is_a_distribution_and_its_gradient_is_right():
-    w = lm.start_weights()
-    one = lambda seq: lm.log_likelihood(w, np.array(seq), np.array([0]), np.array([len(seq)]))
-    assert math.isclose(sum(np.exp(one([3, 5, k])[-1]) for k in range(lm.CLASSES)), 1, rel_tol=1e-4)
-    rng = np.random.default_rng(0)
-    classes, starts, counts = rng.integers(0, lm.CLASSES, 300), np.array([0, 100, 220]), np.array([100, 120, 80])
-    together = lm.log_likelihood(w, classes, starts, counts)
-    apart = np.concatenate([lm.log_likelihood(w, classes[s : s + n], np.array([0]), np.array([n])) for s, n in zip(starts, counts, strict=True)])
-    assert np.allclose(together, apart, atol=1e-4)  # lanes and windows change nothing
-    trainer = lm.Trainer(w, 0.01)
+def small_network(kind=np.float64):
+    rng = np.random.default_rng(5)
+    v = lm.vocabulary(np.arange(7, 47, dtype=np.uint64), rng.integers(0, 3, 40), rng.integers(1, 90, 40), size=6)
+    sequence, counts = rng.integers(0, v.end, 300), np.array([100, 120, 80])
+    sequence[np.cumsum(counts) - 1] = v.end
+    return v, lm.start_weights(v, kind=kind), sequence, np.cumsum(counts) - counts, counts
+
+
+def test_the_network_is_a_distribution():
+    v, w, sequence, starts, counts = small_network()
+    one = lambda seq: lm.log_likelihood(w, v, np.array(seq), np.array([0]), np.array([len(seq)]))
+    assert math.isclose(sum(np.exp(one([3, 41, k])[-1]) for k in range(v.end + 1)), 1, rel_tol=1e-9)
+    assert set(np.diff(v.bounds)) <= set(range(1, 7)) and len(v.bounds) - 1 + lm.SPELLINGS + 1 == v.classes
+    joint = lm.log_likelihood(w, v, sequence, starts, counts)
+    apart = np.concatenate([one(sequence[s : s + n]) for s, n in zip(starts, counts, strict=True)])
+    assert np.allclose(joint, apart)  # lanes and windows change nothing
+
+
+def test_scores_equal_a_plain_loop():
+    v, w, sequence, starts, counts = small_network()
+    want, h, before = [], np.zeros(lm.HIDDEN), v.end
+    for token in sequence:
+        h = h if before != v.end else np.zeros(lm.HIDDEN)
+        x = w["e"][before] + w["g"][v.class_of[before]]
+        z, k = 1 / (1 + np.exp(-(x[: lm.HIDDEN] + w["s"][0] * h))), np.tanh(x[lm.HIDDEN :] + w["s"][1] * h)
+        h = h + z * (k - h)
+        share = lambda row, all_rows: row - math.log(sum(math.exp(y) for y in all_rows))
+        of_class = h @ w["v"] + w["c"]
+        c = v.class_of[token]
+        p = share(of_class[c], of_class)
+        if token < v.words:
+            own = [w["u"][i] @ h + w["d"][i] for i in range(v.bounds[c], v.bounds[c + 1])]
+            p += share(own[token - v.bounds[c]], own)
+        want.append(p)
+        before = token
+    assert np.allclose(lm.log_likelihood(w, v, sequence, starts, counts), want)
+
+
+def test_the_gradient_equals_finite_differences():
+    v, w, sequence, starts, counts = small_network()
+    own = lm.lanes(sequence, starts, counts, 3, v.end)
+    rng, h = np.random.default_rng(1), np.full((3, lm.HIDDEN), 0.1)
+    grad, _ = lm.gradient(w, v, own, 30, 50, h, 1.0)
+
+    def loss():
+        states, _, _ = lm._window(w, v, own, 30, 50, h, False)
+        target = own.tokens[30:50, : states.shape[1]]
+        return -lm.outputs(w, v, states[target >= 0], target[target >= 0])[0].sum()
+
+    for name, x in w.items():
+        places = np.argwhere(grad[name] != 0)
+        for at in map(tuple, places[rng.permutation(len(places))[:6]]):
+            x[at] += 1e-5
+            up = loss()
+            x[at] -= 2e-5
+            assert math.isclose((up - loss()) / 2e-5, grad[name][at], rel_tol=1e-4, abs_tol=1e-7), (name, at)
+            x[at] += 1e-5
+
+
+def test_training_raises_the_likelihood():
+    v, w, sequence, starts, counts = small_network(np.float32)
+    trainer = lm.Trainer(w, v, 0.01)
     for _ in range(15):
-        trainer.train(classes, starts, counts)
-    assert lm.log_likelihood(trainer.w, classes, starts, counts).mean() > together.mean() + 0.1
+        trainer.train(sequence, starts, counts)
+    assert lm.log_likelihood(trainer.w, v, sequence, starts, counts).mean() > lm.log_likelihood(w, v, sequence, starts, counts).mean() + 0.1
 
 
 def test_lm_of_odd_and_empty_tables(odd, nothing):

@@ -75,6 +75,18 @@ def test_pieces_by_units_and_by_chunks():
             assert not text or pieces.encode_chunked(text, path, chunk) == want
 
 
+def test_scores_mean_something(documents):
+    """Against the vocabulary's own program: the same ids for most words, and no more of them."""
+    import sentencepiece
+
+    library, model = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path()), pieces.pieces(pieces.model_path())
+    words = sorted({w for r in documents.limit(60).collect() for w in (r["text"] or "").split() if "▁" not in w})
+    want = library.encode(words)
+    own = [np.frombuffer(model.unit("▁" + w)[1], np.uint32).tolist() for w in words]
+    assert np.mean([a == b for a, b in zip(own, want, strict=True)]) > 0.6
+    assert sum(map(len, own)) <= 1.02 * sum(map(len, want))
+
+
 def test_max_plus_scan_is_the_running_product():
     rng = np.random.default_rng(0)
     ms = [rng.integers(-50, 0, (4, 4)) for _ in range(9)]
