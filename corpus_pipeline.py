@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import jaccard, language, packing, toxicity
@@ -32,12 +32,9 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     fate; an empty table, or one without a known language, gives an empty one; columns of any other
     name pass through."""
     short_batches(spark)
+    # a text without a known language has share 0
     found = language.predictor(spark, language.fit(docs))(F.col("text"))
-    return docs.where(accepted(found))
-
-
-def accepted(found: Column) -> Column:
-    return (found["lang"] != language.UNKNOWN) & (found["share"] >= LEAST_SHARE)
+    return docs.where(found["share"] >= LEAST_SHARE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
