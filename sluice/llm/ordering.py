@@ -72,13 +72,12 @@ def permute(index: np.ndarray, size: int, key: int = KEY, back: bool = False) ->
 
 
 def pack(ids: np.ndarray) -> bytes:
-    """Ids as low bytes, then high bytes, compressed: they are stored once and shuffled once."""
-    return pa.compress(np.ascontiguousarray(ids.astype(_KIND).view(np.uint8).reshape(-1, 2).T), codec="zstd", asbytes=True)
+    """Compressed ids: they are stored once and shuffled once."""
+    return pa.Codec("zstd", compression_level=3).compress(ids.astype(_KIND).tobytes(), asbytes=True)
 
 
 def unpack(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, 2 * n, codec="zstd", asbytes=True), np.uint8).reshape(2, n)
-    return np.ascontiguousarray(planes.T).view(_KIND).ravel()
+    return np.frombuffer(pa.decompress(data, 2 * n, codec="zstd", asbytes=True), _KIND)
 
 
 def encoded_stream(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -110,6 +109,7 @@ def write_shards(docs: DataFrame, path: str, stride: int = STRIDE, per_shard: in
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sequences that lie inside a run, and what it holds of those it shares with others."""
         parts, bases = shared.value
+        subwords.forget()
         for batch in batches:
             for r in batch.to_pylist():
                 base = int(bases[np.searchsorted(parts, r["part"])]) + r["at"]
@@ -126,6 +126,7 @@ def write_shards(docs: DataFrame, path: str, stride: int = STRIDE, per_shard: in
             return pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(rows, pa.binary())], ["slot", "ids"])
 
         held: dict[int, np.ndarray] = {}
+        subwords.forget()
         for batch in batches:
             slots, rows = [], []
             for r in batch.to_pylist():
@@ -156,6 +157,7 @@ def read_slots(spark: SparkSession, path: str, sequences: int, first_slot: int =
         return spark.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords.forget()
         for batch in batches:
             for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
                 data = np.frombuffer(content.as_buffer(), np.uint8).reshape(-1, record)

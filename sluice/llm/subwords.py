@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import Words, ragged
+from .common import Words, give_back, ragged
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; others are encoded anew in each slice.
@@ -32,6 +32,13 @@ def _loaded(path: str):
     return _state[path]
 
 
+def forget() -> None:
+    """Drop what a worker remembers of vocabularies and words: later steps need the memory."""
+    if _state:
+        _state.clear()
+        give_back()
+
+
 def _ids(words: list[str], tokenizer, cache: dict[str, bytes], most: int) -> list[bytes]:
     known = list(map(cache.get, words))
     new = [i for i, x in enumerate(known) if x is None]
