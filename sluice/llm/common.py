@@ -62,10 +62,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/sluice-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
+def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -193,31 +193,47 @@ class Grams:
         self.starts = self.ends - lengths
         self.lengths = lengths
 
+    def part(self, a: int, b: int) -> Grams:
+        """The words a .. b-1."""
+        own = object.__new__(Grams)
+        low = int(self.starts[a])
+        own.low, own.high, own.buckets = self.low, self.high, self.buckets
+        own.points, own.ends, own.starts, own.lengths = self.points[low : self.ends[b - 1]], self.ends[a:b] - low, self.starts[a:b] - low, self.lengths[a:b]
+        return own
+
     def levels(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each n: the bucket of the n-gram starting at every position, and whether it fits its word."""
         left = np.repeat(self.ends, self.lengths) - np.arange(len(self.points))
         h = np.zeros(len(self.points), np.uint64)
+        mask = np.uint64(self.buckets - 1)  # buckets are powers of two
         for n in range(1, self.high + 1):
             ahead = np.zeros_like(self.points)
             ahead[: max(0, len(self.points) - n + 1)] = self.points[n - 1 :]
-            h = h * np.uint64(0x9E3779B97F4A7C15) + ahead + np.uint64(1)
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += ahead
+            h += np.uint64(1)
             if n >= self.low:
-                yield (mix(h + np.uint64(n)) % np.uint64(self.buckets)).astype(np.int64), left >= n
+                yield (mix(h + np.uint64(n)) & mask).astype(np.int64), left >= n
 
     def sizes(self) -> np.ndarray:
         return sum(np.maximum(0, self.lengths - n + 1) for n in range(self.low, self.high + 1))
 
     def sums(self, tables: np.ndarray) -> np.ndarray:
-        """Per word, the sum of tables[bucket] over its n-grams."""
+        """Per word, the sum of tables[bucket] over its n-grams; some words at a time, which stay in cache."""
         out = np.zeros((len(self.lengths), *tables.shape[1:]), tables.dtype)
-        if len(self.lengths):
-            for ids, fits in self.levels():
-                values = tables[ids]
-                values[~fits] = 0
-                out += np.add.reduceat(values, self.starts, axis=0)
+        padded = np.concatenate([tables, np.zeros_like(tables[:1])])  # the last row for what does not fit
+        for a in range(0, len(out), WORDS_AT_ONCE):
+            own = self.part(a, min(a + WORDS_AT_ONCE, len(out)))
+            for ids, fits in own.levels():
+                ids[~fits] = len(tables)
+                out[a : a + WORDS_AT_ONCE] += np.add.reduceat(padded[ids], own.starts, axis=0)
         return out
 
 
+#: Words whose n-grams are summed at once.
+WORDS_AT_ONCE = 4096
+
+
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the edges (a, b) as (node, smallest node it reaches), without the roots."""
     nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
