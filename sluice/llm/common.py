@@ -122,6 +122,19 @@ def together(batches: Iterator[pa.RecordBatch], column: str = "text", most: int
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def views(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """The binary values of a column as arrays over Arrow's own memory."""
+    found = []
+    for chunk in column.chunks:
+        width = np.int64 if pa.types.is_large_binary(chunk.type) else np.int32
+        _, ends, data = chunk.buffers()
+        if len(chunk):
+            at = np.frombuffer(ends, width)[chunk.offset : chunk.offset + len(chunk) + 1]
+            raw = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+            found += [raw[a:b].view(kind) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return found
+
+
 class Words:
     """Whitespace-separated words of an array of texts: distinct words, a code per word, words per text."""
 

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Grams, Words, fold, give_back, ragged, slices, text_udf, together, word_hashes
+from .common import Grams, Words, fold, give_back, ragged, slices, text_udf, together, views, word_hashes
 from .toxicity import bounded_texts
 
 #: Trusted positives and unlabelled documents learnt from, at most, and their text bytes.
@@ -96,8 +96,8 @@ class Sample:
     """Rows of buckets, shares and statistics."""
 
     def __init__(self, table: pa.Table):
-        self.ids = [np.frombuffer(x, np.uint16) for x in table.column("ids").to_pylist()]
-        self.shares = [np.frombuffer(x, np.float32) for x in table.column("weights").to_pylist()]
+        self.ids = views(table.column("ids"), np.uint16)
+        self.shares = views(table.column("weights"), np.float32)
         self.statistics = np.frombuffer(b"".join(table.column("statistics").to_pylist()), np.float32).reshape(-1, N_STATISTICS)
 
     def __len__(self) -> int:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import Grams, Words, fold, give_back, materialize, ragged, slices, text_udf, together
+from .common import Grams, Words, fold, give_back, materialize, ragged, slices, text_udf, together, views
 
 LOW, HIGH, BUCKETS, DIM = 4, 6, 1 << 16, 8
 #: Blank words that each average counts besides the text's own, so that a few words alone say little.
@@ -53,7 +53,7 @@ def bounded_texts(docs: DataFrame, chosen: DataFrame, most: tuple[int, int]) ->
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text: the buckets of its n-grams and each one's share of the text's mean."""
+    """Per text: its words and blanks, the buckets of its n-grams and each one's uses, a word counting one."""
     for batch in together(batches):
         for part in slices(batch):
             words = Words(part.column("text"))
@@ -63,19 +63,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, owner = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
             order = np.argsort(owner, kind="stable")
             ids, starts = ids[order], np.cumsum(sizes) - sizes
-            rows = [[], [], []]
+            rows = [[], [], [], []]
             for at, n, y in zip(words.starts, words.counts, part.column("y").to_pylist(), strict=True):
                 codes = words.codes[at : at + n]
-                weights = np.repeat(1.0 / ((n + PAD) * np.maximum(1, sizes[codes])), sizes[codes])
+                weights = np.repeat(1.0 / np.maximum(1, sizes[codes]), sizes[codes])
                 total = np.bincount(ids[ragged(starts[codes], sizes[codes])], weights, BUCKETS)
                 there = np.nonzero(total)[0]
-                for column, x in zip(rows, (y, there.astype(np.uint16).tobytes(), total[there].astype(np.float32).tobytes()), strict=True):
+                for column, x in zip(rows, (y, n + PAD, there.astype(np.uint16).tobytes(), np.minimum(total[there], 60_000).astype(np.float16).tobytes()), strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["y", "ids", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["y", "words", "ids", "uses"])
     give_back()
 
 
-def train(y: np.ndarray, ids: list[np.ndarray], weights: list[np.ndarray], seed: int = 3) -> tuple[np.ndarray, float]:
+def train(y: np.ndarray, words: np.ndarray, ids: list[np.ndarray], uses: list[np.ndarray], seed: int = 3) -> tuple[np.ndarray, float]:
     """Joint training of n-gram vectors and softmax by Adam on shuffled batches. Returns what each
     bucket adds to the log odds of label 1, and the bias."""
     rng = np.random.default_rng(seed)
@@ -88,8 +88,8 @@ def train(y: np.ndarray, ids: list[np.ndarray], weights: list[np.ndarray], seed:
         for s in range(0, len(order), BATCH):
             own = order[s : s + BATCH]
             sizes = np.array([len(ids[i]) for i in own])
-            flat, share = np.concatenate([ids[i] for i in own]), np.concatenate([weights[i] for i in own]) * GAIN
             owner = np.repeat(np.arange(len(own)), sizes)
+            flat, share = np.concatenate([ids[i] for i in own]), np.concatenate([uses[i] for i in own]).astype(np.float32) * (GAIN / words[own])[owner]
             doc = np.stack([np.bincount(owner, share * e[flat, k], len(own)) for k in range(DIM)], 1).astype(np.float32)
             logits = doc @ w + b
             p = np.exp(logits - logits.max(1, keepdims=True))
@@ -112,11 +112,13 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = HELD_OUT[0], remainde
     shares = dict(labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), modulus) != remainder)).groupBy("toxic").count().collect())
     total = sum(shares.values())
     prior = (shares.get(1, 0) + 1e-3) / (total + 2e-3) if total else 1e-6
-    got = bounded_texts(docs, chosen, SAMPLE_BYTES).mapInArrow(_features, "y int, ids binary, weights binary").toArrow()
+    got = bounded_texts(docs, chosen, SAMPLE_BYTES).mapInArrow(_features, "y int, words long, ids binary, uses binary").toArrow()
     y = got.column("y").to_numpy().astype(np.int64)
     if len(set(y)) < 2:
         return np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior)))
-    table, bias = train(y, [np.frombuffer(x, np.uint16) for x in got.column("ids").to_pylist()], [np.frombuffer(x, np.float32) for x in got.column("weights").to_pylist()])
+    table, bias = train(y, got.column("words").to_numpy(), views(got.column("ids"), np.uint16), views(got.column("uses"), np.float16))
+    del got
+    give_back()
     drawn = y.mean()
     return table, bias + float(np.log(prior / (1 - prior)) - np.log(drawn / (1 - drawn)))
 
