@@ -19,7 +19,7 @@ def normalize_digits(text: Column) -> Column:
 def fee_value(text: Column) -> Column:
     """The one non-negative amount that a text states, null if none or several."""
     plain = normalize_digits(text)
-    numbers = F.transform(F.regexp_extract_all(plain, F.lit(r"(\d[\d,]*(?:\.\d+)?)"), 1), lambda x: F.expr("1").cast("double") * F.replace(x, F.lit(","), F.lit("")).try_cast("double"))
+    numbers = F.transform(F.regexp_extract_all(plain, F.lit(r"(\d[\d,]*(?:\.\d+)?)"), 1), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double"))
     distinct = F.array_distinct(numbers)
     return F.when(~plain.rlike(r"(?U)(?:^|\s)[−-]\s*\d") & (F.size(distinct) == 1), distinct[0])
 

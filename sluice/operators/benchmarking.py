@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text
 
+#: Words that mark a conflict as such.
 CONFLICT_MARKERS = ("متعارض", "تعارض", "غير محدد", "لم تحدد", "لم تُحدد", "لم يُحسم", "لم تُحسم", "دون حسم", "لا يمكن الجزم", "يحدد لاحقا", "غير مسجل", "غير واضح")
 
 
@@ -162,12 +163,14 @@ def quality_score(findings: DataFrame, expectations: DataFrame, runs: DataFrame)
 
 def run_verdict(runs: DataFrame, gates: DataFrame, scores: DataFrame) -> DataFrame:
     """Verdict of each run from its gates (run_id, tier, passed): failed input gates make the
-    benchmark invalid, failed contract gates a safe rejection, failed safety gates a safety failure."""
+    benchmark invalid, failed contract gates a safe rejection, failed safety gates a safety failure.
+    Further columns of runs, their telemetry, pass through."""
     ok = lambda tier: F.coalesce(F.bool_and(F.when(F.col("tier") == tier, F.col("passed"))), F.lit(True))
     per = gates.groupBy("run_id").agg(ok("input").alias("input"), ok("contract").alias("contract"), ok("safety").alias("safety"))
     j = runs.join(per, "run_id", "left").join(scores.select("run_id", "score"), "run_id", "left")
-    verdict = F.when(~F.col("input"), "INVALID_BENCHMARK_INPUT").when(~F.col("contract"), "SAFE_REJECTION").when(~F.col("safety"), "SAFETY_FAILURE").otherwise("PASS")
-    return j.select("run_id", "model", verdict.alias("verdict")).join(scores.select("run_id", "score"), "run_id", "left").withColumn("score", F.when(F.col("verdict") == "PASS", F.col("score")))
+    ok_or = lambda c: F.coalesce(F.col(c), F.lit(True))
+    verdict = F.when(~ok_or("input"), "INVALID_BENCHMARK_INPUT").when(~ok_or("contract"), "SAFE_REJECTION").when(~ok_or("safety"), "SAFETY_FAILURE").otherwise("PASS")
+    return j.select(*(runs[c] for c in runs.columns), verdict.alias("verdict"), F.when(verdict == "PASS", F.col("score")).alias("score"))
 
 
 def model_leaderboard(verdicts: DataFrame, least: int = 2) -> DataFrame:

@@ -114,6 +114,7 @@ def catalog_tree(activities: DataFrame, subs: DataFrame) -> DataFrame:
 
 # --- saved searches and profiles -----------------------------------------------------------------
 
+# Words that a search text may hold.
 REGION_WORDS = ("القصيم", "الرياض", "مكة المكرمة", "مكة", "المدينة المنورة", "المدينة", "الشرقية", "عسير", "تبوك", "حائل", "الحدود الشمالية", "الحدود", "جازان", "نجران", "الباحة", "الجوف")
 SPECIALTY_WORDS = ("مباني", "طرق", "صيانة", "كهروميكانيكا", "ميكانيكا", "كهرباء", "مياه", "طاقة", "لاندسكيب", "حدائق", "هدم", "تقنية", "اتصالات", "تشطيبات", "أثاث", "أعمال عامة", "عامة")
 FREE_WORDS, PAID_WORDS = "مجاني|مجانًا|مجانا|بدون رسوم|صفر", "مدفوعة|مدفوع"
@@ -140,9 +141,14 @@ def parse_searches(searches: DataFrame) -> DataFrame:
     return out.withColumn("days", days).withColumn("needle", text.squash(cleaned)).drop("rest")
 
 
+#: Bytes that a parsed search takes at most, and of all of them up to which they are broadcast.
+SEARCH_BYTES, MOST_BROADCAST = 1000, 64 << 20
+
+
 def saved_search_match(searches: DataFrame, tenders: DataFrame, now: str, top: int = 8) -> DataFrame:
     """For each saved search the number of tenders that satisfy all its chips, and the top ones by
-    reference. The searches are a small dimension, sized by users and not by tenders."""
+    reference. Searches are compared with every tender, broadcast where they are few; the condition
+    is one expression, as the optimizer would copy the searches' long parse into each of several."""
     parsed = parse_searches(searches).withColumnRenamed("reference", "wanted")
     hay = F.concat_ws(" ", "activity", "title")
     day = F.try_to_timestamp(F.col("deadline"), F.lit("yyyy-MM-dd HH:mm"))
@@ -155,10 +161,11 @@ def saved_search_match(searches: DataFrame, tenders: DataFrame, now: str, top: i
         (F.col("needle") == "") | F.concat_ws(" ", "title", "agency").contains(F.col("needle")),
     )
     theta = F.when(F.col("wanted").isNotNull(), F.col("reference") == F.col("wanted")).otherwise(chips[0] & chips[1] & chips[2] & chips[3] & chips[4])
-    hits = tenders.join(F.broadcast(parsed), theta)
+    few = searches.count() * SEARCH_BYTES <= MOST_BROADCAST
+    hits = tenders.join(F.broadcast(parsed) if few else parsed, theta)
     ranked = hits.withColumn("place", F.row_number().over(W.partitionBy("search_id").orderBy("reference"))).where(F.col("place") <= top)
     counts = hits.groupBy("search_id").agg(F.count("*").alias("n_hits"))
-    return ranked.join(F.broadcast(counts), "search_id").select("search_id", "place", "reference", "n_hits")
+    return ranked.join(counts, "search_id").select("search_id", "place", "reference", "n_hits")
 
 
 def profile_resolve(profiles: DataFrame, activities: DataFrame, subs: DataFrame) -> DataFrame:

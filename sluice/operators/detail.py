@@ -68,7 +68,7 @@ LABELS = {text_: name for name, pattern in reversed(FIELDS) for alternative in p
 def field_of(label: Column) -> Column:
     """The field that a label names, null for other lines."""
     plain = F.trim(F.regexp_replace(clean_detail(label), "[：:]+$", ""))
-    return F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]).getItem(plain)
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), plain)
 
 
 def detail_field_extract(sections: DataFrame) -> DataFrame:
@@ -88,6 +88,7 @@ def detail_field_extract(sections: DataFrame) -> DataFrame:
     return hits.where("field is not null and value <> ''").groupBy("reference", "field").agg(F.min_by("value", F.struct("section_ord", "line")).alias("value"))
 
 
+# Words of buttons, extensions and words of file names.
 ACTIONS = r"(?i)^(?:تحميل الملف|ملفات داعمة|المرفق)$|شراء|انضمام"
 EXTENSIONS = r"(?i)\.(?:pdf|xlsx?|docx?|pptx?|zip|rar|7z)\b"
 KEYWORDS = r"(?i)كراسة|جدول.*كم|كميات|الغرامات|الجزاءات|معايير.*(?:العروض|التقييم)|المحتوى المحلي|نموذج|ملحق"
@@ -123,13 +124,18 @@ def attachment_names(candidates: DataFrame) -> DataFrame:
     return once.select("reference", "display_name", kind_of(F.col("display_name")).alias("kind"))
 
 
+#: Fixed value: the reason of a partial read.
+INCOMPLETE = "قراءة ناقصة: قُرئ %d من %d أقسام متوقعة رغم ظهور تبويبات التفاصيل؛ الوسم partial وليس complete."
+
+
 def detail_completeness(sections: DataFrame, tabs: DataFrame) -> DataFrame:
-    """Expected and read sections per reference, and whether a retry is due."""
+    """Expected and read sections per reference, the reason where some are missing, and whether a
+    retry is due. Without visible tabs anything read is complete, and nothing is expected."""
     read = sections.where("name <> '' and text <> ''").groupBy("reference").agg(F.count("*").alias("sections_read"))
     both = tabs.join(read, "reference", "left").withColumn("sections_read", F.coalesce("sections_read", F.lit(0)))
     expected = F.greatest(F.lit(0), F.coalesce("tab_count", F.lit(0)))
     complete = F.when(expected == 0, F.col("sections_read") > 0).otherwise(F.col("sections_read") >= expected)
-    return both.select("reference", expected.alias("expected"), "sections_read", F.when(complete, "complete").otherwise("partial").alias("status"), (~complete).alias("retry"))
+    return both.select("reference", expected.alias("expected"), "sections_read", F.when(complete, "complete").otherwise("partial").alias("status"), F.when(~complete & (expected > 0), F.format_string(INCOMPLETE, "sections_read", expected)).alias("reason"), (~complete).alias("retry"))
 
 
 def cleaned_text(value: Column) -> Column:
@@ -169,7 +175,7 @@ def text_cleanup_report(documents: DataFrame) -> DataFrame:
     return cleaned.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(~F.col("text").eqNullSafe(F.col("cleaned"))).alias("changed"), F.sum(F.length(F.coalesce("text", F.lit(""))) - F.length("cleaned")).alias("removed_chars"))
 
 
-PROFILES = {"classifier": text.fold_classifier, "board": text.fold_board, "claim": lambda c: text.fold_claim(text.nfc(c))}
+PROFILES = {"classifier": text.fold_classifier, "board": text.fold_board, "claim": lambda c: text.fold_claim(text.nfc(c)), "attachment": text.fold_attachment}
 
 
 def match_key_build(documents: DataFrame, profile: str = "classifier") -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -17,115 +20,127 @@ MAX_CHARS, OVERLAP = 1200, 120
 CHUNKS = "document_id long, ordinal int, chunk_id string, text string, char_count int, block_ids array<string>, pages array<int>, table_ids array<string>"
 
 
-def _parts(block: dict, limit: int) -> list[dict]:
-    """A block, or its pieces at word borders when it is longer than the limit."""
-    if len(block["text"]) <= limit:
-        return [block]
-    pieces, line = [], ""
-    for word in block["text"].split():
-        if len(line) + bool(line) + len(word) <= limit:
-            line = f"{line} {word}" if line else word
-            continue
-        if line:
-            pieces.append(line)
-        cuts = [word[i : i + limit] for i in range(0, len(word), limit)]
-        pieces += cuts[:-1]
-        line = cuts[-1]
-    pieces += [line] if line else []
-    many = len(pieces) > 1
-    return [block | {"text": t, "block_id": f"{block['block_id']}#p{i}" if many else block["block_id"]} for i, t in enumerate(pieces, 1)]
-
-
-def _size(blocks: list[dict]) -> int:
-    return sum(len(b["text"]) for b in blocks) + max(0, len(blocks) - 1)
-
-
-def pack_blocks(blocks: list[dict], limit: int = MAX_CHARS, overlap: int = OVERLAP) -> list[list[dict]]:
-    """Greedy chunks of one document's ordered blocks: none above the limit, small closing blocks
-    repeated in the next chunk, a closing heading moved there, a table's header repeated if it fits."""
-    limit = max(40, limit)
-    overlap = max(0, min(overlap, limit - 1))
-    todo = [p for b in blocks for p in _parts(b, limit)]
-    headers: dict[str, dict] = {}
-    for b in todo:
-        if b["table_id"]:
-            headers.setdefault(b["table_id"], b)
-    chunks, held, i = [], [], 0
-    while i < len(todo):
-        b = todo[i]
-        if not held or _size(held) + 1 + len(b["text"]) <= limit:
-            held.append(b)
-            i += 1
-            continue
-        if held[-1]["kind"] == "heading":
-            heading = held.pop()
-            if held:
-                chunks.append(held)
-            held = [heading]
-            if _size(held) + 1 + len(b["text"]) > limit:
-                chunks.append(held)
-                held = []
+def _reach(ends: list[int], at: int, limit: int) -> int:
+    """How far a run from item `at` goes within the limit, blanks between items counted; ends are the
+    running sums of sizes, each raised by one."""
+    return bisect_right(ends, ends[at] + limit + 1) - 1
+
+
+def cut_text(value: str, limit: int) -> list[str]:
+    """A text in lines of at most `limit` characters, broken at white space; a longer word is cut."""
+    if len(value) <= limit:
+        return [value]
+    atoms = [w[i : i + limit] for w in value.split() for i in range(0, len(w), limit)]
+    ends, at, lines = [0, *accumulate(len(w) + 1 for w in atoms)], 0, []
+    while at < len(atoms):
+        to = max(at + 1, _reach(ends, at, limit))
+        lines.append(" ".join(atoms[at:to]))
+        at = to
+    return lines
+
+
+def pack(sizes: list[int], heading: list[bool], table: list[str | None], limit: int = MAX_CHARS, overlap: int = OVERLAP) -> list[list[int]]:
+    """Greedy chunks of one document's pieces, as lists of their numbers. What a chunk carries over to
+    the next: a heading at its end, which leaves it, or else its last small pieces; and the header of
+    a table that goes on, where it fits. How far a chunk reaches is looked up in running sums."""
+    ends = [0, *accumulate(n + 1 for n in sizes)]
+    header: dict[str, int] = {}
+    for k, t in enumerate(table):
+        if t:
+            header.setdefault(t, k)
+    chunks: list[list[int]] = []
+    carry: list[int] = []
+    at = 0
+    while at < len(sizes):
+        taken = sum(sizes[k] + 1 for k in carry)
+        to = max(at if carry else at + 1, _reach(ends, at, limit - taken))
+        chunk = [*carry, *range(at, to)]
+        at = to
+        if at == len(sizes):
+            return [*chunks, chunk]
+        fits = lambda ks: sum(sizes[k] + 1 for k in ks) + sizes[at] <= limit  # noqa: B023, E731
+        if heading[chunk[-1]]:
+            own, carry = chunk[:-1], chunk[-1:]
+            chunks += [own] * bool(own)
+            if not fits(carry):
+                chunks.append(carry)
+                carry = []
         else:
-            tail, room = len(held), overlap
-            while tail and len(held[tail - 1]["text"]) <= room:
-                tail -= 1
-                room -= len(held[tail]["text"])
-            chunks.append(held)
-            held = held[max(tail, 1) :]
-        header = headers.get(b["table_id"]) if b["table_id"] else None
-        if header and all(h["table_id"] != b["table_id"] for h in held) and header["block_id"] != b["block_id"] and _size([*held, header]) + 1 + len(b["text"]) <= limit:
-            held.append(header)
-    return [*chunks, held] if held else chunks
+            chunks.append(chunk)
+            small = bisect_right(list(accumulate(sizes[k] for k in reversed(chunk))), overlap)
+            carry = chunk[max(1, len(chunk) - small) :]
+        first = header.get(table[at]) if table[at] else None
+        if first is not None and first != at and all(table[k] != table[at] for k in carry) and fits([*carry, first]):
+            carry = [*carry, first]
+    return chunks
+
+
+def _chunks_of(doc: int, blocks: list[tuple], limit: int, overlap: int) -> list[tuple]:
+    """Rows of CHUNKS for one document's ordered blocks (block_id, kind, text, page, table_id)."""
+    pieces = [(f"{b}#p{i}" if len(cut) > 1 else b, kind, t, page, table) for b, kind, value, page, table in blocks for cut in [cut_text(value, limit)] for i, t in enumerate(cut, 1)]
+    found = pack([len(p[2]) for p in pieces], [p[1] == "heading" for p in pieces], [p[4] for p in pieces], limit, overlap)
+    rows = []
+    for n, own in enumerate(([pieces[k] for k in chunk] for chunk in found), 1):
+        ids, body = [p[0] for p in own], "\n".join(p[2] for p in own)
+        key = hashlib.sha256(f"{doc}{n}{','.join(ids)}".encode()).hexdigest()[:16]
+        rows.append((doc, n, f"chk-{key}", body, len(body), ids, list(dict.fromkeys(p[3] for p in own)), list(dict.fromkeys(p[4] for p in own if p[4]))))
+    return rows
 
 
 def doc_chunk(blocks: DataFrame, limit: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of every document (document_id, ord, block_id, kind, text, page_number, table_id).
-    Documents are packed apart from one another; a group is one document's blocks."""
-
-    def run(data: pd.DataFrame) -> pd.DataFrame:
-        rows = data.sort_values("ord").to_dict("records")
-        doc, out = rows[0]["document_id"], []
-        for n, chunk in enumerate(pack_blocks([{**r, "table_id": r["table_id"] if isinstance(r["table_id"], str) else None} for r in rows], limit, overlap), 1):
-            ids = [b["block_id"] for b in chunk]
-            body = "\n".join(b["text"] for b in chunk)
-            key = hashlib.sha256(f"{doc}{n}{','.join(ids)}".encode()).hexdigest()[:16]
-            out.append((doc, n, f"chk-{key}", body, len(body), ids, list(dict.fromkeys(int(b["page_number"]) for b in chunk)), list(dict.fromkeys(b["table_id"] for b in chunk if b["table_id"]))))
-        return pd.DataFrame(out, columns=["document_id", "ordinal", "chunk_id", "text", "char_count", "block_ids", "pages", "table_ids"])
-
-    return blocks.groupBy("document_id").applyInPandas(run, CHUNKS)
+    Blocks come sorted by document, so a task streams through whole documents one after another and
+    holds one at a time."""
+    limit = max(40, limit)
+    overlap = max(0, min(overlap, limit - 1))
+    schema = pa.schema([("document_id", pa.int64()), ("ordinal", pa.int32()), ("chunk_id", pa.string()), ("text", pa.string()), ("char_count", pa.int32()), ("block_ids", pa.list_(pa.string())), ("pages", pa.list_(pa.int32())), ("table_ids", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, held = None, []
+        for batch in batches:
+            out = []
+            for d, *block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if d != doc and held:
+                    out += _chunks_of(doc, held, limit, overlap)
+                    held = []
+                doc = d
+                held.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)], schema=schema)
+        if held:
+            out = _chunks_of(doc, held, limit, overlap)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)], schema=schema)
+
+    own = blocks.select(F.col("document_id").cast("long").alias("document_id"), "ord", "block_id", "kind", F.coalesce("text", F.lit("")).alias("text"), "page_number", "table_id")
+    return own.repartition("document_id").sortWithinPartitions("document_id", "ord").drop("ord").mapInArrow(run, CHUNKS)
 
 
 MAX_CANDIDATES, MAX_TOTAL, MAX_EXCERPT, MIN_EXCERPT = 48, 6000, 400, 8
 _SENTENCE = re.compile(r"(?<=[.!؟?؛…])\s+")
+#: A piece of at most MAX_EXCERPT characters: all that is left, or up to the last blank of the second half, or a hard cut.
+_CUT = re.compile(rf" ?(.{{1,{MAX_EXCERPT}}}$|.{{{MAX_EXCERPT // 2},{MAX_EXCERPT - 1}}}(?= )|.{{{MAX_EXCERPT}}})", re.DOTALL)
 
 
 def segments(value: str) -> list[tuple[int, int, str]]:
     """(start, end, excerpt) in the block's text with single blanks: lines, else sentences, else cuts
     at blanks; repeats dropped; short ones joined to a neighbour or dropped."""
     flat = " ".join(value.split())
-    seen: dict[str, None] = {}
-    for line in (" ".join(x.split()) for x in re.split(r"\r?\n", value)):
-        for piece in [line] if len(line) <= MAX_EXCERPT else [p for p in _SENTENCE.split(line) if p]:
-            while len(piece) > MAX_EXCERPT:
-                cut = piece.rfind(" ", 0, MAX_EXCERPT)
-                cut = MAX_EXCERPT if cut < MAX_EXCERPT // 2 else cut
-                seen.setdefault(piece[:cut])
-                piece = piece[cut:].removeprefix(" ")
-            if piece:
-                seen.setdefault(piece)
-    spans: list[list[int]] = []
-    at = 0
-    for piece in seen:
-        start = flat.find(piece, at)
-        if start < 0:
-            continue
-        at = start + len(piece)
-        if spans and spans[-1][1] - spans[-1][0] < MIN_EXCERPT and at - spans[-1][0] <= MAX_EXCERPT:
-            spans[-1][1] = at
-        else:
-            spans.append([start, at])
-    if len(spans) > 1 and spans[-1][1] - spans[-1][0] < MIN_EXCERPT and spans[-1][1] - spans[-2][0] <= MAX_EXCERPT:
-        spans[-2][1] = spans.pop()[1]
+    lines = (" ".join(x.split()) for x in re.split(r"\r?\n", value))
+    parts = chain.from_iterable([x] if len(x) <= MAX_EXCERPT else _SENTENCE.split(x) for x in lines)
+    # where each piece lies, looked for after the one before it
+    found, at = [], 0
+    for piece in dict.fromkeys(chain.from_iterable(map(_CUT.findall, parts))):
+        if (start := flat.find(piece, at)) >= 0:
+            at = start + len(piece)
+            found.append((start, at))
+    short = lambda s: s[1] - s[0] < MIN_EXCERPT
+    joins = lambda s, t: t[1] - s[0] <= MAX_EXCERPT
+    spans: list[tuple[int, int]] = []
+    for own in found:
+        if spans and short(spans[-1]) and joins(spans[-1], own):
+            own = (spans.pop()[0], own[1])
+        spans.append(own)
+    if len(spans) > 1 and short(spans[-1]) and joins(spans[-2], spans[-1]):
+        spans[-2:] = [(spans[-2][0], spans[-1][1])]
     return [(s, e, flat[s:e]) for s, e in spans if MIN_EXCERPT <= e - s <= MAX_EXCERPT]
 
 
@@ -177,19 +192,51 @@ RULES = (
 RISK = ("contractualRisks", r"غرامة تأخير|فسخ|إنهاء العقد")
 
 
-def rule_findings(blocks: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
-    """One finding with its literal evidence per block and rule that fits, numbered per document."""
+def rule_findings(blocks: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, chunks: DataFrame | None = None, tables: DataFrame | None = None) -> DataFrame:
+    """One finding with its literal evidence per block and rule that fits, numbered per document.
+
+    chunks (document_id, ordinal, chunk_id, block_ids) ties each piece of evidence to the first chunk
+    that holds its block or a part of it; blocks in no chunk then give no findings. tables
+    (document_id, table_ord, table_id, location, rows; an array of rows, the header first) adds a
+    summary of each table whose first block is in a chunk, and its quantities where the header names
+    such; both share one evidence. Evidence is numbered by block and rule, tables after the text."""
     hit = lambda i, c, label, found: F.struct(F.lit(i).alias("rule"), F.lit(c).alias("category"), F.lit(label).alias("label"), found.alias("hit"))
     risk = F.when(F.col("text").rlike(RISK[1]), F.col("text")).otherwise("")
     hits = F.array(*[hit(i, c, label, F.regexp_extract("text", p, 1)) for i, (c, label, p) in enumerate(rules)], hit(len(rules), RISK[0], "", risk))
     found = blocks.select("document_id", "ord", "block_id", "text", F.explode(F.filter(hits, lambda h: h["hit"] != "")).alias("h"))
     statement = F.when(F.col("h.label") == "", F.substring(F.trim("h.hit"), 1, 160)).otherwise(F.concat(F.col("h.label"), F.lit(": "), F.trim("h.hit")))
-    n = F.row_number().over(W.partitionBy("document_id").orderBy("ord", "h.rule"))
-    return found.select("document_id", F.concat(F.lit("ev-"), n.cast("string")).alias("evidence_id"), "block_id", F.col("h.category").alias("category"), statement.alias("statement"), F.substring("text", 1, 200).alias("excerpt"))
+    severity = F.when(F.col("h.category").isin("unclearItems", RISK[0]), "medium").otherwise("info")
+    rows = found.select("document_id", F.lit(0).alias("part"), F.col("ord").cast("long").alias("ord"), F.col("h.rule").alias("rule"), "block_id", F.col("h.category").alias("category"), statement.alias("statement"), severity.alias("severity"), F.substring("text", 1, 200).alias("excerpt"))
+    if tables is not None:
+        head = blocks.where("table_id is not null").groupBy("document_id", "table_id").agg(F.min_by(F.struct("block_id", "text"), "ord").alias("b"))
+        t = tables.where(F.size("rows") > 0).join(head, ["document_id", "table_id"])
+        names = F.array_join(F.col("rows")[0], " | ")
+        summary = F.concat(F.format_string("جدول (%s): %d صفًا — الأعمدة: ", "location", F.size("rows")), names)
+        body = F.array_join(F.transform(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(1))), lambda r: F.array_join(r, " = ")), "؛ ")
+        two = F.array(F.struct(F.lit(0).alias("rule"), F.lit("boqSummary").alias("category"), summary.alias("statement")), F.when((F.size("rows") > 1) & names.rlike("الكمية|القيمة"), F.struct(F.lit(1).alias("rule"), F.lit("criticalQuantities").alias("category"), F.concat("location", F.lit(": "), F.substring(body, 1, 300)).alias("statement"))))
+        told = t.select("document_id", F.col("table_ord").cast("long").alias("ord"), "b", F.explode(F.filter(two, lambda x: x.isNotNull())).alias("f"))
+        rows = rows.unionByName(told.select("document_id", F.lit(1).alias("part"), "ord", F.col("f.rule").alias("rule"), F.col("b.block_id").alias("block_id"), F.col("f.category").alias("category"), F.col("f.statement").alias("statement"), F.lit("info").alias("severity"), F.substring("b.text", 1, 200).alias("excerpt")))
+    if chunks is not None:
+        of_block = chunks.select("document_id", "ordinal", "chunk_id", F.explode("block_ids").alias("b")).select("document_id", F.regexp_replace("b", "#.*$", "").alias("block_id"), "ordinal", "chunk_id")
+        rows = rows.join(of_block.groupBy("document_id", "block_id").agg(F.min_by("chunk_id", "ordinal").alias("chunk_id")), ["document_id", "block_id"])
+    # a table's two findings share their evidence: they count as one
+    n = F.dense_rank().over(W.partitionBy("document_id").orderBy("part", "ord", F.when(F.col("part") == 0, F.col("rule"))))
+    return rows.select("document_id", F.concat(F.lit("ev-"), n.cast("string")).alias("evidence_id"), "block_id", "category", "statement", "severity", "excerpt", *(["chunk_id"] if chunks is not None else []))
+
+
+def rule_report(documents: DataFrame, findings: DataFrame) -> DataFrame:
+    """Per document what its rule findings amount to: with evidence partial and medium, on the first
+    piece; without, insufficient and low."""
+    per = findings.groupBy("document_id").agg(F.count_distinct("evidence_id").alias("n_evidence"), F.count("*").alias("n_findings"))
+    j = documents.select("document_id").join(per, "document_id", "left")
+    some = F.col("n_evidence").isNotNull()
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return j.select("document_id", zero("n_evidence"), zero("n_findings"), F.when(some, "partial").otherwise("insufficient").alias("evidence_sufficiency"), F.when(some, "medium").otherwise("low").alias("confidence"), F.when(some, "ev-1").alias("sufficiency_id"))
 
 
 # --- selections and reports -----------------------------------------------------------------------
 
+# The categories in their order, and the values of three scales.
 CATEGORIES = ("scopeOfWork", "eligibilityRequirements", "requiredExperience", "bidBonds", "guarantees", "penalties", "deadlines", "boqSummary", "criticalQuantities", "unclearItems", "questionsForAuthority", "contractualRisks")
 SEVERITIES, CONFIDENCES, SUFFICIENCIES = ("info", "low", "medium", "high", "critical"), ("low", "medium", "high"), ("sufficient", "partial", "insufficient")
 
@@ -198,30 +245,110 @@ def _codes(*rules: Column) -> Column:
     return F.array_join(F.filter(F.array(*rules), lambda r: r.isNotNull()), ",")
 
 
+SELECTION_FIELDS = (*CATEGORIES, "evidenceSufficiency", "confidence", "sufficiencyEvidenceIds")
+FINDING_FIELDS = ("severity", "confidence", "evidenceIds")
+#: Codes of a selection's faults, in the order in which they are listed.
+SELECTION_CODES = ("not-an-object", "missing-field", "unknown-field", "not-a-list", "finding-fields", "severity", "confidence", "evidence-ids", "repeated-id", "unknown-id", "sufficiency", "own-confidence", "sufficiency-ids", "sufficiency-repeated-id", "sufficiency-unknown-id", "sufficiency-without-ids")
+
+
+def _strings(json: Column) -> Column:
+    """A JSON array of non-empty strings, else null."""
+    found = F.from_json(json, "array<string>")
+    quoted = json.rlike(r'^\s*\[\s*("(?:[^"\\\\]|\\\\.)*"\s*(,\s*"(?:[^"\\\\]|\\\\.)*"\s*)*)?\]\s*$')
+    return F.when(quoted & F.forall(found, lambda x: F.trim(x) != ""), found)
+
+
+def _parsed(selections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Selections (selection_id, document_id, body, a JSON object) with their fields, and their
+    findings, one row each in category order: fields as a map of JSON texts, ids as an array."""
+    tops = selections.select("selection_id", "document_id", F.from_json("body", "map<string,string>").alias("top"))
+    tops = tops.withColumn("own_ids", _strings(F.col("top")["sufficiencyEvidenceIds"]))
+    listed = F.array(*[F.struct(F.lit(i).alias("cat_ord"), F.lit(c).alias("category"), F.col("top")[c].alias("json"), F.from_json(F.col("top")[c], "array<map<string,string>>").alias("rows")) for i, c in enumerate(CATEGORIES)])
+    per = tops.select("selection_id", "document_id", F.explode(listed).alias("c")).select("selection_id", "document_id", "c.*")
+    findings = per.select("selection_id", "document_id", "cat_ord", "category", F.posexplode("rows").alias("pos", "f"))
+    return tops, findings.withColumn("ids", _strings(F.col("f")["evidenceIds"]))
+
+
 def selection_audit(selections: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Codes of the rules that each selection breaks (candidate_ids must be known, unique, some)."""
-    ids = selections.select("selection_id", "document_id", F.explode("candidate_ids").alias("candidate_id"))
-    unknown = ids.join(candidates.select("document_id", "candidate_id").distinct(), ["document_id", "candidate_id"], "left_anti").groupBy("selection_id").agg(F.count("*").alias("unknown"))
-    joined = selections.join(unknown, "selection_id", "left")
-    return joined.select(
-        "selection_id",
-        _codes(
-            F.when(~F.coalesce(F.col("category").isin(*CATEGORIES), F.lit(False)), "category"),
-            F.when(~F.coalesce(F.col("severity").isin(*SEVERITIES), F.lit(False)), "severity"),
-            F.when(~F.coalesce(F.col("confidence").isin(*CONFIDENCES), F.lit(False)), "confidence"),
-            F.when(F.size("candidate_ids") == 0, "empty"),
-            F.when(F.size(F.array_distinct("candidate_ids")) < F.size("candidate_ids"), "repeated"),
-            F.when(F.col("unknown") > 0, "unknown-candidate"),
-        ).alias("codes"),
+    """Codes of the rules that each model selection breaks: its fields and no others, twelve lists of
+    findings with three fields each, values of the scales, ids that are some, known and unlike, and
+    sufficiency with ids where it is claimed. Every rule looks at every finding; a selection that
+    lacks fields is not looked into further. candidates: document_id, candidate_id."""
+    tops, findings = _parsed(selections)
+    fields = lambda *names: F.array(*[F.lit(n) for n in names])
+    keys = F.coalesce(F.map_keys("top"), F.array().cast("array<string>"))
+    ids = findings.select("selection_id", "document_id", F.lit(False).alias("own"), F.explode("ids").alias("candidate_id"))
+    ids = ids.unionByName(tops.select("selection_id", "document_id", F.lit(True).alias("own"), F.explode("own_ids").alias("candidate_id")))
+    unknown = ids.join(candidates.select("document_id", "candidate_id").distinct(), ["document_id", "candidate_id"], "left_anti")
+    unknown = unknown.groupBy("selection_id").agg(F.bool_or(~F.col("own")).alias("unknown"), F.bool_or("own").alias("own_unknown"))
+    wrong = lambda c: F.coalesce(F.bool_or(F.coalesce(c, F.lit(True))), F.lit(False))
+    per = findings.groupBy("selection_id").agg(
+        wrong(F.col("f").isNull() | (F.size(F.array_except(F.map_keys("f"), fields(*FINDING_FIELDS))) > 0) | (F.size(F.array_except(fields(*FINDING_FIELDS), F.map_keys("f"))) > 0)).alias("shape"),
+        wrong(~F.col("f")["severity"].isin(*SEVERITIES)).alias("severity"),
+        wrong(~F.col("f")["confidence"].isin(*CONFIDENCES)).alias("confidence"),
+        wrong(F.coalesce(F.size("ids") == 0, F.lit(True))).alias("ids"),
+        wrong(F.coalesce(F.size(F.array_distinct("ids")) < F.size("ids"), F.lit(False))).alias("repeated"),
+    )
+    j = tops.join(per, "selection_id", "left").join(unknown, "selection_id", "left")
+    top = lambda c: F.col("top")[c]
+    lists = F.exists(F.array(*[top(c) for c in CATEGORIES]), lambda x: F.coalesce(~x.startswith("["), F.lit(True)))
+    missing = F.size(F.array_except(fields(*SELECTION_FIELDS), keys)) > 0
+    claims = F.coalesce(top("evidenceSufficiency").isin("sufficient", "partial"), F.lit(False))
+    rules = (
+        F.col("top").isNull(),
+        missing,
+        F.size(F.array_except(keys, fields(*SELECTION_FIELDS))) > 0,
+        lists,
+        F.col("shape"),
+        F.col("severity"),
+        F.col("confidence"),
+        F.col("ids"),
+        F.col("repeated"),
+        F.col("unknown"),
+        ~F.coalesce(top("evidenceSufficiency").isin(*SUFFICIENCIES), F.lit(False)),
+        ~F.coalesce(top("confidence").isin(*CONFIDENCES), F.lit(False)),
+        F.col("own_ids").isNull(),
+        F.coalesce(F.size(F.array_distinct("own_ids")) < F.size("own_ids"), F.lit(False)),
+        F.col("own_unknown"),
+        claims & F.coalesce(F.size("own_ids") == 0, F.lit(False)),
     )
+    found = _codes(*[F.when(F.coalesce(r, F.lit(False)), c) for r, c in zip(rules, SELECTION_CODES, strict=True)])
+    return j.select("selection_id", F.when(F.col("top").isNull(), "not-an-object").when(missing, "missing-field").otherwise(found).alias("codes"))
 
 
 def selection_materialize(selections: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Each selection's statement, its candidates' excerpts in the order selected."""
-    ids = selections.select("selection_id", "document_id", "category", F.posexplode("candidate_ids").alias("pos", "candidate_id"))
-    joined = ids.join(candidates.select("document_id", "candidate_id", "excerpt"), ["document_id", "candidate_id"])
-    per = joined.groupBy("selection_id", "document_id", "category").agg(F.array_sort(F.collect_list(F.struct("pos", "excerpt"))).alias("e"))
-    return per.select("selection_id", "document_id", "category", F.array_join(F.transform("e", lambda x: x["excerpt"]), "؛ ").alias("statement"), F.size("e").cast("long").alias("n_evidence"))
+    """The report of each selection: findings whose statements are their candidates' excerpts in the
+    order selected, a summary of the distinct statements in order, and the candidates used, by first
+    use, the sufficiency's last. A selection that breaks a rule is `invalid`, one without findings
+    `no-findings`; neither gets a report. candidates: document_id, candidate_id, excerpt."""
+    audited = selection_audit(selections, candidates)
+    tops, findings = _parsed(selections)
+    fine = audited.where("codes = ''").select("selection_id")
+    findings = findings.join(fine, "selection_id", "left_semi")
+    texts = candidates.select("document_id", "candidate_id", "excerpt")
+    used = findings.select("selection_id", "document_id", "cat_ord", "pos", F.posexplode("ids").alias("at", "candidate_id"))
+    joined = used.join(texts, ["document_id", "candidate_id"])
+    stated = joined.groupBy("selection_id", "cat_ord", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.nullif("excerpt", F.lit("")).alias("e")))), lambda x: x["e"]), "؛ ").alias("statement"))
+    rows = findings.join(stated, ["selection_id", "cat_ord", "pos"]).groupBy("selection_id").agg(
+        F.array_sort(F.collect_list(F.struct("cat_ord", "pos", "category", "statement", F.col("f")["severity"].alias("severity"), F.col("f")["confidence"].alias("confidence"), F.col("ids").alias("evidence_ids")))).alias("findings")
+    )
+    own = tops.join(fine, "selection_id", "left_semi").select("selection_id", "document_id", F.lit(len(CATEGORIES)).alias("cat_ord"), F.lit(0).alias("pos"), F.posexplode("own_ids").alias("at", "candidate_id"))
+    first = joined.select("selection_id", "candidate_id", "excerpt", "cat_ord", "pos", "at").unionByName(own.join(texts, ["document_id", "candidate_id"]).select("selection_id", "candidate_id", "excerpt", "cat_ord", "pos", "at"))
+    first = first.groupBy("selection_id", "candidate_id").agg(F.min(F.struct("cat_ord", "pos", "at")).alias("use"), F.first("excerpt").alias("excerpt"))
+    evidence = first.groupBy("selection_id").agg(F.array_sort(F.collect_list(F.struct("use", "candidate_id", "excerpt"))).alias("evidence"))
+    j = tops.join(audited, "selection_id").join(rows, "selection_id", "left").join(evidence, "selection_id", "left")
+    status = F.when(F.col("codes") != "", "invalid").when(F.col("findings").isNull(), "no-findings").otherwise("ok")
+    kept = lambda c: F.when(status == "ok", c)
+    return j.select(
+        "selection_id",
+        status.alias("status"),
+        kept(F.array_join(F.array_distinct(F.transform("findings", lambda f: f["statement"])), "؛ ")).alias("summary"),
+        kept(F.transform("findings", lambda f: f.dropFields("cat_ord", "pos"))).alias("findings"),
+        kept(F.transform("evidence", lambda e: e.dropFields("use"))).alias("evidence"),
+        kept(F.col("top")["evidenceSufficiency"]).alias("evidence_sufficiency"),
+        kept(F.col("top")["confidence"]).alias("confidence"),
+        kept(F.col("own_ids")).alias("sufficiency_ids"),
+    )
 
 
 def report_audit(reports: DataFrame, findings: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -257,6 +384,18 @@ def evidence_rekey(evidence: DataFrame) -> DataFrame:
     return marked.withColumn("rejected", F.max("same").over(W.partitionBy("job_id")) > 1).drop("same")
 
 
+def rekeyed_references(findings: DataFrame, evidence: DataFrame) -> DataFrame:
+    """findings (job_id, pos, evidence_ids, ...) with the new ids of evidence_rekey in their places;
+    ids that no evidence of the job has stay as they are. A report's sufficiency ids are rewritten
+    alike, as a row of their own. Rejected jobs have no findings."""
+    new = evidence.where("not rejected").select("job_id", F.col("evidence_id").alias("id"), "new_id")
+    rejected = evidence.where("rejected").select("job_id").distinct()
+    fine = findings.join(rejected, "job_id", "left_anti")
+    one = fine.select("job_id", "pos", F.posexplode("evidence_ids").alias("at", "id")).join(new, ["job_id", "id"], "left")
+    per = one.groupBy("job_id", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("new_id", "id").alias("id")))), lambda x: x["id"]).alias("new_ids"))
+    return fine.join(per, ["job_id", "pos"], "left").withColumn("evidence_ids", F.coalesce("new_ids", "evidence_ids")).drop("new_ids")
+
+
 def grounding_check(evidence: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """Verdict per report and the first reason: document, type, location, chunk, literal excerpt."""
     d = documents.select("report_id", F.col("document_id").alias("own_document"), F.col("document_type").alias("own_type"))
@@ -273,11 +412,34 @@ def grounding_check(evidence: DataFrame, documents: DataFrame, chunks: DataFrame
     return joined.withColumn("reason", reason).groupBy("report_id").agg((F.count("reason") == 0).alias("grounded"), F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("pos"))).alias("first_reason"), F.count("reason").alias("failures"))
 
 
-def report_flatten(reports: DataFrame) -> DataFrame:
-    """Finding rows of reports whose findings are one map of arrays, category by category in order."""
-    listed = F.array(*[F.struct(F.lit(i).alias("cat_ord"), F.lit(c).alias("category"), F.col("findings").getItem(c).alias("rows")) for i, c in enumerate(CATEGORIES)])
-    per = reports.select("report_id", F.explode(listed).alias("c")).select("report_id", "c.cat_ord", "c.category", F.posexplode("c.rows").alias("pos", "statement"))
-    return per.withColumn("finding_no", F.row_number().over(W.partitionBy("report_id").orderBy("cat_ord", "pos")))
+#: Fixed value: the order in which stored reports list their categories.
+STORED_ORDER = ("scopeOfWork", "boqSummary", "criticalQuantities", "eligibilityRequirements", "requiredExperience", "deadlines", "bidBonds", "guarantees", "penalties", "contractualRisks", "unclearItems", "questionsForAuthority")
+
+
+def report_flatten(reports: DataFrame) -> dict[str, DataFrame]:
+    """The rows that a stored report becomes. reports: report_id, findings (a map from category to an
+    array of statement, severity, confidence, evidence_ids), evidence (an array of evidence_id,
+    document_id, source_type, page_number, excerpt, chunk_id), run (provider, model, status,
+    duration_ms, prompt_version, schema_version, error_code), finished_at.
+
+    findings: numbered category by category in order; evidence: in order; jobs: completed, with the
+    report's sizes; runs: one model run per report."""
+    listed = F.array(*[F.struct(F.lit(i).alias("cat_ord"), F.lit(c).alias("category"), F.try_element_at("findings", F.lit(c)).alias("rows")) for i, c in enumerate(STORED_ORDER)])
+    per = reports.select("report_id", F.explode(listed).alias("c")).select("report_id", "c.cat_ord", "c.category", F.posexplode("c.rows").alias("pos", "f"))
+    numbered = per.withColumn("finding_no", F.row_number().over(W.partitionBy("report_id").orderBy("cat_ord", "pos")))
+    sizes = F.aggregate(F.map_values("findings"), F.lit(0), lambda n, x: n + F.size(x))
+    return {
+        "findings": numbered.select("report_id", "finding_no", "category", "f.statement", "f.severity", "f.confidence", "f.evidence_ids"),
+        "evidence": reports.select("report_id", F.posexplode("evidence").alias("pos", "e")).select("report_id", "pos", "e.*"),
+        "jobs": reports.select("report_id", F.lit("completed").alias("status"), "finished_at", sizes.cast("long").alias("n_findings"), F.size("evidence").cast("long").alias("n_evidence")),
+        "runs": reports.select("report_id", "run.*"),
+    }
+
+
+def model_run_outcomes(runs: DataFrame) -> DataFrame:
+    """Model runs by provider and model, an empty model for none: how many, failures, durations."""
+    ms = F.coalesce(F.col("duration_ms").cast("long"), F.lit(0))
+    return runs.groupBy("provider", F.coalesce("model", F.lit("")).alias("model")).agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "failed").alias("failed"), F.round(F.avg(ms), 4).alias("mean_ms"), F.max(ms).alias("max_ms"))
 
 
 def job_outcomes(jobs: DataFrame) -> DataFrame:

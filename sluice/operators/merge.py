@@ -163,6 +163,16 @@ def catalog_upsert(catalog: DataFrame, seen: DataFrame, now: str) -> DataFrame:
     return both.select(own_id.alias("activity_id"), "name_ar", F.coalesce("portal_value", "n_value").alias("portal_value"), F.when(F.col("seen"), F.lit(now)).otherwise(F.col("last_seen")).alias("last_seen"))
 
 
+def sub_catalog_upsert(catalog: DataFrame, subs: DataFrame, seen: DataFrame, now: str) -> DataFrame:
+    """Sub-activities of known activities: ids from the activity's and the own name, known ones kept
+    with a new last_seen, names under an unknown activity left out. catalog: name_ar; subs and seen:
+    activity, sub_activity, subs with last_seen."""
+    own_id = F.concat(F.lit("sub-"), F.substring(F.sha2(F.concat_ws(":", "activity", "sub_activity"), 256), 1, 12))
+    known = seen.join(catalog.select(F.col("name_ar").alias("activity")).distinct(), "activity", "left_semi").select("activity", "sub_activity").distinct().withColumn("seen", F.lit(True))
+    both = subs.join(known, ["activity", "sub_activity"], "full_outer")
+    return both.select(own_id.alias("sub_id"), "activity", "sub_activity", F.when(F.col("seen"), F.lit(now)).otherwise(F.col("last_seen")).alias("last_seen"))
+
+
 def approval_ledger(requests: DataFrame, approvals: DataFrame, at: str) -> DataFrame:
     """State of each request's approval at a time: the first rule that applies."""
     t = F.lit(at).cast("timestamp_ntz")

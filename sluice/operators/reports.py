@@ -50,6 +50,12 @@ def storage_overview(files: DataFrame) -> DataFrame:
     return stored.groupBy("kind").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"), F.max("stored_at").alias("newest"))
 
 
+def storage_listing(files: DataFrame) -> DataFrame:
+    """Stored files, newest first."""
+    stored = files.where(F.col("local_path").isNotNull() & (F.col("local_path") != ""))
+    return stored.orderBy(F.col("stored_at").desc(), "file_id")
+
+
 def retention_preview(files: DataFrame, now: str, days: int) -> DataFrame:
     """Files with the mark of those stored strictly more than `days` (1..365) before now: their path,
     size and hash are cleared in the next snapshot."""

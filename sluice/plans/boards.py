@@ -50,25 +50,25 @@ def tender_sort(spark, sf_dir):
 
 @query(with_views("tenders", "attachments", body=_DETAILS + """, states AS (SELECT reference AS s, status AS user_status FROM tenders WHERE k % 4 <> 0)
 , files_ AS (SELECT reference AS f, string_agg(display_name || '=' || availability, ';' ORDER BY display_name, availability) AS files FROM attachments GROUP BY reference)
-SELECT reference, title, user_status, d_title, coalesce(files, '') AS files FROM tenders LEFT JOIN states ON reference = s LEFT JOIN details_ ON reference = r LEFT JOIN files_ ON reference = f WHERE k % 2 = 0"""))
+SELECT reference, title, user_status, d_title, coalesce(files, '') AS files FROM tenders LEFT JOIN states ON reference = s LEFT JOIN details_ ON reference = r LEFT JOIN files_ ON reference = f"""))
 def tender_board(spark, sf_dir):
     t = view(spark, sf_dir, "tenders")
     states = t.where("k % 4 <> 0").select("reference", F.col("status").alias("user_status"))
     details = t.where("k % 3 = 0").selectExpr("reference", "CASE WHEN k % 4 = 0 THEN '' ELSE title || ' +' END AS d_title")
-    out = board.tender_board(t, states, details, view(spark, sf_dir, "attachments"), t.where("k % 2 = 0"))
+    out = board.tender_board(t, states, details, view(spark, sf_dir, "attachments"))
     return out.select("reference", "title", "user_status", "d_title", F.array_join(F.transform("files", lambda x: F.concat(x["display_name"], F.lit("="), x["availability"])), ";").alias("files"))
 
 
-_JOBS = """WITH findings AS (SELECT doc_id % 50 AS job_id, doc_id AS pos, split_part(text, chr(10), 1) AS statement FROM documents)
-, runs_ AS (SELECT conv_id % 50 AS job_id, conv_id * 1000 + turn AS pos, role AS provider FROM conversations)"""
+_JOBS = """WITH findings AS (SELECT doc_id AS job_id, unnest(range(0, len(l))) AS pos, unnest(l) AS statement FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
+, runs_ AS (SELECT conv_id AS job_id, turn AS pos, role AS provider FROM conversations)"""
 
 
 @query(_JOBS + """, f AS (SELECT job_id, string_agg(statement, ' / ' ORDER BY pos, statement) AS findings FROM findings GROUP BY job_id), r AS (SELECT job_id, string_agg(provider, ',' ORDER BY pos, provider) AS runs FROM runs_ GROUP BY job_id)
 SELECT l.doc_id AS job_id, d.n_chars AS n_chars, f.findings, r.runs FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id LEFT JOIN f ON l.doc_id = f.job_id LEFT JOIN r ON l.doc_id = r.job_id""")
 def job_bundle(spark, sf_dir):
     docs, conv = view(spark, sf_dir, "documents"), view(spark, sf_dir, "conversations")
-    findings = docs.select((F.col("doc_id") % 50).alias("job_id"), F.col("doc_id").alias("pos"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("statement"))
-    runs = conv.select((F.col("conv_id") % 50).alias("job_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.col("role").alias("provider"))
+    findings = docs.select(F.col("doc_id").alias("job_id"), F.posexplode(F.split("text", "\n")).alias("pos", "statement"))
+    runs = conv.select(F.col("conv_id").alias("job_id"), F.col("turn").alias("pos"), F.col("role").alias("provider"))
     jobs = view(spark, sf_dir, "labels").select(F.col("doc_id").alias("job_id"), F.col("doc_id").alias("document_id"))
     out = board.job_bundle(jobs, docs.select(F.col("doc_id").alias("document_id"), "n_chars"), findings, runs)
     return out.select("job_id", "n_chars", F.array_join("findings.statement", " / ").alias("findings"), F.array_join("runs.provider", ",").alias("runs"))
@@ -208,8 +208,17 @@ def crowding_signal(spark, sf_dir):
     return score.crowding_signal(view(spark, sf_dir, "tenders"), NOW)
 
 
-_REVIEW = """SELECT reference, k % 2 = 0 AS booklet, CASE WHEN k % 3 = 0 THEN NULL ELSE k % 5 <> 0 END AS boq, k % 7 <> 0 AS conditions, CASE k % 6 WHEN 0 THEN 'غير مطابق' WHEN 1 THEN NULL ELSE 'مطابق' END AS scope_fit,
- CASE k % 8 WHEN 0 THEN 'غير مطابق' ELSE 'مطابق' END AS classification, CASE k % 9 WHEN 0 THEN 'غير متاح' WHEN 1 THEN 'غير معروف' ELSE 'متاح' END AS guarantee_state, CASE k % 10 WHEN 0 THEN 'توجد ملاحظة حرجة' WHEN 1 THEN NULL ELSE 'تمت المراجعة' END AS special_terms FROM tenders"""
+_REVIEW_COLUMNS = (
+    "reference",
+    "k % 2 = 0 AS booklet",
+    "CASE WHEN k % 3 = 0 THEN NULL ELSE k % 5 <> 0 END AS boq",
+    "k % 7 <> 0 AS conditions",
+    "CASE k % 6 WHEN 0 THEN 'غير مطابق' WHEN 1 THEN NULL ELSE 'مطابق' END AS scope_fit",
+    "CASE k % 8 WHEN 0 THEN 'غير مطابق' ELSE 'مطابق' END AS classification",
+    "CASE k % 9 WHEN 0 THEN 'غير متاح' WHEN 1 THEN 'غير معروف' ELSE 'متاح' END AS guarantee_state",
+    "CASE k % 10 WHEN 0 THEN 'توجد ملاحظة حرجة' WHEN 1 THEN NULL ELSE 'تمت المراجعة' END AS special_terms",
+)
+_REVIEW = f"SELECT {', '.join(_REVIEW_COLUMNS)} FROM tenders"
 
 
 @query(with_views("tenders", body=f""", v AS ({_REVIEW}), m AS (SELECT *, concat_ws(',', CASE WHEN NOT coalesce(booklet, FALSE) THEN 'booklet' END, CASE WHEN NOT coalesce(boq, FALSE) THEN 'boq' END, CASE WHEN NOT coalesce(conditions, FALSE) THEN 'conditions' END) AS missing,
@@ -217,9 +226,7 @@ _REVIEW = """SELECT reference, k % 2 = 0 AS booklet, CASE WHEN k % 3 = 0 THEN NU
 SELECT reference, missing, risks, CASE WHEN coalesce(scope_fit, '') = 'غير مطابق' OR classification = 'غير مطابق' OR guarantee_state = 'غير متاح' THEN 'استبعاد مبدئي'
   WHEN missing = '' AND scope_fit = 'مطابق' AND classification = 'مطابق' AND guarantee_state NOT IN ('غير معروف', 'غير متاح') AND special_terms = 'تمت المراجعة' THEN 'مناسب مبدئيًا' ELSE 'مطلوب استكمال' END AS decision FROM m"""))
 def assessment_decision(spark, sf_dir):
-    cols = _REVIEW[len("SELECT ") : _REVIEW.rindex(" FROM")]
-    view(spark, sf_dir, "tenders").createOrReplaceTempView("sluice_reviews")
-    return score.assessment_decision(spark.sql(f"SELECT {cols} FROM sluice_reviews"))
+    return score.assessment_decision(view(spark, sf_dir, "tenders").selectExpr(*_REVIEW_COLUMNS))
 
 
 @query(with_views("tenders", body="""SELECT region, CASE WHEN fee = 0 THEN CASE WHEN fee_verification = 'detail-verified' THEN 'مجانية مؤكدة' ELSE 'السعر غير متحقق' END WHEN fee_verification = 'detail-verified' THEN 'مؤكد من التفاصيل'

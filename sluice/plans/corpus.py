@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import detail
 from ..sources.adapters import view, with_views
 from .catalog import query
@@ -35,6 +36,7 @@ def attachment_names(spark, sf_dir):
 
 @query("""WITH t AS (SELECT conv_id AS reference, max(turn) % 4 AS tab_count FROM conversations GROUP BY conv_id), r AS (SELECT conv_id AS reference, count(*) AS n FROM conversations WHERE turn % 3 <> 1 AND text <> '' GROUP BY conv_id)
 SELECT reference, tab_count AS expected, coalesce(n, 0) AS sections_read, CASE WHEN CASE WHEN tab_count = 0 THEN coalesce(n, 0) > 0 ELSE coalesce(n, 0) >= tab_count END THEN 'complete' ELSE 'partial' END AS status,
+  CASE WHEN tab_count > 0 AND coalesce(n, 0) < tab_count THEN 'قراءة ناقصة: قُرئ ' || CAST(coalesce(n, 0) AS STRING) || ' من ' || CAST(tab_count AS STRING) || ' أقسام متوقعة رغم ظهور تبويبات التفاصيل؛ الوسم partial وليس complete.' END AS reason,
   NOT (CASE WHEN tab_count = 0 THEN coalesce(n, 0) > 0 ELSE coalesce(n, 0) >= tab_count END) AS retry FROM t LEFT JOIN r USING (reference)""")
 def detail_completeness(spark, sf_dir):
     c = view(spark, sf_dir, "conversations")
@@ -53,10 +55,27 @@ def text_cleanup(spark, sf_dir):
     return detail.text_cleanup(d).select("doc_id", "source", F.md5("cleaned").alias("cleaned_md5"), (F.length("text") - F.length("cleaned")).cast("long").alias("removed_chars"))
 
 
-@query(r"""WITH w AS (SELECT unnest(string_split_regex(text, '\s+')) AS surface FROM documents), s AS (SELECT surface, count(*) AS n FROM w WHERE surface <> '' GROUP BY surface), k AS (SELECT *, lower(surface) AS key FROM s)
-SELECT key, sum(n) AS n, count(*) AS n_surfaces, first(surface ORDER BY n DESC, surface DESC) AS commonest FROM k GROUP BY key""")
+_FOLDS = {
+    "classifier": "translate(lower(surface), 'أإآةـ', 'اااه')",
+    "board": "replace(lower(trim(surface)), 'ـ', '')",
+    "claim": f"translate(regexp_replace(lower(nfc_normalize(surface)), '{text.MARKS}', '', 'g'), '{text.FOLDED}٠١٢٣٤٥٦٧٨٩', '{text.FOLDED_TO}0123456789')",
+    "attachment": "lower(trim(translate(surface, 'أإآىةـ', 'ااايه')))",
+}
+#: Marked and composed spellings beside the corpora's own words.
+_SPELT = "(VALUES ('مُنَافَسَة'), ('منافسه'), ('مـنافسة'), ('أعمال'), ('أعمال'), ('اعمال'), ('مبنى'), ('مبني'), ('١٢٣'), ('123'), ('Ａ')) spelt(surface)"
+
+
+@query(with_views("tenders", body=r""", w AS (SELECT unnest(string_split_regex(text, '\s+')) AS surface FROM documents UNION ALL SELECT unnest(string_split_regex(title, '\s+')) FROM tenders UNION ALL SELECT surface FROM """ + _SPELT + """), s AS (SELECT surface, count(*) AS n FROM w WHERE surface <> '' GROUP BY surface)
+, k AS (""" + " UNION ALL ".join(f"SELECT '{p}' AS profile, surface, n, {e} AS key FROM s" for p, e in _FOLDS.items()) + """)
+SELECT profile, key, sum(n) AS n, count(*) AS n_surfaces, first(surface ORDER BY n DESC, surface DESC) AS commonest FROM k GROUP BY profile, key"""))
 def match_key_build(spark, sf_dir):
-    return detail.match_key_build(view(spark, sf_dir, "documents"))
+    """The four profiles over documents, tender titles and some marked spellings."""
+    corpus = view(spark, sf_dir, "documents").select("text").unionByName(view(spark, sf_dir, "tenders").select(F.col("title").alias("text"))).unionByName(spark.sql(f"SELECT surface AS text FROM {_SPELT.replace('(VALUES', 'VALUES', 1).replace(') spelt', ' AS spelt', 1)}"))
+    found = [detail.match_key_build(corpus, p).select(F.lit(p).alias("profile"), "*") for p in _FOLDS]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def blocks(spark, sf_dir):
@@ -67,17 +86,17 @@ def blocks(spark, sf_dir):
 BLOCKS = "SELECT doc_id AS document_id, lang, unnest(generate_series(0, len(l) - 1)) AS ord, unnest(l) AS text FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents)"
 _GATE = """, g AS (SELECT document_id, count(*) AS blocks, avg(CASE WHEN length(trim(text)) <= 2 THEN 1.0 ELSE 0.0 END) AS fragmented, avg(CASE WHEN regexp_matches(trim(text), '^[.,،:؛;\\-–—]+$') THEN 1.0 ELSE 0.0 END) AS punctuation FROM b GROUP BY document_id)
 , gates AS (SELECT *, fragmented > 0.9 AS is_fragmented, punctuation > 0.15 AS arabic_lost, fragmented > 0.9 OR punctuation > 0.15 AS needs_alternate FROM g)"""
-_WORDS = "SELECT doc_id AS document_id, unnest(string_split(substring(text, 1, 400), ' ')) AS text FROM documents"
+_WORDS = "SELECT doc_id AS document_id, unnest(string_split(text, ' ')) AS text FROM documents"
 
 
 @query(f"WITH b AS ({_WORDS})" + _GATE + " SELECT * FROM gates")
 def block_quality_gate(spark, sf_dir):
-    """Words of each document's first 400 characters as blocks: short ones occur there."""
-    words = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.explode(F.split(F.substring("text", 1, 400), " ")).alias("text"))
+    """Words of each document's whole text as blocks: short ones occur there."""
+    words = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.explode(F.split("text", " ")).alias("text"))
     return detail.block_quality_gate(words)
 
 
-@query()
+@query(f"WITH b AS ({_WORDS})" + _GATE + " SELECT * FROM gates")
 def block_quality_gate_whole(spark, sf_dir):
     """Words of each document's whole text as blocks, split like those of block_quality_gate."""
     words = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.explode(F.split("text", " ")).alias("text"))

@@ -48,6 +48,11 @@ def storage_overview(spark, sf_dir):
     return reports.storage_overview(_stored(spark, sf_dir))
 
 
+@query(f"WITH f AS ({_STORED}) SELECT file_id, kind, local_path, size_bytes, stored_at FROM f WHERE local_path <> ''")
+def storage_listing(spark, sf_dir):
+    return reports.storage_listing(_stored(spark, sf_dir))
+
+
 @query(f"""WITH f AS ({_STORED}), m AS (SELECT *, stored_at < TIMESTAMP '1996-06-15' - INTERVAL 300 DAY AND local_path IS NOT NULL AS old FROM f)
 SELECT file_id, CASE WHEN NOT old THEN local_path END AS local_path, CASE WHEN NOT old THEN size_bytes END AS size_bytes, CASE WHEN old THEN 'purged-old' ELSE 'stored' END AS state, CASE WHEN old THEN size_bytes ELSE 0 END AS freed_bytes FROM m""")
 def retention_preview(spark, sf_dir):
@@ -67,10 +72,9 @@ def run_progress(spark, sf_dir):
     return reports.run_progress(view(spark, sf_dir, "runs"), view(spark, sf_dir, "run_regions"))
 
 
-@query(with_views("runs", body="""SELECT run_id, status, checked_count FROM runs WHERE status IN ('partial', 'running') AND started_at > coalesce((SELECT max(started_at) FROM runs WHERE status = 'complete' AND run_id < '2024-01-25'), TIMESTAMP '1900-01-01') ORDER BY started_at DESC, run_id LIMIT 1"""))
+@query(with_views("runs", body="""SELECT run_id, status, checked_count FROM runs WHERE status IN ('partial', 'running') AND started_at > coalesce((SELECT max(started_at) FROM runs WHERE status = 'complete'), TIMESTAMP '1900-01-01') ORDER BY started_at DESC, run_id LIMIT 1"""))
 def resumable_run(spark, sf_dir):
-    r = view(spark, sf_dir, "runs").where("status <> 'complete' or run_id < '2024-01-25'")
-    return reports.resumable_run(r).select("run_id", "status", "checked_count")
+    return reports.resumable_run(view(spark, sf_dir, "runs")).select("run_id", "status", "checked_count")
 
 
 @query(with_views("observations", body=""", p AS (SELECT sync_run_id, region_id, max(page_number) AS pages, count(*) AS checked, arg_max(fee_bucket, lpad(CAST(page_number AS STRING), 5, '0') || reference || lpad(CAST(seq AS STRING), 5, '0')) AS last_bucket FROM observations GROUP BY ALL)
@@ -129,13 +133,13 @@ _CARD = """'<div class="card"><h5><a href="/Tender/Details/' || CAST(k AS STRING
  || CASE k % 4 WHEN 0 THEN '</p><p>' || CAST(CAST(fee AS BIGINT) AS STRING) || ' ر.س' WHEN 1 THEN CAST(CAST(fee AS BIGINT) AS STRING) || ' ر.س' ELSE 'مجانًا' END || '</p><p>' || published_at || ' - 2024-05-' || lpad(CAST(1 + k % 28 AS STRING), 2, '0') || '</p></div>'"""
 
 
-@query(with_views("tenders", body=""", c AS (SELECT k, reference, title, agency, fee, published_at, row_number() OVER (PARTITION BY k % 500 ORDER BY k) AS pos FROM tenders WHERE published_at IS NOT NULL)
+@query(with_views("tenders", body=""", c AS (SELECT k, reference, title, agency, fee, published_at, row_number() OVER (PARTITION BY k // 30 ORDER BY k) AS pos FROM tenders WHERE published_at IS NOT NULL)
 , v AS (SELECT *, CASE WHEN k % 4 <= 1 THEN CAST(CAST(fee AS BIGINT) AS STRING) || ' ر.س' ELSE 'مجانًا' END AS fee_text FROM c WHERE k % 7 <> 0)
-SELECT k % 500 AS page_id, '1' AS region_id, pos, reference, title, agency, fee_text, CASE WHEN published_at >= '2000' THEN published_at ELSE '2024-05-' || lpad(CAST(1 + k % 28 AS STRING), 2, '0') END AS published_at,
+SELECT k // 30 AS page_id, '1' AS region_id, pos, reference, title, agency, fee_text, CASE WHEN published_at >= '2000' THEN published_at ELSE '2024-05-' || lpad(CAST(1 + k % 28 AS STRING), 2, '0') END AS published_at,
   CASE WHEN published_at >= '2000' THEN '2024-05-' || lpad(CAST(1 + k % 28 AS STRING), 2, '0') || ' 09:59' ELSE '' END AS deadline, CASE WHEN k % 4 <= 1 THEN fee END AS fee, CASE WHEN k % 4 <= 1 THEN 'card-observed' ELSE 'unknown' END AS fee_verification FROM v"""))
 def card_extract(spark, sf_dir):
-    """Listing pages of up to 30 cards, put together from the tenders by page number."""
-    cards = view(spark, sf_dir, "tenders").where("published_at is not null").selectExpr("k % 500 AS page_id", "k", f"{_CARD.replace('chr(10)', 'char(10)')} AS card")
+    """Listing pages of up to 30 cards, put together from the tenders in order."""
+    cards = view(spark, sf_dir, "tenders").where("published_at is not null").selectExpr("k div 30 AS page_id", "k", f"{_CARD.replace('chr(10)', 'char(10)')} AS card")
     pages = cards.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "card"))), lambda x: x["card"]), "").alias("html"))
     return intake.card_extract(pages.withColumn("region_id", F.lit("1")))
 
@@ -153,14 +157,14 @@ def file_intake_audit(spark, sf_dir):
     return intake.file_intake_audit(files)
 
 
-_ITEMS = "SELECT CAST(CAST(ts AS DATE) AS STRING) AS envelope_id, event_id, CASE WHEN user_id % 19 = 0 THEN '' ELSE ' ' || CAST(user_id AS STRING) || ' ' END AS reference, event_type AS title, CASE WHEN event_id % 6 = 0 THEN 'n/a' ELSE CAST(event_id % 900 AS STRING) END AS fee FROM events"
+_ITEMS = "SELECT CAST(CAST(ts AS DATE) AS STRING) || '/' || CAST(event_id // 500 AS STRING) AS envelope_id, event_id, CASE WHEN user_id % 19 = 0 THEN '' ELSE ' ' || CAST(user_id AS STRING) || ' ' END AS reference, event_type AS title, CASE WHEN event_id % 6 = 0 THEN 'n/a' ELSE CAST(event_id % 900 AS STRING) END AS fee FROM events"
 
 
 @query(f"""WITH i AS ({_ITEMS}), p AS (SELECT *, row_number() OVER (PARTITION BY envelope_id ORDER BY event_id) - 1 AS pos FROM i WHERE envelope_id NOT LIKE '%5'), t AS (SELECT *, trim(reference) AS r FROM p)
 SELECT envelope_id, envelope_id AS sync_id, r AS reference, min(pos) AS pos, arg_max(title, pos) AS title, coalesce(TRY_CAST(arg_max(fee, pos) AS DOUBLE), 0) AS fee FROM t WHERE r <> '' GROUP BY envelope_id, r""")
 def envelope_parse(spark, sf_dir):
-    """One JSON envelope per day of events; days that end in 5 carry an unknown schema version."""
-    items = view(spark, sf_dir, "events").selectExpr(*_ITEMS[len("SELECT ") : -len(" FROM events")].split(", ", 2)[:2], "CASE WHEN user_id % 19 = 0 THEN '' ELSE ' ' || CAST(user_id AS STRING) || ' ' END AS reference", "event_type AS title", "CASE WHEN event_id % 6 = 0 THEN 'n/a' ELSE CAST(event_id % 900 AS STRING) END AS fee")
+    """One JSON envelope for each day and 500 ids of events; those whose name ends in 5 carry an unknown schema version."""
+    items = view(spark, sf_dir, "events").selectExpr("CAST(CAST(ts AS DATE) AS STRING) || '/' || CAST(event_id div 500 AS STRING) AS envelope_id", "event_id", "CASE WHEN user_id % 19 = 0 THEN '' ELSE ' ' || CAST(user_id AS STRING) || ' ' END AS reference", "event_type AS title", "CASE WHEN event_id % 6 = 0 THEN 'n/a' ELSE CAST(event_id % 900 AS STRING) END AS fee")
     nested = items.groupBy("envelope_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "reference", "title", "fee"))), lambda x: x.dropFields("event_id")).alias("items"))
     body = F.to_json(F.struct(F.when(F.col("envelope_id").endswith("5"), 2).otherwise(1).alias("schema_version"), F.lit(intake.KNOWN_SOURCE).alias("source"), F.col("envelope_id").alias("sync_id"), "items"))
     found, _ = intake.envelope_parse(nested.select("envelope_id", body.alias("body")))
@@ -197,3 +201,23 @@ def snapshot_audit(spark, sf_dir):
     expected = d.where("doc_id % 9 <> 0").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("sha256"))
     actual = d.where("doc_id % 8 <> 0").select(F.col("doc_id").alias("path"), F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha256"))
     return intake.snapshot_audit(expected, actual)
+
+
+_TABLES = ("region", "nation", "customer", "supplier", "orders")
+
+
+@query("""WITH e(name, rows) AS (SELECT 'region', count(DISTINCT n_regionkey) FROM nation UNION ALL SELECT 'nation', count(DISTINCT c_nationkey) FROM customer UNION ALL SELECT 'customer', count(DISTINCT o_custkey) FROM orders UNION ALL SELECT 'orders', count(DISTINCT l_orderkey) FROM lineitem UNION ALL SELECT 'ledger', count(*) FROM region)
+, a(name, rows) AS (""" + " UNION ALL ".join(f"SELECT '{t}', count(*) FROM {t}" for t in _TABLES) + """)
+SELECT name, CASE WHEN a.rows IS NULL THEN 'missing' WHEN e.rows IS NULL THEN 'unregistered' WHEN a.rows <> e.rows THEN 'row-count' ELSE 'ok' END AS verdict FROM e FULL OUTER JOIN a USING (name)""")
+def snapshot_count_audit(spark, sf_dir):
+    """Tables and their rows against a manifest of the keys that other tables refer to."""
+    keys = {"region": ("nation", "n_regionkey"), "nation": ("customer", "c_nationkey"), "customer": ("orders", "o_custkey"), "orders": ("lineitem", "l_orderkey")}
+    count = lambda name, df, what: df.agg(what.alias("rows")).select(F.lit(name).alias("name"), "rows")
+    expected = count("ledger", view(spark, sf_dir, "region"), F.count("*"))
+    for name, (table, key) in keys.items():
+        expected = expected.unionByName(count(name, view(spark, sf_dir, table), F.count_distinct(key)))
+    actual = None
+    for name in _TABLES:
+        own = count(name, view(spark, sf_dir, name), F.count("*"))
+        actual = own if actual is None else actual.unionByName(own)
+    return intake.count_audit(expected, actual)

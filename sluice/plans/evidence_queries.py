@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
+from ..functions import text
 from ..operators import benchmarking as bench
 from ..operators import evidence as ev
 from ..sources.adapters import view
@@ -54,41 +54,103 @@ def catalog_fingerprint(spark, sf_dir):
 _RULED = "CASE doc_id % 6 WHEN 0 THEN 'الضمان الابتدائي: ' || CAST(doc_id AS STRING) || '%' WHEN 1 THEN 'غرامة تأخير: يومية' WHEN 2 THEN 'البند غير واضح: كذا' WHEN 3 THEN 'سؤال للجهة: متى؟' ELSE 'نص عادي' END"
 
 
-@query(f"""WITH b AS (SELECT doc_id // 10 AS document_id, doc_id AS ord, 'b' || CAST(doc_id AS STRING) AS block_id, {_RULED} AS text FROM documents)
-, h AS (SELECT *, 0 AS rule, 'bidBonds' AS category, 'الضمان الابتدائي: ' || CAST(ord AS STRING) || '%' AS statement FROM b WHERE text LIKE 'الضمان%' UNION ALL SELECT *, 2, 'penalties', 'الغرامات: يومية' FROM b WHERE text LIKE 'غرامة%' UNION ALL SELECT *, 7, 'unclearItems', 'بند غير واضح: كذا' FROM b WHERE text LIKE '%غير واضح%'
-  UNION ALL SELECT *, 8, 'questionsForAuthority', 'متى؟' FROM b WHERE text LIKE 'سؤال%' UNION ALL SELECT *, 9, 'contractualRisks', text FROM b WHERE text LIKE '%غرامة تأخير%')
-SELECT document_id, 'ev-' || CAST(row_number() OVER (PARTITION BY document_id ORDER BY ord, rule) AS STRING) AS evidence_id, block_id, category, statement, text AS excerpt FROM h""")
+_ALL_RULES = [*ev.RULES, (ev.RISK[0], "", ev.RISK[1])]
+_RULE_SQL = " UNION ALL ".join(
+    f"SELECT *, {i} AS rule, '{c}' AS category, '{label}' AS label, " + (f"regexp_extract(text, '{p}', 1)" if i < len(ev.RULES) else f"CASE WHEN regexp_matches(text, '{p}') THEN text ELSE '' END") + " AS hit FROM b" for i, (c, label, p) in enumerate(_ALL_RULES)
+)
+_STATED = f", h AS (SELECT * FROM ({_RULE_SQL}) WHERE hit <> ''), r AS (SELECT document_id, 0 AS part, ord, rule, block_id, category, CASE WHEN label = '' THEN substring(trim(hit), 1, 160) ELSE label || ': ' || trim(hit) END AS statement, CASE WHEN category IN ('unclearItems', '{ev.RISK[0]}') THEN 'medium' ELSE 'info' END AS severity, substring(text, 1, 200) AS excerpt FROM h)"
+_LINED = f"WITH b AS (SELECT doc_id AS document_id, unnest(range(0, len(l))) AS ord, 'b' || CAST(unnest(range(0, len(l))) AS STRING) AS block_id, unnest(l) AS text FROM (SELECT doc_id, string_split(text || chr(10) || {_RULED}, chr(10)) AS l FROM documents))"
+#: Chunks of ten lines, the last line of every seventh document in none; a table per conversation, at its document's third line.
+_TIED = _LINED + _STATED + """, k AS (SELECT document_id, block_id, 'k' || CAST(ord // 10 AS STRING) AS chunk_id FROM b WHERE NOT (document_id % 7 = 3 AND ord = (SELECT max(ord) FROM b x WHERE x.document_id = b.document_id)))
+, t AS (SELECT conv_id AS document_id, count(*) + 1 AS n, string_agg(role || ' = ' || CAST(length(text) AS STRING), '؛ ' ORDER BY turn) AS body FROM conversations GROUP BY conv_id), th AS (SELECT t.*, b.block_id, substring(b.text, 1, 200) AS excerpt FROM t JOIN b ON b.document_id = t.document_id AND ord = 2)
+, w AS (SELECT * FROM r UNION ALL SELECT document_id, 1, 0, 0, block_id, 'boqSummary', 'جدول (القسم 1): ' || CAST(n AS STRING) || ' صفًا — الأعمدة: ' || CASE WHEN document_id % 2 = 0 THEN 'البند | الكمية' ELSE 'البند | ملاحظة' END, 'info', excerpt FROM th UNION ALL SELECT document_id, 1, 0, 1, block_id, 'criticalQuantities', 'القسم 1: ' || substring(body, 1, 300), 'info', excerpt FROM th WHERE document_id % 2 = 0)
+, f AS (SELECT w.document_id, 'ev-' || CAST(dense_rank() OVER (PARTITION BY w.document_id ORDER BY part, ord, CASE WHEN part = 0 THEN rule END) AS STRING) AS evidence_id, w.block_id, category, statement, severity, excerpt, chunk_id FROM w JOIN k ON w.document_id = k.document_id AND w.block_id = k.block_id)"""
+
+
+def _ruled_lines(spark, sf_dir):
+    planted = docs(spark, sf_dir).selectExpr("doc_id AS document_id", f"text || char(10) || {_RULED} AS text")
+    lines = planted.select("document_id", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    return lines.select("document_id", "ord", F.concat(F.lit("b"), "ord").alias("block_id"), "text", F.when(F.col("ord") == 2, "t").alias("table_id"))
+
+
+def _tied_findings(spark, sf_dir):
+    b = _ruled_lines(spark, sf_dir)
+    last = b.groupBy("document_id").agg(F.max("ord").alias("last"))
+    held = b.join(last, "document_id").where("not (document_id % 7 = 3 and ord = last)")
+    chunks = held.groupBy("document_id", F.floor(F.col("ord") / 10).cast("int").alias("ordinal")).agg(F.collect_list("block_id").alias("block_ids")).withColumn("chunk_id", F.concat(F.lit("k"), "ordinal"))
+    row = F.array("role", F.length("text").cast("string"))
+    body = view(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("document_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", row.alias("row")))), lambda x: x["row"]).alias("rows"))
+    header = F.array(F.array(F.lit("البند"), F.when(F.col("document_id") % 2 == 0, "الكمية").otherwise("ملاحظة")))
+    tables = body.select("document_id", F.lit(0).alias("table_ord"), F.lit("t").alias("table_id"), F.lit("القسم 1").alias("location"), F.concat(header, "rows").alias("rows"))
+    return ev.rule_findings(b, chunks=chunks, tables=tables)
+
+
+@query(_TIED + " SELECT * FROM f")
 def rule_findings(spark, sf_dir):
-    return ev.rule_findings(docs(spark, sf_dir).selectExpr("doc_id div 10 AS document_id", "doc_id AS ord", "'b' || CAST(doc_id AS STRING) AS block_id", f"{_RULED} AS text"))
+    """The rules over all lines of the documents with a planted line each, tied to chunks, with tables."""
+    return _tied_findings(spark, sf_dir)
 
 
-@query()
+@query(_TIED + """, p AS (SELECT document_id, count(DISTINCT evidence_id) AS e, count(*) AS n FROM f GROUP BY document_id)
+SELECT doc_id AS document_id, coalesce(e, 0) AS n_evidence, coalesce(n, 0) AS n_findings, CASE WHEN e > 0 THEN 'partial' ELSE 'insufficient' END AS evidence_sufficiency, CASE WHEN e > 0 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN e > 0 THEN 'ev-1' END AS sufficiency_id FROM documents LEFT JOIN p ON doc_id = document_id""")
+def rule_report(spark, sf_dir):
+    return ev.rule_report(docs(spark, sf_dir).select(F.col("doc_id").alias("document_id")), _tied_findings(spark, sf_dir))
+
+
+@query(_LINED + _STATED + " SELECT document_id, 'ev-' || CAST(dense_rank() OVER (PARTITION BY document_id ORDER BY ord, rule) AS STRING) AS evidence_id, block_id, category, statement, severity, excerpt FROM r")
 def rule_findings_whole(spark, sf_dir):
-    """The same rules over the blocks of whole documents, each followed by its planted line."""
-    planted = docs(spark, sf_dir).selectExpr("doc_id", f"text || char(10) || {_RULED} AS text")
-    lines = planted.select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
-    return ev.rule_findings(lines.select("document_id", "ord", F.concat(F.lit("b"), "ord").alias("block_id"), "text"))
+    """The same rules without chunks and tables."""
+    return ev.rule_findings(_ruled_lines(spark, sf_dir))
 
 
-# selections: two known candidates, and by number a repeated or an unknown one or none
-def _selections(spark, sf_dir):
-    ids = "CASE doc_id % 5 WHEN 0 THEN array() WHEN 1 THEN array('c1', 'c0') WHEN 2 THEN array('c0', 'c0') WHEN 3 THEN array('c2', 'c9') ELSE array('c2', 'c1', 'c0') END AS candidate_ids"
-    return docs(spark, sf_dir).selectExpr("doc_id AS selection_id", "doc_id AS document_id", f"CASE WHEN doc_id % 13 = 0 THEN 'nope' ELSE {_cat('doc_id % 12')} END AS category", "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 'info' END AS severity", "CASE WHEN doc_id % 9 = 0 THEN 'sure' ELSE 'medium' END AS confidence", ids)
+# selections: JSON objects whose ids name lines of their document, known ones or not; some break rules
+_FINDING = """'{' || CASE WHEN doc_id % 9 = 4 THEN '' ELSE '"severity":"' || CASE WHEN doc_id % 7 = 3 THEN 'huge' ELSE 'info' END || '",' END || '"confidence":"' || CASE WHEN doc_id % 15 = 7 THEN 'sure' ELSE 'medium' END || '","evidenceIds":[' || {ids} || ']' || CASE WHEN doc_id % 16 = 5 THEN ',"statement":"x"' ELSE '' END || '}'"""
+_TWO = """'"c' || CAST(doc_id % 3 AS STRING) || '","c' || CAST(doc_id % 4 AS STRING) || '"'"""
+_ONE = """CASE WHEN doc_id % 19 = 2 THEN '' ELSE '"c' || CAST(doc_id % 7 AS STRING) || '"' END"""
+_LISTS = " || ','  || ".join(f"""'"{c}":' || CASE WHEN doc_id % 23 = 11 AND doc_id % 12 = {i} THEN '"none"' ELSE '[' || CASE WHEN doc_id % 12 = {i} AND doc_id % 21 <> 0 THEN {_FINDING.replace("{ids}", _TWO)} || CASE WHEN doc_id % 2 = 0 THEN ',' || {_FINDING.replace("{ids}", _ONE)} ELSE '' END WHEN (doc_id + 5) % 12 = {i} AND doc_id % 21 <> 0 THEN {_FINDING.replace("{ids}", _ONE)} ELSE '' END || ']' END""" for i, c in enumerate(ev.CATEGORIES))
+_SELECTION = f"""CASE WHEN doc_id % 29 = 1 THEN 'nothing' ELSE '{{' || {_LISTS} || ',"evidenceSufficiency":"' || CASE doc_id % 10 WHEN 0 THEN 'sufficient' WHEN 1 THEN 'maybe' WHEN 2 THEN 'insufficient' ELSE 'partial' END || '"' || CASE WHEN doc_id % 17 = 6 THEN '' ELSE ',"confidence":"low"' END
+ || ',"sufficiencyEvidenceIds":[' || CASE WHEN doc_id % 11 = 5 THEN '' ELSE '"c' || CAST(doc_id % 5 AS STRING) || '"' END || CASE WHEN doc_id % 18 = 3 THEN ',"c0","c0"' ELSE '' END || ']' || CASE WHEN doc_id % 13 = 8 THEN ',"evidence":[]' ELSE '' END || '}}' END"""
 
 
-def _candidates(spark, sf_dir):
-    return docs(spark, sf_dir).selectExpr("doc_id AS document_id", "explode(array(0, 1, 2)) AS i", "text").selectExpr("document_id", "'c' || CAST(i AS STRING) AS candidate_id", "substring(text, 1 + i * 50, 40) AS excerpt")
+def _selections(spark, sf_dir):
+    return docs(spark, sf_dir).selectExpr("doc_id AS selection_id", "doc_id AS document_id", f"{_SELECTION} AS body")
 
 
-@query(f"""SELECT doc_id AS selection_id, concat_ws(',', CASE WHEN doc_id % 13 = 0 THEN 'category' END, CASE WHEN doc_id % 7 = 0 THEN 'severity' END, CASE WHEN doc_id % 9 = 0 THEN 'confidence' END, CASE WHEN doc_id % 5 = 0 THEN 'empty' END, CASE WHEN doc_id % 5 = 2 THEN 'repeated' END, CASE WHEN doc_id % 5 = 3 THEN 'unknown-candidate' END) AS codes FROM documents""")
+def _candidates(spark, sf_dir):
+    """Lines of whole documents of 8 to 400 characters."""
+    return blocks(spark, sf_dir).where("length(text) between 8 and 400").select("document_id", F.concat(F.lit("c"), "ord").alias("candidate_id"), F.col("text").alias("excerpt"))
+
+
+_LINES = "lines AS (SELECT doc_id, unnest(range(0, len(l))) AS ord, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
+_listed = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+_PICKED = f"""WITH {_LINES}, c AS (SELECT doc_id, 'c' || CAST(ord AS STRING) AS id, line AS excerpt FROM lines WHERE length(line) BETWEEN 8 AND 400), s AS (SELECT doc_id, {_SELECTION} AS body FROM documents)
+, t AS (SELECT doc_id, body, CASE WHEN json_valid(body) THEN json_keys(body) END AS keys FROM s), good AS (SELECT * FROM t WHERE keys IS NOT NULL), cats AS (SELECT unnest(range(0, 12)) AS cat_ord, unnest({_listed(ev.CATEGORIES)}) AS cat)
+, l AS (SELECT doc_id, cat_ord, cat, json_extract(body, '$.' || cat) AS j FROM good, cats), f AS (SELECT doc_id, cat_ord, cat, unnest(range(0, CAST(json_array_length(j) AS BIGINT))) AS pos, unnest(CAST(j AS JSON[])) AS f FROM l WHERE json_type(j) = 'ARRAY')
+, i AS (SELECT doc_id, cat_ord, cat, pos, unnest(range(0, CAST(json_array_length(f, '$.evidenceIds') AS BIGINT))) AS spot, unnest(from_json(json_extract(f, '$.evidenceIds'), '["VARCHAR"]')) AS id FROM f)
+, o AS (SELECT doc_id, unnest(range(0, CAST(json_array_length(body, '$.sufficiencyEvidenceIds') AS BIGINT))) AS spot, unnest(from_json(json_extract(body, '$.sufficiencyEvidenceIds'), '["VARCHAR"]')) AS id FROM good)
+, per AS (SELECT doc_id, bool_or(list_sort(json_keys(f)) <> ['confidence', 'evidenceIds', 'severity']) AS shape, bool_or(NOT list_contains({_listed(ev.SEVERITIES)}, coalesce(json_extract_string(f, '$.severity'), ''))) AS severity, bool_or(NOT list_contains({_listed(ev.CONFIDENCES)}, coalesce(json_extract_string(f, '$.confidence'), ''))) AS confidence, bool_or(json_array_length(f, '$.evidenceIds') = 0) AS none FROM f GROUP BY doc_id)
+, rep AS (SELECT doc_id, bool_or(n > 1) AS repeated FROM (SELECT doc_id, cat_ord, pos, id, count(*) AS n FROM i GROUP BY ALL) GROUP BY doc_id), unk AS (SELECT doc_id, TRUE AS unknown FROM i ANTI JOIN c USING (doc_id, id) GROUP BY doc_id)
+, orep AS (SELECT doc_id, bool_or(n > 1) AS o_repeated FROM (SELECT doc_id, id, count(*) AS n FROM o GROUP BY ALL) GROUP BY doc_id), ounk AS (SELECT doc_id, TRUE AS o_unknown FROM o ANTI JOIN c USING (doc_id, id) GROUP BY doc_id), bad AS (SELECT doc_id, bool_or(json_type(j) <> 'ARRAY') AS not_list FROM l GROUP BY doc_id)
+, codes AS (SELECT doc_id, CASE WHEN keys IS NULL THEN 'not-an-object' WHEN len(list_filter({_listed(ev.SELECTION_FIELDS)}, lambda x: NOT list_contains(keys, x))) > 0 THEN 'missing-field' ELSE concat_ws(',', CASE WHEN len(list_filter(keys, lambda x: NOT list_contains({_listed(ev.SELECTION_FIELDS)}, x))) > 0 THEN 'unknown-field' END, CASE WHEN not_list THEN 'not-a-list' END, CASE WHEN shape THEN 'finding-fields' END,
+  CASE WHEN severity THEN 'severity' END, CASE WHEN confidence THEN 'confidence' END, CASE WHEN none THEN 'evidence-ids' END, CASE WHEN repeated THEN 'repeated-id' END, CASE WHEN unknown THEN 'unknown-id' END, CASE WHEN NOT list_contains({_listed(ev.SUFFICIENCIES)}, json_extract_string(body, '$.evidenceSufficiency')) THEN 'sufficiency' END, CASE WHEN NOT list_contains({_listed(ev.CONFIDENCES)}, json_extract_string(body, '$.confidence')) THEN 'own-confidence' END,
+  CASE WHEN o_repeated THEN 'sufficiency-repeated-id' END, CASE WHEN o_unknown THEN 'sufficiency-unknown-id' END, CASE WHEN json_extract_string(body, '$.evidenceSufficiency') IN ('sufficient', 'partial') AND json_array_length(body, '$.sufficiencyEvidenceIds') = 0 THEN 'sufficiency-without-ids' END) END AS codes
+  FROM (SELECT doc_id, keys, CASE WHEN keys IS NULL THEN '{{}}' ELSE body END AS body FROM t) LEFT JOIN per USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN unk USING (doc_id) LEFT JOIN orep USING (doc_id) LEFT JOIN ounk USING (doc_id) LEFT JOIN bad USING (doc_id))"""
+
+
+@query(_PICKED + " SELECT doc_id AS selection_id, codes FROM codes")
 def selection_audit(spark, sf_dir):
     return ev.selection_audit(_selections(spark, sf_dir), _candidates(spark, sf_dir))
 
 
-@query(f"""WITH e AS (SELECT doc_id, substring(text, 1, 40) AS e0, substring(text, 51, 40) AS e1, substring(text, 101, 40) AS e2, CASE WHEN doc_id % 13 = 0 THEN 'nope' ELSE {_cat('doc_id % 12')} END AS category FROM documents)
-SELECT doc_id AS selection_id, doc_id AS document_id, category, CASE doc_id % 5 WHEN 1 THEN e1 || '؛ ' || e0 WHEN 2 THEN e0 || '؛ ' || e0 WHEN 3 THEN e2 ELSE e2 || '؛ ' || e1 || '؛ ' || e0 END AS statement, CASE doc_id % 5 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 3 END AS n_evidence FROM e WHERE doc_id % 5 <> 0""")
+@query(_PICKED + """, st AS (SELECT doc_id, cat_ord, cat, pos, string_agg(excerpt, '؛ ' ORDER BY spot) AS statement FROM i JOIN c USING (doc_id, id) GROUP BY ALL), once AS (SELECT doc_id, statement, min(cat_ord * 1000 + pos) AS k FROM st GROUP BY ALL)
+, r AS (SELECT doc_id, count(*) AS n, string_agg(cat || ':' || CAST(pos AS STRING), ',' ORDER BY cat_ord, pos) AS findings FROM st GROUP BY doc_id), sm AS (SELECT doc_id, string_agg(statement, '؛ ' ORDER BY k) AS summary FROM once GROUP BY doc_id)
+, u AS (SELECT doc_id, id, min(k) AS k FROM (SELECT doc_id, id, cat_ord * 1000000 + pos * 1000 + spot AS k FROM i UNION ALL SELECT doc_id, id, 12000000 + spot FROM o) GROUP BY ALL), e AS (SELECT doc_id, string_agg(id, ',' ORDER BY k) AS evidence FROM u GROUP BY doc_id)
+SELECT doc_id AS selection_id, CASE WHEN codes <> '' THEN 'invalid' WHEN n IS NULL THEN 'no-findings' ELSE 'ok' END AS status, CASE WHEN codes = '' AND n > 0 THEN md5(summary) END AS summary_md5, CASE WHEN codes = '' AND n > 0 THEN n END AS n_findings, CASE WHEN codes = '' AND n > 0 THEN findings END AS findings, CASE WHEN codes = '' AND n > 0 THEN evidence END AS evidence
+FROM codes LEFT JOIN r USING (doc_id) LEFT JOIN sm USING (doc_id) LEFT JOIN e USING (doc_id)""")
 def selection_materialize(spark, sf_dir):
-    return ev.selection_materialize(_selections(spark, sf_dir), _candidates(spark, sf_dir))
+    out = ev.selection_materialize(_selections(spark, sf_dir), _candidates(spark, sf_dir))
+    place = F.transform("findings", lambda f, i: F.concat(f["category"], F.lit(":"), F.size(F.filter(F.slice("findings", 1, i), lambda g: g["category"] == f["category"])).cast("string")))
+    return out.select("selection_id", "status", F.md5("summary").alias("summary_md5"), F.when(F.col("findings").isNotNull(), F.size("findings")).cast("long").alias("n_findings"), F.array_join(place, ",").alias("findings"), F.array_join(F.transform("evidence", lambda e: e["candidate_id"]), ",").alias("evidence"))
 
 
 _STATEMENT = "'القيمة ' || CAST(doc_id % 900 AS STRING) || '.50 ريال بتاريخ 2024-01-0' || CAST(1 + doc_id % 9 AS STRING)"
@@ -103,28 +165,53 @@ def _findings(spark, sf_dir):
 def _evidence(spark, sf_dir):
     d = docs(spark, sf_dir)
     base = ["doc_id AS report_id", "CASE WHEN doc_id % 7 = 0 THEN 'docx' ELSE 'pdf' END AS source_type", "CASE WHEN doc_id % 11 = 0 THEN 'lost' ELSE 'all' END AS chunk_id"]
-    first = d.selectExpr(*base, "doc_id AS document_id", "1 AS pos", "'ev-1' AS evidence_id", "CASE WHEN doc_id % 5 = 0 THEN substring(text, 1, 60) || '§' ELSE replace(substring(text, 1, 60), ' ', '  ') END AS excerpt", "1 AS page_number")
+    first = d.selectExpr(*base, "doc_id AS document_id", "1 AS pos", "'ev-1' AS evidence_id", "CASE WHEN doc_id % 5 = 0 THEN split_part(text, char(10), 1) || '§' ELSE replace(split_part(text, char(10), 1), ' ', '  ') END AS excerpt", "1 AS page_number")
     second = d.selectExpr(*base, "CASE WHEN doc_id % 17 = 0 THEN doc_id + 1 ELSE doc_id END AS document_id", "2 AS pos", "'ev-2' AS evidence_id", f"{_PROOF} AS excerpt", "CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 1 END AS page_number")
     return first.unionByName(second)
 
 
 _LABEL = "CASE quality WHEN 1 THEN 'sufficient' ELSE CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE 'partial' END END"
-
-
-@query(f"""SELECT doc_id AS report_id, concat_ws(',', CASE WHEN {_LABEL} = 'unknown' THEN 'sufficiency' END, CASE WHEN doc_id % 10 = 0 THEN 'confidence' END, CASE WHEN doc_id % 8 = 0 THEN 'finding' END, CASE WHEN doc_id % 5 = 0 THEN 'dangling' END) AS codes FROM labels JOIN documents USING (doc_id)""")
+_FIRST = "split_part(text, chr(10), 1)"
+#: The same findings and evidence for DuckDB, the ids of a finding exploded in x with their excerpts.
+_REPORTED = f"""WITH f AS (SELECT doc_id AS report_id, doc_id * 10 AS finding_id, {_cat('doc_id % 12')} AS category, {_STATEMENT} AS statement, CASE WHEN doc_id % 8 = 0 THEN 'huge' ELSE 'info' END AS severity, 'medium' AS confidence, CASE WHEN doc_id % 5 = 0 THEN ['ev-2', 'ev-9'] ELSE ['ev-2'] END AS ids FROM documents)
+, e AS (SELECT doc_id AS report_id, 'ev-1' AS evidence_id, CASE WHEN doc_id % 5 = 0 THEN {_FIRST} || '§' ELSE replace({_FIRST}, ' ', '  ') END AS excerpt, CASE WHEN doc_id % 11 = 0 THEN 'lost' ELSE 'all' END AS chunk_id FROM documents UNION ALL SELECT doc_id, 'ev-2', {_PROOF}, CASE WHEN doc_id % 11 = 0 THEN 'lost' ELSE 'all' END FROM documents)
+, x AS (SELECT report_id, finding_id, unnest(ids) AS evidence_id FROM f), ex AS (SELECT report_id, finding_id, string_agg(excerpt, ' ' ORDER BY excerpt) AS excerpts FROM x JOIN e USING (report_id, evidence_id) GROUP BY ALL)"""
+
+
+@query(_REPORTED + f""", r AS (SELECT doc_id AS report_id, {_LABEL} AS sufficiency, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE 'low' END AS own FROM labels), d AS (SELECT report_id, count(*) AS dangling FROM x ANTI JOIN e USING (report_id, evidence_id) GROUP BY report_id)
+, bf AS (SELECT report_id, count(*) FILTER (WHERE NOT (list_contains({_listed(ev.CATEGORIES)}, category) AND list_contains({_listed(ev.SEVERITIES)}, severity) AND list_contains({_listed(ev.CONFIDENCES)}, confidence) AND length(statement) > 0)) AS bad FROM f GROUP BY report_id)
+, be AS (SELECT report_id, count(*) AS n, count(*) FILTER (WHERE length(excerpt) NOT BETWEEN 1 AND 400 OR chunk_id IS NULL) AS bad_e FROM e GROUP BY report_id)
+SELECT report_id, concat_ws(',', CASE WHEN NOT list_contains({_listed(ev.SUFFICIENCIES)}, sufficiency) THEN 'sufficiency' END, CASE WHEN own IS NULL OR NOT list_contains({_listed(ev.CONFIDENCES)}, own) THEN 'confidence' END, CASE WHEN bad > 0 THEN 'finding' END, CASE WHEN bad_e > 0 THEN 'evidence' END, CASE WHEN dangling > 0 THEN 'dangling' END, CASE WHEN coalesce(n, 0) = 0 AND sufficiency <> 'insufficient' THEN 'no-evidence' END) AS codes
+FROM r LEFT JOIN bf USING (report_id) LEFT JOIN be USING (report_id) LEFT JOIN d USING (report_id)""")
 def report_audit(spark, sf_dir):
     reports = view(spark, sf_dir, "labels").selectExpr("doc_id AS report_id", f"{_LABEL} AS evidence_sufficiency", "CASE WHEN doc_id % 10 = 0 THEN NULL ELSE 'low' END AS confidence")
     return ev.report_audit(reports, _findings(spark, sf_dir), _evidence(spark, sf_dir))
 
 
-@query("""WITH e AS (SELECT doc_id, 'job_' || lpad(CAST(doc_id // 4 AS STRING), 14, '0') AS job_id, 'ev-' || CAST(CASE WHEN doc_id % 40 = 1 THEN 0 ELSE doc_id % 4 END AS STRING) AS evidence_id FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY job_id, evidence_id) AS same FROM e)
-SELECT job_id, doc_id AS pos, evidence_id, 'ev-' || right(regexp_replace(job_id, '[^A-Za-z0-9]', '', 'g'), 12) || '-' || CAST(n AS STRING) AS new_id, max(same) OVER (PARTITION BY job_id) > 1 AS rejected FROM n""")
+_JOB = "'job_' || lpad(CAST({0} AS STRING), 14, '0')"
+_OLD = "'ev-' || CAST(CASE WHEN doc_id % 40 = 1 THEN 0 ELSE doc_id % 4 END AS STRING)"
+_REKEY = f"""WITH e AS (SELECT doc_id, {_JOB.format('doc_id // 4')} AS job_id, {_OLD} AS evidence_id FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY job_id, evidence_id) AS same FROM e)
+, k AS (SELECT job_id, doc_id AS pos, evidence_id, 'ev-' || right(regexp_replace(job_id, '[^A-Za-z0-9]', '', 'g'), 12) || '-' || CAST(n AS STRING) AS new_id, max(same) OVER (PARTITION BY job_id) > 1 AS rejected FROM n)"""
+
+
+def _job_evidence(spark, sf_dir):
+    return docs(spark, sf_dir).selectExpr(f"{_JOB.format('doc_id div 4')} AS job_id", "doc_id AS pos", f"{_OLD} AS evidence_id")
+
+
+@query(_REKEY + " SELECT * FROM k")
 def evidence_rekey(spark, sf_dir):
-    e = docs(spark, sf_dir).selectExpr("'job_' || lpad(CAST(doc_id div 4 AS STRING), 14, '0') AS job_id", "doc_id AS pos", "'ev-' || CAST(CASE WHEN doc_id % 40 = 1 THEN 0 ELSE doc_id % 4 END AS STRING) AS evidence_id")
-    return ev.evidence_rekey(e)
+    return ev.evidence_rekey(_job_evidence(spark, sf_dir))
 
 
-@query(f"""WITH r AS (SELECT doc_id, 1 AS pos, CASE WHEN doc_id % 7 = 0 THEN 'type' WHEN doc_id % 11 = 0 THEN 'chunk' WHEN NOT contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(CASE WHEN doc_id % 5 = 0 THEN substring(text, 1, 60) || '§' ELSE substring(text, 1, 60) END, '\\s+', ' ', 'g'))) THEN 'excerpt' END AS reason FROM documents
+@query(_REKEY + f""", f AS (SELECT {_JOB.format('conv_id')} AS job_id, turn AS pos, ['ev-' || CAST(turn % 5 AS STRING), 'ev-' || CAST(length(text) % 4 AS STRING)] AS ids FROM conversations), x AS (SELECT job_id, pos, unnest(range(0, 2)) AS spot, unnest(ids) AS evidence_id FROM f)
+SELECT job_id, x.pos, string_agg(coalesce(new_id, evidence_id), ',' ORDER BY spot) AS evidence_ids FROM x LEFT JOIN k USING (job_id, evidence_id) WHERE job_id NOT IN (SELECT job_id FROM k WHERE rejected) GROUP BY job_id, x.pos""")
+def rekeyed_references(spark, sf_dir):
+    """Turns of conversations as findings of the jobs of the same number."""
+    f = view(spark, sf_dir, "conversations").selectExpr(f"{_JOB.format('conv_id')} AS job_id", "turn AS pos", "array('ev-' || CAST(turn % 5 AS STRING), 'ev-' || CAST(length(text) % 4 AS STRING)) AS evidence_ids")
+    return ev.rekeyed_references(f, ev.evidence_rekey(_job_evidence(spark, sf_dir))).withColumn("evidence_ids", F.array_join("evidence_ids", ","))
+
+
+@query(f"""WITH r AS (SELECT doc_id, 1 AS pos, CASE WHEN doc_id % 7 = 0 THEN 'type' WHEN doc_id % 11 = 0 THEN 'chunk' WHEN NOT contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(CASE WHEN doc_id % 5 = 0 THEN split_part(text, chr(10), 1) || '§' ELSE split_part(text, chr(10), 1) END, '\\s+', ' ', 'g'))) THEN 'excerpt' END AS reason FROM documents
 UNION ALL SELECT doc_id, 2, CASE WHEN doc_id % 17 = 0 THEN 'document' WHEN doc_id % 7 = 0 THEN 'type' WHEN doc_id % 6 = 0 THEN 'location' WHEN doc_id % 11 = 0 THEN 'chunk' WHEN NOT contains(text, {_PROOF}) THEN 'excerpt' END FROM documents)
 SELECT doc_id AS report_id, count(reason) = 0 AS grounded, first(reason ORDER BY pos) FILTER (WHERE reason IS NOT NULL) AS first_reason, count(reason) AS failures FROM r GROUP BY doc_id""")
 def grounding_check(spark, sf_dir):
@@ -133,11 +220,47 @@ def grounding_check(spark, sf_dir):
     return ev.grounding_check(_evidence(spark, sf_dir), d.selectExpr("doc_id AS report_id", "doc_id AS document_id", "'pdf' AS document_type"), chunks)
 
 
-@query("""WITH f AS (SELECT doc_id, i, CASE i WHEN 0 THEN 3 WHEN 1 THEN 3 ELSE 5 END AS cat_ord, CASE i WHEN 0 THEN 'bidBonds' WHEN 1 THEN 'bidBonds' ELSE 'penalties' END AS category, CASE i WHEN 2 THEN 0 ELSE i END AS pos, 'بيان ' || CAST(i AS STRING) || '/' || CAST(doc_id AS STRING) AS statement FROM documents, range(0, 3) t(i))
-SELECT doc_id AS report_id, cat_ord, category, pos, statement, row_number() OVER (PARTITION BY doc_id ORDER BY cat_ord, pos) AS finding_no FROM f""")
+# reports whose findings are their documents' lines, dealt to categories by number
+_SORTED_LINES = f"WITH {_LINES}, l AS (SELECT doc_id, ord, line, (doc_id + ord) % 12 AS cat FROM lines WHERE line <> ''), named AS (SELECT unnest({_listed(ev.CATEGORIES)}) AS category, unnest(range(0, 12)) AS cat), stored AS (SELECT unnest({_listed(ev.STORED_ORDER)}) AS category, unnest(range(0, 12)) AS place)"
+
+
+def _stored_reports(spark, sf_dir):
+    lines = blocks(spark, sf_dir).where("text <> ''").withColumn("cat", (F.col("document_id") + F.col("ord")) % 12)
+    names = F.array(*[F.lit(c) for c in ev.CATEGORIES])
+    lines = lines.withColumn("category", F.get(names, F.col("cat").cast("int")))
+    f = F.struct("ord", F.col("text").alias("statement"), F.lit("info").alias("severity"), F.lit("medium").alias("confidence"), F.array(F.concat(F.lit("ev-"), "ord")).alias("evidence_ids"))
+    per = lines.groupBy("document_id", "category").agg(F.transform(F.array_sort(F.collect_list(f)), lambda x: x.dropFields("ord")).alias("rows"))
+    findings = per.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("category", "rows"))).alias("findings"))
+    e = F.struct("ord", F.concat(F.lit("ev-"), "ord").alias("evidence_id"), "document_id", F.lit("pdf").alias("source_type"), "page_number", F.col("text").alias("excerpt"), F.lit("all").alias("chunk_id"))
+    evidence = lines.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(e)), lambda x: x.dropFields("ord")).alias("evidence"))
+    run = F.struct(F.col("lang").alias("provider"), F.col("source").alias("model"), F.lit("succeeded").alias("status"), F.col("n_chars").cast("long").alias("duration_ms"), F.lit("p1").alias("prompt_version"), F.lit("v3").alias("schema_version"), F.lit(None).cast("string").alias("error_code"))
+    head = docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), run.alias("run"), F.lit("2025-01-01").alias("finished_at"))
+    return head.join(findings, "document_id").join(evidence, "document_id").withColumnRenamed("document_id", "report_id")
+
+
+@query(_SORTED_LINES + """ SELECT doc_id AS report_id, row_number() OVER (PARTITION BY doc_id ORDER BY place, ord) AS finding_no, category, md5(line) AS statement_md5, 'info' AS severity, 'medium' AS confidence, 'ev-' || CAST(ord AS STRING) AS evidence_ids FROM l JOIN named USING (cat) JOIN stored USING (category)""")
 def report_flatten(spark, sf_dir):
-    own = "map('bidBonds', array('بيان 0/' || CAST(doc_id AS STRING), 'بيان 1/' || CAST(doc_id AS STRING)), 'penalties', array('بيان 2/' || CAST(doc_id AS STRING))) AS findings"
-    return ev.report_flatten(docs(spark, sf_dir).selectExpr("doc_id AS report_id", own))
+    rows = ev.report_flatten(_stored_reports(spark, sf_dir))["findings"]
+    return rows.withColumns({"statement_md5": F.md5("statement"), "evidence_ids": F.array_join("evidence_ids", ",")}).drop("statement")
+
+
+@query(_SORTED_LINES + """ SELECT doc_id AS report_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS pos, 'ev-' || CAST(ord AS STRING) AS evidence_id, doc_id AS document_id, 'pdf' AS source_type, CAST(ord // 20 + 1 AS INT) AS page_number, md5(line) AS excerpt_md5, 'all' AS chunk_id FROM l""")
+def report_flatten_evidence(spark, sf_dir):
+    return ev.report_flatten(_stored_reports(spark, sf_dir))["evidence"].withColumn("excerpt_md5", F.md5("excerpt")).drop("excerpt")
+
+
+@query(_SORTED_LINES + """, n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id) SELECT doc_id AS report_id, 'completed' AS job_status, '2025-01-01' AS finished_at, n AS n_findings, n AS n_evidence, lang AS provider, source AS model, 'succeeded' AS run_status, CAST(n_chars AS BIGINT) AS duration_ms, 'p1' AS prompt_version, 'v3' AS schema_version, CAST(NULL AS STRING) AS error_code FROM documents JOIN n USING (doc_id)""")
+def report_flatten_jobs(spark, sf_dir):
+    """The completed job and the model run of each stored report."""
+    rows = ev.report_flatten(_stored_reports(spark, sf_dir))
+    return rows["jobs"].withColumnRenamed("status", "job_status").join(rows["runs"].withColumnRenamed("status", "run_status"), "report_id")
+
+
+@query("""SELECT role AS provider, CASE WHEN turn % 3 = 0 THEN '' ELSE 'm' || CAST(turn % 4 AS STRING) END AS model, count(*) AS runs, count(*) FILTER (WHERE length(text) % 7 = 0) AS failed, round(avg(CASE WHEN conv_id % 5 = 0 THEN 0 ELSE length(text) END), 4) AS mean_ms, max(CASE WHEN conv_id % 5 = 0 THEN 0 ELSE length(text) END) AS max_ms FROM conversations GROUP BY ALL""")
+def model_run_outcomes(spark, sf_dir):
+    """Turns of conversations as model runs."""
+    c = view(spark, sf_dir, "conversations").selectExpr("role AS provider", "CASE WHEN turn % 3 = 0 THEN NULL ELSE 'm' || CAST(turn % 4 AS STRING) END AS model", "CASE WHEN length(text) % 7 = 0 THEN 'failed' ELSE 'succeeded' END AS status", "CASE WHEN conv_id % 5 = 0 THEN NULL ELSE length(text) END AS duration_ms")
+    return ev.model_run_outcomes(c)
 
 
 @query("""SELECT event_type AS status, CASE WHEN user_id % 4 = 0 THEN 'E' || CAST(user_id % 3 AS STRING) END AS error_code, count(*) AS jobs, round(avg(CAST(user_id % 1000 AS DOUBLE)), 4) AS mean_ms, max(user_id % 1000) AS max_ms FROM events GROUP BY ALL""")
@@ -177,12 +300,27 @@ def numeric_claims(spark, sf_dir):
     return bench.numeric_claims(docs(spark, sf_dir).select("doc_id", "text"))
 
 
-@query("""SELECT doc_id AS report_id, doc_id * 10 AS finding_id, CAST(doc_id % 900 AS STRING) || '.5' AS value FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, doc_id * 10, '2024-01-0' || CAST(1 + doc_id % 9 AS STRING) FROM documents WHERE doc_id % 3 <> 0""")
+_DATE, _NUMBER = r"\d{4}-\d{1,2}-\d{1,2}", r"\d+(?:\.\d+)?"
+_amounts = lambda c: f"list_concat(regexp_extract_all({c}, '{_DATE}'), list_transform(regexp_extract_all(regexp_replace({c}, '{_DATE}', ' ', 'g'), '{_NUMBER}'), lambda x: CAST(CAST(x AS DOUBLE) AS STRING)))"
+
+
+@query(_REPORTED + f""", own AS (SELECT report_id, finding_id, unnest(list_distinct({_amounts('statement')})) AS value FROM f), known AS (SELECT report_id, finding_id, unnest(list_distinct({_amounts('excerpts')})) AS value FROM ex)
+SELECT report_id, finding_id, regexp_replace(value, '\\.0$', '') AS value FROM own ANTI JOIN known USING (report_id, finding_id, value)""")
 def numeric_grounding(spark, sf_dir):
     return bench.numeric_grounding(_findings(spark, sf_dir), _evidence(spark, sf_dir))
 
 
-@query("SELECT doc_id AS report_id, doc_id * 10 AS finding_id, CAST(doc_id % 900 AS STRING) || '.50' AS unfounded FROM documents")
+_FOLDED = lambda c: f"translate(regexp_replace(lower({c}), '{text.MARKS}', '', 'g'), '{text.FOLDED}', '{text.FOLDED_TO}')"
+_STRIPPED = r"list_transform(string_split_regex({0}, '\s+'), lambda t: regexp_replace(regexp_replace(t, '^[:،؛؟?()\[\]—–\-\"«».;'']+', ''), '[:،؛؟?()\[\]—–\-\"«».;'']+$', ''))"
+_TOKENS = lambda c: f"list_filter({_STRIPPED.format(_FOLDED(c))}, lambda t: length(t) >= 3 AND NOT list_contains({_listed(sorted({text.fold_word(w) for w in text.STOP_WORDS}))}, t))"
+# a token without one or two joined particles, and without its article
+_VARIANTS = """SELECT *, unnest([token, once, twice, CASE WHEN length(token) > 5 AND starts_with(token, 'ال') THEN token[3:] ELSE token END, CASE WHEN length(twice) > 3 AND starts_with(twice, 'ال') THEN twice[3:] ELSE token END]) AS variant
+  FROM (SELECT *, CASE WHEN length(token) > 3 AND length(once) > 3 AND once <> token AND contains('وفبلك', once[1]) THEN once[2:] ELSE once END AS twice FROM (SELECT *, CASE WHEN length(token) > 3 AND contains('وفبلك', token[1]) THEN token[2:] ELSE token END AS once FROM {0}))"""
+
+
+@query(_REPORTED + f""", ft AS (SELECT report_id, finding_id, unnest(range(0, len(t))) AS spot, unnest(t) AS token FROM (SELECT *, {_TOKENS('statement')} AS t FROM f)), et AS (SELECT report_id, finding_id, unnest(t) AS token FROM (SELECT *, {_TOKENS('excerpts')} AS t FROM ex))
+, fv AS ({_VARIANTS.format('ft')}), kv AS (SELECT DISTINCT report_id, finding_id, variant FROM ({_VARIANTS.format('et')})), j AS (SELECT fv.report_id, fv.finding_id, spot, token, bool_or(kv.variant IS NOT NULL OR list_contains({_listed(bench.NEUTRAL)}, fv.variant)) AS ok FROM fv LEFT JOIN kv ON fv.report_id = kv.report_id AND fv.finding_id = kv.finding_id AND fv.variant = kv.variant GROUP BY ALL)
+SELECT report_id, finding_id, arg_min(token, spot) AS unfounded FROM j WHERE NOT ok GROUP BY ALL""")
 def token_grounding(spark, sf_dir):
     return bench.token_grounding(_findings(spark, sf_dir), _evidence(spark, sf_dir))
 
@@ -192,9 +330,8 @@ def _assertions(spark):
     return spark.createDataFrame(rows, "ord int, assertion_id string, terms array<string>, categories array<string>")
 
 
-@query(f"""WITH f AS (SELECT doc_id, {_cat('doc_id % 12')} AS c, {_STATEMENT} AS s FROM documents)
-SELECT doc_id AS report_id, doc_id * 10 AS finding_id, CASE WHEN c IN ('bidBonds', 'penalties', 'deadlines') AND contains(s, '1.50') THEN 'fa-1' WHEN c IN ('guarantees', 'penalties') THEN 'fa-2' ELSE 'fa-3' END AS assertion_id FROM f
-WHERE (c IN ('bidBonds', 'penalties', 'deadlines') AND contains(s, '1.50')) OR c IN ('guarantees', 'penalties', 'scopeOfWork', 'eligibilityRequirements', 'requiredExperience')""")
+@query(_REPORTED + f""", a(ord, assertion_id, terms, categories) AS (VALUES (1, 'fa-1', ['القيمة', '1.50'], ['bidBonds', 'penalties', 'deadlines']), (2, 'fa-2', ['القيمة', 'ريال'], ['guarantees', 'penalties']), (3, 'fa-3', ['ريال'], {_listed(ev.CATEGORIES[:3])}))
+SELECT report_id, finding_id, arg_min(assertion_id, ord) AS assertion_id FROM f JOIN a ON list_contains(categories, category) AND len(list_filter(terms, lambda t: NOT contains(statement, t))) = 0 GROUP BY ALL""")
 def forbidden_assertions(spark, sf_dir):
     return bench.forbidden_assertions(_findings(spark, sf_dir), _assertions(spark))
 
@@ -208,67 +345,105 @@ def narrative_check(spark, sf_dir):
     return bench.narrative_check(d.select(F.col("doc_id").alias("report_id"), F.col("text").alias("narrative")), d.select(F.col("doc_id").alias("report_id"), corpus.alias("corpus")), _assertions(spark))
 
 
-# --- benchmark scoring: one run per document, 20 cases of 4 expectations ---------------------------
+# --- benchmark scoring: one run per document, the case of the part with its number, 4 expectations ---
+
+_WANTED = ("p_brand", "p_type", "p_name", "CAST(p_size AS STRING) || ' units'")
+_term = lambda i: "CASE " + i + " " + " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(_WANTED)) + " END"
+
+
+def _parts(spark, sf_dir):
+    return view(spark, sf_dir, "part").selectExpr("*", "explode(array(0, 1, 2, 3)) AS ord")
 
 
-def _expectations(spark):
-    grid = spark.range(80).selectExpr("CAST(id div 4 AS BIGINT) AS case_id", "CAST(id % 4 AS INT) AS ord")
-    return grid.selectExpr("case_id", "ord", "'exp-' || ord AS expected_id", f"{_cat('(case_id + ord) % 12')} AS category", "array('t' || ord) AS critical_terms", "'t' || ord || ' value' AS expected_value", "CASE ord WHEN 2 THEN 'missing' WHEN 3 THEN 'conflicting' ELSE 'explicit' END AS availability", "ord <> 3 AS required", "array('k-' || case_id || '-' || ord) AS candidate_ids")
+def _expectations(spark, sf_dir):
+    grid = _parts(spark, sf_dir).selectExpr("p_partkey AS case_id", "ord", f"{_term('ord')} AS term")
+    return grid.selectExpr("case_id", "ord", "'exp-' || ord AS expected_id", f"{_cat('(case_id + ord) % 12')} AS category", "split(term, ' ') AS critical_terms", "term AS expected_value", "CASE ord WHEN 2 THEN 'missing' WHEN 3 THEN 'conflicting' ELSE 'explicit' END AS availability", "ord <> 3 AS required", "array('k-' || case_id || '-' || ord) AS candidate_ids")
 
 
 def _runs(spark, sf_dir):
-    return docs(spark, sf_dir).selectExpr("doc_id AS run_id", "doc_id % 20 AS case_id", "source AS model")
+    return docs(spark, sf_dir).selectExpr("doc_id AS run_id", "doc_id AS case_id", "source AS model", "n_chars AS duration_ms", "lang AS prompt_version")
 
 
 def _run_findings(spark, sf_dir):
-    f = _runs(spark, sf_dir).selectExpr("run_id", "case_id", "explode(array(0, 1, 2, 3)) AS f_ord").where("f_ord < 3 or run_id % 3 = 0")
-    return f.selectExpr("run_id", "case_id", "f_ord", f"{_cat('(case_id + f_ord + CASE WHEN run_id % 7 = 0 THEN 1 ELSE 0 END) % 12')} AS category", "'t' || f_ord || ' value' AS statement", "CASE WHEN run_id % 5 = 0 AND f_ord = 1 THEN array('zz') ELSE array('k-' || case_id || '-' || f_ord) END AS evidence_ids")
+    """What a run states: the case's values, some of them those of the part of that number times seven."""
+    parts = _parts(spark, sf_dir).selectExpr("p_partkey AS said", "ord AS f_ord", f"'value ' || {_term('ord')} AS statement")
+    f = _runs(spark, sf_dir).selectExpr("run_id", "case_id", "CASE WHEN run_id % 4 = 1 THEN run_id * 7 % 100 ELSE run_id END AS said").join(parts, "said").where("f_ord < 3 or run_id % 3 = 0")
+    return f.selectExpr("run_id", "case_id", "f_ord", f"{_cat('(case_id + f_ord + CASE WHEN run_id % 7 = 0 THEN 1 ELSE 0 END) % 12')} AS category", "statement", "CASE WHEN run_id % 5 = 0 AND f_ord = 1 THEN array('zz') ELSE array('k-' || case_id || '-' || f_ord) END AS evidence_ids")
 
 
-_HITS = "WITH g AS (SELECT doc_id AS run_id, source AS model, i AS ord, doc_id % 7 <> 0 AS right_cat, NOT (doc_id % 5 = 0 AND i = 1) AS right_ev, i < 3 OR doc_id % 3 = 0 AS present FROM documents, range(0, 4) t(i))"
+_MATCHED = f"""WITH x AS (SELECT *, unnest(range(0, 4)) AS ord FROM part), exp AS (SELECT p_partkey AS case_id, ord, {_cat('(p_partkey + ord) % 12')} AS category, {_term('ord')} AS term, ord < 2 AS explicit, ord <> 3 AS required, 'k-' || CAST(p_partkey AS STRING) || '-' || CAST(ord AS STRING) AS candidate FROM x)
+, runs AS (SELECT doc_id AS run_id, doc_id AS case_id, source AS model, n_chars AS duration_ms, lang AS prompt_version, CASE WHEN doc_id % 4 = 1 THEN doc_id * 7 % 100 ELSE doc_id END AS said FROM documents)
+, f AS (SELECT run_id, r.case_id, x.ord AS f_ord, {_cat('(r.case_id + x.ord + CASE WHEN run_id % 7 = 0 THEN 1 ELSE 0 END) % 12')} AS category, 'value ' || {_term('ord')} AS statement, CASE WHEN run_id % 5 = 0 AND x.ord = 1 THEN 'zz' ELSE 'k-' || CAST(r.case_id AS STRING) || '-' || CAST(x.ord AS STRING) END AS id FROM runs r JOIN x ON said = p_partkey WHERE x.ord < 3 OR run_id % 3 = 0)
+, cov AS (SELECT run_id, exp.ord, f_ord, exp.category = f.category AS right_cat, f.category FROM f JOIN exp USING (case_id) WHERE id = candidate AND len(list_filter(string_split(term, ' '), lambda t: NOT contains(statement, t))) = 0)
+, m AS (SELECT run_id, category, ord, f_ord FROM (SELECT *, row_number() OVER (PARTITION BY run_id, category, ord ORDER BY f_ord) AS a, row_number() OVER (PARTITION BY run_id, category, f_ord ORDER BY ord) AS b FROM cov WHERE right_cat) WHERE a = 1 AND b = 1)"""
 
 
-@query(f"""{_HITS} SELECT run_id, {_cat('(run_id % 20 + ord) % 12')} AS category, ord, ord AS f_ord FROM g WHERE present AND right_cat AND right_ev""")
+@query(_MATCHED + " SELECT * FROM m")
 def expectation_match(spark, sf_dir):
-    return bench.expectation_match(_run_findings(spark, sf_dir), _expectations(spark))
+    return bench.expectation_match(_run_findings(spark, sf_dir), _expectations(spark, sf_dir))
 
 
-_SCORES = _HITS + """, c AS (SELECT run_id, model, sum(CASE WHEN ord < 2 AND present AND right_cat AND right_ev THEN 1 ELSE 0 END) AS fh, sum(CASE WHEN present AND right_ev THEN 1 ELSE 0 END) AS cov, sum(CASE WHEN present AND right_cat AND right_ev THEN 1 ELSE 0 END) AS hit,
-  sum(CASE WHEN ord >= 2 AND present AND right_cat AND right_ev THEN 1 ELSE 0 END) AS ah, sum(CASE WHEN ord <> 3 AND present AND right_cat AND right_ev THEN 1 ELSE 0 END) AS rh, sum(CASE WHEN present THEN 1 ELSE 0 END) AS chosen FROM g GROUP BY ALL)
-, parts AS (SELECT run_id, model, floor(fh / CAST(2 AS DOUBLE) * 3500 + 0.5) / 100 AS facts, CASE WHEN cov = 0 THEN 15.0 ELSE floor(hit / CAST(cov AS DOUBLE) * 1500 + 0.5) / 100 END AS categories, CASE WHEN cov = 0 THEN 0.0 WHEN chosen = 0 THEN 25.0 ELSE floor(cov / CAST(chosen AS DOUBLE) * 2500 + 0.5) / 100 END AS evidence,
-  floor(ah / CAST(2 AS DOUBLE) * 1500 + 0.5) / 100 AS ambiguity, floor(rh / CAST(3 AS DOUBLE) * 1000 + 0.5) / 100 AS completeness FROM c)
+_share = lambda done, total, weight: f"CASE WHEN {total} = 0 THEN {weight}.0 ELSE floor({done} / CAST({total} AS DOUBLE) * {weight} * 100 + 0.5) / 100 END"
+_SCORES = _MATCHED + f""", due AS (SELECT run_id, model, exp.* FROM runs JOIN exp USING (case_id)), j AS (SELECT due.*, m.f_ord IS NOT NULL AS hit, c.ord IS NOT NULL AS covered FROM due LEFT JOIN m ON due.run_id = m.run_id AND due.ord = m.ord LEFT JOIN (SELECT DISTINCT run_id, ord FROM cov) c ON due.run_id = c.run_id AND due.ord = c.ord)
+, n AS (SELECT run_id, count(*) AS expected, count(*) FILTER (WHERE explicit) AS fact, count(*) FILTER (WHERE explicit AND hit) AS fact_hit, count(*) FILTER (WHERE covered) AS cov, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT explicit) AS amb, count(*) FILTER (WHERE NOT explicit AND hit) AS amb_hit, count(*) FILTER (WHERE required) AS req, count(*) FILTER (WHERE required AND hit) AS req_hit FROM j GROUP BY run_id)
+, ids AS (SELECT DISTINCT run_id, id FROM f), ch AS (SELECT i.run_id, count(*) AS chosen, count(d.candidate) AS chosen_right FROM ids i LEFT JOIN due d ON i.run_id = d.run_id AND i.id = d.candidate GROUP BY i.run_id)
+, parts AS (SELECT run_id, {_share('fact_hit', 'fact', 35)} AS facts, {_share('hits', 'cov', 15)} AS categories, CASE WHEN expected > 0 AND cov = 0 THEN 0.0 ELSE {_share('coalesce(chosen_right, 0)', 'coalesce(chosen, 0)', 25)} END AS evidence, {_share('amb_hit', 'amb', 15)} AS ambiguity, {_share('req_hit', 'req', 10)} AS completeness FROM n LEFT JOIN ch USING (run_id))
 , scores AS (SELECT *, floor((facts + categories + evidence + ambiguity + completeness) * 100 + 0.5) / 100 AS score FROM parts)
-, v AS (SELECT run_id, model, CASE WHEN run_id % 11 = 0 THEN 'INVALID_BENCHMARK_INPUT' WHEN run_id % 6 = 0 THEN 'SAFE_REJECTION' WHEN run_id % 4 = 0 THEN 'SAFETY_FAILURE' ELSE 'PASS' END AS verdict, score FROM scores)"""
+, gates AS (SELECT run_id, duration_ms > 0 AND prompt_version IS NOT NULL AS input, bool_and(f.id IS NULL OR f.id <> 'zz' OR duration_ms < 1500) AS contract, bool_and(f.statement IS NULL OR contains(f.statement, 'value') AND (said = runs.case_id OR duration_ms % 2 = 0)) AS safety FROM runs LEFT JOIN f USING (run_id) GROUP BY ALL)
+, v AS (SELECT runs.run_id, model, duration_ms, prompt_version, CASE WHEN NOT input THEN 'INVALID_BENCHMARK_INPUT' WHEN NOT contract THEN 'SAFE_REJECTION' WHEN NOT safety THEN 'SAFETY_FAILURE' ELSE 'PASS' END AS verdict, score FROM runs JOIN gates ON runs.run_id = gates.run_id LEFT JOIN scores ON runs.run_id = scores.run_id)"""
 
 
 @query(_SCORES + " SELECT run_id, facts, categories, evidence, ambiguity, completeness, score FROM scores")
 def quality_score(spark, sf_dir):
-    return bench.quality_score(_run_findings(spark, sf_dir), _expectations(spark), _runs(spark, sf_dir))
+    return bench.quality_score(_run_findings(spark, sf_dir), _expectations(spark, sf_dir), _runs(spark, sf_dir))
 
 
 def _verdicts(spark, sf_dir):
-    runs = _runs(spark, sf_dir)
-    gates = runs.selectExpr("run_id", "explode(array(named_struct('tier', 'input', 'passed', run_id % 11 <> 0), named_struct('tier', 'contract', 'passed', run_id % 6 <> 0), named_struct('tier', 'safety', 'passed', run_id % 4 <> 0), named_struct('tier', 'safety', 'passed', true))) AS g").select("run_id", "g.*")
-    return bench.run_verdict(runs, gates, bench.quality_score(_run_findings(spark, sf_dir), _expectations(spark), runs))
-
-
-@query(_SCORES + " SELECT run_id, model, verdict, CASE WHEN verdict = 'PASS' THEN score END AS score FROM v")
+    """Gates from the runs and what they state: an input with text, evidence that exists in long runs,
+    values of the own case in runs of odd length."""
+    runs, findings = _runs(spark, sf_dir), _run_findings(spark, sf_dir)
+    per = runs.select("run_id", "duration_ms", (F.when(F.col("run_id") % 4 == 1, F.col("run_id") * 7 % 100).otherwise(F.col("run_id")) == F.col("run_id")).alias("own"), "prompt_version").join(findings.select("run_id", "evidence_ids", "statement"), "run_id", "left")
+    gate = lambda tier, c: per.select("run_id", F.lit(tier).alias("tier"), c.alias("passed"))
+    gates = gate("input", (F.col("duration_ms") > 0) & F.col("prompt_version").isNotNull())
+    gates = gates.unionByName(gate("contract", F.coalesce(~F.array_contains("evidence_ids", "zz"), F.lit(True)) | (F.col("duration_ms") < 1500)))
+    gates = gates.unionByName(gate("safety", F.col("statement").isNull() | (F.col("statement").contains("value") & (F.col("own") | (F.col("duration_ms") % 2 == 0)))))
+    return bench.run_verdict(runs.drop("case_id"), gates, bench.quality_score(findings, _expectations(spark, sf_dir), runs))
+
+
+@query(_SCORES + " SELECT run_id, model, duration_ms, prompt_version, verdict, CASE WHEN verdict = 'PASS' THEN score END AS score FROM v")
 def run_verdict(spark, sf_dir):
     return _verdicts(spark, sf_dir)
 
 
-@query(_SCORES + ", m AS (SELECT model, count(*) AS runs, count(*) FILTER (WHERE verdict = 'PASS') AS passes FROM v GROUP BY model) SELECT *, passes >= 2 AS qualified, row_number() OVER (ORDER BY passes DESC, runs, model) AS place FROM m")
+@query(_SCORES + ", m2 AS (SELECT model, count(*) AS runs, count(*) FILTER (WHERE verdict = 'PASS') AS passes FROM v GROUP BY model) SELECT *, passes >= 2 AS qualified, row_number() OVER (ORDER BY passes DESC, runs, model) AS place FROM m2")
 def model_leaderboard(spark, sf_dir):
     return bench.model_leaderboard(_verdicts(spark, sf_dir))
 
 
-@query(f"""SELECT doc_id AS case_id, 'e' || CAST(doc_id % 50 AS STRING) AS expected_id, concat_ws(',', CASE WHEN doc_id % 13 = 0 THEN 'category' END, CASE WHEN NOT contains(trim(regexp_replace(substring(text, 1, 100), '\\s+', ' ', 'g')), substring(text, 1, 6)) THEN 'terms' END, CASE WHEN doc_id % 4 = 0 THEN 'candidates' END) AS codes FROM documents""")
+_EXPECTED = f"SELECT doc_id AS case_id, 'e' || CAST(doc_id % 50 AS STRING) AS expected_id, CASE WHEN doc_id % 13 = 0 THEN 'x' ELSE {_cat('doc_id % 12')} END AS category, split_part(text, ' ', 2) AS term, {{first}} AS expected_value, CASE WHEN doc_id % 4 = 0 THEN 'c' || CAST(length(text) % 90 AS STRING) ELSE 'c0' END AS candidate FROM documents"
+
+
+@query(f"""WITH {_LINES}, c AS (SELECT doc_id AS case_id, 'c' || CAST(ord AS STRING) AS candidate FROM lines WHERE length(line) BETWEEN 8 AND 400), e AS ({_EXPECTED.format(first=_FIRST)}), same AS (SELECT case_id, expected_id, count(*) AS same FROM e GROUP BY ALL)
+SELECT case_id, expected_id, concat_ws(',', CASE WHEN NOT list_contains({_listed(ev.CATEGORIES)}, category) THEN 'category' END, CASE WHEN NOT contains(trim(regexp_replace(expected_value, '\\s+', ' ', 'g')), term) THEN 'terms' END, CASE WHEN c.candidate IS NULL THEN 'candidates' END, CASE WHEN same > 1 THEN 'repeated' END) AS codes FROM e LEFT JOIN c USING (case_id, candidate) JOIN same USING (case_id, expected_id)""")
 def ground_truth_audit(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    e = d.selectExpr("doc_id AS case_id", "'e' || CAST(doc_id % 50 AS STRING) AS expected_id", f"CASE WHEN doc_id % 13 = 0 THEN 'x' ELSE {_cat('doc_id % 12')} END AS category", "array(substring(text, 1, 6)) AS critical_terms", "substring(text, 1, 100) AS expected_value", "CASE WHEN doc_id % 4 = 0 THEN array('c0', 'zz') ELSE array('c0') END AS candidate_ids")
+    columns = _EXPECTED.format(first="split_part(text, char(10), 1)")[len("SELECT ") : -len(" FROM documents")]
+    e = docs(spark, sf_dir).selectExpr(*_columns(columns)).withColumns({"critical_terms": F.array("term"), "candidate_ids": F.array("candidate")})
     return bench.ground_truth_audit(e, _candidates(spark, sf_dir).withColumnRenamed("document_id", "case_id"), ev.CATEGORIES)
 
 
+def _columns(listed: str) -> list[str]:
+    """The columns of a SELECT list, split at commas outside brackets and quotes."""
+    out, depth, quoted = [""], 0, False
+    for ch in listed:
+        quoted ^= ch == "'"
+        depth += (ch in "([") - (ch in ")]") if not quoted else 0
+        if ch == "," and not depth and not quoted:
+            out.append("")
+        else:
+            out[-1] += ch
+    return [c.strip() for c in out]
+
+
 @query("""WITH c AS (SELECT CAST(doc_id AS STRING) || '/' || CAST(i AS STRING) AS candidate_id, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS key FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)), m AS (SELECT item_id AS expected_id, count(candidate_id) AS matches, min(candidate_id) AS c FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS key FROM benchmark) b LEFT JOIN c USING (key) GROUP BY item_id)
 SELECT expected_id, matches, CASE WHEN matches = 1 THEN c END AS candidate_id FROM m""")
 def expectation_resolve(spark, sf_dir):
@@ -284,27 +459,51 @@ def _items(spark, sf_dir):
     return view(spark, sf_dir, "events").selectExpr("CAST(CAST(ts AS DATE) AS STRING) AS sync_id", "CAST(user_id AS STRING) AS reference", "event_id AS pos", "' ' || event_type AS title", "CAST(floor(value) AS DOUBLE) AS fee", "CAST(user_id % 3 AS STRING) AS region")
 
 
+# every sixth envelope is a dry run; the first other one declares some of its references
+_DRY = "day(CAST(sync_id AS DATE)) % 6 = 0"
+_SIDE = f"SELECT sync_id, {_DRY} AS dry_run FROM (SELECT DISTINCT CAST(CAST(ts AS DATE) AS STRING) AS sync_id FROM events)"
+
+
+def _envelopes(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    lists = items.groupBy("sync_id").agg(F.array_distinct(F.collect_list(F.when(F.col("reference").cast("int") % 3 == 0, F.col("reference")))).alias("declared_added"), F.array_distinct(F.collect_list(F.when(F.col("reference").cast("int") % 3 == 1, F.col("reference")))).alias("declared_changed"))
+    return lists.withColumn("dry_run", F.expr(_DRY))
+
+
 _DIFF = """WITH i AS (SELECT CAST(CAST(ts AS DATE) AS STRING) AS sync_id, CAST(user_id AS STRING) AS reference, event_id AS pos, event_type AS title, coalesce(floor(value), 0) AS fee FROM events), n AS (SELECT sync_id, reference, arg_max(title, pos) AS title, arg_max(fee, pos) AS fee FROM i GROUP BY ALL)
-, l AS (SELECT *, lag(title) OVER w AS pt, lag(fee) OVER w AS pf, row_number() OVER w AS rn, min(sync_id) OVER w AS first_seen FROM n WINDOW w AS (PARTITION BY reference ORDER BY sync_id))
-, d AS (SELECT sync_id, reference, CASE WHEN rn = 1 THEN 'new' WHEN title <> pt OR fee <> pf THEN 'changed' ELSE 'unchanged' END AS status, CASE WHEN rn = 1 THEN '' ELSE concat_ws(',', CASE WHEN title <> pt THEN 'title' END, CASE WHEN fee <> pf THEN 'fee' END) END AS changed_fields, first_seen FROM l)"""
+, e AS (""" + _SIDE + """), f AS (SELECT min(sync_id) AS first_sync FROM e WHERE NOT dry_run)
+, l AS (SELECT *, lag(title) OVER w AS pt, lag(fee) OVER w AS pf, row_number() OVER w AS rn, min(sync_id) OVER w AS seen, CASE CAST(reference AS INT) % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'changed' ELSE 'unchanged' END AS declared FROM n JOIN e USING (sync_id), f WINDOW w AS (PARTITION BY reference, dry_run ORDER BY sync_id))
+, s AS (SELECT *, CASE WHEN dry_run THEN 'unchanged' WHEN sync_id = first_sync THEN declared WHEN rn = 1 THEN 'new' WHEN title <> pt OR fee <> pf THEN 'changed' ELSE 'unchanged' END AS status FROM l)
+, d AS (SELECT sync_id, reference, status, CASE WHEN status <> 'changed' THEN '' WHEN sync_id = first_sync THEN 'declared' ELSE concat_ws(',', CASE WHEN title <> pt THEN 'title' END, CASE WHEN fee <> pf THEN 'fee' END) END AS changed_fields,
+  CASE WHEN NOT dry_run THEN pt END AS previous_title, CASE WHEN NOT dry_run THEN CAST(pf AS DOUBLE) END AS previous_fee, CASE WHEN NOT dry_run THEN seen END AS first_seen, CASE WHEN NOT dry_run THEN sync_id END AS last_seen, dry_run FROM s)"""
+
+
+def _shown(diff):
+    return diff.select("sync_id", "reference", "status", "changed_fields", F.col("previous.title").alias("previous_title"), F.col("previous.fee").alias("previous_fee"), "first_seen", "last_seen", "dry_run")
 
 
 @query(_DIFF + " SELECT * FROM d")
 def envelope_diff(spark, sf_dir):
-    return envelopes.envelope_diff(_items(spark, sf_dir))
+    return _shown(envelopes.envelope_diff(_items(spark, sf_dir), _envelopes(spark, sf_dir)))
 
 
 @query(_DIFF + " SELECT * FROM d")
 def envelope_stream(spark, sf_dir):
     """The same items through the stream; what comes out equals the batch."""
     source = scratch(spark)
-    _items(spark, sf_dir).write.parquet(source)
-    return envelopes.run_available(spark, source, "sync_id string, reference string, pos long, title string, fee double, region string", scratch(spark))
+    side = _envelopes(spark, sf_dir)
+    first = side.where("not dry_run").agg(F.min("sync_id").alias("first_sync"))
+    number = F.col("reference").cast("int") % 3
+    declared = F.when(F.col("sync_id") == F.col("first_sync"), F.when(number == 0, "new").when(number == 1, "changed").otherwise("unchanged"))
+    items = _items(spark, sf_dir).withColumn("dry_run", F.expr(_DRY)).crossJoin(F.broadcast(first)).withColumn("declared", declared).drop("first_sync")
+    items.write.parquet(source)
+    return _shown(envelopes.run_available(spark, source, "sync_id string, reference string, pos long, title string, fee double, region string, dry_run boolean, declared string", scratch(spark)))
 
 
-@query(_DIFF + " SELECT sync_id, count(*) FILTER (WHERE status = 'new') AS added, count(*) FILTER (WHERE status = 'changed') AS changed, count(*) FILTER (WHERE status = 'unchanged') AS unchanged, count(*) AS total FROM d GROUP BY sync_id ORDER BY sync_id DESC LIMIT 500")
+@query(_DIFF + " SELECT sync_id, count(*) FILTER (WHERE status = 'new') AS added, count(*) FILTER (WHERE status = 'changed') AS changed, count(*) FILTER (WHERE status = 'unchanged') AS unchanged, count(*) AS total, coalesce(string_agg(reference, ',' ORDER BY reference) FILTER (WHERE status = 'new'), '') AS new_references, coalesce(string_agg(reference, ',' ORDER BY reference) FILTER (WHERE status = 'changed'), '') AS changed_references FROM d WHERE NOT dry_run GROUP BY sync_id ORDER BY sync_id DESC LIMIT 500")
 def envelope_history(spark, sf_dir):
-    return envelopes.envelope_history(envelopes.envelope_diff(_items(spark, sf_dir)))
+    found = envelopes.envelope_history(envelopes.envelope_diff(_items(spark, sf_dir), _envelopes(spark, sf_dir)))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("new_references", "changed_references")})
 
 
 @query("""WITH d AS (SELECT event_type AS source, event_id AS sync_id, ts AS t_, CASE WHEN user_id % 9 = 0 THEN 'timeout' END AS error, user_id % 4 = 0 AS duplicate, event_id % 3 AS added, event_id % 2 AS changed, event_id % 10 = 0 AS dry_run FROM events)

@@ -169,6 +169,15 @@ def catalog_upsert(spark, sf_dir):
     return merge.catalog_upsert(catalog, seen, NOW)
 
 
+@query(f"""WITH cat AS (SELECT DISTINCT p_brand AS activity FROM part WHERE p_size > 2), subs AS (SELECT DISTINCT p_brand AS activity, p_type AS sub_activity, '2025-01-01' AS last_seen FROM part WHERE p_partkey % 4 = 0)
+, seen AS (SELECT DISTINCT p_brand AS activity, p_type AS sub_activity FROM part WHERE p_partkey % 3 <> 0), known AS (SELECT *, TRUE AS seen FROM seen WHERE activity IN (SELECT activity FROM cat))
+SELECT 'sub-' || substr(sha256(activity || ':' || sub_activity), 1, 12) AS sub_id, activity, sub_activity, CASE WHEN seen THEN '{NOW}' ELSE last_seen END AS last_seen FROM subs FULL OUTER JOIN known USING (activity, sub_activity)""")
+def sub_catalog_upsert(spark, sf_dir):
+    part = view(spark, sf_dir, "part").withColumns({"activity": F.col("p_brand"), "sub_activity": F.col("p_type")})
+    subs = part.where("p_partkey % 4 = 0").select("activity", "sub_activity", F.lit("2025-01-01").alias("last_seen")).distinct()
+    return merge.sub_catalog_upsert(part.where("p_size > 2").select(F.col("activity").alias("name_ar")), subs, part.where("p_partkey % 3 <> 0").select("activity", "sub_activity"), NOW)
+
+
 _APP = """WITH requests AS (SELECT event_id, user_id AS approval_id, CASE WHEN event_id % 4 = 0 THEN 'all' ELSE event_type END AS scope FROM events)
 , approvals AS (SELECT user_id AS approval_id, CASE WHEN user_id % 11 = 0 THEN NULL ELSE min(event_type) END AS approved_scope, CASE WHEN user_id % 13 = 0 THEN NULL ELSE max(ts) END AS expires_at, user_id % 7 = 0 AS revoked, user_id % 5 = 0 AS consumed, TRUE AS granted FROM events WHERE user_id % 17 <> 0 GROUP BY user_id)"""
 _AT = "2024-01-20 00:00:00"

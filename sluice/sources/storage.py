@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,12 @@ _local: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which a cluster shares; a temporary one where that
-    is unset, as in tests on one machine."""
+    """A new folder below spark.checkpoint.dir, which a cluster shares; where that is unset a temporary
+    one on a single machine, and an error on a cluster."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = _local["top"] = _local.get("top") or tempfile.mkdtemp(prefix="sluice-")
     return f"{top.rstrip('/')}/sluice-{uuid.uuid4().hex}"
 
@@ -24,3 +27,4 @@ def stored(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window as W
@@ -18,54 +19,82 @@ FIELDS = ("title", "agency", "fee", "region", "deadline", "published_at", "platf
 def normalized(items: DataFrame) -> DataFrame:
     """Missing fields as empty text, text trimmed, missing fees as 0; one row per envelope and
     reference, the last by position."""
-    have = items.columns
-    cols = [(F.coalesce(F.col("fee"), F.lit(0.0)) if c == "fee" else F.trim(F.coalesce(F.col(c), F.lit("")))) if c in have else F.lit(0.0 if c == "fee" else "") for c in FIELDS]
-    per = items.groupBy("sync_id", "reference").agg(F.max_by(F.struct(*[e.alias(c) for e, c in zip(cols, FIELDS, strict=True)]), "pos").alias("s"))
+    per = items.groupBy("sync_id", "reference").agg(F.max_by(F.struct(*_fields(items)), "pos").alias("s"))
     return per.select("sync_id", "reference", "s.*")
 
 
-def envelope_diff(items: DataFrame) -> DataFrame:
-    """Per envelope and reference: new, changed or unchanged against the reference's envelope before,
-    the changed fields, first and last seen. Envelopes are ordered by sync_id."""
-    rows = normalized(items).withColumn("s", F.struct(*FIELDS))
-    w = W.partitionBy("reference").orderBy("sync_id")
-    before = F.lag("s").over(w)
-    marked = rows.withColumns({"p": before, "first_seen": F.min("sync_id").over(w)})
-    changed = F.filter(F.array(*[F.when(~F.col(f"s.{c}").eqNullSafe(F.col(f"p.{c}")), c) for c in FIELDS]), lambda x: x.isNotNull())
-    status = F.when(F.col("p").isNull(), "new").when(F.size(changed) > 0, "changed").otherwise("unchanged")
-    return marked.select("sync_id", "reference", status.alias("status"), F.when(F.col("p").isNull(), "").otherwise(F.array_join(changed, ",")).alias("changed_fields"), "first_seen")
+def _fields(items: DataFrame) -> list[Column]:
+    have = items.columns
+    return [((F.coalesce(F.col("fee"), F.lit(0.0)) if c == "fee" else F.trim(F.coalesce(F.col(c), F.lit("")))) if c in have else F.lit(0.0 if c == "fee" else "")).alias(c) for c in FIELDS]
+
 
+#: What a declared change names as its changed field.
+DECLARED = "declared"
 
-_OUT = "sync_id string, reference string, status string, changed_fields string, first_seen string"
-_STATE = "first_seen string, last_sync string, snapshot string"
+
+def envelope_diff(items: DataFrame, envelopes: DataFrame | None = None) -> DataFrame:
+    """Per envelope and reference: new, changed or unchanged against the reference's envelope before,
+    the changed fields, the snapshot before, first and last seen. Envelopes are ordered by sync_id.
+
+    envelopes (sync_id, dry_run, declared_added, declared_changed; arrays of references) tells more of
+    them: a dry run leaves no trace and all of its items count as unchanged; of the first other
+    envelope only what it declares is new or changed. Without it the first envelope is compared as
+    any other, and all of it is new."""
+    rows = normalized(items).withColumn("s", F.struct(*FIELDS))
+    if envelopes is None:
+        rows = rows.withColumns({"dry_run": F.lit(False), "declared": F.lit(None).cast("string"), "initial": F.lit(False)})
+    else:
+        first = envelopes.where(~F.coalesce("dry_run", F.lit(False))).agg(F.min("sync_id").alias("first_sync"))
+        rows = rows.join(envelopes.join(F.broadcast(first), how="left"), "sync_id", "left")
+        declared = F.when(F.array_contains("declared_added", F.col("reference")), "new").when(F.array_contains("declared_changed", F.col("reference")), "changed")
+        rows = rows.withColumns({"dry_run": F.coalesce("dry_run", F.lit(False)), "initial": F.coalesce(F.col("sync_id") == F.col("first_sync"), F.lit(False))})
+        rows = rows.withColumn("declared", F.when(F.col("initial"), F.coalesce(declared, F.lit("unchanged"))))
+    w = W.partitionBy("reference", "dry_run").orderBy("sync_id")
+    marked = rows.withColumns({"p": F.when(~F.col("dry_run"), F.lag("s").over(w)), "first_seen": F.min("sync_id").over(w)})
+    differs = F.filter(F.array(*[F.when(~F.col(f"s.{c}").eqNullSafe(F.col(f"p.{c}")), c) for c in FIELDS]), lambda x: x.isNotNull())
+    status = F.when(F.col("dry_run"), "unchanged").when(F.col("initial"), F.col("declared")).when(F.col("p").isNull(), "new").when(F.size(differs) > 0, "changed").otherwise("unchanged")
+    fields = F.when(status != "changed", "").when(F.col("initial"), DECLARED).otherwise(F.array_join(differs, ","))
+    seen = lambda c: F.when(~F.col("dry_run"), c)
+    return marked.select("sync_id", "reference", status.alias("status"), fields.alias("changed_fields"), F.col("p").alias("previous"), seen(F.col("first_seen")).alias("first_seen"), seen(F.col("sync_id")).alias("last_seen"), "dry_run")
+
+
+_OUT = f"sync_id string, reference string, status string, changed_fields string, previous struct<{', '.join(f'{c}:double' if c == 'fee' else f'{c}:string' for c in FIELDS)}>, first_seen string, last_seen string, dry_run boolean"
+_STATE = "first_seen string, last_seen string, snapshot string, known string"
+#: Envelopes of a reference that its state remembers.
+REMEMBERED = 200
 
 
 def _step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A reference's envelopes in order; those not after the last one seen are repeats."""
+    """A reference's envelopes in order of arrival, inside a batch by sync_id. One that the state
+    remembers is a repeat; a late one that it does not know counts as arriving now."""
     rows = pd.concat(list(batches)).sort_values(["sync_id", "pos"]).drop_duplicates("sync_id", keep="last")
-    first, last, before = state.get if state.exists else ("", "", "")
+    first, last, before, known = (json.loads(x) for x in state.get) if state.exists else ("", "", None, [])
     out = []
     for r in rows.itertuples(index=False):
-        if last and r.sync_id <= last:
-            out.append((r.sync_id, key[0], "duplicate", "", first))
+        now = {c: getattr(r, c) for c in FIELDS}
+        if r.dry_run:
+            out.append((r.sync_id, key[0], "unchanged", "", None, None, None, True))
             continue
-        now = [str(getattr(r, c)) for c in FIELDS]
-        old = before.split("\x1f") if last else None
-        changed = [c for c, a, b in zip(FIELDS, now, old, strict=True) if a != b] if old else []
-        first = first or r.sync_id
-        out.append((r.sync_id, key[0], "new" if old is None else "changed" if changed else "unchanged", ",".join(changed), first))
-        last, before = r.sync_id, "\x1f".join(now)
-    state.update((first, last, before))
-    yield pd.DataFrame(out, columns=["sync_id", "reference", "status", "changed_fields", "first_seen"])
+        if r.sync_id in known:
+            out.append((r.sync_id, key[0], "duplicate", "", None, first, last, False))
+            continue
+        differs = [c for c in FIELDS if before is not None and now[c] != before[c]]
+        status = r.declared or ("new" if before is None else "changed" if differs else "unchanged")
+        fields = "" if status != "changed" else DECLARED if r.declared else ",".join(differs)
+        first, last = first or r.sync_id, r.sync_id
+        out.append((r.sync_id, key[0], status, fields, before, first, last, False))
+        before, known = now, [*known, r.sync_id][-REMEMBERED:]
+    state.update(tuple(json.dumps(x, ensure_ascii=False) for x in (first, last, before, known)))
+    yield pd.DataFrame(out, columns=["sync_id", "reference", "status", "changed_fields", "previous", "first_seen", "last_seen", "dry_run"])
 
 
 def envelope_stream(items: DataFrame) -> DataFrame:
     """envelope_diff on a stream of items (sync_id, reference, pos, fields): one state per reference.
-    A repeated envelope changes nothing and is marked duplicate. Memory of envelopes is the last
-    one per reference instead of a fixed number of ids."""
-    have = items.columns
-    cols = [(F.coalesce(F.col("fee"), F.lit(0.0)) if c == "fee" else F.trim(F.coalesce(F.col(c), F.lit("")))) if c in have else F.lit(0.0 if c == "fee" else "") for c in FIELDS]
-    return items.select("sync_id", "reference", "pos", *[e.alias(c) for e, c in zip(cols, FIELDS, strict=True)]).groupBy("reference").applyInPandasWithState(_step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    Optional columns: dry_run, and declared, which the first envelope's items carry (new, changed or
+    unchanged). A repeated envelope changes nothing and is marked duplicate; ids are remembered for
+    each reference, the last REMEMBERED of them, instead of once for all."""
+    extra = [(F.coalesce("dry_run", F.lit(False)) if "dry_run" in items.columns else F.lit(False)).alias("dry_run"), (F.col("declared") if "declared" in items.columns else F.lit(None)).cast("string").alias("declared")]
+    return items.select("sync_id", "reference", "pos", *_fields(items), *extra).groupBy("reference").applyInPandasWithState(_step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def run_available(spark: SparkSession, source: str, schema: str, out: str) -> DataFrame:
@@ -77,9 +106,13 @@ def run_available(spark: SparkSession, source: str, schema: str, out: str) -> Da
 
 
 def envelope_history(diff: DataFrame, most: int = 500) -> DataFrame:
-    """Counts per envelope, the newest `most` envelopes."""
-    per = diff.groupBy("sync_id").agg(F.count_if(F.col("status") == "new").alias("added"), F.count_if(F.col("status") == "changed").alias("changed"), F.count_if(F.col("status") == "unchanged").alias("unchanged"), F.count("*").alias("total"))
-    return per.orderBy(F.col("sync_id").desc()).limit(most)
+    """Counts per envelope and the references that are new or changed in it, the newest `most`
+    envelopes; dry runs and repeats leave no entry."""
+    of = lambda s: F.array_sort(F.collect_list(F.when(F.col("status") == s, F.col("reference"))))
+    kept = diff.where("not dry_run and status <> 'duplicate'")
+    newest = kept.select("sync_id").distinct().orderBy(F.col("sync_id").desc()).limit(most)
+    per = kept.join(F.broadcast(newest), "sync_id").groupBy("sync_id")
+    return per.agg(F.count_if(F.col("status") == "new").alias("added"), F.count_if(F.col("status") == "changed").alias("changed"), F.count_if(F.col("status") == "unchanged").alias("unchanged"), F.count("*").alias("total"), of("new").alias("new_references"), of("changed").alias("changed_references"))
 
 
 def automation_status(deliveries: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Small cases with known answers."""
 
+import hashlib
+import json
 import re
 
 from pyspark.sql import functions as F
@@ -73,13 +75,47 @@ def test_token_variants(spark):
 
 
 def test_chunks_keep_their_limit_and_all_words():
-    words = [{"block_id": f"b{i}", "kind": "heading" if i % 5 == 0 else "paragraph", "text": f"w{i} " * (1 + i * 7 % 40), "table_id": "t" if i % 4 == 0 else None} for i in range(60)]
-    words.append({"block_id": "long", "kind": "paragraph", "text": "x" * 500 + " y" * 300, "table_id": None})
-    chunks = evidence.pack_blocks(words, 200, 40)
-    assert all(sum(len(b["text"]) for b in c) + len(c) - 1 <= 200 or len(c) == 1 for c in chunks)
-    seen = {re.sub(r"#p\d+$", "", b["block_id"]) for c in chunks for b in c}
-    assert seen == {w["block_id"] for w in words}
-    assert chunks == evidence.pack_blocks(words, 200, 40)
+    words = [(f"b{i}", "heading" if i % 5 == 0 else "paragraph", (f"w{i} " * (1 + i * 7 % 40)).strip(), 1 + i // 20, "t" if i % 4 == 0 else None) for i in range(60)]
+    words.append(("long", "paragraph", "x" * 500 + " y" * 300, 4, None))
+    rows = evidence._chunks_of(7, words, 200, 40)
+    assert all(size == len(body) <= 200 for _, _, _, body, size, *_ in rows)
+    assert {re.sub(r"#p\d+$", "", b) for r in rows for b in r[5]} == {w[0] for w in words}
+    assert [r[1] for r in rows] == list(range(1, len(rows) + 1))
+
+
+def test_chunk_rules():
+    pack = lambda sizes, headings="", tables="": evidence.pack(sizes, [str(k) in headings for k in range(len(sizes))], [t if t != "-" else None for t in (tables or "-" * len(sizes))], 100, 30)
+    assert pack([40, 40, 40]) == [[0, 1], [2]]  # too large to be carried over
+    assert pack([60, 20, 10, 50]) == [[0, 1, 2], [1, 2, 3]]  # small ones at the end are carried over
+    assert pack([60, 20, 10, 90]) == [[0, 1, 2], [1, 2], [2], [3]]  # and dropped one by one where they do not fit
+    assert pack([60, 20, 50], "1") == [[0], [1, 2]]  # a heading moves on
+    assert pack([60, 20, 90], "1") == [[0], [1], [2]]
+    assert pack([20, 70, 60], tables="ttt") == [[0, 1], [0, 2]]  # a table's header comes again
+    assert pack([]) == [] and pack([0, 0]) == [[0, 1]]
+    assert evidence.cut_text("aa bb cc " + "d" * 25, 10) == ["aa bb cc", "d" * 10, "d" * 10, "d" * 5]
+
+
+def test_chunk_of_known_id(spark):
+    rows = [(1, 0, "b0", "heading", "عنوان", 1, None), (1, 1, "b1", "paragraph", "نص أول", 1, None), (2, 0, "b0", "paragraph", None, 3, "t")]
+    df = spark.createDataFrame(rows, "document_id long, ord int, block_id string, kind string, text string, page_number int, table_id string")
+    got = {r["document_id"]: r for r in evidence.doc_chunk(df).collect()}
+    assert got[1]["text"] == "عنوان\nنص أول" and (got[1]["char_count"], got[1]["block_ids"], got[1]["pages"]) == (12, ["b0", "b1"], [1])
+    assert got[1]["chunk_id"] == "chk-" + hashlib.sha256("11b0,b1".encode()).hexdigest()[:16] == "chk-1302f58f74b3f715"
+    assert (got[2]["text"], got[2]["table_ids"]) == ("", ["t"])
+
+
+def test_catalog_and_fingerprint(spark):
+    blocks = spark.createDataFrame([(1, 0, "b0", 1, "سطر أول طويل\nقصير\nسطر أول طويل"), (1, 1, "b1", 2, "another line of text")], "document_id long, ord int, block_id string, page_number int, text string")
+    chunks = spark.createDataFrame([(1, 1, "chk-a", "سطر أول طويل قصير سطر أول طويل", ["b0"]), (1, 2, "chk-b", "another  line of text", ["b1"])], "document_id long, ordinal int, chunk_id string, text string, block_ids array<string>")
+    documents = spark.createDataFrame([(1, "sum")], "document_id long, checksum string")
+    got = evidence.candidate_catalog(documents, blocks, chunks).orderBy("idx")
+    rows = got.collect()
+    assert [(r["idx"], r["excerpt"], r["start_offset"], r["end_offset"], r["chunk_id"]) for r in rows] == [(0, "سطر أول طويل قصير", 0, 17, "chk-a"), (1, "another line of text", 0, 20, "chk-b")]
+    key = "sum|1|b1|chk-b|page:2|0|20|another line of text"
+    assert rows[1]["candidate_id"] == "cand-" + hashlib.sha256(key.encode()).hexdigest()[:24]
+    nulls = {"sheetName": None, "cellRange": None, "section": None}
+    lines = [json.dumps({"index": r["idx"], "candidateId": r["candidate_id"], "documentId": "1", "sourceType": "pdf", "excerpt": r["excerpt"], "chunkId": r["chunk_id"], "blockId": r["block_id"], "startOffset": r["start_offset"], "endOffset": r["end_offset"], "pageNumber": r["page_number"]} | nulls, ensure_ascii=False, separators=(",", ":")) for r in rows]
+    assert evidence.catalog_fingerprint(got).first()["catalog_sha256"] == hashlib.sha256("\n".join(lines).encode()).hexdigest()
 
 
 def test_segments_are_literal():
@@ -123,12 +159,40 @@ def test_export_quotes_every_cell(spark, tmp_path):
 def test_repeated_envelopes_change_nothing(spark, tmp_path):
     schema = "sync_id string, reference string, pos long, title string"
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    spark.createDataFrame([("1", "r", 0, "a"), ("2", "r", 0, "b")], schema).coalesce(1).write.parquet(source)
+    spark.createDataFrame([("1", "r", 0, "a"), ("3", "r", 0, "b")], schema).coalesce(1).write.parquet(source)
     first = envelopes.run_available(spark, source, schema, out)
     assert sorted(r["status"] for r in first.collect()) == ["changed", "new"]
-    spark.createDataFrame([("2", "r", 0, "c"), ("3", "r", 0, "b")], schema).coalesce(1).write.mode("append").parquet(source)
+    spark.createDataFrame([("3", "r", 0, "c"), ("4", "r", 0, "b")], schema).coalesce(1).write.mode("append").parquet(source)
     again = envelopes.run_available(spark, source, schema, out)
     assert sorted(r["status"] for r in again.collect()) == ["changed", "duplicate", "new", "unchanged"]
+    # a late envelope that was never seen counts as arriving now
+    spark.createDataFrame([("2", "r", 0, "late")], schema).coalesce(1).write.mode("append").parquet(source)
+    late = [r for r in envelopes.run_available(spark, source, schema, out).collect() if r["sync_id"] == "2"]
+    assert [(r["status"], r["changed_fields"], r["previous"]["title"], r["first_seen"], r["last_seen"]) for r in late] == [("changed", "title", "b", "1", "2")]
+
+
+def test_declared_and_dry_envelopes(spark):
+    items = spark.createDataFrame([("1", "a", 0, "x"), ("1", "b", 1, "x"), ("1", "c", 2, "x"), ("2", "a", 0, "y"), ("3", "a", 0, "z"), ("3", "d", 1, "z")], "sync_id string, reference string, pos long, title string")
+    side = spark.createDataFrame([("1", False, ["a"], ["b"]), ("2", True, [], []), ("3", False, [], [])], "sync_id string, dry_run boolean, declared_added array<string>, declared_changed array<string>")
+    diff = envelopes.envelope_diff(items, side)
+    got = {(r["sync_id"], r["reference"]): (r["status"], r["changed_fields"]) for r in diff.collect()}
+    assert got == {("1", "a"): ("new", ""), ("1", "b"): ("changed", "declared"), ("1", "c"): ("unchanged", ""), ("2", "a"): ("unchanged", ""), ("3", "a"): ("changed", "title"), ("3", "d"): ("new", "")}
+    history = {r["sync_id"]: (r["added"], r["changed"], r["new_references"], r["changed_references"]) for r in envelopes.envelope_history(diff).collect()}
+    assert history == {"1": (1, 1, ["a"], ["b"]), "3": (1, 1, ["d"], ["a"])}
+
+
+def test_references_are_rewritten(spark):
+    e = spark.createDataFrame([("job-1", 1, "ev-7"), ("job-1", 2, "ev-3"), ("job-2", 1, "ev-1"), ("job-2", 2, "ev-1")], "job_id string, pos int, evidence_id string")
+    f = spark.createDataFrame([("job-1", 0, ["ev-3", "ev-9", "ev-7"]), ("job-1", 1, []), ("job-2", 0, ["ev-1"])], "job_id string, pos int, evidence_ids array<string>")
+    got = {(r["job_id"], r["pos"]): r["evidence_ids"] for r in evidence.rekeyed_references(f, evidence.evidence_rekey(e)).collect()}
+    assert got == {("job-1", 0): ["ev-job1-2", "ev-9", "ev-job1-1"], ("job-1", 1): []}
+
+
+def test_requested_tenders_only(spark):
+    t = spark.createDataFrame([("1", "a"), ("2", "b")], "reference string, published_at string")
+    none = spark.createDataFrame([], "reference string, display_name string, availability string")
+    empty = lambda c: spark.createDataFrame([], f"reference string, {c} string")
+    assert [r["reference"] for r in board.tender_board(t, empty("u"), empty("d"), none, t.where("reference = '2'")).collect()] == ["2"]
 
 
 def test_smart_search_words(spark):
