@@ -73,19 +73,22 @@ def field_of(label: Column) -> Column:
 
 def detail_field_extract(sections: DataFrame) -> DataFrame:
     """(reference, field, value): `label: value` lines, or a label and the first of the next three
-    lines that is neither a label nor the section's name; the first hit by section and line wins."""
-    lines = sections.select("reference", "section_ord", "name", F.posexplode(F.filter(F.transform(F.split(clean_detail(F.col("text")), "\n"), clean_detail), lambda x: x != "")).alias("line", "text"))
+    lines that is neither a label nor the section's name; the first hit by section and line wins.
+    A section's lines stay together in its row, so only the hits are shuffled."""
     colon = r"^(.{2,80}?)[：:]\s*(.+)$"
-    marked = lines.withColumns({"label": F.regexp_extract("text", colon, 1), "inline": F.regexp_extract("text", colon, 2)})
-    marked = marked.withColumn("named", field_of(F.when(F.col("label") != "", F.col("label")).otherwise(F.col("text"))))
-    marked = marked.withColumn("own", F.when(F.col("label") == "", F.col("named")))
-    w = W.partitionBy("reference", "section_ord").orderBy("line")
-    after = F.array(*[F.when(F.lead("own", i).over(w).isNull() & (F.lead("text", i).over(w) != F.col("name")), F.lead("text", i).over(w)) for i in (1, 2, 3)])
-    next_value = F.get(F.filter(after, lambda x: x.isNotNull()), F.lit(0))
-    hits = marked.withColumn("below", next_value).select(
-        "reference", "section_ord", "line", F.col("named").alias("field"), F.when(F.col("label") != "", F.col("inline")).otherwise(F.col("below")).alias("value")
-    )
-    return hits.where("field is not null and value <> ''").groupBy("reference", "field").agg(F.min_by("value", F.struct("section_ord", "line")).alias("value"))
+    lines = F.filter(F.transform(F.split(clean_detail(F.col("text")), "\n"), clean_detail), lambda x: x != "")
+
+    def mark(x: Column) -> Column:
+        label = F.regexp_extract(x, colon, 1)
+        return F.struct(x.alias("text"), (label == "").alias("alone"), F.regexp_extract(x, colon, 2).alias("inline"), field_of(F.when(label != "", label).otherwise(x)).alias("named"))
+
+    def value(x: Column, i: Column) -> Column:
+        after = F.filter(F.slice("lines", i + 2, 3), lambda y: ~(y["alone"] & y["named"].isNotNull()) & (y["text"] != F.col("name")))
+        return F.struct(i.alias("line"), x["named"].alias("field"), F.when(x["alone"], F.get(after, F.lit(0))["text"]).otherwise(x["inline"]).alias("value"))
+
+    marked = sections.select("reference", "section_ord", "name", F.transform(lines, mark).alias("lines"))
+    hits = marked.select("reference", "section_ord", F.explode(F.filter(F.transform("lines", value), lambda h: h["field"].isNotNull() & (h["value"] != ""))).alias("h"))
+    return hits.groupBy("reference", F.col("h.field").alias("field")).agg(F.min_by("h.value", F.struct("section_ord", "h.line")).alias("value"))
 
 
 # Words of buttons, extensions and words of file names.

@@ -35,8 +35,9 @@ def specialty_classify(tenders: DataFrame, rulebook: tuple[tuple[str, str], ...]
     folded = tenders.withColumns({"_t": title, "_f": fields})
 
     def points(keywords: str) -> Column:
-        own = F.array(*[text.fold_classifier(F.lit(k)) for k in keywords.split("|")])
-        return F.aggregate(own, F.lit(0), lambda s, k: s + F.when(F.col("_t").contains(k), TITLE_WEIGHT).when(F.col("_f").contains(k), FIELD_WEIGHT).otherwise(0))
+        """Plain sums, which are compiled; a keyword is folded once, when the plan is built."""
+        own = [text.fold_word_classifier(k) for k in keywords.split("|")]
+        return sum((F.when(F.col("_t").contains(k), TITLE_WEIGHT).when(F.col("_f").contains(k), FIELD_WEIGHT).otherwise(0) for k in own), F.lit(0))
 
     scored = folded.withColumn("_s", F.array(*[F.struct((-points(words)).alias("minus"), F.lit(i).alias("ord"), F.lit(code).alias("code")) for i, (code, words) in enumerate(rulebook)]))
     ranked = scored.withColumn("_s", F.array_sort(F.filter("_s", lambda x: x["minus"] < 0)))
