@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 import corpus_pipeline
 from sluice.llm import jaccard, language, lm, quality, toxicity
@@ -136,6 +137,93 @@ def test_quality_learns_from_positives_and_unlabelled(spark):
     assert np.median(scores[1]) > np.median(scores[0]) + 0.2 and min(scores[1]) > max(scores[0])
 
 
+def grams_of(word, low, high, buckets):
+    """Buckets of a word's n-grams, one by one."""
+    marked, m64 = [2, *map(ord, word), 3], (1 << 64) - 1
+
+    def mixed(h):
+        for _ in range(2):
+            h = (h ^ (h >> 32)) * 0xD6E8FEB86659FD93 & m64
+        return h ^ (h >> 32)
+
+    for n in range(low, high + 1):
+        for a in range(len(marked) - n + 1):
+            h = 0
+            for c in marked[a : a + n]:
+                h = (h * 0x9E3779B97F4A7C15 + c + 1) & m64
+            yield mixed((h + n) & m64) % buckets
+
+
+def test_toxicity_scores_equal_a_plain_loop(spark):
+    z, bias = np.random.default_rng(2).normal(size=toxicity.BUCKETS).astype(np.float32), -1.5
+    texts = ["Some words, some MORE words", "", None, "a", "naïve café 日本語 " * 40]
+    score = toxicity.scorer(spark, (z, bias))
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", score("text").alias("s")).orderBy("i").collect()
+    for r, text in zip(got, texts, strict=True):
+        words = words_of(text)
+        means = [float(z[g].mean()) if len(g := list(grams_of(w, toxicity.LOW, toxicity.HIGH, toxicity.BUCKETS))) else 0.0 for w in words]
+        assert math.isclose(r["s"], 1 / (1 + math.exp(-(sum(means) / (len(words) + toxicity.PAD) + bias))), rel_tol=1e-4)
+
+
+def test_quality_scores_equal_a_plain_loop(spark):
+    rng = np.random.default_rng(3)
+    model = {"e": rng.normal(size=(quality.BUCKETS, quality.DIM)), "a": rng.normal(size=(quality.DIM + quality.N_STATISTICS, quality.HIDDEN)), "b": rng.normal(size=quality.HIDDEN), "c": rng.normal(size=quality.HIDDEN), "d": rng.normal(size=1), "mean": np.full(quality.N_STATISTICS, 0.1), "spread": np.full(quality.N_STATISTICS, 0.5)}
+    texts = ["Some words,\nsome MORE words words words", "", None, "x!!", "a b a b a b " * 30]
+    score = quality.scorer(spark, (model, 0.5))
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", score("text").alias("s")).orderBy("i").collect()
+    for r, text in zip(got, texts, strict=True):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        n = max(1, len(words))
+        buckets = lambda w: [*grams_of(w, quality.LOW, quality.HIGH, quality.BUCKETS), xxhash.xxh3_64_intdigest(w.encode()) % quality.BUCKETS]
+        mean = sum((model["e"][buckets(w)].mean(0) for w in words), np.zeros(quality.DIM)) / n
+        again = [sum(words[k] == words[k - d] for k in range(d, len(words))) / n for d in quality.DISTANCES]
+        distinct = len(set(words))
+        statistics = np.array([*again, distinct / n, math.log1p(len(words)) / 8, distinct / math.sqrt(n) / 20, (text or "").count("\n") / n])
+        x = np.concatenate([quality.GAIN * mean, np.clip((statistics - 0.1) / 0.5, -8, 8)])
+        f = float(np.tanh(x @ model["a"] + model["b"]) @ model["c"] + model["d"][0])
+        assert math.isclose(r["s"], 1 / (1 + math.exp(-min(30, max(-30, f)))), rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_risk_gradient_equals_finite_differences():
+    rng = np.random.default_rng(4)
+    f, m = rng.normal(size=30), 10
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def risk(f, prior):
+        loss, as_negative = np.logaddexp(0, -f), np.logaddexp(0, f)
+        if prior is None:
+            return (loss[:m].mean() + as_negative[m:].mean()) / 2
+        negative = as_negative[m:].mean() - prior * as_negative[:m].mean()
+        return prior * loss[:m].mean() + negative if negative >= 0 else -negative
+
+    for prior in (None, 0.3, 3.0):  # the last makes the negative part negative
+        g = quality.risk_gradient(sigmoid(f), f, m, prior)
+        for k in range(30):
+            step = np.eye(30)[k] * 1e-6
+            assert math.isclose((risk(f + step, prior) - risk(f - step, prior)) / 2e-6, g[k], rel_tol=1e-4, abs_tol=1e-8)
+
+
+def test_prior_from_scores():
+    rng = np.random.default_rng(5)
+    for prior in (0.2, 0.5, 0.85):
+        positive, unlabelled = rng.normal(2, 1, 3000), np.concatenate([rng.normal(2, 1, int(6000 * prior)), rng.normal(-2, 1, 6000 - int(6000 * prior))])
+        assert abs(quality.estimate_prior(positive, unlabelled) - prior) < 0.06
+
+
+def test_language_scores_equal_a_plain_loop(spark):
+    docs = spark.createDataFrame([(i, t, la) for i, (t, la) in enumerate([("the cat and dog", "en"), ("der hund und katze", "de"), ("это кот", "ru")] * 4)], "doc_id long, text string, lang string")
+    model = language.fit(docs, 5, 99)
+    counts = {la: np.zeros(language.BUCKETS) for la in ("de", "en", "ru")}
+    for r in docs.collect():
+        for w in r["text"].split():
+            for g in grams_of(w, language.LOW, language.HIGH, language.BUCKETS):
+                counts[r["lang"]][g] += 1
+    want = np.stack([np.log((c + 0.2) / (c.sum() + 0.2 * language.BUCKETS)) for c in counts.values()], 1)
+    assert model.languages == ["de", "en", "ru"] and np.allclose(model.log_p, want, atol=1e-4)
+    own = language.Lettered(pa.array(["dog"]))
+    assert np.allclose(own.grams.sums(model.log_p)[0], sum(want[g] for g in grams_of("dog", language.LOW, language.HIGH, language.BUCKETS)), atol=1e-3)
+
+
 def best_path(scores, penalty):
     """Best sum of scores less penalties, by trying every path."""
     paths = [(s, [k]) for k, s in enumerate(scores[0])]
@@ -273,3 +361,28 @@ def test_pipeline_stages_keep_their_contract(spark, sf, documents, labels):
     groups = brute_groups(list(rows))
     assert all(top == i for i, (n, top) in groups.items() if n)  # no near-duplicates are left
     assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()} == {i for i, _ in rows}
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, sf, odd, nothing, tmp_path):
+    """Columns whose names clash pass through as they are; null, empty, long and repeated texts do not
+    crash a stage; an empty table gives an empty one."""
+    named = odd.withColumn("lang_pred", odd["lang"]).withColumn("found", odd["score"])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, named, sf)
+        assert out.columns == named.columns and out.schema == named.schema, name
+        assert {r["score"] for r in out.collect()} == {0.5} and {r["found"] for r in out.collect()} == {0.5}
+        assert stage(spark, nothing, sf).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, sf).where("piece = 0").count() == 12
+    assert corpus_pipeline.STAGES[-1][1](spark, nothing, sf).count() == 0
+    # a text without a letter goes, as do null and empty ones
+    kept = corpus_pipeline.drop_unknown_language(spark, odd, sf)
+    assert {3, 4, 7}.isdisjoint({r["doc_id"] for r in kept.collect()})
+
+
+def test_pipeline_filters_by_its_models(spark, sf, documents, labels):
+    """The first two stages against the operators' own scores, and clean documents stay."""
+    score = toxicity.scorer(spark, toxicity.fit(documents, labels))
+    want = {r["doc_id"] for r in documents.select("doc_id", score("text").alias("s")).where(f"s < {toxicity.THRESHOLD}").collect()}
+    assert {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, documents, sf).select("doc_id").collect()} == want
+    found = language.identify(documents).where(f"score >= {corpus_pipeline.LEAST_SHARE}")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_unknown_language(spark, documents, sf).select("doc_id").collect()} == {r["doc_id"] for r in found.collect()}

@@ -48,7 +48,11 @@ def test_shards_hold_the_stream(spark, documents, parts, stride, per_shard):
 
 
 def test_shards_of_odd_and_empty_tables(spark, odd, nothing):
-    assert ordering.training_order(materialize(odd)).count() == 3
+    docs, path = materialize(odd.coalesce(1)), shared_dir(odd.sparkSession)
+    n = ordering.write_shards(docs, path)
+    rows = ordering.read_slots(odd.sparkSession, path, n, with_ids=True).toPandas().sort_values("sequence")
+    stream = [i for x in reference_ids([r["text"] for r in docs.collect()]) for i in [*x, 0]]
+    assert n == 3 and np.concatenate(rows["ids"].to_list()).tolist()[: len(stream)] == stream
     assert ordering.training_order(materialize(nothing)).count() == 0
 
 
@@ -154,4 +158,7 @@ def test_the_plan_places_every_piece_once():
 def test_packing_of_odd_and_empty_tables(odd, nothing):
     rows = packing.best_fit_pack(odd).collect()
     assert sum(r["piece"] == 0 for r in rows) == 12 and {r["length"] for r in rows if r["doc_id"] in (3, 4, 7)} == {1}
+    texts = [r["text"] for r in odd.select("doc_id", "text").collect()]
+    want = [zlib.crc32(np.array(own[k : k + 2048], "<u4").tobytes()) for x in reference_ids(texts) for own in [[*x, 0]] for k in range(0, len(own), 2048)]
+    assert sorted(r["ids_crc32"] for r in rows) == sorted(want)
     assert packing.best_fit_pack(nothing).count() == 0

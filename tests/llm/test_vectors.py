@@ -39,6 +39,31 @@ def test_top_k_of_few_and_none(spark):
     assert vectors.exact_top_k(frame(spark, [])).count() == 0
 
 
+def test_repeated_query_rows_each_get_their_list(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).round(1).tolist()) for i in range(40)] + [(20, [0.5, 0.5, 0.0, 1.0]), (7, [1.0, 0.0, 0.0, 0.0]), (None, [1.0] * 4)]
+    got = sorted(tuple(r) for r in vectors.exact_top_k(frame(spark, rows), k=10, query_every=20).collect())
+    want = []
+    good = [(i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None]
+    for q, x in [(i, v) for i, v in good if i % 20 == 0]:
+        scored = sorted((-int(x @ y), i) for i, y in good if i != q)[:10]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    assert got == sorted(want) and sum(q == 20 for q, *_ in got) == 20
+
+
+def test_components_beyond_64_bits_take_no_part(spark):
+    rows = [(0, [1.0, 2.0]), (1, [3.0, -1.0]), (2, [1e30, 0.0]), (3, [0.5, 0.5])]
+    got = sorted(tuple(r) for r in vectors.exact_top_k(frame(spark, rows), k=5, query_every=10).collect())
+    assert got == brute_top([r for r in rows if r[0] != 2], 5, 10)
+
+
+def test_repeated_and_null_ids_share_or_lack_a_node(spark):
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    rows = [(1, a), (1, b), (2, a), (3, b), (None, a), (4, [0.0, 0.0, 1.0, 0.0])]
+    got = [(r["vec_id"], r["component_id"], r["n_links"]) for r in vectors.near_duplicate_vectors(frame(spark, rows)).collect()]
+    assert len(got) == 6 and {(i, c) for i, c, _ in got if i in (2, 3, 4)} == {(2, 1), (3, 1), (4, 4)} and (None, None, 0) in got
+
+
 def brute_links(rows):
     good = [(i, np.array(v, np.float32).astype(float)) for i, v in rows if v is not None and None not in v and np.isfinite(v).all() and np.any(v)]
     x = np.stack([v / np.linalg.norm(v) for _, v in good])
