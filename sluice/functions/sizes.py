@@ -1,0 +1,15 @@
+"""Broadcasts behind a check of size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Bytes up to which a table is broadcast.
+MOST_BROADCAST = 64 << 20
+
+
+def if_small(df: DataFrame, row_bytes: int, counted: DataFrame | None = None) -> DataFrame:
+    """df, marked for broadcast if its rows times row_bytes stay within MOST_BROADCAST; beyond that
+    Spark chooses another join. counted: a cheaper table with as many rows."""
+    return F.broadcast(df) if (counted if counted is not None else df).count() * row_bytes <= MOST_BROADCAST else df

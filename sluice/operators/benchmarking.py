@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text
+from ..functions.sizes import if_small
+
+#: Bytes that an assertion takes at most, its terms and categories included.
+ASSERTION_BYTES = 2000
 
 #: Words that mark a conflict as such.
 CONFLICT_MARKERS = ("متعارض", "تعارض", "غير محدد", "لم تحدد", "لم تُحدد", "لم يُحسم", "لم تُحسم", "دون حسم", "لا يمكن الجزم", "يحدد لاحقا", "غير مسجل", "غير واضح")
@@ -56,10 +60,9 @@ def token_grounding(findings: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def forbidden_assertions(findings: DataFrame, assertions: DataFrame) -> DataFrame:
-    """Findings that make a forbidden assertion of their category: the first one by order. The
-    assertions are a small table of the benchmark's own."""
+    """Findings that make a forbidden assertion of their category: the first one by order."""
     statement = text.squash(F.col("statement"))
-    hit = findings.join(F.broadcast(assertions), F.expr("array_contains(categories, category)") & F.forall("terms", lambda t: statement.contains(t)))
+    hit = findings.join(if_small(assertions, ASSERTION_BYTES), F.expr("array_contains(categories, category)") & F.forall("terms", lambda t: statement.contains(t)))
     return hit.groupBy("report_id", "finding_id").agg(F.min_by("assertion_id", "ord").alias("assertion_id"))
 
 
@@ -80,7 +83,7 @@ def narrative_check(reports: DataFrame, corpus: DataFrame, assertions: DataFrame
     excused = F.col("sentence").contains("؟") | F.col("sentence").contains("?")
     for marker in CONFLICT_MARKERS:
         excused = excused | F.col("sentence").contains(marker)
-    hit = s.select("report_id", "pos", "sentence").join(F.broadcast(assertions), F.forall("terms", lambda t: F.col("sentence").contains(t))).groupBy("report_id", "pos").agg(F.min_by("assertion_id", "ord").alias("assertion_id"))
+    hit = s.select("report_id", "pos", "sentence").join(if_small(assertions, ASSERTION_BYTES), F.forall("terms", lambda t: F.col("sentence").contains(t))).groupBy("report_id", "pos").agg(F.min_by("assertion_id", "ord").alias("assertion_id"))
     tokens = s.select("report_id", "pos", text.significant_tokens(F.col("sentence")).alias("tokens"))
     corpora = corpus.select("report_id", text.significant_tokens(F.col("corpus")).alias("corpus"))
     token = first_unfounded(tokens, corpora, ["report_id", "pos"])

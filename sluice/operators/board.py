@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import fees, text
+from ..functions.sizes import if_small
 
 ACTIVE = "المنافسات النشطة (تقديم العروض)"
 PLACEHOLDER_DEADLINE = "أدخل الموعد"
@@ -141,8 +142,8 @@ def parse_searches(searches: DataFrame) -> DataFrame:
     return out.withColumn("days", days).withColumn("needle", text.squash(cleaned)).drop("rest")
 
 
-#: Bytes that a parsed search takes at most, and of all of them up to which they are broadcast.
-SEARCH_BYTES, MOST_BROADCAST = 1000, 64 << 20
+#: Bytes that a parsed search takes at most.
+SEARCH_BYTES = 1000
 
 
 def saved_search_match(searches: DataFrame, tenders: DataFrame, now: str, top: int = 8) -> DataFrame:
@@ -161,8 +162,7 @@ def saved_search_match(searches: DataFrame, tenders: DataFrame, now: str, top: i
         (F.col("needle") == "") | F.concat_ws(" ", "title", "agency").contains(F.col("needle")),
     )
     theta = F.when(F.col("wanted").isNotNull(), F.col("reference") == F.col("wanted")).otherwise(chips[0] & chips[1] & chips[2] & chips[3] & chips[4])
-    few = searches.count() * SEARCH_BYTES <= MOST_BROADCAST
-    hits = tenders.join(F.broadcast(parsed) if few else parsed, theta)
+    hits = tenders.join(if_small(parsed, SEARCH_BYTES, searches), theta)
     ranked = hits.withColumn("place", F.row_number().over(W.partitionBy("search_id").orderBy("reference"))).where(F.col("place") <= top)
     counts = hits.groupBy("search_id").agg(F.count("*").alias("n_hits"))
     return ranked.join(counts, "search_id").select("search_id", "place", "reference", "n_hits")
