@@ -45,8 +45,9 @@ def labelled_sample(labels: DataFrame, label: str, modulus: int, remainder: int,
 
 def bounded_texts(docs: DataFrame, chosen: DataFrame, most: tuple[int, int]) -> DataFrame:
     """text and y of the chosen documents, in each class y as many in hash order as stay within
-    most[y] bytes of text together. chosen is bounded in rows, so its join partner is small."""
-    drawn = materialize(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "y", F.xxhash64("doc_id").alias("h"), F.octet_length("text").cast("long").alias("size")))
+    most[y] bytes of text together; one that alone takes over a sixteenth of them is left out.
+    chosen is bounded in rows, so its join partner is small."""
+    drawn = materialize(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "y", F.xxhash64("doc_id").alias("h"), F.octet_length("text").cast("long").alias("size")).where(F.col("size") <= F.when(F.col("y") == 0, most[0]).otherwise(most[1]) / 16))
     upto = F.sum("size").over(W.partitionBy("y").orderBy("h", "size", F.xxhash64("text")).rowsBetween(W.unboundedPreceding, 0))
     last = drawn.select("y", "h", "size", upto.alias("upto")).groupBy("y").agg(F.max(F.when(F.col("upto") <= F.when(F.col("y") == 0, most[0]).otherwise(most[1]), F.col("h"))).alias("last"))
     return drawn.join(F.broadcast(last), "y").where("h <= last").select("text", "y")
