@@ -121,9 +121,12 @@ def attachment_names(candidates: DataFrame) -> DataFrame:
     case the first spelling wins; with their kind."""
     shown = clean_detail(F.col("text"))
     decoded = clean_detail(F.coalesce(F.try_url_decode(F.replace(F.coalesce("file_name", F.lit("")), F.lit("+"), F.lit("%2B"))), F.col("file_name")))
-    chosen = F.when(is_visible_name(shown), shown).when(is_visible_name(decoded), decoded)
-    named = candidates.withColumn("display_name", chosen).where("display_name is not null")
-    once = named.groupBy("reference", F.lower("display_name").alias("k")).agg(F.min_by("display_name", "pos").alias("display_name"))
+    # each cleaned once, in a projection of its own
+    cleaned = candidates.select("reference", "pos", shown.alias("shown"), decoded.alias("decoded"))
+    chosen = F.when(is_visible_name(F.col("shown")), F.col("shown")).when(is_visible_name(F.col("decoded")), F.col("decoded"))
+    named = cleaned.select("reference", "pos", chosen.alias("display_name"))
+    # nulls go after the aggregate: before it the test would be pushed below the cleaning and repeat it
+    once = named.groupBy("reference", F.lower("display_name").alias("k")).agg(F.min_by("display_name", "pos").alias("display_name")).where("display_name is not null")
     return once.select("reference", "display_name", kind_of(F.col("display_name")).alias("kind"))
 
 
