@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language, lm, ordering, packing, pieces, quality, toxicity, vectors
+from . import collocations, decontamination, jaccard, language, lm, middle, ordering, packing, pieces, quality, toxicity, vectors
 from .common import table
 
 
@@ -50,9 +50,103 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_phrase_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(table(spark, sf_dir, "documents"))
+
+
+#: A-Z lowered and nothing else.
+LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = f"""
+WITH docs AS (
+    SELECT doc_id, row_number() OVER () AS row_id, regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+    SELECT item_id, regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS words
+    FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)
+), sizes AS (
+    SELECT DISTINCT n FROM windows
+), places AS (
+    SELECT row_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS words
+    FROM (SELECT row_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, sizes WHERE len(w) >= n)
+), found AS (
+    SELECT row_id, i, p.n, item_id FROM places p JOIN windows v ON p.n = v.n AND p.words = v.words
+), hits AS (
+    SELECT row_id, count(DISTINCT k) AS n_hit FROM (SELECT row_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY row_id
+), named AS (
+    SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY row_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (row_id) LEFT JOIN named USING (row_id)
+"""
+
+OP12_SQL = f"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWERED.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3)) v(k) WHERE len(w) >= k)
+    GROUP BY ALL
+), totals AS (
+    SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang
+), candidates AS (
+    SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE k > 1 AND f >= 10
+), cuts AS (
+    SELECT c.lang, c.k, c.phrase, c.a, v.cut, x.f AS l, y.f AS r, c.a::HUGEINT * c.a * 1000000 // (x.f::HUGEINT * y.f) AS score
+    FROM candidates c JOIN (VALUES (1), (2)) v(cut) ON v.cut < c.k
+    JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:v.cut], ' ')
+    JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[v.cut + 1:], ' ')
+), lowest AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), longer AS (
+    SELECT lang, phrase, max(a) AS most FROM (
+        SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM candidates WHERE k = 3
+        UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM candidates WHERE k = 3) GROUP BY ALL
+), ranked AS (
+    SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank, s.phrase, s.a, s.l, s.r, n, CAST(s.score AS BIGINT) AS score
+    FROM lowest s JOIN totals USING (lang) LEFT JOIN longer g ON g.lang = s.lang AND g.phrase = s.phrase
+    WHERE coalesce(100 * g.most < 50 * s.a, true)
+)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+OP13_SQL = """
+WITH drawn AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h FROM documents
+), numbers AS (
+    SELECT *, len(units) AS n, [CAST('0x' || h[8 * i + 1:8 * i + 8] AS BIGINT) FOR i IN range(4)] AS k FROM drawn
+), cuts AS (
+    SELECT *, least(k[1] % (n + 1), k[2] % (n + 1)) AS a, greatest(k[1] % (n + 1), k[2] % (n + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR k[3] % 100 >= 100 THEN 'plain' WHEN k[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+    FROM numbers
+), parts AS (
+    SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM cuts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_training_order, op2_toxicity, op3_sentencepiece, op4_ngram_jaccard_join, op5_quality_classifier, op6_embedding_near_dedup, op7_lm_scoring, op8_best_fit_packing, op9_language_id, op10_exact_top_k)}
+    found = (
+        op1_training_order, op2_toxicity, op3_sentencepiece, op4_ngram_jaccard_join, op5_quality_classifier, op6_embedding_near_dedup, op7_lm_scoring, op8_best_fit_packing, op9_language_id, op10_exact_top_k,
+        op11_benchmark_decontamination, op12_phrase_collocation_mining, op13_fill_in_middle,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_benchmark_decontamination": OP11_SQL, "op12_phrase_collocation_mining": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
