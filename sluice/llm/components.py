@@ -53,3 +53,10 @@ def components(edges: DataFrame) -> DataFrame:
         if (new := print_of(now)) == seen:
             return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
         seen = new
+
+
+def same_id(rows: DataFrame, key: str, prints: list[str], classes: DataFrame) -> DataFrame:
+    """Edges (a, b) that join the classes (prints, rep) of rows with one id: such rows are one node."""
+    repeated = rows.groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1").select(key)
+    reps = rows.join(repeated, key, "left_semi").select(key, *prints).join(classes.select(*prints, "rep"), prints).select(key, "rep").distinct()
+    return reps.join(reps.groupBy(key).agg(F.min("rep").alias("b")), key).select(F.col("rep").alias("a"), "b")

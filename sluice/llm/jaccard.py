@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, give_back, local_forest, materialize, mix, slices, small_enough, together, word_hashes
-from .components import components
+from .components import components, same_id
 
 WORDS = 5
 #: One document in so many is drawn for column frequencies; columns seen this often there count
@@ -262,7 +262,8 @@ def jaccard_components(docs: DataFrame, crowded: int = CROWDED, tile: int = TILE
     clusters = materialize(components(near.union(_stars(columns, many))))
     members = clusters.union(clusters.select(F.col("component").alias("id"), "component").distinct())
     sized = members.join(heads.groupBy(F.col("doc_id").alias("id")).agg(F.max("n").alias("n")), "id").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"), "n")
-    groups = components(_cluster_links(docs, materialize(sized), tile, unit))
+    own = same_id(rows.where("n > 0 and doc_id is not null"), "doc_id", ["f1", "f2"], classes)
+    groups = components(_cluster_links(docs, materialize(sized), tile, unit).unionByName(own))
     of_class = classes.join(groups, F.col("rep") == groups["id"], "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     return rows.join(of_class, ["f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 

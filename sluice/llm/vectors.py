@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import local_forest, materialize
-from .components import components
+from .components import components, same_id
 
 #: Rows of a block of vectors.
 BLOCK = 1024
@@ -340,7 +340,8 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, sample: i
     fetch their vectors and are compared exactly, a pair in its first common table, so links are
     counted once. Buckets above TILE rows are cut into tiles and every two tiles meet in a task of
     their own: no pair is emitted, only rows, counts and a spanning forest. Zero and unusable
-    vectors get no links and are their own component. A null id never links."""
+    vectors get no links and are their own component. A null id never links; rows of one id with
+    different vectors are one node of the graph."""
     spark = vectors.sparkSession
     e = F.transform("embedding", lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x))
@@ -356,7 +357,8 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, sample: i
     if found is None:
         return all_rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = materialize(found)
-    groups = components(found.select(F.col("id").alias("a"), F.col("low").alias("b")))
+    own = same_id(keyed, "vec_id", ["k1", "k2"], classes)
+    groups = components(found.select(F.col("id").alias("a"), F.col("low").alias("b")).unionByName(own))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     of_class = classes.select("k1", "k2", "rep", "copies").join(links, F.col("rep") == links["id"], "left").drop("id").join(groups, F.col("rep") == groups["id"], "left")
     of_class = of_class.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

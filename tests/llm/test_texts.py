@@ -386,3 +386,25 @@ def test_pipeline_filters_by_its_models(spark, sf, documents, labels):
     assert {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, documents, sf).select("doc_id").collect()} == want
     found = language.identify(documents).where(f"score >= {corpus_pipeline.LEAST_SHARE}")
     assert {r["doc_id"] for r in corpus_pipeline.drop_unknown_language(spark, documents, sf).select("doc_id").collect()} == {r["doc_id"] for r in found.collect()}
+
+
+def test_rows_of_one_id_join_their_groups(spark):
+    a, b = "one two three four five six seven", "entirely other words stand in this text here"
+    docs = spark.createDataFrame([(3, b), (4, a), (5, a), (5, b), (6, "a third text of a few words"), (6, None)], "doc_id long, text string")
+    assert sorted({(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}) == [(3, 3), (4, 3), (5, 3), (6, 6)]
+    rng = np.random.default_rng(6)
+    base = [" ".join(rng.choice(list("abcdefghijklmnop"), 40)) for _ in range(9)]
+    rows = [(int(rng.integers(25)), base[rng.integers(9)] + rng.choice(["", " x", " y z"])) for _ in range(60)]
+    parent = {i: i for i, _ in rows}
+
+    def find(i):
+        return i if parent[i] == i else find(parent[i])
+
+    sets = [(i, {tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)}) for i, t in rows]
+    for i, x in sets:
+        for j, y in sets:
+            if 100 * len(x & y) >= 80 * len(x | y):
+                lo, hi = sorted((find(i), find(j)))
+                parent[hi] = lo
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, find(i)) for i in parent}

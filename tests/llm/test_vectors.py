@@ -106,3 +106,27 @@ def test_components_of_chains_and_loops(spark):
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {101: 100, 103: 100, 205: 200}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_of_one_id_join_their_groups(spark):
+    a, b = [1.0, 0.0, 0.0, 0.2], [0.0, 1.0, 0.3, 0.0]
+    got = near(spark, [(3, b), (4, a), (5, a), (5, b), (6, [0.0, 0.0, 0.0, 1.0]), (7, [0.0] * 4)])
+    assert sorted(set((r[0], r[2]) for r in got)) == [(3, 3), (4, 3), (5, 3), (6, 6), (7, 7)]
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.integers(40)), (np.eye(8)[rng.integers(8)] + 0.02 * rng.normal(size=8)).tolist()) for _ in range(60)]
+    parent = {i: i for i, _ in rows}
+
+    def find(i):
+        return i if parent[i] == i else find(parent[i])
+
+    for i, x in rows:
+        for j, y in rows:
+            if np.dot(x, y) >= 0.9 * np.linalg.norm(x) * np.linalg.norm(y):
+                lo, hi = sorted((find(i), find(j)))
+                parent[hi] = lo
+    assert {(r[0], r[2]) for r in near(spark, rows)} == {(i, find(i)) for i in parent}
+
+
+def near(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    return [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_duplicate_vectors(df).collect()]
