@@ -351,27 +351,39 @@ def selection_materialize(selections: DataFrame, candidates: DataFrame) -> DataF
     )
 
 
+#: What an excerpt holds at most, and the places that evidence can have.
+EXCERPT = 400
+PLACES = ("page_number", "sheet_name", "cell_range", "section")
+
+
 def report_audit(reports: DataFrame, findings: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Codes per report: its own enums, its findings' shape, its evidence's shape, dangling ids,
-    sufficiency without evidence."""
-    ids = findings.select("report_id", F.explode("evidence_ids").alias("evidence_id"))
-    dangling = ids.join(evidence.select("report_id", "evidence_id"), ["report_id", "evidence_id"], "left_anti").groupBy("report_id").agg(F.count("*").alias("dangling"))
-    bad_finding = ~(F.col("category").isin(*CATEGORIES) & F.col("severity").isin(*SEVERITIES) & F.col("confidence").isin(*CONFIDENCES) & (F.length("statement") > 0))
-    f = findings.groupBy("report_id").agg(F.count_if(F.coalesce(bad_finding, F.lit(True))).alias("bad_findings"))
-    e = evidence.groupBy("report_id").agg(F.count("*").alias("n_evidence"), F.count_if(~F.coalesce(F.length("excerpt").between(1, 400) & F.col("chunk_id").isNotNull(), F.lit(False))).alias("bad_evidence"))
-    r = reports.join(f, "report_id", "left").join(e, "report_id", "left").join(dangling, "report_id", "left")
-    n = F.coalesce("n_evidence", F.lit(0))
-    return r.select(
-        "report_id",
-        _codes(
-            F.when(~F.coalesce(F.col("evidence_sufficiency").isin(*SUFFICIENCIES), F.lit(False)), "sufficiency"),
-            F.when(~F.coalesce(F.col("confidence").isin(*CONFIDENCES), F.lit(False)), "confidence"),
-            F.when(F.col("bad_findings") > 0, "finding"),
-            F.when(F.col("bad_evidence") > 0, "evidence"),
-            F.when(F.col("dangling") > 0, "dangling"),
-            F.when((n == 0) & (F.col("evidence_sufficiency") != "insufficient"), "no-evidence"),
-        ).alias("codes"),
-    )
+    """Codes of the rules that each report breaks: its own fields, its findings' and its evidence's, ids
+    that no evidence has, sufficiency without evidence or ids. reports: run_id, summary, warnings (an
+    array), evidence_sufficiency, confidence, sufficiency_ids (an array); findings: run_id, category,
+    statement, severity, confidence, evidence_ids; evidence: run_id, evidence_id, document_id,
+    source_type, excerpt, chunk_id and PLACES. A null stands for a field that is missing or no list."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c, F.lit(""))) == ""
+    outside = lambda c, values: ~F.coalesce(F.col(c).isin(*values), F.lit(False))
+    no_ids = lambda c: F.coalesce(F.exists(c, blank), F.lit(True))
+    asked = findings.select("run_id", F.lit("f").alias("kind"), F.explode("evidence_ids").alias("evidence_id"))
+    asked = asked.unionByName(reports.select("run_id", F.lit("s").alias("kind"), F.explode("sufficiency_ids").alias("evidence_id"))).where(~blank("evidence_id"))
+    loose = asked.join(evidence.select("run_id", "evidence_id").distinct(), ["run_id", "evidence_id"], "left_anti")
+    loose = loose.groupBy("run_id").agg(F.bool_or(F.col("kind") == "f").alias("dangling"), F.bool_or(F.col("kind") == "s").alias("sufficiency-dangling"))
+    of_finding = {"category": blank("category"), "statement": blank("statement"), "severity": outside("severity", SEVERITIES), "confidence": outside("confidence", CONFIDENCES), "evidence-ids": no_ids("evidence_ids") | F.coalesce(F.size("evidence_ids") == 0, F.lit(True))}
+    f = findings.groupBy("run_id").agg(*[F.bool_or(c).alias(f"finding-{n}") for n, c in of_finding.items()])
+    placed = F.lit(False)
+    for c in PLACES:
+        placed = placed | F.col(c).isNotNull()
+    of_evidence = {"id": blank("evidence_id"), "document": blank("document_id"), "type": blank("source_type"), "location": ~placed, "excerpt": blank("excerpt") | (F.length("excerpt") > EXCERPT), "chunk": blank("chunk_id")}
+    e = evidence.groupBy("run_id").agg(F.lit(True).alias("some"), *[F.bool_or(c).alias(f"evidence-{n}") for n, c in of_evidence.items()])
+    r = reports.join(f, "run_id", "left").join(e, "run_id", "left").join(loose, "run_id", "left")
+    claims = F.coalesce(F.col("evidence_sufficiency").isin("sufficient", "partial"), F.lit(False))
+    rules = {
+        "summary": blank("summary"), "sufficiency": outside("evidence_sufficiency", SUFFICIENCIES), "confidence": outside("confidence", CONFIDENCES), "warnings": F.col("warnings").isNull(),
+        **{f"finding-{n}": F.col(f"`finding-{n}`") for n in of_finding}, **{f"evidence-{n}": F.col(f"`evidence-{n}`") for n in of_evidence},
+        "sufficiency-ids": no_ids("sufficiency_ids"), "dangling": F.col("dangling"), "sufficiency-dangling": F.col("`sufficiency-dangling`"), "no-evidence": F.col("some").isNull() & ~F.col("evidence_sufficiency").eqNullSafe("insufficient"), "sufficiency-without-ids": claims & F.coalesce(F.size("sufficiency_ids") == 0, F.lit(True)),
+    }
+    return r.select("run_id", _codes(*[F.when(F.coalesce(c, F.lit(False)), n) for n, c in rules.items()]).alias("codes"))
 
 
 def evidence_rekey(evidence: DataFrame) -> DataFrame:
@@ -397,19 +409,36 @@ def rekeyed_references(findings: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def grounding_check(evidence: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Verdict per report and the first reason: document, type, location, chunk, literal excerpt."""
-    d = documents.select("report_id", F.col("document_id").alias("own_document"), F.col("document_type").alias("own_type"))
-    c = chunks.select("document_id", "chunk_id", "pages", text.squash(F.col("text")).alias("chunk_text"))
-    joined = evidence.join(d, "report_id", "left").join(c, ["document_id", "chunk_id"], "left")
+    """Verdict per report and the first reason: another document or type; a place that the type lacks
+    (a page of a pdf, a sheet and its cells of an xlsx, a section of a docx); an unknown chunk, a place
+    that is none of the chunk's sources, an excerpt that is not literally in its text. documents:
+    run_id, document_id, document_type; chunks: document_id, chunk_id, text, sources (an array of
+    structs of PLACES)."""
+    d = documents.select("run_id", F.col("document_id").alias("own_document"), F.col("document_type").alias("own_type"))
+    c = chunks.select("document_id", "chunk_id", "sources", text.squash(F.col("text")).alias("chunk_text"))
+    joined = evidence.join(d, "run_id", "left").join(c, ["document_id", "chunk_id"], "left")
+    given = lambda name: F.trim(F.coalesce(name, F.lit(""))) != ""
+    lacks = (
+        F.when(F.col("own_type") == "pdf", ~F.coalesce(F.col("page_number") >= 1, F.lit(False)))
+        .when(F.col("own_type") == "xlsx", ~(given("sheet_name") & given("cell_range")))
+        .when(F.col("own_type") == "docx", ~given("section"))
+        .otherwise(False)
+    )
+
+    def meets(source: Column) -> Column:
+        cells = F.col("cell_range").isNull() | source["cell_range"].eqNullSafe(F.col("cell_range"))
+        sheet = F.when(F.col("sheet_name").isNotNull(), source["sheet_name"].eqNullSafe(F.col("sheet_name")) & cells)
+        return F.when(F.col("page_number").isNotNull(), source["page_number"].eqNullSafe(F.col("page_number"))).otherwise(F.coalesce(sheet, F.col("section").isNotNull() & source["section"].eqNullSafe(F.col("section"))))
+
     reason = (
         F.when(~F.col("document_id").eqNullSafe(F.col("own_document")), "document")
         .when(~F.col("source_type").eqNullSafe(F.col("own_type")), "type")
-        .when(F.col("page_number").isNull(), "location")
+        .when(lacks, "location")
         .when(F.col("chunk_text").isNull(), "chunk")
-        .when(~F.array_contains("pages", F.col("page_number")), "page")
+        .when(~F.coalesce(F.exists("sources", meets), F.lit(False)), "place")
         .when(~F.col("chunk_text").contains(text.squash(F.col("excerpt"))), "excerpt")
     )
-    return joined.withColumn("reason", reason).groupBy("report_id").agg((F.count("reason") == 0).alias("grounded"), F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("pos"))).alias("first_reason"), F.count("reason").alias("failures"))
+    return joined.withColumn("reason", reason).groupBy("run_id").agg((F.count("reason") == 0).alias("grounded"), F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("pos"))).alias("first_reason"), F.count("reason").alias("failures"))
 
 
 #: Fixed value: the order in which stored reports list their categories.

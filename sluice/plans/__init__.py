@@ -6,7 +6,7 @@ from .catalog import QUERIES, SQL, Query
 
 
 def _load() -> None:
-    from . import boards, corpus, dashboards, evidence_queries, snapshots  # noqa: F401
+    from . import benchmark_queries, boards, corpus, dashboards, evidence_queries, snapshots  # noqa: F401
 
 
 def all_queries() -> dict[str, Query]:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import benchmarking as bench
 from ..operators import evidence as ev
 from ..sources.adapters import view
 from ..sources.storage import scratch, stored
@@ -153,41 +151,6 @@ def selection_materialize(spark, sf_dir):
     return out.select("selection_id", "status", F.md5("summary").alias("summary_md5"), F.when(F.col("findings").isNotNull(), F.size("findings")).cast("long").alias("n_findings"), F.array_join(place, ",").alias("findings"), F.array_join(F.transform("evidence", lambda e: e["candidate_id"]), ",").alias("evidence"))
 
 
-_STATEMENT = "'القيمة ' || CAST(doc_id % 900 AS STRING) || '.50 ريال بتاريخ 2024-01-0' || CAST(1 + doc_id % 9 AS STRING)"
-_PROOF = "CASE WHEN doc_id % 3 = 0 THEN 'القيمة ' || CAST(doc_id % 900 AS STRING) || '.5 ريال 2024-01-0' || CAST(1 + doc_id % 9 AS STRING) ELSE 'القيمة 12 ريال' END"
-
-
-def _findings(spark, sf_dir):
-    ids = "CASE WHEN doc_id % 5 = 0 THEN array('ev-2', 'ev-9') ELSE array('ev-2') END AS evidence_ids"
-    return docs(spark, sf_dir).selectExpr("doc_id AS report_id", "doc_id * 10 AS finding_id", f"{_cat('doc_id % 12')} AS category", f"{_STATEMENT} AS statement", "CASE WHEN doc_id % 8 = 0 THEN 'huge' ELSE 'info' END AS severity", "'medium' AS confidence", ids)
-
-
-def _evidence(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    base = ["doc_id AS report_id", "CASE WHEN doc_id % 7 = 0 THEN 'docx' ELSE 'pdf' END AS source_type", "CASE WHEN doc_id % 11 = 0 THEN 'lost' ELSE 'all' END AS chunk_id"]
-    first = d.selectExpr(*base, "doc_id AS document_id", "1 AS pos", "'ev-1' AS evidence_id", "CASE WHEN doc_id % 5 = 0 THEN split_part(text, char(10), 1) || '§' ELSE replace(split_part(text, char(10), 1), ' ', '  ') END AS excerpt", "1 AS page_number")
-    second = d.selectExpr(*base, "CASE WHEN doc_id % 17 = 0 THEN doc_id + 1 ELSE doc_id END AS document_id", "2 AS pos", "'ev-2' AS evidence_id", f"{_PROOF} AS excerpt", "CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 1 END AS page_number")
-    return first.unionByName(second)
-
-
-_LABEL = "CASE quality WHEN 1 THEN 'sufficient' ELSE CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE 'partial' END END"
-_FIRST = "split_part(text, chr(10), 1)"
-#: The same findings and evidence for DuckDB, the ids of a finding exploded in x with their excerpts.
-_REPORTED = f"""WITH f AS (SELECT doc_id AS report_id, doc_id * 10 AS finding_id, {_cat('doc_id % 12')} AS category, {_STATEMENT} AS statement, CASE WHEN doc_id % 8 = 0 THEN 'huge' ELSE 'info' END AS severity, 'medium' AS confidence, CASE WHEN doc_id % 5 = 0 THEN ['ev-2', 'ev-9'] ELSE ['ev-2'] END AS ids FROM documents)
-, e AS (SELECT doc_id AS report_id, 'ev-1' AS evidence_id, CASE WHEN doc_id % 5 = 0 THEN {_FIRST} || '§' ELSE replace({_FIRST}, ' ', '  ') END AS excerpt, CASE WHEN doc_id % 11 = 0 THEN 'lost' ELSE 'all' END AS chunk_id FROM documents UNION ALL SELECT doc_id, 'ev-2', {_PROOF}, CASE WHEN doc_id % 11 = 0 THEN 'lost' ELSE 'all' END FROM documents)
-, x AS (SELECT report_id, finding_id, unnest(ids) AS evidence_id FROM f), ex AS (SELECT report_id, finding_id, string_agg(excerpt, ' ' ORDER BY excerpt) AS excerpts FROM x JOIN e USING (report_id, evidence_id) GROUP BY ALL)"""
-
-
-@query(_REPORTED + f""", r AS (SELECT doc_id AS report_id, {_LABEL} AS sufficiency, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE 'low' END AS own FROM labels), d AS (SELECT report_id, count(*) AS dangling FROM x ANTI JOIN e USING (report_id, evidence_id) GROUP BY report_id)
-, bf AS (SELECT report_id, count(*) FILTER (WHERE NOT (list_contains({_listed(ev.CATEGORIES)}, category) AND list_contains({_listed(ev.SEVERITIES)}, severity) AND list_contains({_listed(ev.CONFIDENCES)}, confidence) AND length(statement) > 0)) AS bad FROM f GROUP BY report_id)
-, be AS (SELECT report_id, count(*) AS n, count(*) FILTER (WHERE length(excerpt) NOT BETWEEN 1 AND 400 OR chunk_id IS NULL) AS bad_e FROM e GROUP BY report_id)
-SELECT report_id, concat_ws(',', CASE WHEN NOT list_contains({_listed(ev.SUFFICIENCIES)}, sufficiency) THEN 'sufficiency' END, CASE WHEN own IS NULL OR NOT list_contains({_listed(ev.CONFIDENCES)}, own) THEN 'confidence' END, CASE WHEN bad > 0 THEN 'finding' END, CASE WHEN bad_e > 0 THEN 'evidence' END, CASE WHEN dangling > 0 THEN 'dangling' END, CASE WHEN coalesce(n, 0) = 0 AND sufficiency <> 'insufficient' THEN 'no-evidence' END) AS codes
-FROM r LEFT JOIN bf USING (report_id) LEFT JOIN be USING (report_id) LEFT JOIN d USING (report_id)""")
-def report_audit(spark, sf_dir):
-    reports = view(spark, sf_dir, "labels").selectExpr("doc_id AS report_id", f"{_LABEL} AS evidence_sufficiency", "CASE WHEN doc_id % 10 = 0 THEN NULL ELSE 'low' END AS confidence")
-    return ev.report_audit(reports, _findings(spark, sf_dir), _evidence(spark, sf_dir))
-
-
 _JOB = "'job_' || lpad(CAST({0} AS STRING), 14, '0')"
 _OLD = "'ev-' || CAST(CASE WHEN doc_id % 40 = 1 THEN 0 ELSE doc_id % 4 END AS STRING)"
 _REKEY = f"""WITH e AS (SELECT doc_id, {_JOB.format('doc_id // 4')} AS job_id, {_OLD} AS evidence_id FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY job_id, evidence_id) AS same FROM e)
@@ -211,15 +174,6 @@ def rekeyed_references(spark, sf_dir):
     return ev.rekeyed_references(f, ev.evidence_rekey(_job_evidence(spark, sf_dir))).withColumn("evidence_ids", F.array_join("evidence_ids", ","))
 
 
-@query(f"""WITH r AS (SELECT doc_id, 1 AS pos, CASE WHEN doc_id % 7 = 0 THEN 'type' WHEN doc_id % 11 = 0 THEN 'chunk' WHEN NOT contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(CASE WHEN doc_id % 5 = 0 THEN split_part(text, chr(10), 1) || '§' ELSE split_part(text, chr(10), 1) END, '\\s+', ' ', 'g'))) THEN 'excerpt' END AS reason FROM documents
-UNION ALL SELECT doc_id, 2, CASE WHEN doc_id % 17 = 0 THEN 'document' WHEN doc_id % 7 = 0 THEN 'type' WHEN doc_id % 6 = 0 THEN 'location' WHEN doc_id % 11 = 0 THEN 'chunk' WHEN NOT contains(text, {_PROOF}) THEN 'excerpt' END FROM documents)
-SELECT doc_id AS report_id, count(reason) = 0 AS grounded, first(reason ORDER BY pos) FILTER (WHERE reason IS NOT NULL) AS first_reason, count(reason) AS failures FROM r GROUP BY doc_id""")
-def grounding_check(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    chunks = d.selectExpr("doc_id AS document_id", "'all' AS chunk_id", "array(1) AS pages", "text")
-    return ev.grounding_check(_evidence(spark, sf_dir), d.selectExpr("doc_id AS report_id", "doc_id AS document_id", "'pdf' AS document_type"), chunks)
-
-
 # reports whose findings are their documents' lines, dealt to categories by number
 _SORTED_LINES = f"WITH {_LINES}, l AS (SELECT doc_id, ord, line, (doc_id + ord) % 12 AS cat FROM lines WHERE line <> ''), named AS (SELECT unnest({_listed(ev.CATEGORIES)}) AS category, unnest(range(0, 12)) AS cat), stored AS (SELECT unnest({_listed(ev.STORED_ORDER)}) AS category, unnest(range(0, 12)) AS place)"
 
@@ -295,163 +249,6 @@ def multidoc_merge(spark, sf_dir):
     return ev.multidoc_merge(_per_file(spark, sf_dir))
 
 
-@query()
-def numeric_claims(spark, sf_dir):
-    return bench.numeric_claims(docs(spark, sf_dir).select("doc_id", "text"))
-
-
-_DATE, _NUMBER = r"\d{4}-\d{1,2}-\d{1,2}", r"\d+(?:\.\d+)?"
-_amounts = lambda c: f"list_concat(regexp_extract_all({c}, '{_DATE}'), list_transform(regexp_extract_all(regexp_replace({c}, '{_DATE}', ' ', 'g'), '{_NUMBER}'), lambda x: CAST(CAST(x AS DOUBLE) AS STRING)))"
-
-
-@query(_REPORTED + f""", own AS (SELECT report_id, finding_id, unnest(list_distinct({_amounts('statement')})) AS value FROM f), known AS (SELECT report_id, finding_id, unnest(list_distinct({_amounts('excerpts')})) AS value FROM ex)
-SELECT report_id, finding_id, regexp_replace(value, '\\.0$', '') AS value FROM own ANTI JOIN known USING (report_id, finding_id, value)""")
-def numeric_grounding(spark, sf_dir):
-    return bench.numeric_grounding(_findings(spark, sf_dir), _evidence(spark, sf_dir))
-
-
-_FOLDED = lambda c: f"translate(regexp_replace(lower({c}), '{text.MARKS}', '', 'g'), '{text.FOLDED}', '{text.FOLDED_TO}')"
-_STRIPPED = r"list_transform(string_split_regex({0}, '\s+'), lambda t: regexp_replace(regexp_replace(t, '^[:،؛؟?()\[\]—–\-\"«».;'']+', ''), '[:،؛؟?()\[\]—–\-\"«».;'']+$', ''))"
-_TOKENS = lambda c: f"list_filter({_STRIPPED.format(_FOLDED(c))}, lambda t: length(t) >= 3 AND NOT list_contains({_listed(sorted({text.fold_word(w) for w in text.STOP_WORDS}))}, t))"
-# a token without one or two joined particles, and without its article
-_VARIANTS = """SELECT *, unnest([token, once, twice, CASE WHEN length(token) > 5 AND starts_with(token, 'ال') THEN token[3:] ELSE token END, CASE WHEN length(twice) > 3 AND starts_with(twice, 'ال') THEN twice[3:] ELSE token END]) AS variant
-  FROM (SELECT *, CASE WHEN length(token) > 3 AND length(once) > 3 AND once <> token AND contains('وفبلك', once[1]) THEN once[2:] ELSE once END AS twice FROM (SELECT *, CASE WHEN length(token) > 3 AND contains('وفبلك', token[1]) THEN token[2:] ELSE token END AS once FROM {0}))"""
-
-
-@query(_REPORTED + f""", ft AS (SELECT report_id, finding_id, unnest(range(0, len(t))) AS spot, unnest(t) AS token FROM (SELECT *, {_TOKENS('statement')} AS t FROM f)), et AS (SELECT report_id, finding_id, unnest(t) AS token FROM (SELECT *, {_TOKENS('excerpts')} AS t FROM ex))
-, fv AS ({_VARIANTS.format('ft')}), kv AS (SELECT DISTINCT report_id, finding_id, variant FROM ({_VARIANTS.format('et')})), j AS (SELECT fv.report_id, fv.finding_id, spot, token, bool_or(kv.variant IS NOT NULL OR list_contains({_listed(bench.NEUTRAL)}, fv.variant)) AS ok FROM fv LEFT JOIN kv ON fv.report_id = kv.report_id AND fv.finding_id = kv.finding_id AND fv.variant = kv.variant GROUP BY ALL)
-SELECT report_id, finding_id, arg_min(token, spot) AS unfounded FROM j WHERE NOT ok GROUP BY ALL""")
-def token_grounding(spark, sf_dir):
-    return bench.token_grounding(_findings(spark, sf_dir), _evidence(spark, sf_dir))
-
-
-def _assertions(spark):
-    rows = [(1, "fa-1", ["القيمة", "1.50"], ["bidBonds", "penalties", "deadlines"]), (2, "fa-2", ["القيمة", "ريال"], ["guarantees", "penalties"]), (3, "fa-3", ["ريال"], list(ev.CATEGORIES[:3]))]
-    return spark.createDataFrame(rows, "ord int, assertion_id string, terms array<string>, categories array<string>")
-
-
-@query(_REPORTED + f""", a(ord, assertion_id, terms, categories) AS (VALUES (1, 'fa-1', ['القيمة', '1.50'], ['bidBonds', 'penalties', 'deadlines']), (2, 'fa-2', ['القيمة', 'ريال'], ['guarantees', 'penalties']), (3, 'fa-3', ['ريال'], {_listed(ev.CATEGORIES[:3])}))
-SELECT report_id, finding_id, arg_min(assertion_id, ord) AS assertion_id FROM f JOIN a ON list_contains(categories, category) AND len(list_filter(terms, lambda t: NOT contains(statement, t))) = 0 GROUP BY ALL""")
-def forbidden_assertions(spark, sf_dir):
-    return bench.forbidden_assertions(_findings(spark, sf_dir), _assertions(spark))
-
-
-@query()
-def narrative_check(spark, sf_dir):
-    """Each whole document as a narrative, checked against all its lines but the last."""
-    d = docs(spark, sf_dir)
-    lines = F.split("text", "\n")
-    corpus = F.array_join(F.slice(lines, F.lit(1), F.size(lines) - 1), "\n")
-    return bench.narrative_check(d.select(F.col("doc_id").alias("report_id"), F.col("text").alias("narrative")), d.select(F.col("doc_id").alias("report_id"), corpus.alias("corpus")), _assertions(spark))
-
-
-# --- benchmark scoring: one run per document, the case of the part with its number, 4 expectations ---
-
-_WANTED = ("p_brand", "p_type", "p_name", "CAST(p_size AS STRING) || ' units'")
-_term = lambda i: "CASE " + i + " " + " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(_WANTED)) + " END"
-
-
-def _parts(spark, sf_dir):
-    return view(spark, sf_dir, "part").selectExpr("*", "explode(array(0, 1, 2, 3)) AS ord")
-
-
-def _expectations(spark, sf_dir):
-    grid = _parts(spark, sf_dir).selectExpr("p_partkey AS case_id", "ord", f"{_term('ord')} AS term")
-    return grid.selectExpr("case_id", "ord", "'exp-' || ord AS expected_id", f"{_cat('(case_id + ord) % 12')} AS category", "split(term, ' ') AS critical_terms", "term AS expected_value", "CASE ord WHEN 2 THEN 'missing' WHEN 3 THEN 'conflicting' ELSE 'explicit' END AS availability", "ord <> 3 AS required", "array('k-' || case_id || '-' || ord) AS candidate_ids")
-
-
-def _runs(spark, sf_dir):
-    return docs(spark, sf_dir).selectExpr("doc_id AS run_id", "doc_id AS case_id", "source AS model", "n_chars AS duration_ms", "lang AS prompt_version")
-
-
-def _run_findings(spark, sf_dir):
-    """What a run states: the case's values, some of them those of the part of that number times seven."""
-    parts = _parts(spark, sf_dir).selectExpr("p_partkey AS said", "ord AS f_ord", f"'value ' || {_term('ord')} AS statement")
-    f = _runs(spark, sf_dir).selectExpr("run_id", "case_id", "CASE WHEN run_id % 4 = 1 THEN run_id * 7 % 100 ELSE run_id END AS said").join(parts, "said").where("f_ord < 3 or run_id % 3 = 0")
-    return f.selectExpr("run_id", "case_id", "f_ord", f"{_cat('(case_id + f_ord + CASE WHEN run_id % 7 = 0 THEN 1 ELSE 0 END) % 12')} AS category", "statement", "CASE WHEN run_id % 5 = 0 AND f_ord = 1 THEN array('zz') ELSE array('k-' || case_id || '-' || f_ord) END AS evidence_ids")
-
-
-_MATCHED = f"""WITH x AS (SELECT *, unnest(range(0, 4)) AS ord FROM part), exp AS (SELECT p_partkey AS case_id, ord, {_cat('(p_partkey + ord) % 12')} AS category, {_term('ord')} AS term, ord < 2 AS explicit, ord <> 3 AS required, 'k-' || CAST(p_partkey AS STRING) || '-' || CAST(ord AS STRING) AS candidate FROM x)
-, runs AS (SELECT doc_id AS run_id, doc_id AS case_id, source AS model, n_chars AS duration_ms, lang AS prompt_version, CASE WHEN doc_id % 4 = 1 THEN doc_id * 7 % 100 ELSE doc_id END AS said FROM documents)
-, f AS (SELECT run_id, r.case_id, x.ord AS f_ord, {_cat('(r.case_id + x.ord + CASE WHEN run_id % 7 = 0 THEN 1 ELSE 0 END) % 12')} AS category, 'value ' || {_term('ord')} AS statement, CASE WHEN run_id % 5 = 0 AND x.ord = 1 THEN 'zz' ELSE 'k-' || CAST(r.case_id AS STRING) || '-' || CAST(x.ord AS STRING) END AS id FROM runs r JOIN x ON said = p_partkey WHERE x.ord < 3 OR run_id % 3 = 0)
-, cov AS (SELECT run_id, exp.ord, f_ord, exp.category = f.category AS right_cat, f.category FROM f JOIN exp USING (case_id) WHERE id = candidate AND len(list_filter(string_split(term, ' '), lambda t: NOT contains(statement, t))) = 0)
-, m AS (SELECT run_id, category, ord, f_ord FROM (SELECT *, row_number() OVER (PARTITION BY run_id, category, ord ORDER BY f_ord) AS a, row_number() OVER (PARTITION BY run_id, category, f_ord ORDER BY ord) AS b FROM cov WHERE right_cat) WHERE a = 1 AND b = 1)"""
-
-
-@query(_MATCHED + " SELECT * FROM m")
-def expectation_match(spark, sf_dir):
-    return bench.expectation_match(_run_findings(spark, sf_dir), _expectations(spark, sf_dir))
-
-
-_share = lambda done, total, weight: f"CASE WHEN {total} = 0 THEN {weight}.0 ELSE floor({done} / CAST({total} AS DOUBLE) * {weight} * 100 + 0.5) / 100 END"
-_SCORES = _MATCHED + f""", due AS (SELECT run_id, model, exp.* FROM runs JOIN exp USING (case_id)), j AS (SELECT due.*, m.f_ord IS NOT NULL AS hit, c.ord IS NOT NULL AS covered FROM due LEFT JOIN m ON due.run_id = m.run_id AND due.ord = m.ord LEFT JOIN (SELECT DISTINCT run_id, ord FROM cov) c ON due.run_id = c.run_id AND due.ord = c.ord)
-, n AS (SELECT run_id, count(*) AS expected, count(*) FILTER (WHERE explicit) AS fact, count(*) FILTER (WHERE explicit AND hit) AS fact_hit, count(*) FILTER (WHERE covered) AS cov, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT explicit) AS amb, count(*) FILTER (WHERE NOT explicit AND hit) AS amb_hit, count(*) FILTER (WHERE required) AS req, count(*) FILTER (WHERE required AND hit) AS req_hit FROM j GROUP BY run_id)
-, ids AS (SELECT DISTINCT run_id, id FROM f), ch AS (SELECT i.run_id, count(*) AS chosen, count(d.candidate) AS chosen_right FROM ids i LEFT JOIN due d ON i.run_id = d.run_id AND i.id = d.candidate GROUP BY i.run_id)
-, parts AS (SELECT run_id, {_share('fact_hit', 'fact', 35)} AS facts, {_share('hits', 'cov', 15)} AS categories, CASE WHEN expected > 0 AND cov = 0 THEN 0.0 ELSE {_share('coalesce(chosen_right, 0)', 'coalesce(chosen, 0)', 25)} END AS evidence, {_share('amb_hit', 'amb', 15)} AS ambiguity, {_share('req_hit', 'req', 10)} AS completeness FROM n LEFT JOIN ch USING (run_id))
-, scores AS (SELECT *, floor((facts + categories + evidence + ambiguity + completeness) * 100 + 0.5) / 100 AS score FROM parts)
-, gates AS (SELECT run_id, duration_ms > 0 AND prompt_version IS NOT NULL AS input, bool_and(f.id IS NULL OR f.id <> 'zz' OR duration_ms < 1500) AS contract, bool_and(f.statement IS NULL OR contains(f.statement, 'value') AND (said = runs.case_id OR duration_ms % 2 = 0)) AS safety FROM runs LEFT JOIN f USING (run_id) GROUP BY ALL)
-, v AS (SELECT runs.run_id, model, duration_ms, prompt_version, CASE WHEN NOT input THEN 'INVALID_BENCHMARK_INPUT' WHEN NOT contract THEN 'SAFE_REJECTION' WHEN NOT safety THEN 'SAFETY_FAILURE' ELSE 'PASS' END AS verdict, score FROM runs JOIN gates ON runs.run_id = gates.run_id LEFT JOIN scores ON runs.run_id = scores.run_id)"""
-
-
-@query(_SCORES + " SELECT run_id, facts, categories, evidence, ambiguity, completeness, score FROM scores")
-def quality_score(spark, sf_dir):
-    return bench.quality_score(_run_findings(spark, sf_dir), _expectations(spark, sf_dir), _runs(spark, sf_dir))
-
-
-def _verdicts(spark, sf_dir):
-    """Gates from the runs and what they state: an input with text, evidence that exists in long runs,
-    values of the own case in runs of odd length."""
-    runs, findings = _runs(spark, sf_dir), _run_findings(spark, sf_dir)
-    per = runs.select("run_id", "duration_ms", (F.when(F.col("run_id") % 4 == 1, F.col("run_id") * 7 % 100).otherwise(F.col("run_id")) == F.col("run_id")).alias("own"), "prompt_version").join(findings.select("run_id", "evidence_ids", "statement"), "run_id", "left")
-    gate = lambda tier, c: per.select("run_id", F.lit(tier).alias("tier"), c.alias("passed"))
-    gates = gate("input", (F.col("duration_ms") > 0) & F.col("prompt_version").isNotNull())
-    gates = gates.unionByName(gate("contract", F.coalesce(~F.array_contains("evidence_ids", "zz"), F.lit(True)) | (F.col("duration_ms") < 1500)))
-    gates = gates.unionByName(gate("safety", F.col("statement").isNull() | (F.col("statement").contains("value") & (F.col("own") | (F.col("duration_ms") % 2 == 0)))))
-    return bench.run_verdict(runs.drop("case_id"), gates, bench.quality_score(findings, _expectations(spark, sf_dir), runs))
-
-
-@query(_SCORES + " SELECT run_id, model, duration_ms, prompt_version, verdict, CASE WHEN verdict = 'PASS' THEN score END AS score FROM v")
-def run_verdict(spark, sf_dir):
-    return _verdicts(spark, sf_dir)
-
-
-@query(_SCORES + ", m2 AS (SELECT model, count(*) AS runs, count(*) FILTER (WHERE verdict = 'PASS') AS passes FROM v GROUP BY model) SELECT *, passes >= 2 AS qualified, row_number() OVER (ORDER BY passes DESC, runs, model) AS place FROM m2")
-def model_leaderboard(spark, sf_dir):
-    return bench.model_leaderboard(_verdicts(spark, sf_dir))
-
-
-_EXPECTED = f"SELECT doc_id AS case_id, 'e' || CAST(doc_id % 50 AS STRING) AS expected_id, CASE WHEN doc_id % 13 = 0 THEN 'x' ELSE {_cat('doc_id % 12')} END AS category, split_part(text, ' ', 2) AS term, {{first}} AS expected_value, CASE WHEN doc_id % 4 = 0 THEN 'c' || CAST(length(text) % 90 AS STRING) ELSE 'c0' END AS candidate FROM documents"
-
-
-@query(f"""WITH {_LINES}, c AS (SELECT doc_id AS case_id, 'c' || CAST(ord AS STRING) AS candidate FROM lines WHERE length(line) BETWEEN 8 AND 400), e AS ({_EXPECTED.format(first=_FIRST)}), same AS (SELECT case_id, expected_id, count(*) AS same FROM e GROUP BY ALL)
-SELECT case_id, expected_id, concat_ws(',', CASE WHEN NOT list_contains({_listed(ev.CATEGORIES)}, category) THEN 'category' END, CASE WHEN NOT contains(trim(regexp_replace(expected_value, '\\s+', ' ', 'g')), term) THEN 'terms' END, CASE WHEN c.candidate IS NULL THEN 'candidates' END, CASE WHEN same > 1 THEN 'repeated' END) AS codes FROM e LEFT JOIN c USING (case_id, candidate) JOIN same USING (case_id, expected_id)""")
-def ground_truth_audit(spark, sf_dir):
-    columns = _EXPECTED.format(first="split_part(text, char(10), 1)")[len("SELECT ") : -len(" FROM documents")]
-    e = docs(spark, sf_dir).selectExpr(*_columns(columns)).withColumns({"critical_terms": F.array("term"), "candidate_ids": F.array("candidate")})
-    return bench.ground_truth_audit(e, _candidates(spark, sf_dir).withColumnRenamed("document_id", "case_id"), ev.CATEGORIES)
-
-
-def _columns(listed: str) -> list[str]:
-    """The columns of a SELECT list, split at commas outside brackets and quotes."""
-    out, depth, quoted = [""], 0, False
-    for ch in listed:
-        quoted ^= ch == "'"
-        depth += (ch in "([") - (ch in ")]") if not quoted else 0
-        if ch == "," and not depth and not quoted:
-            out.append("")
-        else:
-            out[-1] += ch
-    return [c.strip() for c in out]
-
-
-@query("""WITH c AS (SELECT CAST(doc_id AS STRING) || '/' || CAST(i AS STRING) AS candidate_id, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS key FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)), m AS (SELECT item_id AS expected_id, count(candidate_id) AS matches, min(candidate_id) AS c FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS key FROM benchmark) b LEFT JOIN c USING (key) GROUP BY item_id)
-SELECT expected_id, matches, CASE WHEN matches = 1 THEN c END AS candidate_id FROM m""")
-def expectation_resolve(spark, sf_dir):
-    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "excerpt"))
-    candidates = lines.select(F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.col("i").cast("string")).alias("candidate_id"), "excerpt")
-    return bench.expectation_resolve(view(spark, sf_dir, "benchmark").select(F.col("item_id").alias("expected_id"), F.col("text").alias("excerpt")), candidates)
-
-
 # --- envelopes ------------------------------------------------------------------------------------
 
 
