@@ -492,18 +492,35 @@ _CONFIDENCE = lambda c: F.when(F.col(c) == "high", 3).when(F.col(c) == "medium",
 
 
 def multidoc_merge(files: DataFrame) -> DataFrame:
-    """A tender's files as one result: the strongest sufficiency, among those the highest
-    confidence, failed files only counted, distinct evidence; unbalanced coverage forces `low`."""
+    """A tender's files as one result: the strongest sufficiency, among those the highest confidence;
+    the sufficiency ids in the order first named, each with the first file that names it; the files
+    with their results and the failed ones in order; distinct evidence. Unbalanced coverage, to which a
+    failed file adds nothing, forces `low`. files: tender, pos, file_name, size_bytes, error, message,
+    evidence_sufficiency, confidence, evidence_count, sufficiency_ids (an array)."""
     fine = F.col("error").isNull()
     ranked = files.withColumns({"s": F.when(fine, _SUFFICIENCY("evidence_sufficiency")), "c": F.when(fine, _CONFIDENCE("confidence"))})
-    per = ranked.groupBy("tender").agg(F.max(F.struct("s", "c")).alias("m"), F.sum(F.coalesce("evidence_count", F.lit(0))).alias("total_evidence"), F.count_if(~fine).alias("errors"))
-    joined = per.join(coverage_balance(files).select("tender", "unbalanced", "warning"), "tender")
+    own, failed = F.struct("pos", "file_name", "size_bytes", "evidence_sufficiency", "confidence", "evidence_count", "error"), F.struct("pos", "file_name", F.col("error").alias("code"), "message")
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x.dropFields("pos"))
+    per = ranked.groupBy("tender").agg(F.max(F.struct("s", "c")).alias("m"), F.sum(F.coalesce("evidence_count", F.lit(0))).alias("total_evidence"), in_order(own).alias("files"), in_order(F.when(~fine, failed)).alias("errors"))
+    ids = files.where(fine).select("tender", "pos", "file_name", F.posexplode("sufficiency_ids").alias("at", "evidence_id"))
+    first = ids.groupBy("tender", "evidence_id").agg(F.min(F.struct("pos", "at", "file_name")).alias("use"))
+    named = first.groupBy("tender").agg(F.transform(F.array_sort(F.collect_list(F.struct("use.pos", "use.at", "evidence_id", "use.file_name"))), lambda x: x.dropFields("pos", "at")).alias("sufficiency_ids"))
+    joined = per.join(named, "tender", "left").join(coverage_balance(files).select("tender", "unbalanced", "warning"), "tender")
     s, c = F.coalesce("m.s", F.lit(0)), F.greatest(F.coalesce("m.c", F.lit(1)), F.lit(1))
     return joined.select(
         "tender",
         F.element_at(F.array(*[F.lit(x) for x in ("insufficient", "partial", "sufficient")]), s + 1).alias("evidence_sufficiency"),
         F.when(F.col("unbalanced"), "low").otherwise(F.element_at(F.array(*[F.lit(x) for x in CONFIDENCES]), c)).alias("confidence"),
-        "total_evidence",
+        F.coalesce("sufficiency_ids", F.array().cast(named.schema["sufficiency_ids"].dataType)).alias("sufficiency_ids"),
+        "files",
         "errors",
+        "total_evidence",
         "warning",
     )
+
+
+def multidoc_evidence(files: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Evidence of each file of a tender that did not fail, from the last result under its name.
+    evidence: tender, pos (of the file), at, evidence_id, page_number, excerpt."""
+    last = files.where("error is null").groupBy("tender", "file_name").agg(F.max("pos").alias("pos"))
+    return evidence.join(last, ["tender", "pos"]).select("tender", "file_name", "at", "evidence_id", "page_number", "excerpt")

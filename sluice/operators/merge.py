@@ -92,10 +92,19 @@ def change_log(previous: DataFrame, incoming: DataFrame) -> DataFrame:
     return both.select("reference", fields.alias("f")).select("reference", "f.*").where(~F.col("old_value").eqNullSafe(F.col("new_value")))
 
 
+#: The columns of a snapshot that a run overwrites.
+SNAPSHOT_COLUMNS = (
+    "title", "agency", "fee", "region", "deadline", "published_at", "platform_status", "activity", "sub_activity", "tender_type", "etimad_url", "tender_number", "contract_duration", "guarantee", "location", "quantity_summary", "attachment_names",
+    "fee_verification", "fee_raw_text", "source_hash",
+)
+
+
 def snapshot_upsert(previous: DataFrame, incoming: DataFrame, now: str, complete_activity: str | None = None) -> DataFrame:
-    """The next snapshot: incoming rows overwrite the value columns, first_seen stays, rows not seen
+    """The next snapshot: incoming rows overwrite the value columns, those of SNAPSHOT_COLUMNS that both
+    tables have; first_seen stays, and so does what only details give (fee_verified_at). Rows not seen
     stay; after a run over the complete scope of an activity its unseen rows become inactive."""
-    values = ("title", "agency", "fee", "fee_verification", "region", "deadline", "published_at", "platform_status", "activity")
+    values = [c for c in SNAPSHOT_COLUMNS if c in incoming.columns and c in previous.columns]
+    kept = [c for c in ("fee_verified_at",) if c in previous.columns]
     n, p = incoming.select("reference", *[F.col(c).alias(f"n_{c}") for c in values], F.lit(True).alias("seen")), previous
     joined = p.join(n, "reference", "full_outer")
     seen = F.coalesce("seen", F.lit(False))
@@ -103,7 +112,7 @@ def snapshot_upsert(previous: DataFrame, incoming: DataFrame, now: str, complete
     pick["region"] = F.when(seen, F.coalesce(F.nullif(F.col("n_region"), F.lit("")), F.lit(NO_REGION))).otherwise(F.col("region"))
     gone = ~seen & F.coalesce(F.col("activity") == complete_activity, F.lit(False)) if complete_activity is not None else F.lit(False)
     active = F.when(seen, True).when(gone, False).otherwise(F.col("active"))
-    return joined.select("reference", *[e.alias(c) for c, e in pick.items()], active.alias("active"), F.coalesce("first_seen", F.lit(now)).alias("first_seen"), F.when(seen, F.lit(now)).otherwise(F.col("last_seen")).alias("last_seen"))
+    return joined.select("reference", *[e.alias(c) for c, e in pick.items()], *kept, active.alias("active"), F.coalesce("first_seen", F.lit(now)).alias("first_seen"), F.when(seen, F.lit(now)).otherwise(F.col("last_seen")).alias("last_seen"))
 
 
 def snapshot_deactivate(previous: DataFrame, incoming: DataFrame, activity: str, complete_scope: bool) -> DataFrame:
@@ -140,21 +149,53 @@ def availability_demote(attachments: DataFrame, tenders: DataFrame) -> DataFrame
     return attachments.join(paid, "reference", "left").withColumn("availability", demoted).select(attachments.columns)
 
 
-def detail_patch(tenders: DataFrame, details: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """Non-empty detail values over the tender's own."""
-    new = details.select("reference", *[F.col(c).alias(f"d_{c}") for c in fields])
-    return tenders.join(new, "reference", "left").withColumns({c: F.coalesce(F.nullif(F.col(f"d_{c}"), F.lit("")), F.col(c)) for c in fields}).select(tenders.columns)
+#: What a detail page may fill in, the statuses of a page that was read, the name of
+#: the field that changes at every read and the line that states it.
+DETAIL_COLUMNS = ("tender_number", "tender_type", "sub_activity", "contract_duration", "guarantee", "location", "quantity_summary")
+READABLE = ("complete", "partial")
+VOLATILE_FIELD, VOLATILE_TEXT, MASKED = "timeRemaining", r"(?U)(الوقت المتبق[ىي]\s*\n)[^\n]+", "$1[قيمة متغيرة]"
+
+
+def detail_patch(tenders: DataFrame, details: DataFrame) -> DataFrame:
+    """Tenders with the non-empty values of their details over their own (those of DETAIL_COLUMNS that
+    both tables have). Where the page was read and its fee text from a trusted address states one
+    amount, the fee, its text and the time of the read replace the tender's, as detail-verified.
+    details: reference, status (null: complete), inspected_at, source_url, booklet_fee and columns."""
+    values = [c for c in DETAIL_COLUMNS if c in details.columns and c in tenders.columns]
+    fee = F.when(F.coalesce("status", F.lit("complete")).isin(*READABLE) & fees.is_trusted_detail_url(F.col("source_url")), fees.fee_value(F.col("booklet_fee")))
+    new = details.select("reference", *[F.col(c).alias(f"d_{c}") for c in values], fee.alias("d_fee"), F.col("booklet_fee").alias("d_text"), F.col("inspected_at").alias("d_at"))
+    known = F.col("d_fee").isNotNull()
+    patch = {c: F.coalesce(F.nullif(F.col(f"d_{c}"), F.lit("")), F.col(c)) for c in values}
+    patch |= {c: F.when(known, v).otherwise(F.col(c)) for c, v in (("fee", F.col("d_fee")), ("fee_verification", F.lit("detail-verified")), ("fee_raw_text", F.col("d_text")), ("fee_verified_at", F.col("d_at"))) if c in tenders.columns}
+    return tenders.join(new, "reference", "left").withColumns(patch).select(tenders.columns)
+
+
+def _payload() -> Column:
+    """A detail page as JSON whose order does not vary, without what changes at every read: the fields
+    sorted by name, the time remaining dropped from them and masked in the sections' texts. In a text
+    the value stands on the line after its label."""
+    fields = F.map_from_entries(F.array_sort(F.map_entries(F.map_filter(F.coalesce("fields", F.create_map().cast("map<string,string>")), lambda k, v: k != VOLATILE_FIELD))))
+    sections = F.transform(F.coalesce("sections", F.array().cast("array<struct<title:string,text:string>>")), lambda x: F.struct(x["title"].alias("title"), F.regexp_replace(x["text"], VOLATILE_TEXT, MASKED).alias("text")))
+    names = F.coalesce("attachments", F.array().cast("array<string>"))
+    return F.to_json(F.struct(fields.alias("fields"), sections.alias("sections"), names.alias("attachments"), F.coalesce("page_title", F.lit("")).alias("pageTitle"), F.coalesce("source_url", F.lit("")).alias("sourceUrl")))
 
 
 def detail_history(details: DataFrame) -> DataFrame:
-    """First occurrence of each distinct payload of a reference, by the SHA-256 of the payload
-    without the line that states the time remaining."""
-    payload = F.regexp_replace("payload", r"(?m)^الوقت المتبقي.*\n?", "")
-    hashed = details.withColumn("content_hash", F.sha2(payload, 256))
-    first = hashed.groupBy("reference", "content_hash").agg(F.min("inspected_at").alias("inspected_at"), F.count("*").alias("reads"))
+    """First occurrence of each distinct content of a reference, numbered. details: reference,
+    inspected_at, fields (a map), sections (an array of title and text), attachments (names),
+    page_title, source_url."""
+    hashed = details.withColumn("payload", _payload()).withColumn("content_hash", F.sha2("payload", 256))
+    first = hashed.groupBy("reference", "content_hash").agg(F.min("inspected_at").alias("inspected_at"), F.count("*").alias("reads"), F.min("payload").alias("payload"))
     return first.withColumn("version", F.row_number().over(W.partitionBy("reference").orderBy("inspected_at", "content_hash")))
 
 
+def detail_current(details: DataFrame) -> DataFrame:
+    """The last read of each reference, with the hash of its content."""
+    rest = [c for c in details.columns if c != "reference"]
+    last = details.withColumn("content_hash", F.sha2(_payload(), 256)).withColumn("row", F.struct(*rest, "content_hash")).groupBy("reference").agg(F.max_by("row", F.struct("inspected_at", "content_hash")).alias("row"))
+    return last.select("reference", "row.*")
+
+
 def catalog_upsert(catalog: DataFrame, seen: DataFrame, now: str) -> DataFrame:
     """Activities with ids from their names; a known portal value stays, last_seen is renewed."""
     own_id = F.concat(F.lit("act-"), F.substring(F.sha2("name_ar", 256), 1, 12))
@@ -174,41 +215,79 @@ def sub_catalog_upsert(catalog: DataFrame, subs: DataFrame, seen: DataFrame, now
 
 
 def approval_ledger(requests: DataFrame, approvals: DataFrame, at: str) -> DataFrame:
-    """State of each request's approval at a time: the first rule that applies."""
+    """State of each request's approval at a time: the first rule that applies. An approval without a
+    scope, an expiry or a time of request is an old one and counts as revoked. approvals: approval_id,
+    approved_scope, requested_at, expires_at, revoked, consumed."""
     t = F.lit(at).cast("timestamp_ntz")
-    joined = requests.join(approvals, "approval_id", "left")
+    joined = requests.join(approvals.withColumn("_found", F.lit(True)), "approval_id", "left")
+    whole = (F.coalesce("approved_scope", F.lit("")) != "") & F.col("expires_at").isNotNull() & F.col("requested_at").isNotNull()
     verdict = (
-        F.when(F.col("approved_scope").isNull() & F.col("expires_at").isNull() & F.col("granted").isNull(), "not-found")
+        F.when(F.col("_found").isNull(), "not-found")
         .when(F.col("revoked"), "revoked")
         .when(F.col("consumed"), "consumed")
         .when(F.col("expires_at") <= t, "expired")
-        .when(F.col("approved_scope").isNull() | F.col("expires_at").isNull(), "revoked")
-        .when(~F.col("approved_scope").eqNullSafe(F.col("scope")), "scope-mismatch")
+        .when(~whole, "revoked")
+        .when((F.coalesce("scope", F.lit("")) != "") & (F.col("approved_scope") != F.col("scope")), "scope-mismatch")
         .otherwise("usable")
     )
-    return joined.withColumn("verdict", verdict)
+    return joined.withColumn("verdict", verdict).drop("_found")
+
+
+#: What may be asked for, and how much of it.
+ALLOWED = ("pdf", "xls", "xlsx", "doc", "docx", "ppt", "pptx", "zip", "rar", "7z")
+AVAILABILITIES = ("metadata-only", "free-available", "purchased-available", "restricted", "unknown")
+MAX_FILES, MAX_FILE, MAX_BATCH = 5, 100 * 1024 * 1024, 300 * 1024 * 1024
 
 
-ALLOWED = (".pdf", ".xlsx", ".xls", ".docx", ".doc", ".pptx", ".zip", ".rar")
-MAX_FILES, MAX_FILE, MAX_BATCH = 5, 100_000_000, 300_000_000
+def extension(name: Column) -> Column:
+    """What follows the last full stop of a trimmed name, in lower case; empty without one."""
+    return F.lower(F.regexp_extract(F.trim(name), r"\.([^.]+)$", 1))
+
+
+def _quoted(c: Column) -> Column:
+    """A text as JSON writes it."""
+    listed = F.to_json(F.array(c))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
 def manifest_audit(files: DataFrame, attachments: DataFrame, extensions: tuple[str, ...] = ALLOWED) -> DataFrame:
-    """Verdict of each download request: names trimmed, first duplicate kept, then file rules in
-    order; the manifest's hash over its names in code-point order."""
-    named = files.withColumn("display_name", F.trim("display_name"))
-    once = named.groupBy("reference", "display_name").agg(F.min("pos").alias("pos"), F.min_by("size_bytes", "pos").alias("size_bytes"))
-    known = attachments.groupBy("reference", "display_name").agg(F.min("availability").alias("availability"))
-    ext = F.lower(F.regexp_extract("display_name", r"(\.[^.]*)$", 1))
-    row_code = F.when(~ext.isin(*extensions), "1-extension").when(F.col("availability").isNull(), "2-not-listed").when(~F.col("availability").isin("free-available", "purchased-available"), "3-availability").when(F.col("size_bytes") > MAX_FILE, "4-file-size")
-    rows = once.join(known, ["reference", "display_name"], "left").withColumn("code", row_code)
-    per = rows.groupBy("reference").agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("total"), F.count("size_bytes").alias("sized"), F.min("code").alias("code"), F.array_sort(F.collect_list("display_name")).alias("names"))
-    verdict = F.when(F.col("n_files") > MAX_FILES, "0-count").when(F.col("code").isNotNull(), F.col("code")).when((F.col("sized") == F.col("n_files")) & (F.col("total") > MAX_BATCH), "5-batch-size").otherwise("ok")
-    return per.select("reference", "n_files", verdict.alias("verdict"), F.sha2(F.array_join("names", "\n"), 256).alias("manifest_hash"))
-
-
-def download_queue_build(attachments: DataFrame, per_tender: int = 3, auto_approve: tuple[str, ...] = (".pdf",)) -> DataFrame:
-    """At most per_tender visible files of each tender, approved at once by extension."""
-    place = F.row_number().over(W.partitionBy("reference").orderBy("display_name", "size_bytes", "availability"))
-    ext = F.lower(F.regexp_extract("display_name", r"(\.[^.]*)$", 1))
-    return attachments.withColumn("place", place).where(F.col("place") <= per_tender).withColumn("state", F.when(ext.isin(*auto_approve), "auto-approved").otherwise("proposed"))
+    """Verdict of each download request and the first file, by name, that breaks a rule, by its first
+    rule: names trimmed, blank ones dropped, of equal ones the first kept; too many files, extension,
+    not listed, availability, size; last the batch's size, where all sizes are known. The manifest's
+    hash is that of its canonical JSON, [name, size] in order of names. files: reference, pos,
+    display_name, size_bytes; attachments: reference, display_name, availability."""
+    size = F.when(F.col("size_bytes") < 0, 0).otherwise(F.col("size_bytes"))
+    named = files.withColumns({"display_name": F.trim("display_name"), "size_bytes": size})
+    once = named.groupBy("reference", "display_name").agg(F.min_by("size_bytes", "pos").alias("size_bytes"))
+    known = attachments.groupBy("reference", "display_name").agg(F.max("availability").alias("availability"), F.lit(True).alias("listed"))
+    code = (
+        F.when(~extension(F.col("display_name")).isin(*extensions), "extension")
+        .when(F.col("listed").isNull(), "not-listed")
+        .when(~F.coalesce(F.col("availability").isin(*AVAILABILITIES), F.lit(False)), "availability")
+        .when(F.col("size_bytes") > MAX_FILE, "file-size")
+    )
+    given = F.col("display_name") != ""
+    rows = once.join(known, ["reference", "display_name"], "left").withColumn("code", code)
+    entry = F.struct("display_name", F.concat(F.lit("["), _quoted(F.col("display_name")), F.lit(","), F.coalesce(F.col("size_bytes").cast("string"), F.lit("null")), F.lit("]")).alias("json"))
+    per = rows.groupBy("reference").agg(
+        F.count_if(given).alias("n_files"), F.sum(F.when(given, F.col("size_bytes"))).alias("total"), F.count(F.when(given, F.col("size_bytes"))).alias("sized"),
+        F.min(F.when(given & F.col("code").isNotNull(), F.struct("display_name", "code"))).alias("bad"), F.array_sort(F.collect_list(F.when(given, entry))).alias("entries"),
+    )
+    verdict = F.when(F.col("n_files") == 0, "no-files").when(F.col("n_files") > MAX_FILES, "count").when(F.col("bad").isNotNull(), F.col("bad.code")).when((F.col("sized") == F.col("n_files")) & (F.col("total") > MAX_BATCH), "batch-size").otherwise("ok")
+    json = F.concat(F.lit('{"tenderReference":'), _quoted(F.col("reference")), F.lit(',"files":['), F.array_join(F.transform("entries", lambda x: x["json"]), ","), F.lit("]}"))
+    counted = F.col("n_files").between(1, MAX_FILES)
+    return per.select("reference", "n_files", verdict.alias("verdict"), F.when(counted, F.col("bad.display_name")).alias("failing_file"), F.sha2(json, 256).alias("manifest_hash"))
+
+
+def download_queue_build(attachments: DataFrame, per_tender: int = MAX_FILES, auto_approve: bool = False) -> DataFrame:
+    """The first per_tender files of each tender in the order listed (pos), all in one state that the
+    policy decides: proposed, for a person to approve, or approved at once."""
+    place = F.row_number().over(W.partitionBy("reference").orderBy("pos"))
+    state = "auto-approved" if auto_approve else "proposed"
+    return attachments.withColumn("place", place).where(F.col("place") <= per_tender).withColumn("state", F.lit(state))
+
+
+def download_queue_summary(queue: DataFrame) -> DataFrame:
+    """How many rows a queue has, in all and by state."""
+    of = lambda state: F.count_if(F.col("state") == state)
+    return queue.agg(F.count("*").alias("rows_created"), of("proposed").alias("proposed"), of("auto-approved").alias("auto_approved"))

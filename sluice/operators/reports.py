@@ -84,10 +84,12 @@ def resumable_run(runs: DataFrame) -> DataFrame:
 
 
 def region_rollup(checkpoints: DataFrame) -> DataFrame:
-    """Cards checked per run and region, and whether the cursor has left the region."""
+    """Cards checked per run and region, whether the cursor has left the region, and how many regions
+    of the run it has left."""
     per = checkpoints.groupBy("sync_run_id", "region_id").agg(F.max("page_number").alias("pages"), F.count("*").alias("checked"), F.max_by("fee_bucket", F.struct("page_number", "reference", "seq")).alias("last_bucket"))
     furthest = W.partitionBy("sync_run_id").orderBy(F.col("region_id").cast("int").desc())
-    return per.withColumn("status", F.when(F.row_number().over(furthest) == 1, "running").otherwise("complete"))
+    done = F.count("*").over(W.partitionBy("sync_run_id")) - 1
+    return per.withColumns({"status": F.when(F.row_number().over(furthest) == 1, "running").otherwise("complete"), "regions_completed": done})
 
 
 def board_kpis(tenders: DataFrame, runs: DataFrame, now: str) -> DataFrame:

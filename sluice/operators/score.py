@@ -59,6 +59,14 @@ def classification_store(stored: DataFrame, classes: DataFrame, snapshot: DataFr
     return stored.join(new, "reference", "left_anti").unionByName(new)
 
 
+def classification_counts(classes: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """How many classes of tenders with a reference are stored, and how many skipped for want of their
+    tender in the snapshot."""
+    known = snapshot.select("reference").distinct().withColumn("known", F.lit(True))
+    j = classes.where(F.coalesce("reference", F.lit("")) != "").join(known, "reference", "left")
+    return j.agg(F.count("known").alias("classified"), F.count_if(F.col("known").isNull()).alias("skipped"))
+
+
 def days_left(deadline: Column, now: str) -> Column:
     """Whole days to a text deadline, rounded up; null without a readable one."""
     at = F.try_to_timestamp(deadline, F.lit("yyyy-MM-dd HH:mm"))

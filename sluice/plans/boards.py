@@ -192,6 +192,12 @@ def classification_store(spark, sf_dir):
     return score.classification_store(stored, score.specialty_classify(t), t.where("k % 5 <> 0"))
 
 
+@query(with_views("tenders", body=CLASSES + "SELECT count(*) FILTER (WHERE k % 5 <> 0) AS classified, count(*) FILTER (WHERE k % 5 = 0) AS skipped FROM classes"))
+def classification_counts(spark, sf_dir):
+    t = view(spark, sf_dir, "tenders")
+    return score.classification_counts(score.specialty_classify(t), t.where("k % 5 <> 0"))
+
+
 @query(with_views("tenders", body=f"""SELECT reference, greatest(25, least(90, 60 + CASE WHEN fee >= 500 THEN 6 ELSE 0 END + CASE WHEN regexp_matches(title, 'صيانة|ترميم|تأهيل|إنشاء|إصلاح|تطوير') THEN 8 ELSE 0 END
   - CASE WHEN CASE WHEN deadline = '' THEN 10 ELSE {DAYS} END <= 2 THEN 8 ELSE 0 END)) AS suitability FROM tenders"""))
 def suitability_score(spark, sf_dir):

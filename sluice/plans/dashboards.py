@@ -78,7 +78,7 @@ def resumable_run(spark, sf_dir):
 
 
 @query(with_views("observations", body=""", p AS (SELECT sync_run_id, region_id, max(page_number) AS pages, count(*) AS checked, arg_max(fee_bucket, lpad(CAST(page_number AS STRING), 5, '0') || reference || lpad(CAST(seq AS STRING), 5, '0')) AS last_bucket FROM observations GROUP BY ALL)
-SELECT *, CASE WHEN row_number() OVER (PARTITION BY sync_run_id ORDER BY CAST(region_id AS INT) DESC) = 1 THEN 'running' ELSE 'complete' END AS status FROM p"""))
+SELECT *, CASE WHEN row_number() OVER (PARTITION BY sync_run_id ORDER BY CAST(region_id AS INT) DESC) = 1 THEN 'running' ELSE 'complete' END AS status, count(*) OVER (PARTITION BY sync_run_id) - 1 AS regions_completed FROM p"""))
 def region_rollup(spark, sf_dir):
     return reports.region_rollup(view(spark, sf_dir, "observations"))
 
@@ -144,17 +144,34 @@ def card_extract(spark, sf_dir):
     return intake.card_extract(pages.withColumn("region_id", F.lit("1")))
 
 
-_NAME = "'file-' || CAST(doc_id AS STRING) || CASE doc_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.DOCX' WHEN 2 THEN '.exe' ELSE '.zip' END"
-_BODY = "CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 3 = 0 THEN text ELSE CASE doc_id % 4 WHEN 0 THEN '%PDF-' ELSE 'PK' || chr(3) || chr(4) END || text END"
-_MIME = "CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'application/octet-stream' WHEN 2 THEN 'application/pdf' WHEN 3 THEN 'application/zip' ELSE NULL END"
+_KINDS = ("pdf", "DOCX", "exe", "zip", "7z", "rar", "doc", "xls", "ppt", "xlsx", "pptx", "tar.pdf")
+#: First bytes of the files: those of their kind, of another, or of none.
+_HEADS = ("255044462D", "504B0304", "377ABCAF271C", "526172211A0700", "D0CF11E0A1B11AE1", "504B0506", "")
+_NAME = "'file-' || CAST(doc_id AS STRING) || CASE WHEN doc_id % 31 = 7 THEN ' ' ELSE CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN '.{k}'" for i, k in enumerate(_KINDS)) + " END END"
+_HEAD = "CASE WHEN doc_id % 5 = 3 THEN CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(_HEADS)) + " END ELSE CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN '{_HEADS[k]}'" for i, k in enumerate((0, 1, 6, 5, 2, 3, 4, 4, 4, 1, 5, 0))) + " END END"
+_MIME = "CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN 'application/octet-stream' WHEN 2 THEN ' Application/PDF; charset=binary' WHEN 3 THEN 'application/x-zip-compressed' WHEN 4 THEN 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' WHEN 5 THEN 'application/msword;v=1' ELSE NULL END"
+_FILE = f"""WITH f AS (SELECT doc_id AS file_id, {_NAME} AS name, lower(split_part({_MIME}, ';', 1)) AS mime_, CASE WHEN doc_id % 11 = 0 THEN encode('') ELSE unhex({_HEAD}) || encode(coalesce(text, '')) END AS c FROM documents)
+, e AS (SELECT *, octet_length(c) AS n, lower(coalesce(regexp_extract(trim(name), '\\.([^.]+)$', 1), '')) AS ext, substr(hex(c), 1, 32) AS head, trim(coalesce(mime_, '')) AS mime FROM f)"""
+_SIGNED = lambda profile: "CASE ext " + " ".join(f"WHEN '{e}' THEN " + " OR ".join(f"starts_with(head, '{h}')" for h in heads) for e, (heads, _) in profile.kinds.items()) + " ELSE FALSE END"
+_TYPED = "CASE ext " + " ".join(f"WHEN '{e}' THEN mime IN ({', '.join(repr(t) for t in types)})" for e, (_, types) in intake.QUARANTINE.kinds.items()) + " END"
+_EXTENSIONS = lambda profile: ", ".join(f"'{e}'" for e in profile.kinds)
 
 
-@query(f"""WITH f AS (SELECT doc_id AS file_id, {_NAME} AS name, {_MIME} AS mime, {_BODY} AS c FROM documents), e AS (SELECT *, lower(regexp_extract(name, '(\\.[^.]*)$', 1)) AS ext FROM f)
-SELECT file_id, name, strlen(c) AS size_bytes, sha256(c) AS sha256, CASE WHEN strlen(c) = 0 THEN 'empty' WHEN ext NOT IN ('.pdf', '.docx', '.xlsx', '.zip') THEN 'extension' WHEN NOT starts_with(c, CASE ext WHEN '.pdf' THEN '%PDF-' ELSE 'PK' || chr(3) || chr(4) END) THEN 'signature'
-  WHEN coalesce(mime, '') NOT IN ('', 'application/octet-stream') AND mime <> CASE ext WHEN '.pdf' THEN 'application/pdf' WHEN '.zip' THEN 'application/zip' ELSE 'office' END THEN 'mime' ELSE 'accepted' END AS verdict FROM e""")
+def _files(spark, sf_dir):
+    return view(spark, sf_dir, "documents").selectExpr("doc_id AS file_id", f"{_NAME} AS name", f"{_MIME} AS mime", f"CASE WHEN doc_id % 11 = 0 THEN encode('', 'UTF-8') ELSE unhex({_HEAD}) || encode(coalesce(text, ''), 'UTF-8') END AS content")
+
+
+@query(_FILE + f""" SELECT file_id, name, n AS size_bytes, sha256(c) AS sha256, CASE WHEN n = 0 THEN 'empty' WHEN n > {100 << 20} THEN 'too-large' WHEN ext NOT IN ({_EXTENSIONS(intake.QUARANTINE)}) THEN 'extension' WHEN NOT ({_SIGNED(intake.QUARANTINE)}) THEN 'signature'
+  WHEN mime NOT IN ('', 'application/octet-stream') AND NOT {_TYPED} THEN 'mime' ELSE 'accepted' END AS verdict FROM e""")
 def file_intake_audit(spark, sf_dir):
-    files = view(spark, sf_dir, "documents").selectExpr("doc_id AS file_id", f"{_NAME} AS name", f"{_MIME} AS mime", f"encode({_BODY}, 'UTF-8') AS content")
-    return intake.file_intake_audit(files)
+    """Files kept apart after their download."""
+    return intake.file_intake_audit(_files(spark, sf_dir))
+
+
+@query(_FILE + f""" SELECT file_id, name, n AS size_bytes, sha256(c) AS sha256, CASE WHEN ext NOT IN ({_EXTENSIONS(intake.ANALYSIS)}) THEN 'extension' WHEN n = 0 THEN 'empty' WHEN n > {30 << 20} THEN 'too-large' WHEN NOT ({_SIGNED(intake.ANALYSIS)}) THEN 'signature' ELSE 'accepted' END AS verdict FROM e""")
+def analysis_intake_audit(spark, sf_dir):
+    """The same files before their analysis."""
+    return intake.file_intake_audit(_files(spark, sf_dir).drop("mime"), intake.ANALYSIS)
 
 
 _ITEMS = "SELECT CAST(CAST(ts AS DATE) AS STRING) || '/' || CAST(event_id // 500 AS STRING) AS envelope_id, event_id, CASE WHEN user_id % 19 = 0 THEN '' ELSE ' ' || CAST(user_id AS STRING) || ' ' END AS reference, event_type AS title, CASE WHEN event_id % 6 = 0 THEN 'n/a' ELSE CAST(event_id % 900 AS STRING) END AS fee FROM events"

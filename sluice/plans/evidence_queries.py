@@ -224,7 +224,7 @@ def job_outcomes(spark, sf_dir):
 
 
 _PER_FILE = """WITH p AS (SELECT source AS tender, doc_id AS pos, 'file-' || CAST(doc_id % 90 AS STRING) AS file_name, CASE WHEN doc_id % 6 = 0 THEN 'E' END AS error, CASE doc_id % 3 WHEN 0 THEN 'insufficient' WHEN 1 THEN 'partial' ELSE CASE WHEN doc_id % 2 = 0 THEN 'sufficient' ELSE 'partial' END END AS evidence_sufficiency,
-  CASE doc_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE n_chars % 7 + 1 END AS evidence_count FROM documents)"""
+  CASE doc_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE n_chars % 7 + 1 END AS evidence_count, n_chars AS size_bytes, CASE WHEN doc_id % 6 = 0 THEN 'm' || lang END AS message, ['e' || CAST(doc_id % 7 AS STRING), 'e' || CAST(n_chars % 5 AS STRING)] AS ids FROM documents)"""
 _BALANCE = _PER_FILE + """, l AS (SELECT tender, file_name, first(coalesce(evidence_count, 0) ORDER BY pos DESC) AS n FROM p GROUP BY ALL), t AS (SELECT tender, count(*) AS files, sum(n) AS evidence, max(n) AS most, count(*) FILTER (WHERE n = 0) AS zero FROM l GROUP BY tender)
 , bal AS (SELECT tender, files, evidence, zero, round(CASE WHEN evidence > 0 THEN most * CAST(1 AS DOUBLE) / evidence ELSE 0 END, 4) AS ratio, (evidence > 0 AND most * CAST(1 AS DOUBLE) / evidence >= 0.8) OR zero >= 2 AS unbalanced FROM t)
 , b AS (SELECT *, CASE WHEN unbalanced THEN 'التغطية غير متوازنة: ' || CAST(zero AS STRING) || ' من ' || CAST(files AS STRING) || ' ملفات لم تساهم بأدلة' END AS warning FROM bal)"""
@@ -234,7 +234,7 @@ def _per_file(spark, sf_dir):
     return docs(spark, sf_dir).selectExpr(
         "source AS tender", "doc_id AS pos", "'file-' || CAST(doc_id % 90 AS STRING) AS file_name", "CASE WHEN doc_id % 6 = 0 THEN 'E' END AS error",
         "CASE doc_id % 3 WHEN 0 THEN 'insufficient' WHEN 1 THEN 'partial' ELSE CASE WHEN doc_id % 2 = 0 THEN 'sufficient' ELSE 'partial' END END AS evidence_sufficiency",
-        "CASE doc_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence", "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE n_chars % 7 + 1 END AS evidence_count",
+        "CASE doc_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence", "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE n_chars % 7 + 1 END AS evidence_count", "n_chars AS size_bytes", "CASE WHEN doc_id % 6 = 0 THEN 'm' || lang END AS message", "array('e' || doc_id % 7, 'e' || n_chars % 5) AS sufficiency_ids",
     )
 
 
@@ -243,10 +243,23 @@ def coverage_balance(spark, sf_dir):
     return ev.coverage_balance(_per_file(spark, sf_dir))
 
 
-@query(_BALANCE + """, r AS (SELECT tender, max(CASE WHEN error IS NULL THEN CASE evidence_sufficiency WHEN 'sufficient' THEN 20 WHEN 'partial' THEN 10 ELSE 0 END + CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END END) AS m, sum(coalesce(evidence_count, 0)) AS total_evidence, count(error) AS errors FROM p GROUP BY tender)
-SELECT tender, CASE m // 10 WHEN 2 THEN 'sufficient' WHEN 1 THEN 'partial' ELSE 'insufficient' END AS evidence_sufficiency, CASE WHEN unbalanced THEN 'low' ELSE CASE m % 10 WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END END AS confidence, total_evidence, errors, warning FROM r JOIN b USING (tender)""")
+@query(_BALANCE + """, r AS (SELECT tender, max(CASE WHEN error IS NULL THEN CASE evidence_sufficiency WHEN 'sufficient' THEN 20 WHEN 'partial' THEN 10 ELSE 0 END + CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END END) AS m, sum(coalesce(evidence_count, 0)) AS total_evidence, string_agg(file_name || ':' || error || ':' || message, ',' ORDER BY pos) FILTER (WHERE error IS NOT NULL) AS errors,
+  string_agg(file_name || ':' || CAST(size_bytes AS STRING) || ':' || evidence_sufficiency || ':' || confidence || ':' || coalesce(CAST(evidence_count AS STRING), ''), ',' ORDER BY pos) AS files FROM p GROUP BY tender)
+, i AS (SELECT tender, pos, file_name, unnest(range(0, len(ids))) AS spot, unnest(ids) AS id FROM p WHERE error IS NULL), o AS (SELECT tender, id, min(pos * 100 + spot) AS k, arg_min(file_name, pos * 100 + spot) AS file_name FROM i GROUP BY ALL), u AS (SELECT tender, string_agg(id || '@' || file_name, ',' ORDER BY k) AS sufficiency_ids FROM o GROUP BY tender)
+SELECT tender, CASE m // 10 WHEN 2 THEN 'sufficient' WHEN 1 THEN 'partial' ELSE 'insufficient' END AS evidence_sufficiency, CASE WHEN unbalanced THEN 'low' ELSE CASE m % 10 WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END END AS confidence, coalesce(sufficiency_ids, '') AS sufficiency_ids, r.files, coalesce(errors, '') AS errors, total_evidence, warning FROM r JOIN b USING (tender) LEFT JOIN u USING (tender)""")
 def multidoc_merge(spark, sf_dir):
-    return ev.multidoc_merge(_per_file(spark, sf_dir))
+    out = ev.multidoc_merge(_per_file(spark, sf_dir))
+    told = lambda c, *names: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[F.coalesce(x[n].cast("string"), F.lit("")) for n in names])), ",")
+    ids = F.array_join(F.transform("sufficiency_ids", lambda x: F.concat(x["evidence_id"], F.lit("@"), x["file_name"])), ",")
+    return out.withColumns({"sufficiency_ids": ids, "files": told("files", "file_name", "size_bytes", "evidence_sufficiency", "confidence", "evidence_count"), "errors": told("errors", "file_name", "code", "message")})
+
+
+@query(_PER_FILE + """, l AS (SELECT tender, file_name, max(pos) AS pos FROM p WHERE error IS NULL GROUP BY ALL) SELECT tender, file_name, ord AS at, 'e' || CAST(ord AS STRING) AS evidence_id, CAST(ord // 20 + 1 AS INT) AS page_number, md5(line) AS excerpt_md5 FROM l JOIN (SELECT doc_id AS pos, unnest(range(0, len(t))) AS ord, unnest(t) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)) USING (pos)""")
+def multidoc_evidence(spark, sf_dir):
+    """The lines of the documents as evidence of the files of their number."""
+    e = blocks(spark, sf_dir).join(docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.col("source").alias("tender")), "document_id")
+    e = e.select("tender", F.col("document_id").alias("pos"), F.col("ord").alias("at"), F.concat(F.lit("e"), "ord").alias("evidence_id"), "page_number", F.col("text").alias("excerpt"))
+    return ev.multidoc_evidence(_per_file(spark, sf_dir), e).withColumn("excerpt_md5", F.md5("excerpt")).drop("excerpt")
 
 
 # --- envelopes ------------------------------------------------------------------------------------

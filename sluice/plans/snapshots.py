@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..operators import merge
 from ..sources.adapters import view, with_views
@@ -87,17 +88,24 @@ def change_log(spark, sf_dir):
     return merge.change_log(view(spark, sf_dir, "snapshot_prev"), view(spark, sf_dir, "incoming"))
 
 
-_UP = ("title", "agency", "fee", "fee_verification", "deadline", "published_at", "platform_status", "activity")
+#: The columns that the views lack, told apart by side.
+_MORE = {
+    "sub_activity": "activity || ' {0}'", "tender_type": "CASE WHEN k % 2 = 0 THEN 'منافسة عامة {0}' END", "etimad_url": "'https://portal/{0}/' || reference", "tender_number": "CAST(k AS STRING) || '{0}'", "contract_duration": "CAST(k % 36 AS STRING) || ' شهر {0}'",
+    "guarantee": "CASE WHEN k % 3 = 0 THEN '{0}' END", "location": "region || '{0}'", "quantity_summary": "'q{0}' || CAST(k % 9 AS STRING)", "attachment_names": "'[\"{0}' || CAST(k % 4 AS STRING) || '\"]'", "fee_raw_text": "CAST(fee AS STRING) || '{0}'", "source_hash": "md5(title || '{0}')",
+}
+_WIDE = lambda side: ", ".join(f"{e.format(side)} AS {n}" for n, e in _MORE.items())
+_UP = tuple(c for c in merge.SNAPSHOT_COLUMNS if c != "region")
 
 
-@query(with_views("snapshot_prev", "incoming", body=f"""
-SELECT coalesce(p.reference, i.reference) AS reference, {", ".join(f"CASE WHEN i.reference IS NOT NULL THEN i.{c} ELSE p.{c} END AS {c}" for c in _UP)},
+@query(with_views("snapshot_prev", "incoming", body=f""", p AS (SELECT *, {_WIDE('p')}, CASE WHEN k % 2 = 0 THEN published_at END AS fee_verified_at FROM snapshot_prev), i AS (SELECT *, {_WIDE('i')} FROM incoming)
+SELECT coalesce(p.reference, i.reference) AS reference, {", ".join(f"CASE WHEN i.reference IS NOT NULL THEN i.{c} ELSE p.{c} END AS {c}" for c in _UP)}, fee_verified_at,
   CASE WHEN i.reference IS NOT NULL THEN coalesce(nullif(i.region, ''), 'غير محددة') ELSE p.region END AS region,
   CASE WHEN i.reference IS NOT NULL THEN TRUE WHEN p.activity = 'BUILDING' THEN FALSE ELSE p.active END AS active,
   coalesce(p.first_seen, '{NOW}') AS first_seen, CASE WHEN i.reference IS NOT NULL THEN '{NOW}' ELSE p.last_seen END AS last_seen
-FROM snapshot_prev p FULL OUTER JOIN incoming i ON p.reference = i.reference"""))
+FROM p FULL OUTER JOIN i ON p.reference = i.reference"""))
 def snapshot_upsert(spark, sf_dir):
-    return merge.snapshot_upsert(view(spark, sf_dir, "snapshot_prev"), view(spark, sf_dir, "incoming"), NOW, "BUILDING")
+    wide = lambda name, side: view(spark, sf_dir, name).selectExpr("*", *[f"{e.format(side)} AS {n}" for n, e in _MORE.items()])
+    return merge.snapshot_upsert(wide("snapshot_prev", "p").withColumn("fee_verified_at", F.expr("CASE WHEN k % 2 = 0 THEN published_at END")), wide("incoming", "i"), NOW, "BUILDING")
 
 
 @query(with_views("snapshot_prev", "incoming", body="""
@@ -136,26 +144,54 @@ def availability_demote(spark, sf_dir):
     return merge.availability_demote(view(spark, sf_dir, "attachments"), view(spark, sf_dir, "tenders"))
 
 
-_DET = """, details_ AS (SELECT reference, CASE WHEN k % 4 = 0 THEN '' ELSE title || ' (تفاصيل)' END AS title, CASE WHEN k % 6 = 0 THEN NULL ELSE 'جهة ' || agency END AS agency FROM tenders WHERE k % 3 = 0)"""
+_OWN = ", ".join(f"'{c[:3]} ' || CAST(k % 7 AS STRING) AS {c}" for c in merge.DETAIL_COLUMNS if c not in ("tender_type", "guarantee")) + ", CASE WHEN k % 5 = 0 THEN '9' END AS fee_raw_text, CAST(NULL AS STRING) AS fee_verified_at"
+_GIVEN = ", ".join(f"CASE WHEN k % {i + 3} = 0 THEN '' WHEN k % {i + 4} = 0 THEN NULL ELSE 'd{i} ' || title END AS {c}" for i, c in enumerate(merge.DETAIL_COLUMNS))
+_DETAILS = f"SELECT reference, CASE k % 4 WHEN 0 THEN 'complete' WHEN 1 THEN 'partial' WHEN 2 THEN 'failed' END AS status, '2025-03-0' || CAST(1 + k % 9 AS STRING) AS inspected_at, CASE k % 5 WHEN 0 THEN 'http://tenders.etimad.sa/Tender/Details/1' ELSE 'https://tenders.etimad.sa/Tender/Details/' || CAST(k AS STRING) END AS source_url, CASE k % 6 WHEN 0 THEN '' WHEN 1 THEN '1 أو 2' ELSE CAST(k % 900 AS STRING) || ' ريال' END AS booklet_fee, {_GIVEN} FROM tenders WHERE k % 3 = 0"
+_PATCHED = ("reference", *merge.DETAIL_COLUMNS, "fee", "fee_verification", "fee_raw_text", "fee_verified_at")
 
 
-@query(with_views("tenders", body=_DET + """
-SELECT t.reference, coalesce(nullif(d.title, ''), t.title) AS title, coalesce(nullif(d.agency, ''), t.agency) AS agency FROM tenders t LEFT JOIN details_ d USING (reference)"""))
+@query(with_views("tenders", body=f""", t AS (SELECT *, {_OWN} FROM tenders), d AS (SELECT *, CASE WHEN coalesce(status, 'complete') <> 'failed' AND starts_with(source_url, 'https://') AND booklet_fee NOT IN ('', '1 أو 2') THEN CAST(split_part(booklet_fee, ' ', 1) AS DOUBLE) END AS f FROM ({_DETAILS}) d0)
+SELECT t.reference, {", ".join(f"coalesce(nullif(d.{c}, ''), t.{c}) AS {c}" for c in merge.DETAIL_COLUMNS)}, coalesce(d.f, t.fee) AS fee, CASE WHEN d.f IS NOT NULL THEN 'detail-verified' ELSE t.fee_verification END AS fee_verification,
+  CASE WHEN d.f IS NOT NULL THEN d.booklet_fee ELSE t.fee_raw_text END AS fee_raw_text, CASE WHEN d.f IS NOT NULL THEN d.inspected_at ELSE t.fee_verified_at END AS fee_verified_at FROM t LEFT JOIN d USING (reference)"""))
 def detail_patch(spark, sf_dir):
     t = view(spark, sf_dir, "tenders")
-    details = t.where("k % 3 = 0").selectExpr("reference", "CASE WHEN k % 4 = 0 THEN '' ELSE title || ' (تفاصيل)' END AS title", "CASE WHEN k % 6 = 0 THEN NULL ELSE 'جهة ' || agency END AS agency")
-    return merge.detail_patch(t, details, ("title", "agency")).select("reference", "title", "agency")
+    details = t.where("k % 3 = 0").selectExpr(*_select_list(_DETAILS))
+    return merge.detail_patch(t.selectExpr("*", *_select_list(f"SELECT {_OWN} FROM tenders")), details).select(*_PATCHED)
+
+
+def _select_list(sql: str) -> list[str]:
+    """The columns of a SELECT, split at commas outside brackets and quotes."""
+    out, depth, quoted = [""], 0, False
+    for ch in sql[len("SELECT ") : sql.rindex(" FROM ")]:
+        quoted ^= ch == "'"
+        depth += (ch in "([") - (ch in ")]") if not quoted else 0
+        if ch == "," and not depth and not quoted:
+            out.append("")
+        else:
+            out[-1] += ch
+    return [c.strip() for c in out]
 
 
-_READS = "SELECT CAST(user_id AS STRING) AS reference, 'النوع: ' || event_type || chr(10) || 'الوقت المتبقي: ' || CAST(event_id AS STRING) || chr(10) || 'المجموعة: ' || CAST(event_id % 3 AS STRING) AS payload, event_id AS inspected_at FROM events"
+# reads of a page: the time remaining stands in a field and on the line after its label
+_SECTION = "'النوع' || chr(10) || event_type || chr(10) || CASE WHEN event_id % 2 = 0 THEN 'الوقت المتبقي' ELSE 'الوقت المتبقى' END || ' ' || chr(10) || CAST(event_id AS STRING) || ' يوم' || chr(10) || 'المجموعة' || chr(10) || CAST(event_id % 3 AS STRING)"
+_STABLE = """to_json(json_object('fields', json_object('group', CAST(event_id % 3 AS STRING), 'type', event_type), 'sections', [json_object('title', 's', 'text', regexp_replace(section, '(الوقت المتبق[ىي]\\s*\\n)[^\\n]+', '\\1[قيمة متغيرة]', 'g'))], 'attachments', ['a.pdf'], 'pageTitle', 'صفحة', 'sourceUrl', ''))"""
+_READ = f"""WITH r AS (SELECT CAST(user_id AS STRING) AS reference, event_id AS inspected_at, event_id, event_type, {_SECTION} AS section FROM events), h AS (SELECT *, sha256(CAST({_STABLE} AS STRING)) AS content_hash FROM r)"""
 
 
-@query(f"""WITH reads_ AS ({_READS}), hashed AS (SELECT *, sha256(regexp_replace(payload, 'الوقت المتبقي[^' || chr(10) || ']*' || chr(10), '')) AS content_hash FROM reads_)
-, firsts AS (SELECT reference, content_hash, min(inspected_at) AS inspected_at, count(*) AS reads FROM hashed GROUP BY ALL)
-SELECT *, row_number() OVER (PARTITION BY reference ORDER BY inspected_at, content_hash) AS version FROM firsts""")
+def _reads(spark, sf_dir):
+    e = view(spark, sf_dir, "events").selectExpr("CAST(user_id AS STRING) AS reference", "event_id AS inspected_at", "event_id", "event_type", f"{_SECTION} AS section")
+    fields = F.create_map(F.lit("type"), F.col("event_type"), F.lit("timeRemaining"), F.col("event_id").cast("string"), F.lit("group"), (F.col("event_id") % 3).cast("string"))
+    return e.select("reference", "inspected_at", fields.alias("fields"), F.array(F.struct(F.lit("s").alias("title"), F.col("section").alias("text"))).alias("sections"), F.array(F.lit("a.pdf")).alias("attachments"), F.lit("صفحة").alias("page_title"), F.lit(None).cast("string").alias("source_url"))
+
+
+@query(_READ + """, f AS (SELECT reference, content_hash, min(inspected_at) AS inspected_at, count(*) AS reads FROM h GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY reference ORDER BY inspected_at, content_hash) AS version FROM f""")
 def detail_history(spark, sf_dir):
-    payload = F.concat(F.lit("النوع: "), "event_type", F.lit("\nالوقت المتبقي: "), F.col("event_id").cast("string"), F.lit("\nالمجموعة: "), (F.col("event_id") % 3).cast("string"))
-    return merge.detail_history(view(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("reference"), payload.alias("payload"), F.col("event_id").alias("inspected_at")))
+    return merge.detail_history(_reads(spark, sf_dir)).drop("payload")
+
+
+@query(_READ + " SELECT reference, max(inspected_at) AS inspected_at, arg_max(event_type, inspected_at) AS type, arg_max(content_hash, inspected_at) AS content_hash FROM h GROUP BY reference")
+def detail_current(spark, sf_dir):
+    return merge.detail_current(_reads(spark, sf_dir)).select("reference", "inspected_at", F.col("fields")["type"].alias("type"), "content_hash")
 
 
 @query(f"""WITH cat AS (SELECT p_brand AS name_ar, CASE WHEN min(p_size) > 1 THEN min(p_type) END AS portal_value, '2025-01-01' AS last_seen FROM part WHERE p_partkey % 3 <> 0 GROUP BY p_brand)
@@ -178,41 +214,57 @@ def sub_catalog_upsert(spark, sf_dir):
     return merge.sub_catalog_upsert(part.where("p_size > 2").select(F.col("activity").alias("name_ar")), subs, part.where("p_partkey % 3 <> 0").select("activity", "sub_activity"), NOW)
 
 
-_APP = """WITH requests AS (SELECT event_id, user_id AS approval_id, CASE WHEN event_id % 4 = 0 THEN 'all' ELSE event_type END AS scope FROM events)
-, approvals AS (SELECT user_id AS approval_id, CASE WHEN user_id % 11 = 0 THEN NULL ELSE min(event_type) END AS approved_scope, CASE WHEN user_id % 13 = 0 THEN NULL ELSE max(ts) END AS expires_at, user_id % 7 = 0 AS revoked, user_id % 5 = 0 AS consumed, TRUE AS granted FROM events WHERE user_id % 17 <> 0 GROUP BY user_id)"""
+_APP = """WITH requests AS (SELECT event_id, user_id AS approval_id, CASE WHEN event_id % 4 = 0 THEN 'all' WHEN event_id % 9 = 1 THEN NULL ELSE event_type END AS scope FROM events)
+, approvals AS (SELECT user_id AS approval_id, CASE WHEN user_id % 11 = 0 OR user_id % 23 = 0 THEN NULL ELSE min(event_type) END AS approved_scope, CASE WHEN user_id % 13 = 0 OR user_id % 23 = 0 THEN NULL ELSE max(ts) END AS expires_at, CASE WHEN user_id % 19 = 0 OR user_id % 23 = 0 THEN NULL ELSE min(ts) END AS requested_at, user_id % 7 = 0 AS revoked, user_id % 5 = 0 AS consumed FROM events WHERE user_id % 17 <> 0 GROUP BY user_id)"""
 _AT = "2024-01-20 00:00:00"
 
 
 @query(_APP + f"""
-SELECT r.event_id, r.approval_id, r.scope, CASE WHEN granted IS NULL THEN 'not-found' WHEN revoked THEN 'revoked' WHEN consumed THEN 'consumed' WHEN expires_at <= TIMESTAMP '{_AT}' THEN 'expired'
-  WHEN approved_scope IS NULL OR expires_at IS NULL THEN 'revoked' WHEN approved_scope <> scope THEN 'scope-mismatch' ELSE 'usable' END AS verdict FROM requests r LEFT JOIN approvals a USING (approval_id)""")
+SELECT r.event_id, r.approval_id, r.scope, CASE WHEN r.approval_id NOT IN (SELECT approval_id FROM approvals) THEN 'not-found' WHEN revoked THEN 'revoked' WHEN consumed THEN 'consumed' WHEN expires_at <= TIMESTAMP '{_AT}' THEN 'expired'
+  WHEN approved_scope IS NULL OR expires_at IS NULL OR requested_at IS NULL THEN 'revoked' WHEN scope IS NOT NULL AND approved_scope <> scope THEN 'scope-mismatch' ELSE 'usable' END AS verdict FROM requests r LEFT JOIN approvals a USING (approval_id)""")
 def approval_ledger(spark, sf_dir):
     e = view(spark, sf_dir, "events")
-    requests = e.selectExpr("event_id", "user_id AS approval_id", "CASE WHEN event_id % 4 = 0 THEN 'all' ELSE event_type END AS scope")
-    approvals = e.where("user_id % 17 <> 0").groupBy(F.col("user_id").alias("approval_id")).agg(F.expr("CASE WHEN user_id % 11 = 0 THEN NULL ELSE min(event_type) END").alias("approved_scope"), F.expr("CASE WHEN user_id % 13 = 0 THEN NULL ELSE max(ts) END").alias("expires_at"))
-    approvals = approvals.withColumns({"revoked": F.col("approval_id") % 7 == 0, "consumed": F.col("approval_id") % 5 == 0, "granted": F.lit(True)})
+    requests = e.selectExpr("event_id", "user_id AS approval_id", "CASE WHEN event_id % 4 = 0 THEN 'all' WHEN event_id % 9 = 1 THEN NULL ELSE event_type END AS scope")
+    none = lambda n, v: F.expr(f"CASE WHEN user_id % {n} = 0 OR user_id % 23 = 0 THEN NULL ELSE {v} END")
+    approvals = e.where("user_id % 17 <> 0").groupBy("user_id").agg(none(11, "min(event_type)").alias("approved_scope"), none(13, "max(ts)").alias("expires_at"), none(19, "min(ts)").alias("requested_at")).withColumnRenamed("user_id", "approval_id")
+    approvals = approvals.withColumns({"revoked": F.col("approval_id") % 7 == 0, "consumed": F.col("approval_id") % 5 == 0})
     return merge.approval_ledger(requests, approvals, _AT).select("event_id", "approval_id", "scope", "verdict")
 
 
-_FILES = """, files AS (SELECT reference, ' ' || display_name AS display_name, size_bytes, row_number() OVER (PARTITION BY reference ORDER BY display_name, size_bytes NULLS FIRST, availability) AS pos FROM attachments)
-, known AS (SELECT reference, display_name, min(availability) AS availability FROM attachments WHERE k % 8 <> 0 GROUP BY reference, display_name)"""
+_FILES = """, files AS (SELECT reference, CASE WHEN k % 37 = 5 THEN '  ' ELSE ' ' || display_name END AS display_name, CASE WHEN k % 13 = 4 THEN -size_bytes ELSE size_bytes END AS size_bytes, row_number() OVER (PARTITION BY reference ORDER BY display_name DESC, size_bytes NULLS FIRST, availability) AS pos FROM attachments WHERE k % 2 = 0 OR size_bytes > 60000000)
+, known AS (SELECT reference, display_name, max(CASE WHEN k % 29 = 3 THEN 'withdrawn' ELSE availability END) AS availability FROM attachments WHERE k % 8 <> 0 GROUP BY reference, display_name)"""
+_OK_EXT, _OK_AV = (", ".join(f"'{x}'" for x in xs) for xs in (merge.ALLOWED, merge.AVAILABILITIES))
 
 
-@query(with_views("attachments", body=_FILES + """, once AS (SELECT reference, trim(display_name) AS display_name, first(size_bytes ORDER BY pos) AS size_bytes FROM files GROUP BY reference, trim(display_name))
-, coded AS (SELECT o.*, CASE WHEN coalesce(lower(regexp_extract(o.display_name, '(\\.[^.]*)$', 1)), '') NOT IN ('.pdf', '.xlsx', '.xls', '.docx', '.doc', '.pptx', '.zip', '.rar') THEN '1-extension' WHEN availability IS NULL THEN '2-not-listed'
-   WHEN availability NOT IN ('free-available', 'purchased-available') THEN '3-availability' WHEN size_bytes > 100000000 THEN '4-file-size' END AS code FROM once o LEFT JOIN known USING (reference, display_name))
-, per AS (SELECT reference, count(*) AS n_files, sum(size_bytes) AS total, count(size_bytes) AS sized, min(code) AS code, string_agg(display_name, chr(10) ORDER BY display_name) AS names FROM coded GROUP BY reference)
-SELECT reference, n_files, CASE WHEN n_files > 5 THEN '0-count' WHEN code IS NOT NULL THEN code WHEN sized = n_files AND total > 300000000 THEN '5-batch-size' ELSE 'ok' END AS verdict, sha256(names) AS manifest_hash FROM per"""))
+@query(with_views("attachments", body=_FILES + f""", once AS (SELECT reference, trim(display_name) AS name, first(greatest(size_bytes, 0) ORDER BY pos) AS given, first(size_bytes ORDER BY pos) IS NULL AS open_ FROM files GROUP BY reference, trim(display_name))
+, sized AS (SELECT reference, name, CASE WHEN NOT open_ THEN given END AS size_bytes FROM once WHERE name <> '')
+, coded AS (SELECT s.*, CASE WHEN coalesce(lower(regexp_extract(name, '\\.([^.]+)$', 1)), '') NOT IN ({_OK_EXT}) THEN 'extension' WHEN availability IS NULL THEN 'not-listed' WHEN availability NOT IN ({_OK_AV}) THEN 'availability' WHEN size_bytes > {100 << 20} THEN 'file-size' END AS code FROM sized s LEFT JOIN known ON s.reference = known.reference AND name = display_name)
+, per AS (SELECT reference, count(*) AS n, sum(size_bytes) AS total, count(size_bytes) AS known_, arg_min(code, name) FILTER (WHERE code IS NOT NULL) AS code, min(name) FILTER (WHERE code IS NOT NULL) AS bad, string_agg('[' || CAST(to_json(name) AS STRING) || ',' || coalesce(CAST(size_bytes AS STRING), 'null') || ']', ',' ORDER BY name) AS listed FROM coded GROUP BY reference)
+SELECT r.reference, coalesce(n, 0) AS n_files, CASE WHEN n IS NULL THEN 'no-files' WHEN n > 5 THEN 'count' WHEN code IS NOT NULL THEN code WHEN known_ = n AND total > {300 << 20} THEN 'batch-size' ELSE 'ok' END AS verdict, CASE WHEN n <= 5 THEN bad END AS failing_file,
+  sha256('{{"tenderReference":"' || r.reference || '","files":[' || coalesce(listed, '') || ']}}') AS manifest_hash FROM (SELECT DISTINCT reference FROM files) r LEFT JOIN per ON r.reference = per.reference"""))
 def manifest_audit(spark, sf_dir):
     a = view(spark, sf_dir, "attachments")
-    from pyspark.sql.window import Window as W
+    order = W.partitionBy("reference").orderBy(F.col("display_name").desc(), "size_bytes", "availability")
+    asked = a.where("k % 2 = 0 or size_bytes > 60000000").withColumn("pos", F.row_number().over(order))
+    files = asked.selectExpr("reference", "CASE WHEN k % 37 = 5 THEN '  ' ELSE ' ' || display_name END AS display_name", "CASE WHEN k % 13 = 4 THEN -size_bytes ELSE size_bytes END AS size_bytes", "pos")
+    return merge.manifest_audit(files, a.where("k % 8 <> 0").withColumn("availability", F.expr("CASE WHEN k % 29 = 3 THEN 'withdrawn' ELSE availability END")))
+
+
+#: Attachments in the order listed: by size, the unknown first, names backwards.
+_QUEUE = """, q AS (SELECT reference, display_name, row_number() OVER (PARTITION BY reference ORDER BY size_bytes NULLS FIRST, display_name DESC, availability) AS place FROM attachments)"""
 
-    files = a.select("reference", F.concat(F.lit(" "), "display_name").alias("display_name"), "size_bytes", F.row_number().over(W.partitionBy("reference").orderBy("display_name", "size_bytes", "availability")).alias("pos"))
-    return merge.manifest_audit(files, a.where("k % 8 <> 0"))
 
+def _queue(spark, sf_dir, **policy):
+    order = W.partitionBy("reference").orderBy("size_bytes", F.col("display_name").desc(), "availability")
+    return merge.download_queue_build(view(spark, sf_dir, "attachments").withColumn("pos", F.row_number().over(order)), **policy)
 
-@query(with_views("attachments", body="""
-SELECT reference, display_name, CASE WHEN lower(regexp_extract(display_name, '(\\.[^.]*)$', 1)) = '.pdf' THEN 'auto-approved' ELSE 'proposed' END AS state, place FROM (
-  SELECT *, row_number() OVER (PARTITION BY reference ORDER BY display_name, size_bytes NULLS FIRST, availability) AS place FROM attachments) t WHERE place <= 3"""))
+
+@query(with_views("attachments", body=_QUEUE + " SELECT reference, display_name, 'proposed' AS state, place FROM q WHERE place <= 5"))
 def download_queue_build(spark, sf_dir):
-    return merge.download_queue_build(view(spark, sf_dir, "attachments")).select("reference", "display_name", "state", "place")
+    return _queue(spark, sf_dir).select("reference", "display_name", "state", "place")
+
+
+@query(with_views("attachments", body=_QUEUE + " SELECT count(*) AS rows_created, 0 AS proposed, count(*) AS auto_approved FROM q WHERE place <= 3"))
+def download_queue_summary(spark, sf_dir):
+    """Under a policy that approves at once, three files to a tender."""
+    return merge.download_queue_summary(_queue(spark, sf_dir, per_tender=3, auto_approve=True))

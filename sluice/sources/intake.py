@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,34 +50,62 @@ def card_extract(pages: DataFrame) -> DataFrame:
     return out.withColumns({"fee": value, "fee_verification": F.when(value.isNotNull(), "card-observed").otherwise("unknown")})
 
 
-#: Extension, first bytes as hex, accepted MIME type.
-SIGNATURES = (
-    (".pdf", "255044462D", "application/pdf"),
-    (".docx", "504B0304", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
-    (".xlsx", "504B0304", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"),
-    (".zip", "504B0304", "application/zip"),
-)
 OCTETS = "application/octet-stream"
-
-
-def file_intake_audit(files: DataFrame, limit: int = 100_000_000) -> DataFrame:
-    """Verdict of each file (name, mime, content): the first rule that fails, and its SHA-256."""
-    ext = F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1))
-    head = F.hex(F.substring("content", 1, 8))
-    known = F.when(F.lit(False), F.lit(""))
-    kind = F.when(F.lit(False), F.lit(""))
-    for e, magic, mime in SIGNATURES:
-        known, kind = known.when(ext == e, magic), kind.when(ext == e, mime)
-    stated = F.coalesce("mime", F.lit(""))
-    verdict = (
-        F.when(F.coalesce(F.length("content"), F.lit(0)) == 0, "empty")
-        .when(F.length("content") > limit, "too-large")
-        .when(known.isNull(), "extension")
-        .when(~head.startswith(known), "signature")
-        .when(~stated.isin("", OCTETS) & (stated != kind), "mime")
-        .otherwise("accepted")
-    )
-    return files.select("file_id", "name", F.length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), verdict.alias("verdict"))
+_OLE, _ZIP, _OFFICE = ("D0CF11E0A1B11AE1",), ("504B",), "application/vnd.openxmlformats-officedocument."
+
+
+@dataclass(frozen=True)
+class Profile:
+    """What files may be: by extension the first bytes, as hex, of which one must fit, and the MIME
+    types (none: not looked at); the largest size; whether the extension is looked at first."""
+
+    kinds: dict[str, tuple[tuple[str, ...], tuple[str, ...]]]
+    limit: int
+    extension_first: bool
+
+
+#: Files kept apart after a download, and files that are analysed.
+QUARANTINE = Profile(
+    {
+        "pdf": (("255044462D",), ("application/pdf",)), "zip": (_ZIP, ("application/zip", "application/x-zip-compressed")),
+        "7z": (("377ABCAF271C",), ("application/x-7z-compressed",)), "rar": (("526172211A07",), ("application/vnd.rar", "application/x-rar-compressed")),
+        "doc": (_OLE, ("application/msword",)), "xls": (_OLE, ("application/vnd.ms-excel",)), "ppt": (_OLE, ("application/vnd.ms-powerpoint",)),
+        "docx": (_ZIP, (_OFFICE + "wordprocessingml.document",)), "xlsx": (_ZIP, (_OFFICE + "spreadsheetml.sheet",)), "pptx": (_ZIP, (_OFFICE + "presentationml.presentation",)),
+    },
+    100 * 1024 * 1024,
+    False,
+)
+ANALYSIS = Profile({"pdf": (("255044462D",), ()), "xlsx": (("504B0304",), ()), "docx": (("504B0304",), ())}, 30 * 1024 * 1024, True)
+
+
+def binary_files(spark: SparkSession, path: str, limit: int = QUARANTINE.limit) -> DataFrame:
+    """(file_id, name, size_bytes, content) of the files below a path; larger ones are not loaded, and
+    Spark does not list empty ones."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    small, large = found.where(F.col("length") <= limit), found.where(F.col("length") > limit)
+    return small.select(F.col("path").alias("file_id"), name.alias("name"), F.col("length").alias("size_bytes"), "content").unionByName(large.select(F.col("path").alias("file_id"), name.alias("name"), F.col("length").alias("size_bytes"), F.lit(None).cast("binary").alias("content")))
+
+
+def file_intake_audit(files: DataFrame, profile: Profile = QUARANTINE) -> DataFrame:
+    """Verdict of each file, the first rule of the profile that it breaks: empty, too large, extension,
+    first bytes, MIME type (without its parameters; octets and none go with everything); and the
+    SHA-256 of its content. files: file_id, name, content, with mime and size_bytes or without."""
+    table = lambda k: F.create_map(*[x for e, of in profile.kinds.items() for x in (F.lit(e), F.array(*[F.lit(v) for v in of[k]]).cast("array<string>"))])
+    trimmed = F.trim("name")
+    ext = F.lower(F.regexp_extract(trimmed, r"[^/\\]\.([^./\\]+)$" if profile.extension_first else r"\.([^.]+)$", 1))
+    size = F.col("size_bytes") if "size_bytes" in files.columns else F.length("content").cast("long")
+    size = F.coalesce(size, F.lit(0))
+    head = F.hex(F.substring("content", 1, 16))
+    signed = F.coalesce(F.exists(F.try_element_at(table(0), ext), lambda s: head.startswith(s)), F.lit(False))
+    known = ext.isin(*profile.kinds)
+    verdict = F.when(~known, "extension") if profile.extension_first else F.when(size == 0, "empty")
+    verdict = verdict.when(size == 0, "empty").when(size > profile.limit, "too-large").when(~known, "extension").when(~signed, "signature")
+    if "mime" in files.columns:
+        stated = F.lower(F.trim(F.split_part(F.coalesce("mime", F.lit("")), F.lit(";"), F.lit(1))))
+        types = F.try_element_at(table(1), ext)
+        verdict = verdict.when(~stated.isin("", OCTETS) & (F.size(types) > 0) & ~F.array_contains(types, stated), "mime")
+    return files.select("file_id", "name", size.alias("size_bytes"), F.sha2("content", 256).alias("sha256"), verdict.otherwise("accepted").alias("verdict"))
 
 
 def envelope_parse(raw: DataFrame, source: str = KNOWN_SOURCE) -> tuple[DataFrame, DataFrame]:

@@ -126,11 +126,22 @@ def test_segments_are_literal():
 
 
 def test_lone_file_is_low(spark):
-    df = spark.createDataFrame([("t", 1, "f", None, "sufficient", "high", 5)], "tender string, pos int, file_name string, error string, evidence_sufficiency string, confidence string, evidence_count int")
+    df = spark.createDataFrame([("t", 1, "f", 9, None, None, "sufficient", "high", 5, ["e2", "e1"])], FILES)
     r = evidence.multidoc_merge(df).first()
     assert (r["evidence_sufficiency"], r["confidence"]) == ("sufficient", "low")
 
 
+FILES = "tender string, pos int, file_name string, size_bytes int, error string, message string, evidence_sufficiency string, confidence string, evidence_count int, sufficiency_ids array<string>"
+
+
+def test_sufficiency_ids_keep_their_first_file(spark):
+    rows = [("t", 1, "a", 1, "E", "failed", "sufficient", "high", None, ["x"]), ("t", 2, "b", 2, None, None, "partial", "low", 4, ["e2", "e1"]), ("t", 3, "c", 3, None, None, "partial", "medium", 3, ["e3", "e2"]), ("t", 4, "d", 4, None, None, "insufficient", "high", 3, None)]
+    r = evidence.multidoc_merge(spark.createDataFrame(rows, FILES)).first()
+    assert (r["evidence_sufficiency"], r["confidence"], r["total_evidence"], r["warning"]) == ("partial", "medium", 10, None)
+    assert [tuple(x) for x in r["sufficiency_ids"]] == [("e2", "b"), ("e1", "b"), ("e3", "c")] and [tuple(x) for x in r["errors"]] == [("a", "E", "failed")]
+    assert [(x["file_name"], x["evidence_count"], x["error"]) for x in r["files"]] == [("a", None, "E"), ("b", 4, None), ("c", 3, None), ("d", 3, None)]
+
+
 def test_verdict_tiers(spark):
     runs = spark.createDataFrame([(i, "m") for i in range(4)], "run_id int, model string")
     gates = spark.createDataFrame([(0, "safety", True), (1, "safety", False), (2, "contract", False), (2, "safety", False), (3, "input", False), (3, "contract", False)], "run_id int, tier string, passed boolean")
@@ -139,12 +150,145 @@ def test_verdict_tiers(spark):
     assert got == {0: ("PASS", 100.0), 1: ("SAFETY_FAILURE", None), 2: ("SAFE_REJECTION", None), 3: ("INVALID_BENCHMARK_INPUT", None)}
 
 
-def test_narrative_issue(spark):
-    reports_ = spark.createDataFrame([(1, "المبلغ 500 ريال. نص مؤسس"), (2, "نص مؤسس فقط"), (3, "مدينة جدة")], "report_id int, narrative string")
-    corpus = spark.createDataFrame([(i, "نص مؤسس المبلغ ريال") for i in (1, 2, 3)], "report_id int, corpus string")
-    none = spark.createDataFrame([], "ord int, assertion_id string, terms array<string>, categories array<string>")
-    got = {r["report_id"]: r["issue"] for r in bench.narrative_check(reports_, corpus, none).collect()}
-    assert got == {1: "number:500", 3: "token:مدينه"}
+EXPECTED = "case_id int, ord int, expected_id string, category string, critical_terms array<string>, expected_value string, availability string, required boolean, candidate_ids array<string>"
+STATED = "run_id int, category string, pos int, statement string, evidence_ids array<string>"
+SHOWN = "run_id int, pos int, evidence_id string, excerpt string"
+MADE = "case_id int, ord int, assertion_id string, terms array<string>, categories array<string>"
+
+
+def frames(spark, findings, expectations, evidence=(), assertions=()):
+    runs = spark.createDataFrame([(i,) for i in sorted({f[0] for f in findings})], "run_id int").withColumn("case_id", F.lit(1))
+    return runs, *(spark.createDataFrame(list(rows), schema) for rows, schema in ((findings, STATED), (expectations, EXPECTED), (evidence, SHOWN), (assertions, MADE)))
+
+
+def test_score_by_nearest_expectation(spark):
+    """One of two factual findings is as expected; its evidence holds an id that is no candidate."""
+    runs, f, x, _, _ = frames(spark, [(1, "penalties", 0, "x y", ["k1", "zz"]), (1, "deadlines", 0, "foreign", ["zz"])], [(1, 0, "e", "penalties", ["x"], "x", "explicit", True, ["k1"])])
+    r = bench.quality_score(f, runs, x).first()
+    assert (r["facts"], r["categories"], r["evidence"], r["ambiguity"], r["completeness"], r["score"]) == (35.0, 7.5, 0.0, 15.0, 10.0, 67.5)
+
+
+def test_nearest_is_the_first_of_equals(spark):
+    expected = [(1, 0, "a", "penalties", ["x", "y"], "x y", "explicit", True, ["k"]), (1, 1, "b", "deadlines", ["x"], "x", "explicit", True, ["k"]), (1, 2, "c", "unclearItems", ["z"], "z", "missing", False, ["k"])]
+    runs, f, x, _, _ = frames(spark, [(1, "deadlines", 0, "x", ["k"]), (2, "penalties", 0, "x y", ["k"])], expected)
+    got = {r["run_id"]: (r["facts"], r["categories"], r["evidence"], r["ambiguity"], r["score"]) for r in bench.quality_score(f, runs, x).collect()}
+    # run 1 states as many terms of the first expectation as of its own: the first is nearest, and is not stated in full
+    assert got == {1: (17.5, 0.0, 25.0, 0.0, 47.5), 2: (17.5, 15.0, 25.0, 0.0, 62.5)}
+
+
+def test_matches_are_one_to_one(spark):
+    expected = [(1, i, f"e{i}", "penalties", ["x"], "x", "explicit", True, ["k"]) for i in range(3)]
+    runs, f, x, _, _ = frames(spark, [(1, "penalties", 4, "x", ["k"]), (1, "penalties", 2, "x", ["k"]), (1, "penalties", 9, "y", ["k"])], expected)
+    assert sorted((r["ord"], r["pos"]) for r in bench.expectation_match(f, runs, x).collect()) == [(0, 2), (1, 4)]
+    gaps = sorted((r["kind"], r["id"], r["detail"]) for r in bench.expectation_gaps(f, runs, x).collect())
+    assert gaps == [("missed", "e2", "required:explicit"), ("unexpected", "9", "y")]
+
+
+def test_tokens_rest_on_own_evidence_and_expected_values(spark):
+    expected = [(1, 0, "e", "penalties", ["غرامة"], "غرامة بالأسبوع", "explicit", True, ["k1"])]
+    findings = [(1, "penalties", 0, "غرامة بالأسبوع", ["k1"]), (1, "penalties", 1, "غرامة في مكة", ["k1"]), (1, "deadlines", 0, "مكة", ["k2"]), (1, "guarantees", 0, "بالأسبوع", ["k2"])]
+    runs, f, x, e, _ = frames(spark, findings, expected, [(1, 0, "k1", "غرامة"), (1, 1, "k2", "مكة"), (1, 2, "k2", "مكة بالأسبوع")])
+    assert {(r["category"], r["pos"]): r["unfounded"] for r in bench.token_grounding(f, e, runs, x).collect()} == {("penalties", 1): "مكه", ("guarantees", 0): "بالاسبوع"}
+
+
+def test_forbidden_and_derived(spark):
+    findings = [(1, "penalties", 0, "المبلغ 500", ["k"]), (1, "unclearItems", 0, "المبلغ 500", ["k"]), (1, "deadlines", 0, "المبلغ 7", ["k"])]
+    runs, f, x, e, a = frames(spark, findings, [], [(1, 0, "k", "المبلغ 7")], [(1, 0, "fa-1", ["المبلغ"], ["deadlines"]), (1, 1, "fa-2", ["500"], None)])
+    assert {(r["category"], r["assertion_id"]) for r in bench.forbidden_assertions(f, runs, a).collect()} == {("penalties", "fa-2"), ("deadlines", "fa-1")}
+    assert {(r["category"], r["value"]) for r in bench.numeric_grounding(f, e).collect()} == {("penalties", "500"), ("unclearItems", "500")}
+    free = spark.createDataFrame([(1, True)], "case_id int, allow_derived boolean")
+    assert bench.numeric_grounding(f, e, runs, free).count() == 0
+
+
+def test_narrative_does_not_launder(spark):
+    """A statement that its evidence does not bear out is no support for the summary that repeats it."""
+    findings = [(i, "penalties", 0, "مدينة جدة", ["k"]) for i in (1, 2)] + [(i, "penalties", 0, "نص مؤسس", ["k"]) for i in (3, 4, 5, 6)]
+    shown = [(i, 0, "k", "نص مؤسس المبلغ ريال" + (" مدينة جدة" if i == 2 else "")) for i in range(1, 7)]
+    runs, f, x, e, a = frames(spark, findings, [], shown, [(1, 0, "fa", ["المبلغ", "ريال"], None)])
+    told = {1: ("مدينة جدة", None), 2: ("مدينة جدة", []), 3: ("نص. المبلغ 500 ريال", []), 4: ("هل المبلغ ريال؟", ["المبلغ ريال!"]), 5: ("نص مؤسس", ["نص\nالمبلغ غير محدد ريال"]), 6: ("تقرير مبدئي للمراجعة فقط", [])}
+    reports_ = spark.createDataFrame([(i, s, w) for i, (s, w) in told.items()], "run_id int, summary string, warnings array<string>")
+    unfounded = f.join(bench.token_grounding(f, e, runs, x), ["run_id", "category", "pos"], "left")
+    got = {r["run_id"]: (r["issue"], r["issues"]) for r in bench.narrative_check(reports_, bench.narrative_corpus(e, unfounded), runs, a).collect()}
+    assert got == {1: ("token:مدينه", 1), 3: ("number:500", 1), 4: ("assertion:fa", 1), 5: ("token:محدد", 1)}
+
+
+def test_gates_stop_at_the_first_failing_tier(spark):
+    findings = [(i, "penalties", 0, "غرامة يومية" if i != 2 else "غرامة جدة", ["k"]) for i in range(4)]
+    runs, f, x, e, a = frames(spark, findings, [(1, 0, "e", "penalties", ["غرامة"], "غرامة", "explicit", True, ["k"])], [(i, 0, "k", "غرامة يومية") for i in range(4)])
+    runs = runs.withColumns({"model": F.when(F.col("run_id") == 3, " ").otherwise("m"), "telemetry": F.when(F.col("run_id") == 3, '{"evalCount":"1"}')})
+    one_ = lambda row, schema: spark.createDataFrame([row], schema)
+    null = {c: F.lit(None).cast("string") for c in ("sheet_name", "cell_range", "section")}
+    b = bench.Benchmark(
+        runs=runs, cases=one_((1, 1, "sum", "cat", False), "case_id int, document_id int, fixture_sha256 string, catalog_sha256 string, allow_derived boolean"), documents=one_((1, "sum", "pdf"), "document_id int, checksum string, document_type string"),
+        candidates=one_((1, 1, "k"), "case_id int, document_id int, candidate_id string"), fingerprints=one_((1, "cat"), "case_id int, catalog_sha256 string"),
+        chunks=one_((1, "c", "نص غرامة  يومية"), "document_id int, chunk_id string, text string").withColumn("sources", F.array(F.struct(F.lit(1).alias("page_number"), *[v.alias(n) for n, v in null.items()]))),
+        expectations=x, assertions=a, reports=runs.select("run_id", F.lit("غرامة يومية").alias("summary"), F.array().cast("array<string>").alias("warnings"), F.lit("partial").alias("evidence_sufficiency"), F.lit("low").alias("confidence"), F.array(F.lit("k")).alias("sufficiency_ids"), F.when(F.col("run_id") == 1, F.array(F.lit("more"))).otherwise(F.array()).alias("extra_fields")),
+        findings=f.withColumns({"severity": F.lit("info"), "confidence": F.lit("low")}), evidence=e.withColumns({"document_id": F.lit(1), "source_type": F.lit("pdf"), "page_number": F.lit(1), "chunk_id": F.lit("c")} | null),
+    )
+    gates = bench.run_gates(b).collect()
+    assert sorted((r["run_id"], r["gate"], r["detail"]) for r in gates if not r["passed"]) == [(1, "extra-fields", "more"), (2, "tokens", "penalties:0:جده"), (3, "model", None), (3, "telemetry", '{"evalCount":"1"}')]
+    assert {i: sum(r["run_id"] == i for r in gates) for i in range(4)} == {0: 16, 1: 11, 2: 16, 3: 6}
+    assert {r["run_id"]: (r["verdict"], r["score"]) for r in bench.evaluate(b).collect()} == {0: ("PASS", 100.0), 1: ("SAFE_REJECTION", None), 2: ("SAFETY_FAILURE", None), 3: ("INVALID_BENCHMARK_INPUT", None)}
+
+
+def test_grounding_by_place(spark):
+    rows = [(1, "pdf", 2, None, None, None), (2, "pdf", 3, None, None, None), (3, "xlsx", None, "ورقة", "A1:B2", None), (4, "xlsx", None, "ورقة", "A1:B3", None), (5, "xlsx", None, "ورقة", None, None), (6, "docx", None, None, None, "قسم"), (7, "docx", None, None, None, "آخر"), (8, "pdf", 0, None, None, None)]
+    e = spark.createDataFrame([(i, 0, "ev", i, kind, "سطر  أول", "c", p, s, c, n) for i, kind, p, s, c, n in rows], "run_id int, pos int, evidence_id string, document_id int, source_type string, excerpt string, chunk_id string, page_number int, sheet_name string, cell_range string, section string")
+    d = e.select("run_id", "document_id", F.col("source_type").alias("document_type"))
+    places = F.array(*[F.struct(F.lit(p).cast("int").alias("page_number"), F.lit(s).cast("string").alias("sheet_name"), F.lit(c).cast("string").alias("cell_range"), F.lit(n).cast("string").alias("section")) for p, s, c, n in ((2, None, None, None), (None, "ورقة", "A1:B2", None), (None, None, None, "قسم"))])
+    chunks = e.select("document_id", "chunk_id", F.lit("قبل سطر أول بعد").alias("text"), places.alias("sources"))
+    assert {r["run_id"]: r["first_reason"] for r in evidence.grounding_check(e, d, chunks).collect()} == {1: None, 2: "place", 3: None, 4: "place", 5: "location", 6: None, 7: "place", 8: "location"}
+
+
+def test_report_contract(spark):
+    reports_ = spark.createDataFrame([(1, "s", [], "partial", "low", ["k"]), (2, " ", None, "x", None, None), (3, "s", [], "sufficient", "low", []), (4, "s", [], "insufficient", "low", []), (5, "s", [], "partial", "low", ["q"])], "run_id int, summary string, warnings array<string>, evidence_sufficiency string, confidence string, sufficiency_ids array<string>")
+    f = spark.createDataFrame([(1, "penalties", "s", "info", "low", ["k"]), (2, "", None, "big", "x", [])], "run_id int, category string, statement string, severity string, confidence string, evidence_ids array<string>")
+    e = spark.createDataFrame([(1, "k", 1, "pdf", "x", "c", 1, None, None, None), (2, "", None, "", "x" * 401, None, None, None, None, None), (5, "k", 1, "pdf", "x", "c", None, None, None, "s")], "run_id int, evidence_id string, document_id int, source_type string, excerpt string, chunk_id string, page_number int, sheet_name string, cell_range string, section string")
+    got = {r["run_id"]: r["codes"] for r in evidence.report_audit(reports_, f, e).collect()}
+    every = "summary,sufficiency,confidence,warnings,finding-category,finding-statement,finding-severity,finding-confidence,finding-evidence-ids,evidence-id,evidence-document,evidence-type,evidence-location,evidence-excerpt,evidence-chunk,sufficiency-ids"
+    assert got == {1: "", 2: every, 3: "no-evidence,sufficiency-without-ids", 4: "", 5: "sufficiency-dangling"}
+
+
+def test_manifest_entries_and_truths(spark):
+    good = {"caseId": "m0a-clear", "fixtureId": "TEST-M0A-001", "documentId": "d", "title": "t", "fixtureFile": "f", "fixtureSha256": "a" * 64, "catalogSha256": "b" * 64, "pageCount": 2, "specFile": "s", "groundTruthFile": "g"}
+    entries = [good, good | {"caseId": "x"}, good, good | {"caseId": "m0a-b", "pageCount": "2", "more": 1}, {k: v for k, v in good.items() if k != "title"} | {"caseId": "m0a-c", "catalogSha256": "c" * 64}, []]
+    df = spark.createDataFrame([(1, i, json.dumps(x)) for i, x in enumerate(entries)], "manifest_id int, pos int, entry string")
+    prints = spark.createDataFrame([("d", "b" * 64)], "document_id string, catalog_sha256 string")
+    assert [r["codes"] for r in bench.manifest_case_audit(df, prints).orderBy("pos").collect()] == ["", "case-id", "repeated-case", "unknown-field,pages", "missing-field,title,fingerprint", "not-an-object"]
+
+
+def test_download_manifest_digest(spark):
+    """The digest of the manifest's JSON, worked out by hand."""
+    files = spark.createDataFrame([("T1", 0, " b.pdf", None), ("T1", 1, "أ.zip", 5), ("T1", 2, "b.pdf", 9), ("T1", 3, " ", 1), ("T2", 0, "x.exe", 1), ("T2", 1, "a.pdf", (100 << 20) + 1), ("T3", 0, "a.7z", 100 << 20), ("T4", 0, "", 1)], "reference string, pos int, display_name string, size_bytes long")
+    known = spark.createDataFrame([("T1", "b.pdf", "restricted"), ("T1", "أ.zip", "unknown"), ("T2", "a.pdf", "metadata-only"), ("T3", "a.7z", "sold")], "reference string, display_name string, availability string")
+    got = {r["reference"]: (r["n_files"], r["verdict"], r["failing_file"], r["manifest_hash"]) for r in merge.manifest_audit(files, known).collect()}
+    digest = hashlib.sha256('{"tenderReference":"T1","files":[["b.pdf",null],["أ.zip",5]]}'.encode()).hexdigest()
+    assert got["T1"] == (2, "ok", None, digest) and [got[t][:3] for t in ("T2", "T3", "T4")] == [(2, "file-size", "a.pdf"), (1, "availability", "a.7z"), (0, "no-files", None)]
+
+
+def test_intake_profiles(spark, tmp_path):
+    for name, raw in {"a.PDF": b"%PDF-1", "b.zip": b"PK\x05\x06", "c.xlsx": b"PK\x03\x04x", "d.doc": b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "e.7z": b"7z", "g.txt": b"x"}.items():
+        (tmp_path / name).write_bytes(raw)
+    files = intake.binary_files(spark, str(tmp_path), limit=6)
+    verdicts = lambda profile, df: {r["name"]: r["verdict"] for r in intake.file_intake_audit(df, profile).collect()}
+    assert verdicts(intake.QUARANTINE, files.where("name <> 'd.doc'")) == {"a.PDF": "accepted", "b.zip": "accepted", "c.xlsx": "accepted", "e.7z": "signature", "g.txt": "extension"}
+    assert verdicts(intake.ANALYSIS, files) == {"a.PDF": "accepted", "b.zip": "extension", "c.xlsx": "accepted", "d.doc": "extension", "e.7z": "extension", "g.txt": "extension"}
+    none = spark.createDataFrame([(1, "f.pdf", bytearray(b"")), (2, "g.txt", None)], "file_id int, name string, content binary")
+    assert verdicts(intake.QUARANTINE, none) == {"f.pdf": "empty", "g.txt": "empty"} and verdicts(intake.ANALYSIS, none) == {"f.pdf": "empty", "g.txt": "extension"}
+    mimes = spark.createDataFrame([(i, "x.zip", bytearray(b"PK"), m) for i, m in enumerate(["application/x-zip-compressed; a=b", " APPLICATION/ZIP", "application/pdf", "application/octet-stream", None])], "file_id int, name string, content binary, mime string")
+    assert [r["verdict"] for r in intake.file_intake_audit(mimes).orderBy("file_id").collect()] == ["accepted", "accepted", "mime", "accepted", "accepted"]
+    large = intake.file_intake_audit(intake.binary_files(spark, str(tmp_path), limit=3), intake.Profile(intake.QUARANTINE.kinds, 3, False)).where("name = 'a.PDF'").first()
+    assert (large["verdict"], large["size_bytes"], large["sha256"]) == ("too-large", 6, None)
+
+
+def test_reads_that_differ_in_the_time_remaining_are_one_version(spark):
+    page = lambda left, group, label="الوقت المتبقي": ("r", left, {"timeRemaining": str(left), "b": "1", "a": group}, [("s", f"النوع\nعام\n{label}\n{left} يوم\nآخر\n5")])
+    df = spark.createDataFrame([page(9, "x"), page(7, "x", "الوقت المتبقى"), page(8, "x"), page(3, "y"), page(2, "x")], "reference string, inspected_at int, fields map<string,string>, sections array<struct<title:string,text:string>>")
+    df = df.withColumns({"attachments": F.lit(None).cast("array<string>"), "page_title": F.lit(""), "source_url": F.lit(None).cast("string")})
+    got = sorted((r["version"], r["inspected_at"], r["reads"]) for r in merge.detail_history(df).collect())
+    assert got == [(1, 2, 3), (2, 3, 1), (3, 7, 1)]
+    now = merge.detail_current(df).first()
+    assert (now["inspected_at"], now["fields"]["a"]) == (9, "x")
 
 
 def test_export_quotes_every_cell(spark, tmp_path):
