@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import fees, text
-from ..functions.sizes import if_small
+from ..sources.storage import stored
 
 ACTIVE = "المنافسات النشطة (تقديم العروض)"
 PLACEHOLDER_DEADLINE = "أدخل الموعد"
@@ -142,30 +146,74 @@ def parse_searches(searches: DataFrame) -> DataFrame:
     return out.withColumn("days", days).withColumn("needle", text.squash(cleaned)).drop("rest")
 
 
-#: Bytes that a parsed search takes at most.
-SEARCH_BYTES = 1000
+#: Letters of the pieces under which texts and searches meet.
+GRAM = 3
+_CHIPS = ("wanted", "regions", "specialties", "fee_chip", "days", "needle")
+
+
+def _grams(c: Column, size: Column | int) -> Column:
+    """The distinct substrings of a size; none of a shorter text."""
+    n = F.length(c) - size + 1
+    return F.array_distinct(F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(c, i, F.lit(size) if isinstance(size, int) else size)))
+
+
+def _first_hits(top: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of a task's hits (chip_id, reference): for each search how many, and the first `top` references."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, int] = {}
+        firsts: dict[int, list[str]] = {}
+        for batch in batches:
+            for chip, own in batch.to_pandas().groupby("chip_id")["reference"]:
+                counts[chip] = counts.get(chip, 0) + len(own)
+                firsts[chip] = heapq.nsmallest(top, [*firsts.get(chip, ()), *own])
+        yield pa.RecordBatch.from_pydict({"chip_id": pa.array(counts, pa.int64()), "n": pa.array(counts.values(), pa.int64()), "firsts": pa.array(firsts.values(), pa.list_(pa.string()))})
+
+    return run
 
 
 def saved_search_match(searches: DataFrame, tenders: DataFrame, now: str, top: int = 8) -> DataFrame:
     """For each saved search the number of tenders that satisfy all its chips, and the top ones by
-    reference. Searches are compared with every tender, broadcast where they are few; the condition
-    is one expression, as the optimizer would copy the searches' long parse into each of several."""
+    reference. Searches with equal chips are one. Each stands under one key: its reference; else, of
+    the three-letter pieces of the words that it requires (shorter words whole), the one that fewest
+    tenders hold; else its regions, else its fee. Tenders are cut into pieces once and meet the searches
+    by key, so only they are verified; hits are counted, and the first kept, inside each task."""
     parsed = parse_searches(searches).withColumnRenamed("reference", "wanted")
-    hay = F.concat_ws(" ", "activity", "title")
+    chips = stored(parsed.select("search_id", *_CHIPS, F.xxhash64(*_CHIPS).alias("chip_id")))
+    asked = chips.select("chip_id", *_CHIPS).distinct()
+    hay = F.concat_ws(" ", "activity", "title", "agency")
+    # pieces of the words that a search requires
+    terms = F.filter(F.array_append("specialties", F.col("needle")), lambda t: t != "")
+    pieces = asked.where("wanted is null").select("chip_id", F.explode(terms).alias("term")).withColumn("size", F.least(F.length("term"), F.lit(GRAM)))
+    pieces = pieces.select("chip_id", "size", F.explode(_grams(F.col("term"), F.col("size"))).alias("key"))
+    sizes = [r["size"] for r in pieces.select("size").distinct().collect()]  # at most GRAM
+    held = F.flatten(F.array(*[_grams(hay, n) for n in sizes])) if sizes else F.array().cast("array<string>")
+    uses = tenders.select(F.explode(held).alias("key")).join(pieces.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("uses"))
+    rarest = pieces.join(uses, "key", "left").groupBy("chip_id").agg(F.min_by("key", F.struct(F.coalesce("uses", F.lit(0)), "key")).alias("rarest"))
+    j = asked.join(rarest, "chip_id", "left")
+    only_fee = F.coalesce(F.concat(F.lit("fee "), "fee_chip"), F.lit("any"))
+    keys = F.when(F.col("wanted").isNotNull(), F.array(F.concat(F.lit("="), "wanted"))).when(F.col("rarest").isNotNull(), F.array(F.concat(F.lit("+"), "rarest"))).when(F.size("regions") > 0, F.transform("regions", lambda r: F.concat(F.lit("@"), r))).otherwise(F.array(only_fee))
+    keyed = j.withColumn("key", F.explode(keys))
+    named = F.filter(F.array(*[F.lit(w) for w in REGION_WORDS]), lambda w: F.col("region").contains(w))
+    fee_keys = F.when(F.col("fee") == 0, F.array(F.lit("fee 0"))).when(F.col("fee") > 0, F.array(F.lit("fee paid"))).otherwise(F.array().cast("array<string>"))
+    own = F.concat(F.array(F.concat(F.lit("="), "reference"), F.lit("any")), fee_keys, F.transform(F.coalesce(named, F.array().cast("array<string>")), lambda w: F.concat(F.lit("@"), w)), F.transform(held, lambda g: F.concat(F.lit("+"), g)))
+    offered = tenders.select("reference", "title", "agency", "activity", "region", "fee", "deadline", F.explode(own).alias("key"))
+    met = offered.join(keyed, "key")
     day = F.try_to_timestamp(F.col("deadline"), F.lit("yyyy-MM-dd HH:mm"))
     until = F.lit(now).cast("timestamp") + F.make_dt_interval(F.col("days"))
-    chips = (
-        (F.size("regions") == 0) | F.exists("regions", lambda r: F.col("region").contains(r)),
-        F.forall("specialties", lambda w: hay.contains(w)),
+    words = F.concat_ws(" ", "activity", "title")
+    rules = (
+        # a tender of several of the regions counts under the first of them
+        (F.size("regions") == 0) | F.when(F.col("key").startswith("@"), F.concat(F.lit("@"), F.get(F.filter("regions", lambda r: F.col("region").contains(r)), F.lit(0))) == F.col("key")).otherwise(F.exists("regions", lambda r: F.col("region").contains(r))),
+        F.forall("specialties", lambda w: words.contains(w)),
         F.col("fee_chip").isNull() | ((F.col("fee_chip") == "0") & (F.col("fee") == 0)) | ((F.col("fee_chip") == "paid") & (F.col("fee") > 0)),
         F.col("days").isNull() | F.coalesce((day >= F.lit(now).cast("timestamp")) & (day <= until), F.lit(False)),
         (F.col("needle") == "") | F.concat_ws(" ", "title", "agency").contains(F.col("needle")),
     )
-    theta = F.when(F.col("wanted").isNotNull(), F.col("reference") == F.col("wanted")).otherwise(chips[0] & chips[1] & chips[2] & chips[3] & chips[4])
-    hits = tenders.join(if_small(parsed, SEARCH_BYTES, searches), theta)
-    ranked = hits.withColumn("place", F.row_number().over(W.partitionBy("search_id").orderBy("reference"))).where(F.col("place") <= top)
-    counts = hits.groupBy("search_id").agg(F.count("*").alias("n_hits"))
-    return ranked.join(counts, "search_id").select("search_id", "place", "reference", "n_hits")
+    hits = met.where(F.col("wanted").isNotNull() | (rules[0] & rules[1] & rules[2] & rules[3] & rules[4])).select("chip_id", "reference")
+    per = hits.mapInArrow(_first_hits(top), "chip_id long, n long, firsts array<string>")
+    ranked = per.groupBy("chip_id").agg(F.sum("n").alias("n_hits"), F.slice(F.array_sort(F.flatten(F.collect_list("firsts"))), 1, top).alias("firsts"))
+    return chips.select("search_id", "chip_id").join(ranked, "chip_id").select("search_id", F.posexplode("firsts").alias("place", "reference"), "n_hits").withColumn("place", F.col("place") + 1)
 
 
 def profile_resolve(profiles: DataFrame, activities: DataFrame, subs: DataFrame) -> DataFrame:

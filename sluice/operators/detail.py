@@ -184,13 +184,21 @@ def text_cleanup_report(documents: DataFrame) -> DataFrame:
 PROFILES = {"classifier": text.fold_classifier, "board": text.fold_board, "claim": lambda c: text.fold_claim(text.nfc(c)), "attachment": text.fold_attachment}
 
 
-def match_key_build(documents: DataFrame, profile: str = "classifier") -> DataFrame:
-    """Match keys of a corpus with their surface forms: counted per surface first, so that a very
-    common token is one row per task before it is shuffled."""
+def match_keys(documents: DataFrame, profiles: tuple[str, ...] = tuple(PROFILES)) -> DataFrame:
+    """Match keys of a corpus under several profiles, with their surface forms. The texts are split and
+    counted once, per surface, so that a very common token is one row per task before it is shuffled;
+    each distinct surface is then folded by every profile."""
     tokens = documents.select(F.explode(F.split("text", r"\s+")).alias("surface")).where("surface <> ''")
     surfaces = tokens.groupBy("surface").agg(F.count("*").alias("n"))
-    keyed = surfaces.withColumn("key", PROFILES[profile](F.col("surface")))
-    return keyed.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("n_surfaces"), F.max_by("surface", F.struct("n", "surface")).alias("commonest"))
+    # a projection of its own: the Arrow fold is worked out before rows are multiplied
+    folded = surfaces.select("surface", "n", *[PROFILES[p](F.col("surface")).alias(p) for p in profiles])
+    keyed = folded.select("surface", "n", F.explode(F.array(*[F.struct(F.lit(p).alias("profile"), F.col(p).alias("key")) for p in profiles])).alias("k")).select("surface", "n", "k.*")
+    return keyed.groupBy("profile", "key").agg(F.sum("n").alias("n"), F.count("*").alias("n_surfaces"), F.max_by("surface", F.struct("n", "surface")).alias("commonest"))
+
+
+def match_key_build(documents: DataFrame, profile: str = "classifier") -> DataFrame:
+    """match_keys under one profile."""
+    return match_keys(documents, (profile,)).drop("profile")
 
 
 def block_quality_gate(blocks: DataFrame) -> DataFrame:

@@ -71,11 +71,7 @@ SELECT profile, key, sum(n) AS n, count(*) AS n_surfaces, first(surface ORDER BY
 def match_key_build(spark, sf_dir):
     """The four profiles over documents, tender titles and some marked spellings."""
     corpus = view(spark, sf_dir, "documents").select("text").unionByName(view(spark, sf_dir, "tenders").select(F.col("title").alias("text"))).unionByName(spark.sql(f"SELECT surface AS text FROM {_SPELT.replace('(VALUES', 'VALUES', 1).replace(') spelt', ' AS spelt', 1)}"))
-    found = [detail.match_key_build(corpus, p).select(F.lit(p).alias("profile"), "*") for p in _FOLDS]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    return detail.match_keys(corpus)
 
 
 def blocks(spark, sf_dir):

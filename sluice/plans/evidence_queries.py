@@ -275,9 +275,12 @@ _SIDE = f"SELECT sync_id, {_DRY} AS dry_run FROM (SELECT DISTINCT CAST(CAST(ts A
 
 
 def _envelopes(spark, sf_dir):
-    items = _items(spark, sf_dir)
-    lists = items.groupBy("sync_id").agg(F.array_distinct(F.collect_list(F.when(F.col("reference").cast("int") % 3 == 0, F.col("reference")))).alias("declared_added"), F.array_distinct(F.collect_list(F.when(F.col("reference").cast("int") % 3 == 1, F.col("reference")))).alias("declared_changed"))
-    return lists.withColumn("dry_run", F.expr(_DRY))
+    return _items(spark, sf_dir).select("sync_id").distinct().withColumn("dry_run", F.expr(_DRY))
+
+
+def _declared(spark, sf_dir):
+    number = F.col("reference").cast("int") % 3
+    return _items(spark, sf_dir).where(number < 2).select("sync_id", "reference", F.when(number == 0, "new").otherwise("changed").alias("kind")).distinct()
 
 
 _DIFF = """WITH i AS (SELECT CAST(CAST(ts AS DATE) AS STRING) AS sync_id, CAST(user_id AS STRING) AS reference, event_id AS pos, event_type AS title, coalesce(floor(value), 0) AS fee FROM events), n AS (SELECT sync_id, reference, arg_max(title, pos) AS title, arg_max(fee, pos) AS fee FROM i GROUP BY ALL)
@@ -294,7 +297,7 @@ def _shown(diff):
 
 @query(_DIFF + " SELECT * FROM d")
 def envelope_diff(spark, sf_dir):
-    return _shown(envelopes.envelope_diff(_items(spark, sf_dir), _envelopes(spark, sf_dir)))
+    return _shown(envelopes.envelope_diff(_items(spark, sf_dir), _envelopes(spark, sf_dir), _declared(spark, sf_dir)))
 
 
 @query(_DIFF + " SELECT * FROM d")
@@ -312,7 +315,7 @@ def envelope_stream(spark, sf_dir):
 
 @query(_DIFF + " SELECT sync_id, count(*) FILTER (WHERE status = 'new') AS added, count(*) FILTER (WHERE status = 'changed') AS changed, count(*) FILTER (WHERE status = 'unchanged') AS unchanged, count(*) AS total, coalesce(string_agg(reference, ',' ORDER BY reference) FILTER (WHERE status = 'new'), '') AS new_references, coalesce(string_agg(reference, ',' ORDER BY reference) FILTER (WHERE status = 'changed'), '') AS changed_references FROM d WHERE NOT dry_run GROUP BY sync_id ORDER BY sync_id DESC LIMIT 500")
 def envelope_history(spark, sf_dir):
-    found = envelopes.envelope_history(envelopes.envelope_diff(_items(spark, sf_dir), _envelopes(spark, sf_dir)))
+    found = envelopes.envelope_history(envelopes.envelope_diff(_items(spark, sf_dir), _envelopes(spark, sf_dir), _declared(spark, sf_dir)))
     return found.withColumns({c: F.array_join(c, ",") for c in ("new_references", "changed_references")})
 
 

@@ -32,23 +32,25 @@ def _fields(items: DataFrame) -> list[Column]:
 DECLARED = "declared"
 
 
-def envelope_diff(items: DataFrame, envelopes: DataFrame | None = None) -> DataFrame:
+def envelope_diff(items: DataFrame, envelopes: DataFrame | None = None, declared: DataFrame | None = None) -> DataFrame:
     """Per envelope and reference: new, changed or unchanged against the reference's envelope before,
     the changed fields, the snapshot before, first and last seen. Envelopes are ordered by sync_id.
 
-    envelopes (sync_id, dry_run, declared_added, declared_changed; arrays of references) tells more of
-    them: a dry run leaves no trace and all of its items count as unchanged; of the first other
-    envelope only what it declares is new or changed. Without it the first envelope is compared as
-    any other, and all of it is new."""
+    envelopes (sync_id, dry_run) tells of dry runs: one leaves no trace and all of its items count as
+    unchanged. declared (sync_id, reference, kind: new or changed) is what envelopes declare: of the
+    first one that is no dry run only that is new or changed, `new` before `changed`. Without envelopes
+    the first envelope is compared as any other, and all of it is new."""
     rows = normalized(items).withColumn("s", F.struct(*FIELDS))
     if envelopes is None:
         rows = rows.withColumns({"dry_run": F.lit(False), "declared": F.lit(None).cast("string"), "initial": F.lit(False)})
     else:
-        first = envelopes.where(~F.coalesce("dry_run", F.lit(False))).agg(F.min("sync_id").alias("first_sync"))
-        rows = rows.join(envelopes.join(F.broadcast(first), how="left"), "sync_id", "left")
-        declared = F.when(F.array_contains("declared_added", F.col("reference")), "new").when(F.array_contains("declared_changed", F.col("reference")), "changed")
-        rows = rows.withColumns({"dry_run": F.coalesce("dry_run", F.lit(False)), "initial": F.coalesce(F.col("sync_id") == F.col("first_sync"), F.lit(False))})
-        rows = rows.withColumn("declared", F.when(F.col("initial"), F.coalesce(declared, F.lit("unchanged"))))
+        runs = envelopes.select("sync_id", F.coalesce("dry_run", F.lit(False)).alias("dry_run"))
+        first = runs.where("not dry_run").agg(F.min("sync_id").alias("sync_id"))
+        rows = rows.join(runs, "sync_id", "left").withColumn("dry_run", F.coalesce("dry_run", F.lit(False)))
+        rows = rows.join(F.broadcast(first.withColumn("initial", F.lit(True))), "sync_id", "left").withColumn("initial", F.coalesce("initial", F.lit(False)))
+        kinds = (declared if declared is not None else rows.select("sync_id", "reference", F.lit(None).cast("string").alias("kind")).limit(0)).join(F.broadcast(first), "sync_id", "left_semi")
+        rows = rows.join(kinds.groupBy("sync_id", "reference").agg(F.max("kind").alias("kind")), ["sync_id", "reference"], "left")
+        rows = rows.withColumn("declared", F.when(F.col("initial"), F.coalesce("kind", F.lit("unchanged")))).drop("kind")
     w = W.partitionBy("reference", "dry_run").orderBy("sync_id")
     marked = rows.withColumns({"p": F.when(~F.col("dry_run"), F.lag("s").over(w)), "first_seen": F.min("sync_id").over(w)})
     differs = F.filter(F.array(*[F.when(~F.col(f"s.{c}").eqNullSafe(F.col(f"p.{c}")), c) for c in FIELDS]), lambda x: x.isNotNull())

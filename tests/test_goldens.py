@@ -317,8 +317,10 @@ def test_repeated_envelopes_change_nothing(spark, tmp_path):
 
 def test_declared_and_dry_envelopes(spark):
     items = spark.createDataFrame([("1", "a", 0, "x"), ("1", "b", 1, "x"), ("1", "c", 2, "x"), ("2", "a", 0, "y"), ("3", "a", 0, "z"), ("3", "d", 1, "z")], "sync_id string, reference string, pos long, title string")
-    side = spark.createDataFrame([("1", False, ["a"], ["b"]), ("2", True, [], []), ("3", False, [], [])], "sync_id string, dry_run boolean, declared_added array<string>, declared_changed array<string>")
-    diff = envelopes.envelope_diff(items, side)
+    side = spark.createDataFrame([("1", False), ("2", True), ("3", False)], "sync_id string, dry_run boolean")
+    declared = spark.createDataFrame([("1", "a", "new"), ("1", "a", "changed"), ("1", "b", "changed"), ("3", "d", "changed")], "sync_id string, reference string, kind string")
+    diff = envelopes.envelope_diff(items, side, declared)
+    assert {r["status"] for r in envelopes.envelope_diff(items, side).where("sync_id = '1'").collect()} == {"unchanged"}
     got = {(r["sync_id"], r["reference"]): (r["status"], r["changed_fields"]) for r in diff.collect()}
     assert got == {("1", "a"): ("new", ""), ("1", "b"): ("changed", "declared"), ("1", "c"): ("unchanged", ""), ("2", "a"): ("unchanged", ""), ("3", "a"): ("changed", "title"), ("3", "d"): ("new", "")}
     history = {r["sync_id"]: (r["added"], r["changed"], r["new_references"], r["changed_references"]) for r in envelopes.envelope_history(diff).collect()}
@@ -346,6 +348,28 @@ def test_smart_search_words(spark):
     assert b["reference"] == "000000000005"
 
 
+def test_searches_equal_a_loop(spark):
+    """Every chip alone and together, short words, equal searches, several regions."""
+    texts = ["طرق", "طرق مجاني", "مجاني", "هذا الشهر", "الرياض", "القصيم الرياض مدفوعة", "مكة المكرمة", "ab", "b", "ab مكة", "nothing at all", "000000000003", "", "طرق", "أعمال عامة", "zz yy هذا الأسبوع"]
+    searches = spark.createDataFrame(list(enumerate(texts)), "search_id int, text string")
+    words = ["طرق", "مياه", "ab", "b c", "yy", "أعمال عامة"]
+    rows = [(f"{i:012d}", words[i % 6] + (" zz" if i % 5 == 0 else ""), words[(i // 2) % 6], words[(i // 3) % 6] if i % 7 else None, ["منطقة الرياض", "مكة المكرمة", "القصيم، الرياض", None][i % 4], float(i % 3) if i % 11 else None, f"2025-01-{1 + i % 28:02d} 09:59" if i % 6 else "") for i in range(90)]
+    tenders = spark.createDataFrame(rows, "reference string, title string, agency string, activity string, region string, fee double, deadline string")
+    got = {(r["search_id"], r["place"]): (r["reference"], r["n_hits"]) for r in board.saved_search_match(searches, tenders, "2025-01-05 00:00:00", top=3).collect()}
+    want = {}
+    for p in board.parse_searches(searches).collect():
+        hits = []
+        for ref, title, agency, activity, region, fee, deadline in rows:
+            hay, other = " ".join(x for x in (activity, title) if x is not None), f"{title} {agency}"
+            days = int(deadline[8:10]) if deadline else 0
+            fine = (not p["regions"] or any(x in (region or "") for x in p["regions"])) and all(w in hay for w in p["specialties"]) and p["needle"] in other
+            fine = fine and (p["fee_chip"] is None or fee is not None and (fee == 0 if p["fee_chip"] == "0" else fee > 0)) and (p["days"] is None or 5 <= days <= 4 + p["days"])
+            if (ref == p["reference"]) if p["reference"] else fine:
+                hits.append(ref)
+        want |= {(p["search_id"], k): (h, len(hits)) for k, h in enumerate(hits[:3], 1)}
+    assert got == want and len({i for i, _ in want}) > 12
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "region string")
     assert reports.region_stats(empty).count() == 0 and reports.region_share(empty).count() == 0
