@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text
+from ..sources.storage import stored
 
 MAX_CHARS, OVERLAP = 1200, 120
 CHUNKS = "document_id long, ordinal int, chunk_id string, text string, char_count int, block_ids array<string>, pages array<int>, table_ids array<string>"
@@ -258,47 +259,51 @@ def _strings(json: Column) -> Column:
     return F.when(quoted & F.forall(found, lambda x: F.trim(x) != ""), found)
 
 
-def _parsed(selections: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Selections (selection_id, document_id, body, a JSON object) with their fields, and their
-    findings, one row each in category order: fields as a map of JSON texts, ids as an array."""
-    tops = selections.select("selection_id", "document_id", F.from_json("body", "map<string,string>").alias("top"))
-    tops = tops.withColumn("own_ids", _strings(F.col("top")["sufficiencyEvidenceIds"]))
-    listed = F.array(*[F.struct(F.lit(i).alias("cat_ord"), F.lit(c).alias("category"), F.col("top")[c].alias("json"), F.from_json(F.col("top")[c], "array<map<string,string>>").alias("rows")) for i, c in enumerate(CATEGORIES)])
-    per = tops.select("selection_id", "document_id", F.explode(listed).alias("c")).select("selection_id", "document_id", "c.*")
-    findings = per.select("selection_id", "document_id", "cat_ord", "category", F.posexplode("rows").alias("pos", "f"))
-    return tops, findings.withColumn("ids", _strings(F.col("f")["evidenceIds"]))
+def parsed_selections(selections: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Selections (selection_id, document_id, body, a JSON object), read once and stored: their own
+    fields as a map of JSON texts; their lists, a row for each finding in category order (pos null:
+    an empty list or none); every id that they name with its candidate's excerpt (null: unknown), those
+    of the sufficiency under the category after the last. candidates: document_id, candidate_id, excerpt."""
+    tops = stored(selections.select("selection_id", "document_id", F.from_json("body", "map<string,string>").alias("top")).withColumn("own_ids", _strings(F.col("top")["sufficiencyEvidenceIds"])))
+    listed = F.array(*[F.struct(F.lit(i).alias("cat_ord"), F.lit(c).alias("category"), F.col("top")[c].alias("json")) for i, c in enumerate(CATEGORIES)])
+    lists = tops.where("top is not null").select("selection_id", "document_id", F.explode(listed).alias("c")).select("selection_id", "document_id", "c.*")
+    findings = lists.select("selection_id", "document_id", "cat_ord", "category", F.coalesce(F.col("json").startswith("["), F.lit(False)).alias("is_list"), F.posexplode_outer(F.from_json("json", "array<map<string,string>>")).alias("pos", "f"))
+    findings = stored(findings.withColumn("ids", _strings(F.col("f")["evidenceIds"])))
+    named = findings.select("selection_id", "document_id", "cat_ord", "pos", F.posexplode("ids").alias("at", "candidate_id"))
+    named = named.unionByName(tops.select("selection_id", "document_id", F.lit(len(CATEGORIES)).alias("cat_ord"), F.lit(0).alias("pos"), F.posexplode("own_ids").alias("at", "candidate_id")))
+    known = candidates.groupBy("document_id", "candidate_id").agg(F.first(F.struct("excerpt")).alias("found"))
+    return tops, findings, stored(named.join(known, ["document_id", "candidate_id"], "left"))
 
 
-def selection_audit(selections: DataFrame, candidates: DataFrame) -> DataFrame:
+def selection_audit(selections: DataFrame, candidates: DataFrame, parsed: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """Codes of the rules that each model selection breaks: its fields and no others, twelve lists of
     findings with three fields each, values of the scales, ids that are some, known and unlike, and
     sufficiency with ids where it is claimed. Every rule looks at every finding; a selection that
-    lacks fields is not looked into further. candidates: document_id, candidate_id."""
-    tops, findings = _parsed(selections)
+    lacks fields is not looked into further. candidates: document_id, candidate_id, excerpt."""
+    tops, findings, named = parsed or parsed_selections(selections, candidates)
     fields = lambda *names: F.array(*[F.lit(n) for n in names])
     keys = F.coalesce(F.map_keys("top"), F.array().cast("array<string>"))
-    ids = findings.select("selection_id", "document_id", F.lit(False).alias("own"), F.explode("ids").alias("candidate_id"))
-    ids = ids.unionByName(tops.select("selection_id", "document_id", F.lit(True).alias("own"), F.explode("own_ids").alias("candidate_id")))
-    unknown = ids.join(candidates.select("document_id", "candidate_id").distinct(), ["document_id", "candidate_id"], "left_anti")
-    unknown = unknown.groupBy("selection_id").agg(F.bool_or(~F.col("own")).alias("unknown"), F.bool_or("own").alias("own_unknown"))
-    wrong = lambda c: F.coalesce(F.bool_or(F.coalesce(c, F.lit(True))), F.lit(False))
+    own = F.col("cat_ord") == len(CATEGORIES)
+    unknown = named.where("found is null").groupBy("selection_id").agg(F.bool_or(~own).alias("unknown"), F.bool_or(own).alias("own_unknown"))
+    there, f = F.col("pos").isNotNull(), F.col("f")
+    wrong = lambda c: F.coalesce(F.bool_or(there & F.coalesce(c, F.lit(True))), F.lit(False))
     per = findings.groupBy("selection_id").agg(
-        wrong(F.col("f").isNull() | (F.size(F.array_except(F.map_keys("f"), fields(*FINDING_FIELDS))) > 0) | (F.size(F.array_except(fields(*FINDING_FIELDS), F.map_keys("f"))) > 0)).alias("shape"),
-        wrong(~F.col("f")["severity"].isin(*SEVERITIES)).alias("severity"),
-        wrong(~F.col("f")["confidence"].isin(*CONFIDENCES)).alias("confidence"),
+        F.bool_or(~F.col("is_list")).alias("no_list"),
+        wrong(f.isNull() | (F.size(F.array_except(F.map_keys(f), fields(*FINDING_FIELDS))) > 0) | (F.size(F.array_except(fields(*FINDING_FIELDS), F.map_keys(f))) > 0)).alias("shape"),
+        wrong(~f["severity"].isin(*SEVERITIES)).alias("severity"),
+        wrong(~f["confidence"].isin(*CONFIDENCES)).alias("confidence"),
         wrong(F.coalesce(F.size("ids") == 0, F.lit(True))).alias("ids"),
         wrong(F.coalesce(F.size(F.array_distinct("ids")) < F.size("ids"), F.lit(False))).alias("repeated"),
     )
     j = tops.join(per, "selection_id", "left").join(unknown, "selection_id", "left")
     top = lambda c: F.col("top")[c]
-    lists = F.exists(F.array(*[top(c) for c in CATEGORIES]), lambda x: F.coalesce(~x.startswith("["), F.lit(True)))
     missing = F.size(F.array_except(fields(*SELECTION_FIELDS), keys)) > 0
     claims = F.coalesce(top("evidenceSufficiency").isin("sufficient", "partial"), F.lit(False))
     rules = (
         F.col("top").isNull(),
         missing,
         F.size(F.array_except(keys, fields(*SELECTION_FIELDS))) > 0,
-        lists,
+        F.col("no_list"),
         F.col("shape"),
         F.col("severity"),
         F.col("confidence"),
@@ -321,22 +326,20 @@ def selection_materialize(selections: DataFrame, candidates: DataFrame) -> DataF
     order selected, a summary of the distinct statements in order, and the candidates used, by first
     use, the sufficiency's last. A selection that breaks a rule is `invalid`, one without findings
     `no-findings`; neither gets a report. candidates: document_id, candidate_id, excerpt."""
-    audited = selection_audit(selections, candidates)
-    tops, findings = _parsed(selections)
-    fine = audited.where("codes = ''").select("selection_id")
-    findings = findings.join(fine, "selection_id", "left_semi")
-    texts = candidates.select("document_id", "candidate_id", "excerpt")
-    used = findings.select("selection_id", "document_id", "cat_ord", "pos", F.posexplode("ids").alias("at", "candidate_id"))
-    joined = used.join(texts, ["document_id", "candidate_id"])
-    stated = joined.groupBy("selection_id", "cat_ord", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.nullif("excerpt", F.lit("")).alias("e")))), lambda x: x["e"]), "؛ ").alias("statement"))
-    rows = findings.join(stated, ["selection_id", "cat_ord", "pos"]).groupBy("selection_id").agg(
-        F.array_sort(F.collect_list(F.struct("cat_ord", "pos", "category", "statement", F.col("f")["severity"].alias("severity"), F.col("f")["confidence"].alias("confidence"), F.col("ids").alias("evidence_ids")))).alias("findings")
-    )
-    own = tops.join(fine, "selection_id", "left_semi").select("selection_id", "document_id", F.lit(len(CATEGORIES)).alias("cat_ord"), F.lit(0).alias("pos"), F.posexplode("own_ids").alias("at", "candidate_id"))
-    first = joined.select("selection_id", "candidate_id", "excerpt", "cat_ord", "pos", "at").unionByName(own.join(texts, ["document_id", "candidate_id"]).select("selection_id", "candidate_id", "excerpt", "cat_ord", "pos", "at"))
-    first = first.groupBy("selection_id", "candidate_id").agg(F.min(F.struct("cat_ord", "pos", "at")).alias("use"), F.first("excerpt").alias("excerpt"))
-    evidence = first.groupBy("selection_id").agg(F.array_sort(F.collect_list(F.struct("use", "candidate_id", "excerpt"))).alias("evidence"))
-    j = tops.join(audited, "selection_id").join(rows, "selection_id", "left").join(evidence, "selection_id", "left")
+    parsed = tops, findings, named = parsed_selections(selections, candidates)
+    audited = selection_audit(selections, candidates, parsed)
+    own = F.col("cat_ord") == len(CATEGORIES)
+    known = named.where("found is not null").withColumn("excerpt", F.col("found.excerpt"))
+    # one gathering by selection: a report is bounded by the candidates of its document
+    told = known.where(~own).groupBy("selection_id", "cat_ord", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.nullif("excerpt", F.lit("")).alias("e")))), lambda x: x["e"]), "؛ ").alias("statement"))
+    made = findings.where("pos is not null").join(told, ["selection_id", "cat_ord", "pos"])
+    entry = F.struct("cat_ord", "pos", "category", "statement", F.col("f")["severity"].alias("severity"), F.col("f")["confidence"].alias("confidence"), F.col("ids").alias("evidence_ids"))
+    rows = made.groupBy("selection_id").agg(F.array_sort(F.collect_list(entry)).alias("findings"))
+    use = F.struct("cat_ord", "pos", "at", "candidate_id", "excerpt")
+    uses = known.groupBy("selection_id").agg(F.array_sort(F.collect_list(use)).alias("uses"))
+    ids = F.transform("uses", lambda x: x["candidate_id"])
+    evidence = F.transform(F.filter("uses", lambda x, i: F.array_position(ids, x["candidate_id"]) == i + 1), lambda x: F.struct(x["candidate_id"].alias("candidate_id"), x["excerpt"].alias("excerpt")))
+    j = tops.join(audited, "selection_id").join(rows, "selection_id", "left").join(uses.select("selection_id", evidence.alias("evidence")), "selection_id", "left")
     status = F.when(F.col("codes") != "", "invalid").when(F.col("findings").isNull(), "no-findings").otherwise("ok")
     kept = lambda c: F.when(status == "ok", c)
     return j.select(
@@ -344,7 +347,7 @@ def selection_materialize(selections: DataFrame, candidates: DataFrame) -> DataF
         status.alias("status"),
         kept(F.array_join(F.array_distinct(F.transform("findings", lambda f: f["statement"])), "؛ ")).alias("summary"),
         kept(F.transform("findings", lambda f: f.dropFields("cat_ord", "pos"))).alias("findings"),
-        kept(F.transform("evidence", lambda e: e.dropFields("use"))).alias("evidence"),
+        kept(F.col("evidence")).alias("evidence"),
         kept(F.col("top")["evidenceSufficiency"]).alias("evidence_sufficiency"),
         kept(F.col("top")["confidence"]).alias("confidence"),
         kept(F.col("own_ids")).alias("sufficiency_ids"),
