@@ -51,14 +51,21 @@ def _place(category: Column) -> Column:
 
 def with_excerpts(findings: DataFrame, evidence: DataFrame) -> DataFrame:
     """findings with the excerpts of their own evidence in order, and whether all of their ids are
-    evidence of the report. Of evidence with one id the first counts. Both sides are gathered by run."""
-    own = [c for c in findings.columns if c != "run_id"]
-    f = findings.groupBy("run_id").agg(F.collect_list(F.struct(*own)).alias("findings"))
+    evidence of the report. Of evidence with one id the first counts. Both sides are gathered by run; a
+    layout by run or case that the tables have serves for that and is kept."""
+    keys = [c for c in ("run_id", "case_id") if c in findings.columns]
+    own = [c for c in findings.columns if c not in keys]
+    f = findings.groupBy(*keys).agg(F.collect_list(F.struct(*own)).alias("findings"))
     e = evidence.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("pos", "evidence_id", "excerpt"))).alias("evidence"))
     of = lambda i: F.filter("evidence", lambda x: x["evidence_id"] == i)
     ids = lambda x: F.coalesce(x["evidence_ids"], F.array().cast("array<string>"))
     rested = F.transform("findings", lambda x: F.struct(x.alias("f"), F.transform(ids(x), lambda i: F.coalesce(F.get(of(i), F.lit(0))["excerpt"], F.lit(""))).alias("excerpts"), (F.coalesce((F.size(ids(x)) > 0) & F.forall(ids(x), lambda i: F.size(of(i)) > 0), F.lit(False))).alias("supported")))
-    return f.join(e, "run_id", "left").select("run_id", F.explode(rested).alias("x")).select("run_id", "x.f.*", "x.excerpts", "x.supported")
+    return f.join(e, "run_id", "left").select(*keys, F.explode(rested).alias("x")).select(*keys, "x.f.*", "x.excerpts", "x.supported")
+
+
+def _of_case(findings: DataFrame, runs: DataFrame) -> DataFrame:
+    """findings with the case of their run, which they may bring themselves."""
+    return findings if "case_id" in findings.columns else findings.join(runs.select("run_id", "case_id"), "run_id")
 
 
 def _listed(table: DataFrame, name: str, *columns: str | Column) -> DataFrame:
@@ -76,7 +83,7 @@ def judged(findings: DataFrame, runs: DataFrame, expectations: DataFrame) -> Dat
     else; and `nearest`, whether the expectation of which they state most terms, the first of equals,
     is stated in full and of their category. findings may bring further columns."""
     listed = _listed(expectations, "expected", "expected_id", "category", _terms("critical_terms"), "expected_value", F.col("candidate_ids").alias("ids"))
-    f = findings.join(runs.select("run_id", "case_id"), "run_id").join(listed, "case_id", "left").withColumn("said", text.squash(F.col("statement")))
+    f = _of_case(findings, runs).join(listed, "case_id", "left").withColumn("said", text.squash(F.col("statement")))
     ids = F.coalesce("evidence_ids", F.array().cast("array<string>"))
     found = F.transform(
         F.coalesce("expected", F.array().cast(listed.schema["expected"].dataType)),
@@ -88,7 +95,7 @@ def judged(findings: DataFrame, runs: DataFrame, expectations: DataFrame) -> Dat
     covers = F.filter("found", lambda x: (x["stated"] == x["due"]) & x["meets"])
     best = F.array_max(F.transform(F.filter("found", lambda x: x["stated"] > 0), lambda x: F.struct(x["stated"], -x["ord"], ((x["category"] == F.col("category")) & (x["stated"] == x["due"])).alias("right"))))
     short = F.transform(covers, lambda x: F.struct(x["ord"].alias("ord"), x["expected_id"].alias("expected_id"), x["category"].alias("category"), x["expected_value"].alias("expected_value"), x["only"].alias("only")))
-    return f.withColumn("found", found).select(*findings.columns, "case_id", short.alias("covers"), F.coalesce(best["right"], F.lit(False)).alias("nearest"))
+    return f.withColumn("found", found).select(*[c for c in findings.columns if c != "case_id"], "case_id", short.alias("covers"), F.coalesce(best["right"], F.lit(False)).alias("nearest"))
 
 
 def numeric_grounding(findings: DataFrame, evidence: DataFrame, runs: DataFrame | None = None, cases: DataFrame | None = None) -> DataFrame:
@@ -129,7 +136,7 @@ def _asserted(assertions: DataFrame) -> DataFrame:
 def forbidden_assertions(findings: DataFrame, runs: DataFrame, assertions: DataFrame) -> DataFrame:
     """Factual findings that make a forbidden assertion of their case: the first one by order. An
     assertion without categories holds for every category of facts."""
-    f = findings.join(runs.select("run_id", "case_id"), "run_id").join(_asserted(assertions), "case_id")
+    f = _of_case(findings, runs).join(_asserted(assertions), "case_id")
     return f.select(*KEYS, _forbidden(F.col("assertions"), F.col("category"), text.squash(F.col("statement"))).alias("assertion_id")).where("assertion_id is not null")
 
 
@@ -142,18 +149,20 @@ def sentences(c: Column) -> Column:
 
 
 def narrative_corpus(evidence: DataFrame, checked: DataFrame) -> DataFrame:
-    """(run_id, text): what a narrative may repeat, the excerpts of the report's evidence and the
-    statements whose every token is borne out. checked: findings with their `unfounded` token."""
-    return evidence.select("run_id", F.col("excerpt").alias("text")).unionByName(checked.where("unfounded is null").select("run_id", F.col("statement").alias("text")))
+    """(run_id, corpus, an array): what a narrative may repeat, the excerpts of the report's evidence
+    and the statements whose every token is borne out. checked: findings with their `unfounded` token."""
+    e = evidence.groupBy("run_id").agg(F.collect_list("excerpt").alias("excerpts"))
+    s = checked.where("unfounded is null").groupBy("run_id").agg(F.collect_list("statement").alias("statements"))
+    none = F.array().cast("array<string>")
+    return e.join(s, "run_id", "full_outer").select("run_id", F.concat(F.coalesce("excerpts", none), F.coalesce("statements", none)).alias("corpus"))
 
 
 def narrative_check(reports: DataFrame, corpus: DataFrame, runs: DataFrame, assertions: DataFrame) -> DataFrame:
     """The first issue of each report's summary and warnings, and how many sentences have one: a number
     that the corpus does not state, a forbidden assertion outside conflicts and questions, or a token
-    that it does not bear out. reports: run_id, summary, warnings (an array); corpus: run_id, text.
-    A report's corpus meets it in one row, once, as a set."""
-    texts = corpus.groupBy("run_id").agg(F.collect_list("text").alias("corpus"))
-    j = reports.join(texts, "run_id", "left").join(runs.select("run_id", "case_id"), "run_id").join(_asserted(assertions), "case_id", "left")
+    that it does not bear out. reports: run_id, summary, warnings (an array); corpus: run_id, corpus (an
+    array of texts). A report's corpus meets it in one row, once, as a set."""
+    j = reports.join(corpus, "run_id", "left").join(runs.select("run_id", "case_id"), "run_id").join(_asserted(assertions), "case_id", "left")
     told = F.concat(sentences(F.col("summary")), F.flatten(F.transform(F.coalesce("warnings", F.array().cast("array<string>")), sentences)))
     corpus_ = F.coalesce("corpus", F.array().cast("array<string>"))
     j = j.select("run_id", "assertions", told.alias("told"), corpus_.alias("corpus"), _values(F.array_join(corpus_, " ")).alias("known"))
@@ -381,7 +390,8 @@ def checked(b: Benchmark) -> DataFrame:
     f = judged(with_excerpts(b.findings, b.evidence), b.runs, b.expectations)
     f = f.join(_asserted(b.assertions), "case_id", "left").join(b.cases.select("case_id", "allow_derived"), "case_id", "left")
     number = F.when(~F.coalesce("allow_derived", F.lit(False)) & text.numeric_text(F.col("statement")).rlike(r"\d"), F.get(F.array_except(_values(F.col("statement")), _values(F.array_join("excerpts", " "))), F.lit(0)))
-    return f.select("run_id", "category", "pos", "statement", "covers", "nearest", "supported", _forbidden(F.col("assertions"), F.col("category"), text.squash(F.col("statement"))).alias("forbidden"), _unfounded(f).alias("unfounded"), number.alias("number"))
+    shown = F.transform("covers", lambda x: x.dropFields("expected_value"))
+    return f.select("run_id", "category", "pos", "statement", shown.alias("covers"), "nearest", "supported", _forbidden(F.col("assertions"), F.col("category"), text.squash(F.col("statement"))).alias("forbidden"), _unfounded(f).alias("unfounded"), number.alias("number"))
 
 
 def _failures(b: Benchmark, found: DataFrame) -> DataFrame:
