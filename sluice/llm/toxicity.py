@@ -45,11 +45,17 @@ def labelled_sample(labels: DataFrame, label: str, modulus: int, remainder: int,
 
 def bounded_texts(docs: DataFrame, chosen: DataFrame, most: tuple[int, int]) -> DataFrame:
     """text and y of the chosen documents, in each class y as many in hash order as stay within
-    most[y] bytes of text together; one that alone takes over a sixteenth of them is left out.
-    chosen is bounded in rows, so its join partner is small."""
-    drawn = materialize(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "y", F.xxhash64("doc_id").alias("h"), F.octet_length("text").cast("long").alias("size")).where(F.col("size") <= F.when(F.col("y") == 0, most[0]).otherwise(most[1]) / 16))
+    most[y] bytes of text together. Of a text that alone takes over a sixteenth of them a part stands
+    for it, from a place that a hash draws; its 64th of characters has a sixteenth of the bytes at
+    most. chosen is bounded in rows, so its join partner is small."""
+    limit = F.when(F.col("y") == 0, most[0]).otherwise(most[1])
+    part = (limit / 64).cast("int")
+    start = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.length("text") - part, F.lit(1))).cast("int") + 1
+    text = F.when(F.octet_length("text") > limit / 16, F.substring("text", start, part)).otherwise(F.col("text"))
+    given = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select(text.alias("text"), "y", F.xxhash64("doc_id").alias("h"))
+    drawn = materialize(given.withColumn("size", F.octet_length("text").cast("long")))
     upto = F.sum("size").over(W.partitionBy("y").orderBy("h", "size", F.xxhash64("text")).rowsBetween(W.unboundedPreceding, 0))
-    last = drawn.select("y", "h", "size", upto.alias("upto")).groupBy("y").agg(F.max(F.when(F.col("upto") <= F.when(F.col("y") == 0, most[0]).otherwise(most[1]), F.col("h"))).alias("last"))
+    last = drawn.select("y", "h", "size", upto.alias("upto")).groupBy("y").agg(F.max(F.when(F.col("upto") <= limit, F.col("h"))).alias("last"))
     return drawn.join(F.broadcast(last), "y").where("h <= last").select("text", "y")
 
 
@@ -76,6 +82,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
+def gradient(e: np.ndarray, w: np.ndarray, b: np.ndarray, flat: np.ndarray, owner: np.ndarray, share: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Gradient of a batch's mean cross-entropy for vectors, softmax weights and biases at once. flat,
+    owner, share: the n-grams of the batch, whose text each belongs to, its part in the text's average."""
+    doc = np.stack([np.bincount(owner, share * e[flat, k], len(y)) for k in range(e.shape[1])], 1).astype(e.dtype)
+    logits = doc @ w + b
+    p = np.exp(logits - logits.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(len(y)), y] -= 1
+    p /= len(y)
+    back = p @ w.T
+    return [np.stack([np.bincount(flat, share * back[owner, k], len(e)) for k in range(e.shape[1])], 1).astype(e.dtype), doc.T @ p, p.sum(0)]
+
+
 def train(y: np.ndarray, words: np.ndarray, ids: list[np.ndarray], uses: list[np.ndarray], seed: int = 3) -> tuple[np.ndarray, float]:
     """Joint training of n-gram vectors and softmax by Adam on shuffled batches. Returns what each
     bucket adds to the log odds of label 1, and the bias."""
@@ -91,16 +110,10 @@ def train(y: np.ndarray, words: np.ndarray, ids: list[np.ndarray], uses: list[np
             sizes = np.array([len(ids[i]) for i in own])
             owner = np.repeat(np.arange(len(own)), sizes)
             flat, share = np.concatenate([ids[i] for i in own]), np.concatenate([uses[i] for i in own]).astype(np.float32) * (GAIN / words[own])[owner]
-            doc = np.stack([np.bincount(owner, share * e[flat, k], len(own)) for k in range(DIM)], 1).astype(np.float32)
-            logits = doc @ w + b
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(own)), y[own]] -= 1
-            p /= len(own)
-            back = p @ w.T
-            grad_e = np.stack([np.bincount(flat, share * back[owner, k], BUCKETS) for k in range(DIM)], 1).astype(np.float32) + DECAY * e
+            grads = gradient(e, w, b, flat, owner, share, y[own])
+            grads[0] += DECAY * e
             step += 1
-            for x, g, (m, v) in zip((e, w, b), (grad_e, doc.T @ p, p.sum(0)), held, strict=True):
+            for x, g, (m, v) in zip((e, w, b), grads, held, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)

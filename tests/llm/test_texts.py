@@ -184,6 +184,35 @@ def test_quality_scores_equal_a_plain_loop(spark):
         assert math.isclose(r["s"], 1 / (1 + math.exp(-min(30, max(-30, f)))), rel_tol=1e-3, abs_tol=1e-6)
 
 
+def test_toxicity_gradient_equals_finite_differences():
+    rng = np.random.default_rng(5)
+    shapes, y = ((20, 3), (3, 2), (2,)), rng.integers(0, 2, 6)
+    flat, owner, share = rng.integers(0, 20, 40), np.sort(rng.integers(0, 6, 40)), rng.random(40)
+    x = [rng.normal(size=s) for s in shapes]
+
+    def loss(e, w, b):
+        doc = np.zeros((6, 3))
+        np.add.at(doc, owner, share[:, None] * e[flat])
+        z = doc @ w + b
+        return np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(6), y])
+
+    for k, g in enumerate(toxicity.gradient(*x, flat, owner, share, y)):
+        for at in np.ndindex(*shapes[k]):
+            step = [v.copy() for v in x]
+            step[k][at] += 1e-6
+            up = loss(*step)
+            step[k][at] -= 2e-6
+            assert math.isclose((up - loss(*step)) / 2e-6, g[at], rel_tol=1e-4, abs_tol=1e-8)
+
+
+def test_a_long_text_gives_a_part_to_the_sample(spark):
+    docs = spark.createDataFrame([(1, "é" * 5000), (2, "short"), (3, None), (4, "x" * 200)], "doc_id long, text string")
+    chosen = spark.createDataFrame([(i, 0) for i in range(1, 5)], "doc_id long, y int")
+    got = sorted(len(r["text"]) for r in toxicity.bounded_texts(docs, chosen, (6400, 1)).collect())
+    assert got == [5, 100, 200]
+    assert toxicity.bounded_texts(docs, chosen, (300, 1)).count() >= 1
+
+
 def test_risk_gradient_equals_finite_differences():
     rng = np.random.default_rng(4)
     f, m = rng.normal(size=30), 10
