@@ -300,17 +300,28 @@ def envelope_diff(spark, sf_dir):
     return _shown(envelopes.envelope_diff(_items(spark, sf_dir), _envelopes(spark, sf_dir), _declared(spark, sf_dir)))
 
 
-@query(_DIFF + " SELECT * FROM d")
-def envelope_stream(spark, sf_dir):
-    """The same items through the stream; what comes out equals the batch."""
-    source = scratch(spark)
+def _streamed(spark, sf_dir):
+    """Folder of what the stream makes of the same items, and its rows."""
+    source, out = scratch(spark), scratch(spark)
     side = _envelopes(spark, sf_dir)
     first = side.where("not dry_run").agg(F.min("sync_id").alias("first_sync"))
     number = F.col("reference").cast("int") % 3
     declared = F.when(F.col("sync_id") == F.col("first_sync"), F.when(number == 0, "new").when(number == 1, "changed").otherwise("unchanged"))
     items = _items(spark, sf_dir).withColumn("dry_run", F.expr(_DRY)).crossJoin(F.broadcast(first)).withColumn("declared", declared).drop("first_sync")
     items.write.parquet(source)
-    return _shown(envelopes.run_available(spark, source, "sync_id string, reference string, pos long, title string, fee double, region string, dry_run boolean, declared string", scratch(spark)))
+    return out, envelopes.run_available(spark, source, "sync_id string, reference string, pos long, title string, fee double, region string, dry_run boolean, declared string", out)
+
+
+@query(_DIFF + " SELECT * FROM d")
+def envelope_stream(spark, sf_dir):
+    """The same items through the stream; what comes out equals the batch."""
+    return _shown(_streamed(spark, sf_dir)[1])
+
+
+@query(_DIFF + " SELECT sync_id, count(*) FILTER (WHERE status = 'new') AS added, count(*) FILTER (WHERE status = 'changed') AS changed, count(*) FILTER (WHERE status = 'unchanged') AS unchanged, count(*) AS total FROM d WHERE NOT dry_run GROUP BY sync_id ORDER BY sync_id DESC LIMIT 500")
+def stream_history(spark, sf_dir):
+    """The log that the stream's batches write."""
+    return envelopes.stream_history(spark, _streamed(spark, sf_dir)[0])
 
 
 @query(_DIFF + " SELECT sync_id, count(*) FILTER (WHERE status = 'new') AS added, count(*) FILTER (WHERE status = 'changed') AS changed, count(*) FILTER (WHERE status = 'unchanged') AS unchanged, count(*) AS total, coalesce(string_agg(reference, ',' ORDER BY reference) FILTER (WHERE status = 'new'), '') AS new_references, coalesce(string_agg(reference, ',' ORDER BY reference) FILTER (WHERE status = 'changed'), '') AS changed_references FROM d WHERE NOT dry_run GROUP BY sync_id ORDER BY sync_id DESC LIMIT 500")

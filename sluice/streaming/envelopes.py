@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window as W
 
 #: The normalised fields that are compared.
@@ -60,51 +59,124 @@ def envelope_diff(items: DataFrame, envelopes: DataFrame | None = None, declared
     return marked.select("sync_id", "reference", status.alias("status"), fields.alias("changed_fields"), F.col("p").alias("previous"), seen(F.col("first_seen")).alias("first_seen"), seen(F.col("sync_id")).alias("last_seen"), "dry_run")
 
 
-_OUT = f"sync_id string, reference string, status string, changed_fields string, previous struct<{', '.join(f'{c}:double' if c == 'fee' else f'{c}:string' for c in FIELDS)}>, first_seen string, last_seen string, dry_run boolean"
-_STATE = "first_seen string, last_seen string, snapshot string, known string"
-#: Envelopes of a reference that its state remembers.
-REMEMBERED = 200
-
-
-def _step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A reference's envelopes in order of arrival, inside a batch by sync_id. One that the state
-    remembers is a repeat; a late one that it does not know counts as arriving now."""
-    rows = pd.concat(list(batches)).sort_values(["sync_id", "pos"]).drop_duplicates("sync_id", keep="last")
-    first, last, before, known = (json.loads(x) for x in state.get) if state.exists else ("", "", None, [])
-    out = []
-    for r in rows.itertuples(index=False):
-        now = {c: getattr(r, c) for c in FIELDS}
-        if r.dry_run:
-            out.append((r.sync_id, key[0], "unchanged", "", None, None, None, True))
-            continue
-        if r.sync_id in known:
-            out.append((r.sync_id, key[0], "duplicate", "", None, first, last, False))
-            continue
-        differs = [c for c in FIELDS if before is not None and now[c] != before[c]]
-        status = r.declared or ("new" if before is None else "changed" if differs else "unchanged")
-        fields = "" if status != "changed" else DECLARED if r.declared else ",".join(differs)
-        first, last = first or r.sync_id, r.sync_id
-        out.append((r.sync_id, key[0], status, fields, before, first, last, False))
-        before, known = now, [*known, r.sync_id][-REMEMBERED:]
-    state.update(tuple(json.dumps(x, ensure_ascii=False) for x in (first, last, before, known)))
-    yield pd.DataFrame(out, columns=["sync_id", "reference", "status", "changed_fields", "previous", "first_seen", "last_seen", "dry_run"])
-
-
-def envelope_stream(items: DataFrame) -> DataFrame:
-    """envelope_diff on a stream of items (sync_id, reference, pos, fields): one state per reference.
-    Optional columns: dry_run, and declared, which the first envelope's items carry (new, changed or
-    unchanged). A repeated envelope changes nothing and is marked duplicate; ids are remembered for
-    each reference, the last REMEMBERED of them, instead of once for all."""
-    extra = [(F.coalesce("dry_run", F.lit(False)) if "dry_run" in items.columns else F.lit(False)).alias("dry_run"), (F.col("declared") if "declared" in items.columns else F.lit(None)).cast("string").alias("declared")]
-    return items.select("sync_id", "reference", "pos", *_fields(items), *extra).groupBy("reference").applyInPandasWithState(_step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+_SNAPSHOT = ", ".join(f"{c} double" if c == "fee" else f"{c} string" for c in FIELDS)
+_OUT = f"sync_id string, reference string, status string, changed_fields string, previous struct<{_SNAPSHOT.replace(' ', ':').replace(',:', ',')}>, first_seen string, last_seen string, dry_run boolean"
+_IN = f"sync_id string, reference string, pos long, {_SNAPSHOT}, dry_run boolean, declared string, delivery string"
+#: For how long a stream that runs on remembers an envelope after its first delivery.
+REMEMBERED_MS = 30 * 24 * 3_600_000
+#: The state store that typed state needs.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Deliveries(StatefulProcessor):
+    """By envelope: rows of its first delivery pass as they are, those of later ones as repeats, whatever
+    references they hold. A dry run leaves no trace."""
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", "delivery string", self.keep_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        known = self.first.exists()
+        first = self.first.get()[0] if known else None
+        for batch in rows:
+            real = ~batch["dry_run"].astype(bool)
+            given = batch["delivery"].where(batch["delivery"].notna(), None)
+            if not known and first is None and real.any():
+                first = min((x for x in given[real] if x is not None), default="")
+                self.first.update((first,))
+            # rows without a delivery's name: what a batch holds of an envelope is one delivery
+            batch["repeat"] = [bool(r) and (known if x is None else x != first) for r, x in zip(real, given, strict=True)]
+            yield batch
+
+    def close(self) -> None:
+        pass
+
+
+class Snapshots(StatefulProcessor):
+    """By reference: its envelopes in order of arrival, inside a batch by sync_id, each against the one
+    before. A late envelope that was not delivered before counts as arriving now."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "first_seen string, last_seen string")
+        self.snapshot = handle.getValueState("snapshot", _SNAPSHOT)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        own = pd.concat(list(rows)).sort_values(["sync_id", "pos"]).drop_duplicates(["sync_id", "repeat"], keep="last")
+        first, last = self.seen.get() if self.seen.exists() else ("", "")
+        before = dict(zip(FIELDS, self.snapshot.get(), strict=True)) if self.snapshot.exists() else None
+        out = []
+        for r in own.itertuples(index=False):
+            now = {c: getattr(r, c) for c in FIELDS}
+            if r.dry_run:
+                out.append((r.sync_id, key[0], "unchanged", "", None, None, None, True))
+                continue
+            if r.repeat:
+                out.append((r.sync_id, key[0], "duplicate", "", None, first or None, last or None, False))
+                continue
+            differs = [c for c in FIELDS if before is not None and now[c] != before[c]]
+            status = r.declared or ("new" if before is None else "changed" if differs else "unchanged")
+            fields = "" if status != "changed" else DECLARED if r.declared else ",".join(differs)
+            first, last = first or r.sync_id, r.sync_id
+            out.append((r.sync_id, key[0], status, fields, before, first, last, False))
+            before = now
+        if before is not None:
+            self.seen.update((first, last))
+            self.snapshot.update(tuple(before[c] for c in FIELDS))
+        yield pd.DataFrame(out, columns=["sync_id", "reference", "status", "changed_fields", "previous", "first_seen", "last_seen", "dry_run"])
+
+    def close(self) -> None:
+        pass
+
+
+def envelope_stream(items: DataFrame, keep_ms: int | None = REMEMBERED_MS) -> DataFrame:
+    """envelope_diff on a stream of items (sync_id, reference, pos, fields). Two keyed states, both
+    typed: of each envelope its first delivery, kept for keep_ms (None: for good; a stream that ends when
+    it has caught up must say so, as an expiring state asks for batch after batch), so that a repeat is
+    known whatever references it holds; of each reference its last snapshot. Optional columns: dry_run;
+    declared, which the first envelope's items carry (new, changed or unchanged); delivery, a name of
+    the delivery: without it all that one batch holds of an envelope is one delivery. A repeated
+    envelope changes nothing and is marked duplicate. The session needs the STATE_STORE."""
+    have = items.columns
+    extra = [(F.coalesce("dry_run", F.lit(False)) if "dry_run" in have else F.lit(False)).alias("dry_run"), *[(F.col(c) if c in have else F.lit(None)).cast("string").alias(c) for c in ("declared", "delivery")]]
+    told = items.select("sync_id", "reference", F.col("pos").cast("long").alias("pos"), *_fields(items), *extra)
+    marked = told.groupBy("sync_id").transformWithStateInPandas(Deliveries(keep_ms), f"{_IN}, repeat boolean", "Append", "None" if keep_ms is None else "ProcessingTime")
+    return marked.groupBy("reference").transformWithStateInPandas(Snapshots(), _OUT, "Append", "None")
 
 
 def run_available(spark: SparkSession, source: str, schema: str, out: str) -> DataFrame:
-    """Process what a folder of item files holds and return all results so far."""
-    stream = spark.readStream.schema(schema).parquet(source)
-    done = envelope_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{out}-state").option("path", out).trigger(availableNow=True).start()
-    done.awaitTermination()
-    return spark.read.schema(_OUT).parquet(out)
+    """Process what a folder of item files holds and return all results so far. Each batch writes its
+    rows and its part of the history under its own number, so a batch that runs twice writes once."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        rows = batch.sparkSession.read.schema(_OUT).parquet(f"{out}/rows/batch={number}")
+        _counts(rows).write.mode("overwrite").parquet(f"{out}/history/batch={number}")
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        stream = spark.readStream.schema(schema).parquet(source)
+        done = envelope_stream(stream, None).writeStream.foreachBatch(sink).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+        done.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(_OUT).parquet(f"{out}/rows/*")
+
+
+def _counts(diff: DataFrame) -> DataFrame:
+    """Rows of each envelope by status, without dry runs and repeats."""
+    of = lambda s: F.count_if(F.col("status") == s)
+    return diff.where("not dry_run and status <> 'duplicate'").groupBy("sync_id").agg(of("new").alias("added"), of("changed").alias("changed"), of("unchanged").alias("unchanged"), F.count("*").alias("total"))
+
+
+def stream_history(spark: SparkSession, out: str, most: int = 500) -> DataFrame:
+    """The newest `most` envelopes of what run_available has logged below a folder."""
+    parts = spark.read.schema("sync_id string, added long, changed long, unchanged long, total long").parquet(f"{out}/history/*")
+    return parts.groupBy("sync_id").agg(*[F.sum(c).alias(c) for c in ("added", "changed", "unchanged", "total")]).orderBy(F.col("sync_id").desc()).limit(most)
 
 
 def envelope_history(diff: DataFrame, most: int = 500) -> DataFrame:

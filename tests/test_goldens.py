@@ -315,6 +315,21 @@ def test_repeated_envelopes_change_nothing(spark, tmp_path):
     assert [(r["status"], r["changed_fields"], r["previous"]["title"], r["first_seen"], r["last_seen"]) for r in late] == [("changed", "title", "b", "1", "2")]
 
 
+def test_repeats_are_known_across_references(spark, tmp_path):
+    """A second delivery of an envelope is a repeat even for references that the first did not hold;
+    a stream started anew goes on from its state, and its history counts each envelope once."""
+    schema = "sync_id string, reference string, pos long, title string, dry_run boolean, delivery string"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    put = lambda *rows: spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(source)
+    put(("1", "a", 0, "x", False, "d1"), ("1", "b", 1, "x", False, "d1"), ("1", "a", 0, "z", False, "d2"), ("2", "c", 0, "x", True, "d3"))
+    first = {(r["sync_id"], r["reference"], r["status"], r["dry_run"]) for r in envelopes.run_available(spark, source, schema, out).collect()}
+    assert first == {("1", "a", "new", False), ("1", "a", "duplicate", False), ("1", "b", "new", False), ("2", "c", "unchanged", True)}
+    put(("1", "c", 0, "x", False, "d4"), ("2", "c", 0, "y", False, "d5"), ("1", "b", 0, "late part", False, "d1"))
+    again = {(r["sync_id"], r["reference"], r["status"], r["dry_run"]) for r in envelopes.run_available(spark, source, schema, out).collect()} - first
+    assert again == {("1", "c", "duplicate", False), ("2", "c", "new", False), ("1", "b", "changed", False)}
+    assert sorted(tuple(r) for r in envelopes.stream_history(spark, out).collect()) == [("1", 2, 1, 0, 3), ("2", 1, 0, 0, 1)]
+
+
 def test_declared_and_dry_envelopes(spark):
     items = spark.createDataFrame([("1", "a", 0, "x"), ("1", "b", 1, "x"), ("1", "c", 2, "x"), ("2", "a", 0, "y"), ("3", "a", 0, "z"), ("3", "d", 1, "z")], "sync_id string, reference string, pos long, title string")
     side = spark.createDataFrame([("1", False), ("2", True), ("3", False)], "sync_id string, dry_run boolean")
