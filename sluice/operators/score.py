@@ -35,21 +35,27 @@ def specialty_classify(tenders: DataFrame, rulebook: tuple[tuple[str, str], ...]
     folded = tenders.withColumns({"_t": title, "_f": fields})
 
     def points(keywords: str) -> Column:
-        """Plain sums, which are compiled; a keyword is folded once, when the plan is built."""
+        """Plain sums; a keyword is folded once, when the plan is built."""
         own = [text.fold_word_classifier(k) for k in keywords.split("|")]
         return sum((F.when(F.col("_t").contains(k), TITLE_WEIGHT).when(F.col("_f").contains(k), FIELD_WEIGHT).otherwise(0) for k in own), F.lit(0))
 
-    scored = folded.withColumn("_s", F.array(*[F.struct((-points(words)).alias("minus"), F.lit(i).alias("ord"), F.lit(code).alias("code")) for i, (code, words) in enumerate(rulebook)]))
-    ranked = scored.withColumn("_s", F.array_sort(F.filter("_s", lambda x: x["minus"] < 0)))
-    total = F.aggregate("_s", F.lit(0), lambda s, x: s - x["minus"])
-    first, second = F.get("_s", F.lit(0)), F.get("_s", F.lit(1))
-    raw = F.when(F.size("_s") > 0, -first["minus"] / total).otherwise(0.0)
-    return ranked.select(
+    # Every specialty's points are a column of their own, used several times and so worked out once. A
+    # rank orders by points and then by the rulebook; its remainder names the specialty.
+    n, base = len(rulebook), 1 << len(rulebook).bit_length()
+    scored = folded.select("reference", *[points(words).alias(f"_{i}") for i, (_, words) in enumerate(rulebook)])
+    ranks = [F.when(F.col(f"_{i}") > 0, F.col(f"_{i}") * base + (base - 1 - i)).otherwise(0) for i in range(n)]
+    ranked = scored.select("reference", sum((F.col(f"_{i}") for i in range(n)), F.lit(0)).alias("_total"), *[r.alias(f"_r{i}") for i, r in enumerate(ranks)])
+    best = ranked.withColumn("_first", F.greatest(*[F.col(f"_r{i}") for i in range(n)]))
+    best = best.withColumn("_second", F.greatest(*[F.when(F.col(f"_r{i}") < F.col("_first"), F.col(f"_r{i}")).otherwise(0) for i in range(n)]))
+    code = lambda rank: F.when(rank > 0, F.element_at(F.array(*[F.lit(c) for c, _ in rulebook]), (base - rank % base).cast("int")))
+    first, second = F.col("_first"), F.col("_second")
+    raw = F.when(first > 0, F.floor(first / base) / F.col("_total")).otherwise(0.0)
+    return best.select(
         "reference",
-        F.when(raw >= LEAST_CONFIDENCE, first["code"]).otherwise(FALLBACK).alias("specialty_code"),
+        F.when(raw >= LEAST_CONFIDENCE, code(first)).otherwise(FALLBACK).alias("specialty_code"),
         (F.floor(raw * 100 + 0.5) / 100).alias("confidence"),
-        second["code"].alias("runner_up"),
-        F.when((F.size("_s") > 0) & (raw < LEAST_CONFIDENCE), first["code"]).alias("demoted"),
+        code(second).alias("runner_up"),
+        F.when((first > 0) & (raw < LEAST_CONFIDENCE), code(first)).alias("demoted"),
     )
 
 
