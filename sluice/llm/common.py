@@ -191,7 +191,7 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     """64-bit hash of each string's bytes."""
     import xxhash
 
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint64, len(words))
 
 
 class Grams:
@@ -200,7 +200,7 @@ class Grams:
     def __init__(self, words: pa.Array, low: int, high: int, buckets: int):
         self.low, self.high, self.buckets = low, high, buckets
         lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 2
-        joined = "\x02" + "\x03\x02".join(words.to_pylist()) + "\x03" if len(words) else ""
+        joined = "\x02" + "\x03\x02".join(words.to_numpy(zero_copy_only=False)) + "\x03" if len(words) else ""
         self.points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
