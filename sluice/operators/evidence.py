@@ -8,7 +8,6 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +17,23 @@ from ..functions import text
 from ..sources.storage import stored
 
 MAX_CHARS, OVERLAP = 1200, 120
-CHUNKS = "document_id long, ordinal int, chunk_id string, text string, char_count int, block_ids array<string>, pages array<int>, table_ids array<string>"
+#: The places that a block or a piece of evidence can have, a page, a sheet with its cells, or a section.
+PLACES = ("page_number", "sheet_name", "cell_range", "section")
+PLACE = "struct<page_number:int,sheet_name:string,cell_range:string,section:string>"
+CHUNKS = f"document_id long, ordinal int, chunk_id string, text string, char_count int, block_ids array<string>, sources array<{PLACE}>, table_ids array<string>"
+
+
+def with_places(table: DataFrame) -> DataFrame:
+    """table with all PLACES, null where it has no such column."""
+    kinds = {"page_number": "int"}
+    return table.withColumns({c: (F.col(c) if c in table.columns else F.lit(None)).cast(kinds.get(c, "string")) for c in PLACES})
+
+
+def _source() -> Column:
+    """What a chunk keeps of a block's place: its page, else its sheet and cells, else its section."""
+    paged, on_sheet = F.col("page_number").isNotNull(), F.trim(F.coalesce("sheet_name", F.lit(""))) != ""
+    own = {"page_number": F.col("page_number"), "sheet_name": F.when(~paged & on_sheet, F.col("sheet_name")), "cell_range": F.when(~paged & on_sheet, F.col("cell_range")), "section": F.when(~paged & ~on_sheet, F.col("section"))}
+    return F.struct(*[c.alias(n) for n, c in own.items()])
 
 
 def _reach(ends: list[int], at: int, limit: int) -> int:
@@ -77,24 +92,25 @@ def pack(sizes: list[int], heading: list[bool], table: list[str | None], limit:
 
 
 def _chunks_of(doc: int, blocks: list[tuple], limit: int, overlap: int) -> list[tuple]:
-    """Rows of CHUNKS for one document's ordered blocks (block_id, kind, text, page, table_id)."""
-    pieces = [(f"{b}#p{i}" if len(cut) > 1 else b, kind, t, page, table) for b, kind, value, page, table in blocks for cut in [cut_text(value, limit)] for i, t in enumerate(cut, 1)]
+    """Rows of CHUNKS for one document's ordered blocks (block_id, kind, text, source, table_id)."""
+    pieces = [(f"{b}#p{i}" if len(cut) > 1 else b, kind, t, source, table) for b, kind, value, source, table in blocks for cut in [cut_text(value, limit)] for i, t in enumerate(cut, 1)]
     found = pack([len(p[2]) for p in pieces], [p[1] == "heading" for p in pieces], [p[4] for p in pieces], limit, overlap)
     rows = []
     for n, own in enumerate(([pieces[k] for k in chunk] for chunk in found), 1):
         ids, body = [p[0] for p in own], "\n".join(p[2] for p in own)
         key = hashlib.sha256(f"{doc}{n}{','.join(ids)}".encode()).hexdigest()[:16]
-        rows.append((doc, n, f"chk-{key}", body, len(body), ids, list(dict.fromkeys(p[3] for p in own)), list(dict.fromkeys(p[4] for p in own if p[4]))))
+        sources = {tuple(p[3].values()): p[3] for p in own}
+        rows.append((doc, n, f"chk-{key}", body, len(body), ids, list(sources.values()), list(dict.fromkeys(p[4] for p in own if p[4]))))
     return rows
 
 
 def doc_chunk(blocks: DataFrame, limit: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks of every document (document_id, ord, block_id, kind, text, page_number, table_id).
-    Blocks come sorted by document, so a task streams through whole documents one after another and
+    """Chunks of every document (document_id, ord, block_id, kind, text, table_id and any of PLACES);
+    sources are the distinct places of a chunk's blocks. Blocks come sorted by document, so a task streams through whole documents one after another and
     holds one at a time."""
     limit = max(40, limit)
     overlap = max(0, min(overlap, limit - 1))
-    schema = pa.schema([("document_id", pa.int64()), ("ordinal", pa.int32()), ("chunk_id", pa.string()), ("text", pa.string()), ("char_count", pa.int32()), ("block_ids", pa.list_(pa.string())), ("pages", pa.list_(pa.int32())), ("table_ids", pa.list_(pa.string()))])
+    schema = pa.schema([("document_id", pa.int64()), ("ordinal", pa.int32()), ("chunk_id", pa.string()), ("text", pa.string()), ("char_count", pa.int32()), ("block_ids", pa.list_(pa.string())), ("sources", pa.list_(pa.struct([(c, pa.int32() if c == "page_number" else pa.string()) for c in PLACES]))), ("table_ids", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, held = None, []
@@ -111,7 +127,7 @@ def doc_chunk(blocks: DataFrame, limit: int = MAX_CHARS, overlap: int = OVERLAP)
             out = _chunks_of(doc, held, limit, overlap)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)], schema=schema)
 
-    own = blocks.select(F.col("document_id").cast("long").alias("document_id"), "ord", "block_id", "kind", F.coalesce("text", F.lit("")).alias("text"), "page_number", "table_id")
+    own = with_places(blocks).select(F.col("document_id").cast("long").alias("document_id"), "ord", "block_id", "kind", F.coalesce("text", F.lit("")).alias("text"), _source().alias("source"), "table_id")
     return own.repartition("document_id").sortWithinPartitions("document_id", "ord").drop("ord").mapInArrow(run, CHUNKS)
 
 
@@ -145,36 +161,68 @@ def segments(value: str) -> list[tuple[int, int, str]]:
     return [(s, e, flat[s:e]) for s, e in spans if MIN_EXCERPT <= e - s <= MAX_EXCERPT]
 
 
-def candidate_catalog(documents: DataFrame, blocks: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Literal excerpts of each document in block order, one per segment and chunk that holds it,
-    cut to a prefix of at most 48 candidates and 6000 characters. documents: document_id, checksum."""
+def _candidates(documents: DataFrame, blocks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Every candidate of each document in order, with its number and the characters up to it."""
+
+    schema = pa.schema([("document_id", pa.int64()), ("ord", pa.int32()), ("block", pa.string()), ("source", pa.struct([(c, pa.int32() if c == "page_number" else pa.string()) for c in PLACES])), ("start_offset", pa.int32()), ("end_offset", pa.int32()), ("excerpt", pa.string())])
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for data in batches:
-            rows = [(d, o, b, p, *s) for d, o, b, p, t in zip(data.document_id, data.ord, data.block_id, data.page_number, data.text, strict=True) for s in segments(t or "")]
-            yield pd.DataFrame(rows, columns=["document_id", "ord", "block", "page_number", "start_offset", "end_offset", "excerpt"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(*own, *s) for *own, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for s in segments(t or "")]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
-    found = blocks.select("document_id", "ord", "block_id", "page_number", "text").mapInPandas(cut, "document_id long, ord int, block string, page_number int, start_offset int, end_offset int, excerpt string")
+    placed = F.col("page_number").isNotNull() | F.col("sheet_name").isNotNull() | F.col("section").isNotNull()
+    own = with_places(blocks).where(placed).select(F.col("document_id").cast("long").alias("document_id"), F.col("ord").cast("int").alias("ord"), F.col("block_id").alias("block"), F.struct(*PLACES).alias("source"), "text")
+    found = own.mapInArrow(cut, f"document_id long, ord int, block string, source {PLACE}, start_offset int, end_offset int, excerpt string").select("*", "source.*").drop("source")
     entries = chunks.select("document_id", "ordinal", "chunk_id", text.squash(F.col("text")).alias("chunk_text"), F.explode("block_ids").alias("block_id"))
     first = entries.groupBy("document_id", "block_id").agg(F.min_by(F.struct("chunk_id", "chunk_text"), "ordinal").alias("c"))
     first = first.withColumns({"block": F.regexp_replace("block_id", r"#p\d+$", ""), "part": F.coalesce(F.regexp_extract("block_id", r"#p(\d+)$", 1).try_cast("int"), F.lit(0))})
-    joined = found.join(first, ["document_id", "block"]).where(F.col("c.chunk_text").contains(F.col("excerpt"))).join(documents.select("document_id", "checksum"), "document_id")
-    key = F.concat_ws("|", "checksum", F.col("document_id").cast("string"), "block_id", "c.chunk_id", F.concat(F.lit("page:"), "page_number"), F.col("start_offset").cast("string"), F.col("end_offset").cast("string"), "excerpt")
+    kind = F.col("document_type") if "document_type" in documents.columns else F.lit("pdf")
+    joined = found.join(first, ["document_id", "block"]).where(F.col("c.chunk_text").contains(F.col("excerpt"))).join(documents.select("document_id", "checksum", kind.alias("source_type")), "document_id")
+    text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    sheet = F.concat(F.lit("sheet:"), "sheet_name", F.lit("!"), text_of("cell_range"))
+    place = F.coalesce(F.concat(F.lit("page:"), "page_number"), sheet, F.concat(F.lit("section:"), text_of("section")))
+    key = F.concat_ws("|", text_of("checksum"), text_of("document_id"), "block_id", "c.chunk_id", place, "start_offset", "end_offset", "excerpt")
+    named = joined.withColumn("candidate_id", F.concat(F.lit("cand-"), F.substring(F.sha2(key, 256), 1, 24)))
     order = W.partitionBy("document_id").orderBy("ord", "part", "start_offset")
-    placed = joined.withColumns({"idx": F.row_number().over(order) - 1, "running": F.sum(F.length("excerpt")).over(order.rowsBetween(W.unboundedPreceding, 0))})
-    return placed.where((F.col("idx") < MAX_CANDIDATES) & (F.col("running") <= MAX_TOTAL)).select(
-        "document_id", "idx", F.concat(F.lit("cand-"), F.substring(F.sha2(key, 256), 1, 24)).alias("candidate_id"), "page_number", "excerpt", F.col("c.chunk_id").alias("chunk_id"), "block_id", "start_offset", "end_offset"
-    )
+    return named.withColumns({"idx": F.row_number().over(order) - 1, "running": F.sum(F.length("excerpt")).over(order.rowsBetween(W.unboundedPreceding, 0))})
 
 
-def catalog_fingerprint(candidates: DataFrame, document_type: str = "pdf") -> DataFrame:
-    """SHA-256 of each catalog's canonical lines in index order, nulls written out."""
+def _fits() -> Column:
+    """Whether a catalog has room for a candidate: as running sums only grow, for a prefix."""
+    return (F.col("idx") < MAX_CANDIDATES) & (F.col("running") <= MAX_TOTAL)
+
+
+def candidate_catalog(documents: DataFrame, blocks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Literal excerpts of each document in block order, one per segment and chunk that holds it, each
+    with its block's place; blocks without a place give none. Cut to a prefix of at most 48 candidates
+    and 6000 characters. documents: document_id, checksum, document_type (pdf, if there is none);
+    blocks: document_id, ord, block_id, text and any of PLACES."""
+    return _candidates(documents, blocks, chunks).where(_fits()).select("document_id", "idx", "candidate_id", "source_type", *PLACES, "excerpt", F.col("c.chunk_id").alias("chunk_id"), "block_id", "start_offset", "end_offset")
+
+
+def catalog_summary(documents: DataFrame, blocks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Per document how many candidates it gives, how many of them its catalog has no room for, and
+    the characters of those kept. Documents without candidates count none."""
+    per = _candidates(documents, blocks, chunks).groupBy("document_id").agg(F.count("*").alias("generated"), F.count_if(~_fits()).alias("excluded"), F.max(F.when(_fits(), F.col("running"))).alias("excerpt_chars"))
+    return documents.select("document_id").join(per, "document_id", "left").na.fill(0, ["generated", "excluded", "excerpt_chars"])
+
+
+def catalog_fingerprint(candidates: DataFrame) -> DataFrame:
+    """SHA-256 of each catalog's canonical lines in index order: thirteen fields, missing places
+    written as null. Null for a catalog in which another field is missing or a number is negative."""
     quoted = lambda c: F.get(F.split(F.to_json(F.struct(F.col(c).alias("v"))), r"^\{\"v\":", 2), F.lit(1)).substr(F.lit(1), F.length(F.to_json(F.struct(F.col(c).alias("v")))) - 6)
-    pairs = [("index", F.col("idx").cast("string")), ("candidateId", quoted("candidate_id")), ("documentId", quoted("document_key")), ("sourceType", F.lit(f'"{document_type}"')), ("excerpt", quoted("excerpt")), ("chunkId", quoted("chunk_id")), ("blockId", quoted("block_id")),
-             ("startOffset", F.col("start_offset").cast("string")), ("endOffset", F.col("end_offset").cast("string")), ("pageNumber", F.coalesce(F.col("page_number").cast("string"), F.lit("null"))), *[(n, F.lit("null")) for n in ("sheetName", "cellRange", "section")]]
-    line = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{n}":'), v) for n, v in pairs]), F.lit("}"))
-    lined = candidates.withColumn("document_key", F.col("document_id").cast("string")).select("document_id", F.struct("idx", line.alias("line")).alias("l"))
-    return lined.groupBy("document_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n"), 256).alias("catalog_sha256"), F.count("*").alias("candidates"))
+    stated = lambda c: F.when(F.col(c).isNotNull(), quoted(c))
+    whole = lambda c: F.when(F.col(c) >= 0, F.col(c).cast("string"))
+    or_null = lambda c: F.coalesce(c, F.lit("null"))
+    page = F.when(F.col("page_number").isNull(), "null").otherwise(whole("page_number"))
+    pairs = [("index", whole("idx")), *[(n, stated(c)) for n, c in (("candidateId", "candidate_id"), ("documentId", "document_key"), ("sourceType", "source_type"), ("excerpt", "excerpt"), ("chunkId", "chunk_id"), ("blockId", "block_id"))],
+             ("startOffset", whole("start_offset")), ("endOffset", whole("end_offset")), ("pageNumber", page), *[(n, or_null(stated(c))) for n, c in (("sheetName", "sheet_name"), ("cellRange", "cell_range"), ("section", "section"))]]
+    parts = [x for i, (n, v) in enumerate(pairs) for x in (F.lit(f'{"," if i else "{"}"{n}":'), v)]
+    line = F.concat(*parts, F.lit("}"))
+    lined = with_places(candidates).withColumn("document_key", F.col("document_id").cast("string")).select("document_id", F.struct("idx", line.alias("line")).alias("l"))
+    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n"), 256)
+    return lined.groupBy("document_id").agg(F.when(F.bool_and(F.col("l.line").isNotNull()), digest).alias("catalog_sha256"), F.count("*").alias("candidates"))
 
 
 #: Category, label and pattern of the rule-based findings, in order.
@@ -354,9 +402,8 @@ def selection_materialize(selections: DataFrame, candidates: DataFrame) -> DataF
     )
 
 
-#: What an excerpt holds at most, and the places that evidence can have.
+#: Fixed value: what an excerpt holds at most.
 EXCERPT = 400
-PLACES = ("page_number", "sheet_name", "cell_range", "section")
 
 
 def report_audit(reports: DataFrame, findings: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -23,30 +23,57 @@ def docs(spark, sf_dir):
 
 
 def blocks(spark, sf_dir):
-    """Lines of the documents as blocks of 20 to a page."""
-    lines = docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
-    return lines.select("document_id", "ord", F.concat(F.lit("b"), "ord").alias("block_id"), F.when(F.length("text") < 30, "heading").otherwise("paragraph").alias("kind"), "text", F.floor(F.col("ord") / 20 + 1).cast("int").alias("page_number"), F.lit(None).cast("string").alias("table_id"))
+    """Whole documents as blocks with their places: every third one a pdf, a line a block, twenty to a
+    page; a workbook, a line a row, two hundred to a sheet, thirty to a table; or a text document, three
+    lines a block, its headings and tables of four blocks in sections."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    threes = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / 3).cast("int")), lambda i: F.array_join(F.slice("lines", i * 3 + 1, 3), "\n"))
+    kind = F.expr("CASE doc_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'xlsx' ELSE 'docx' END")
+    parted = docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), kind.alias("t"), lines.alias("lines"))
+    b = parted.select("document_id", "t", F.posexplode(F.when(F.col("t") == "docx", threes).otherwise(F.col("lines"))).alias("ord", "text"))
+    table = "CASE WHEN t = 'xlsx' THEN 'sheet-' || floor(ord / 30) WHEN t = 'docx' AND floor(ord / 4) % 5 = 4 THEN 'tbl-' || floor(ord / 4) END"
+    return b.selectExpr(
+        "document_id", "ord", "'b' || ord AS block_id", f"CASE WHEN {table} IS NOT NULL THEN 'table-row' WHEN length(text) < 30 THEN 'heading' WHEN t = 'pdf' THEN 'page-text' ELSE 'paragraph' END AS kind", "text", f"{table} AS table_id",
+        "CASE WHEN t = 'pdf' THEN CAST(floor(ord / 20) + 1 AS INT) END AS page_number", "CASE WHEN t = 'xlsx' THEN 'ورقة ' || (floor(ord / 200) + 1) END AS sheet_name", "CASE WHEN t = 'xlsx' THEN 'A' || (ord % 200 + 1) || ':D' || (ord % 200 + 1) END AS cell_range", "CASE WHEN t = 'docx' THEN 'القسم ' || (floor(ord / 12) + 1) END AS section",
+    )
+
+
+def _filed(spark, sf_dir):
+    return docs(spark, sf_dir).selectExpr("doc_id AS document_id", "sha2(coalesce(text, ''), 256) AS checksum", "CASE doc_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'xlsx' ELSE 'docx' END AS document_type")
 
 
 @query()
 def doc_chunk(spark, sf_dir):
-    return ev.doc_chunk(blocks(spark, sf_dir)).select("document_id", "ordinal", "chunk_id", F.md5("text").alias("text_md5"), "char_count", F.array_join("block_ids", ",").alias("block_ids"))
+    return ev.doc_chunk(blocks(spark, sf_dir)).select("document_id", "ordinal", "chunk_id", F.md5("text").alias("text_md5"), "char_count", F.array_join("block_ids", ",").alias("block_ids"), F.to_json("sources").alias("sources"), F.array_join("table_ids", ",").alias("table_ids"))
 
 
-def _catalog(spark, sf_dir):
+def _parts(spark, sf_dir):
     b = blocks(spark, sf_dir)
-    documents = docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.sha2("text", 256).alias("checksum"))
-    return ev.candidate_catalog(documents, b, stored(ev.doc_chunk(b)))
+    return _filed(spark, sf_dir), b, stored(ev.doc_chunk(b))
 
 
 @query()
 def candidate_catalog(spark, sf_dir):
-    return _catalog(spark, sf_dir)
+    return ev.candidate_catalog(*_parts(spark, sf_dir))
+
+
+@query()
+def catalog_summary(spark, sf_dir):
+    """How many candidates the catalogs have no room for."""
+    return ev.catalog_summary(*_parts(spark, sf_dir))
 
 
 @query()
 def catalog_fingerprint(spark, sf_dir):
-    return ev.catalog_fingerprint(_catalog(spark, sf_dir))
+    return ev.catalog_fingerprint(ev.candidate_catalog(*_parts(spark, sf_dir)))
+
+
+@query()
+def catalog_grounding(spark, sf_dir):
+    """The candidates of each document as a report's evidence, held against the chunks: grounded, all."""
+    files, b, chunks = _parts(spark, sf_dir)
+    found = ev.candidate_catalog(files, b, chunks).withColumns({"run_id": F.col("document_id"), "pos": F.col("idx"), "evidence_id": F.col("candidate_id")})
+    return ev.grounding_check(found, files.select(F.col("document_id").alias("run_id"), "document_id", "document_type"), chunks)
 
 
 _RULED = "CASE doc_id % 6 WHEN 0 THEN 'الضمان الابتدائي: ' || CAST(doc_id AS STRING) || '%' WHEN 1 THEN 'غرامة تأخير: يومية' WHEN 2 THEN 'البند غير واضح: كذا' WHEN 3 THEN 'سؤال للجهة: متى؟' ELSE 'نص عادي' END"

@@ -75,8 +75,8 @@ def test_token_variants(spark):
 
 
 def test_chunks_keep_their_limit_and_all_words():
-    words = [(f"b{i}", "heading" if i % 5 == 0 else "paragraph", (f"w{i} " * (1 + i * 7 % 40)).strip(), 1 + i // 20, "t" if i % 4 == 0 else None) for i in range(60)]
-    words.append(("long", "paragraph", "x" * 500 + " y" * 300, 4, None))
+    words = [(f"b{i}", "heading" if i % 5 == 0 else "paragraph", (f"w{i} " * (1 + i * 7 % 40)).strip(), {"page_number": 1 + i // 20}, "t" if i % 4 == 0 else None) for i in range(60)]
+    words.append(("long", "paragraph", "x" * 500 + " y" * 300, {"page_number": 4}, None))
     rows = evidence._chunks_of(7, words, 200, 40)
     assert all(size == len(body) <= 200 for _, _, _, body, size, *_ in rows)
     assert {re.sub(r"#p\d+$", "", b) for r in rows for b in r[5]} == {w[0] for w in words}
@@ -99,7 +99,7 @@ def test_chunk_of_known_id(spark):
     rows = [(1, 0, "b0", "heading", "عنوان", 1, None), (1, 1, "b1", "paragraph", "نص أول", 1, None), (2, 0, "b0", "paragraph", None, 3, "t")]
     df = spark.createDataFrame(rows, "document_id long, ord int, block_id string, kind string, text string, page_number int, table_id string")
     got = {r["document_id"]: r for r in evidence.doc_chunk(df).collect()}
-    assert got[1]["text"] == "عنوان\nنص أول" and (got[1]["char_count"], got[1]["block_ids"], got[1]["pages"]) == (12, ["b0", "b1"], [1])
+    assert got[1]["text"] == "عنوان\nنص أول" and (got[1]["char_count"], got[1]["block_ids"], [r["page_number"] for r in got[1]["sources"]]) == (12, ["b0", "b1"], [1])
     assert got[1]["chunk_id"] == "chk-" + hashlib.sha256("11b0,b1".encode()).hexdigest()[:16] == "chk-1302f58f74b3f715"
     assert (got[2]["text"], got[2]["table_ids"]) == ("", ["t"])
 
