@@ -32,11 +32,11 @@ from .common import Grams, Words, fold, give_back, ragged, slices, text_udf, tog
 from .toxicity import bounded_texts
 
 #: Trusted positives and unlabelled documents learnt from, at most, and their text bytes.
-POSITIVES, UNLABELLED, BYTES = 4000, 8000, (32 << 20, 16 << 20)
+POSITIVES, UNLABELLED, BYTES = 6000, 12000, (48 << 20, 24 << 20)
 LOW, HIGH, BUCKETS, DIM, GAIN = 1, 3, 1 << 14, 8, 20.0
-HIDDEN, BATCH, RATE, STEP_BACK, DECAY = 16, 192, 0.01, 1.0, 1e-5
+HIDDEN, BATCH, RATE, STEP_BACK, DECAY = 24, 192, 0.01, 1.0, 1e-5
 #: Steps of training, and of the first network; small samples are gone through more often.
-STEPS, FIRST_STEPS = 336, 168
+STEPS, FIRST_STEPS = 504, 252
 #: Weight of the margin and its confidence in the prior's bound.
 GAMMA, DELTA = 0.01, 0.1
 THRESHOLD = 0.7
