@@ -74,21 +74,29 @@ def field_of(label: Column) -> Column:
 def detail_field_extract(sections: DataFrame) -> DataFrame:
     """(reference, field, value): `label: value` lines, or a label and the first of the next three
     lines that is neither a label nor the section's name; the first hit by section and line wins.
-    A section's lines stay together in its row, so only the hits are shuffled."""
+    Each line goes on alone with the three after it, so that its label is sought in compiled code and
+    only lines that have one are looked at further; only hits are shuffled."""
     colon = r"^(.{2,80}?)[：:]\s*(.+)$"
-    lines = F.filter(F.transform(F.split(clean_detail(F.col("text")), "\n"), clean_detail), lambda x: x != "")
-
-    def mark(x: Column) -> Column:
-        label = F.regexp_extract(x, colon, 1)
-        return F.struct(x.alias("text"), (label == "").alias("alone"), F.regexp_extract(x, colon, 2).alias("inline"), field_of(F.when(label != "", label).otherwise(x)).alias("named"))
-
-    def value(x: Column, i: Column) -> Column:
-        after = F.filter(F.slice("lines", i + 2, 3), lambda y: ~(y["alone"] & y["named"].isNotNull()) & (y["text"] != F.col("name")))
-        return F.struct(i.alias("line"), x["named"].alias("field"), F.when(x["alone"], F.get(after, F.lit(0))["text"]).otherwise(x["inline"]).alias("value"))
-
-    marked = sections.select("reference", "section_ord", "name", F.transform(lines, mark).alias("lines"))
-    hits = marked.select("reference", "section_ord", F.explode(F.filter(F.transform("lines", value), lambda h: h["field"].isNotNull() & (h["value"] != ""))).alias("h"))
-    return hits.groupBy("reference", F.col("h.field").alias("field")).agg(F.min_by("h.value", F.struct("section_ord", "h.line")).alias("value"))
+    bare = lambda c: F.trim(F.regexp_replace(c, "[：:]+$", ""))
+    ends = r"(?U)^\s+|\s+$"
+    plain = F.regexp_replace(F.regexp_replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit("")), r"[\t ]+", " "), ends, "")
+    # a break takes the blanks and empty lines around it along; outer, so that nothing is split beforehand to see whether there are lines
+    lines = sections.select("reference", "section_ord", "name", F.split(plain, r"(?U)\s*\n\s*").alias("lines"))
+    each = lines.select("reference", "section_ord", "name", F.posexplode_outer("lines").alias("line", "said"), "lines")
+    each = each.select("reference", "section_ord", "name", "line", "said", F.slice("lines", F.col("line") + 2, 3).alias("after"), F.when(F.col("said").rlike("[：:]"), F.regexp_extract("said", colon, 1)).otherwise("").alias("label"))
+    key = F.when(F.col("label") == "", bare(F.col("said"))).otherwise(bare(F.regexp_replace("label", ends, "")))
+    # a join on a fixed small table: sought in a map, the key would be worked out for the test and again for the result
+    fields = sections.sparkSession.createDataFrame(list(LABELS.items()), "key string, field string")
+    hits = each.withColumn("key", key).join(F.broadcast(fields), "key")
+    names = F.array(*[F.lit(x) for x in LABELS])
+
+    def tells(y: Column) -> Column:
+        """Whether a line is a value: it brings one along, or names no field and is not the section's name."""
+        return (~F.array_contains(names, bare(y)) | y.rlike(colon)) & (y != F.col("name"))
+
+    value = F.when(F.col("label") == "", F.get(F.filter("after", tells), F.lit(0))).otherwise(F.regexp_extract("said", colon, 2))
+    valued = hits.select("reference", "field", value.alias("value"), F.struct("section_ord", "line").alias("at"))
+    return valued.groupBy("reference", "field").agg(F.min_by(F.when(F.col("value") != "", F.col("value")), F.when(F.col("value") != "", F.col("at"))).alias("value")).where("value is not null")
 
 
 # Words of buttons, extensions and words of file names.
