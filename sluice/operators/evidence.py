@@ -19,6 +19,7 @@ from ..sources.storage import stored
 MAX_CHARS, OVERLAP = 1200, 120
 #: The places that a block or a piece of evidence can have, a page, a sheet with its cells, or a section.
 PLACES = ("page_number", "sheet_name", "cell_range", "section")
+_SOURCE = pa.struct([(c, pa.int32() if c == "page_number" else pa.string()) for c in PLACES])
 PLACE = "struct<page_number:int,sheet_name:string,cell_range:string,section:string>"
 CHUNKS = f"document_id long, ordinal int, chunk_id string, text string, char_count int, block_ids array<string>, sources array<{PLACE}>, table_ids array<string>"
 
@@ -110,7 +111,7 @@ def doc_chunk(blocks: DataFrame, limit: int = MAX_CHARS, overlap: int = OVERLAP)
     holds one at a time."""
     limit = max(40, limit)
     overlap = max(0, min(overlap, limit - 1))
-    schema = pa.schema([("document_id", pa.int64()), ("ordinal", pa.int32()), ("chunk_id", pa.string()), ("text", pa.string()), ("char_count", pa.int32()), ("block_ids", pa.list_(pa.string())), ("sources", pa.list_(pa.struct([(c, pa.int32() if c == "page_number" else pa.string()) for c in PLACES]))), ("table_ids", pa.list_(pa.string()))])
+    schema = pa.schema([("document_id", pa.int64()), ("ordinal", pa.int32()), ("chunk_id", pa.string()), ("text", pa.string()), ("char_count", pa.int32()), ("block_ids", pa.list_(pa.string())), ("sources", pa.list_(_SOURCE)), ("table_ids", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, held = None, []
@@ -161,31 +162,52 @@ def segments(value: str) -> list[tuple[int, int, str]]:
     return [(s, e, flat[s:e]) for s, e in spans if MIN_EXCERPT <= e - s <= MAX_EXCERPT]
 
 
-def _candidates(documents: DataFrame, blocks: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Every candidate of each document in order, with its number and the characters up to it."""
+_FOUND = pa.schema([("document_id", pa.int64()), ("idx", pa.int32()), ("running", pa.int64()), ("source", _SOURCE), ("block_id", pa.string()), ("chunk_id", pa.string()), ("start_offset", pa.int32()), ("end_offset", pa.int32()), ("excerpt", pa.string()), ("checksum", pa.string()), ("source_type", pa.string())])
+_FOUND_SQL = f"document_id long, idx int, running long, source {PLACE}, block_id string, chunk_id string, start_offset int, end_offset int, excerpt string, checksum string, source_type string"
 
-    schema = pa.schema([("document_id", pa.int64()), ("ord", pa.int32()), ("block", pa.string()), ("source", pa.struct([(c, pa.int32() if c == "page_number" else pa.string()) for c in PLACES])), ("start_offset", pa.int32()), ("end_offset", pa.int32()), ("excerpt", pa.string())])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(*own, *s) for *own, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for s in segments(t or "")]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+def _entry(name: str) -> tuple[str, int]:
+    """The block that an entry of a chunk names, and which part of it."""
+    block, _, part = name.rpartition("#p")
+    return (block, int(part)) if block and part.isdigit() else (name, 0)
+
 
+def _candidates_of(blocks: pa.Table, chunks: pa.Table) -> pa.Table:
+    """All candidates of one document, from its blocks and chunks, in order."""
+    holders: dict[str, dict[int, tuple]] = {}
+    for chunk in sorted(chunks.to_pylist(), key=lambda c: c["ordinal"]):
+        for name in chunk["block_ids"] or []:
+            block, part = _entry(name)
+            holders.setdefault(block, {}).setdefault(part, (name, chunk))
+    rows: list[tuple] = []
+    total = 0
+    for b in sorted(blocks.to_pylist(), key=lambda b: b["ord"]):
+        held = sorted(holders.get(b["block"], {}).items())
+        spans = segments(b["text"] or "") if held else []
+        for _, (name, chunk) in held:
+            for start, end, excerpt in spans:
+                if excerpt in (chunk["chunk_text"] or ""):
+                    total += len(excerpt)
+                    rows.append((b["document_id"], len(rows), total, b["source"], name, chunk["chunk_id"], start, end, excerpt, chunk["checksum"], chunk["source_type"]))
+    return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_FOUND), _FOUND, strict=True)], schema=_FOUND)
+
+
+def _candidates(documents: DataFrame, blocks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Every candidate of each document in order, with its number and the characters up to it. A
+    document's blocks and chunks meet once, whole, as doc_chunk holds them, and no text is copied to
+    each of its excerpts."""
     placed = F.col("page_number").isNotNull() | F.col("sheet_name").isNotNull() | F.col("section").isNotNull()
-    own = with_places(blocks).where(placed).select(F.col("document_id").cast("long").alias("document_id"), F.col("ord").cast("int").alias("ord"), F.col("block_id").alias("block"), F.struct(*PLACES).alias("source"), "text")
-    found = own.mapInArrow(cut, f"document_id long, ord int, block string, source {PLACE}, start_offset int, end_offset int, excerpt string").select("*", "source.*").drop("source")
-    entries = chunks.select("document_id", "ordinal", "chunk_id", text.squash(F.col("text")).alias("chunk_text"), F.explode("block_ids").alias("block_id"))
-    first = entries.groupBy("document_id", "block_id").agg(F.min_by(F.struct("chunk_id", "chunk_text"), "ordinal").alias("c"))
-    first = first.withColumns({"block": F.regexp_replace("block_id", r"#p\d+$", ""), "part": F.coalesce(F.regexp_extract("block_id", r"#p(\d+)$", 1).try_cast("int"), F.lit(0))})
+    doc = F.col("document_id").cast("long").alias("document_id")
+    own = with_places(blocks).where(placed).select(doc, "ord", F.col("block_id").alias("block"), F.struct(*PLACES).alias("source"), "text")
     kind = F.col("document_type") if "document_type" in documents.columns else F.lit("pdf")
-    joined = found.join(first, ["document_id", "block"]).where(F.col("c.chunk_text").contains(F.col("excerpt"))).join(documents.select("document_id", "checksum", kind.alias("source_type")), "document_id")
+    held = chunks.select(doc, "ordinal", "chunk_id", text.squash(F.col("text")).alias("chunk_text"), "block_ids")
+    held = held.join(documents.select(doc, "checksum", kind.alias("source_type")), "document_id")
+    found = own.groupBy("document_id").cogroup(held.groupBy("document_id")).applyInArrow(_candidates_of, _FOUND_SQL).select("*", "source.*")
     text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     sheet = F.concat(F.lit("sheet:"), "sheet_name", F.lit("!"), text_of("cell_range"))
     place = F.coalesce(F.concat(F.lit("page:"), "page_number"), sheet, F.concat(F.lit("section:"), text_of("section")))
-    key = F.concat_ws("|", text_of("checksum"), text_of("document_id"), "block_id", "c.chunk_id", place, "start_offset", "end_offset", "excerpt")
-    named = joined.withColumn("candidate_id", F.concat(F.lit("cand-"), F.substring(F.sha2(key, 256), 1, 24)))
-    order = W.partitionBy("document_id").orderBy("ord", "part", "start_offset")
-    return named.withColumns({"idx": F.row_number().over(order) - 1, "running": F.sum(F.length("excerpt")).over(order.rowsBetween(W.unboundedPreceding, 0))})
+    key = F.concat_ws("|", text_of("checksum"), text_of("document_id"), "block_id", text_of("chunk_id"), place, "start_offset", "end_offset", "excerpt")
+    return found.withColumn("candidate_id", F.concat(F.lit("cand-"), F.substring(F.sha2(key, 256), 1, 24)))
 
 
 def _fits() -> Column:
@@ -198,7 +220,7 @@ def candidate_catalog(documents: DataFrame, blocks: DataFrame, chunks: DataFrame
     with its block's place; blocks without a place give none. Cut to a prefix of at most 48 candidates
     and 6000 characters. documents: document_id, checksum, document_type (pdf, if there is none);
     blocks: document_id, ord, block_id, text and any of PLACES."""
-    return _candidates(documents, blocks, chunks).where(_fits()).select("document_id", "idx", "candidate_id", "source_type", *PLACES, "excerpt", F.col("c.chunk_id").alias("chunk_id"), "block_id", "start_offset", "end_offset")
+    return _candidates(documents, blocks, chunks).where(_fits()).select("document_id", "idx", "candidate_id", "source_type", *PLACES, "excerpt", "chunk_id", "block_id", "start_offset", "end_offset")
 
 
 def catalog_summary(documents: DataFrame, blocks: DataFrame, chunks: DataFrame) -> DataFrame:
