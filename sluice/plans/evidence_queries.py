@@ -49,7 +49,7 @@ def doc_chunk(spark, sf_dir):
 
 def _parts(spark, sf_dir):
     b = blocks(spark, sf_dir)
-    return _filed(spark, sf_dir), b, stored(ev.doc_chunk(b))
+    return _filed(spark, sf_dir), b, ev.doc_chunk(b)
 
 
 @query()
@@ -72,6 +72,7 @@ def catalog_fingerprint(spark, sf_dir):
 def catalog_grounding(spark, sf_dir):
     """The candidates of each document as a report's evidence, held against the chunks: grounded, all."""
     files, b, chunks = _parts(spark, sf_dir)
+    chunks = stored(chunks)
     found = ev.candidate_catalog(files, b, chunks).withColumns({"run_id": F.col("document_id"), "pos": F.col("idx"), "evidence_id": F.col("candidate_id")})
     return ev.grounding_check(found, files.select(F.col("document_id").alias("run_id"), "document_id", "document_type"), chunks)
 
