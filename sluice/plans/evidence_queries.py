@@ -38,6 +38,12 @@ def blocks(spark, sf_dir):
     )
 
 
+def _lines(spark, sf_dir):
+    """Lines of whole documents of any kind, twenty to a page; a document without a text has none."""
+    lines = docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    return lines.withColumn("page_number", F.floor(F.col("ord") / 20 + 1).cast("int"))
+
+
 def _filed(spark, sf_dir):
     return docs(spark, sf_dir).selectExpr("doc_id AS document_id", "sha2(coalesce(text, ''), 256) AS checksum", "CASE doc_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'xlsx' ELSE 'docx' END AS document_type")
 
@@ -285,7 +291,7 @@ def multidoc_merge(spark, sf_dir):
 @query(_PER_FILE + """, l AS (SELECT tender, file_name, max(pos) AS pos FROM p WHERE error IS NULL GROUP BY ALL) SELECT tender, file_name, ord AS at, 'e' || CAST(ord AS STRING) AS evidence_id, CAST(ord // 20 + 1 AS INT) AS page_number, md5(line) AS excerpt_md5 FROM l JOIN (SELECT doc_id AS pos, unnest(range(0, len(t))) AS ord, unnest(t) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)) USING (pos)""")
 def multidoc_evidence(spark, sf_dir):
     """The lines of the documents as evidence of the files of their number."""
-    e = blocks(spark, sf_dir).join(docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.col("source").alias("tender")), "document_id")
+    e = _lines(spark, sf_dir).join(docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.col("source").alias("tender")), "document_id")
     e = e.select("tender", F.col("document_id").alias("pos"), F.col("ord").alias("at"), F.concat(F.lit("e"), "ord").alias("evidence_id"), "page_number", F.col("text").alias("excerpt"))
     return ev.multidoc_evidence(_per_file(spark, sf_dir), e).withColumn("excerpt_md5", F.md5("excerpt")).drop("excerpt")
 

@@ -1,6 +1,7 @@
 """Queries that take whole texts, on small tables with known answers."""
 
 import re
+from hashlib import md5
 
 from sluice.operators import evidence
 from sluice.plans import all_queries
@@ -45,3 +46,18 @@ def test_rules_read_the_documents(spark, tmp_path):
     texts = ["كلمة\nنطاق العمل: طرق\n" + "كلمة " * 5000 + "فسخ", "كلمة"]
     got = {(r["document_id"], r["evidence_id"]): (r["block_id"], r["category"]) for r in all_queries()["rule_findings_whole"](spark, documents(spark, tmp_path, texts)).collect()}
     assert got == {(0, "ev-1"): ("b1", "scopeOfWork"), (0, "ev-2"): ("b2", "contractualRisks"), (0, "ev-3"): ("b3", "bidBonds"), (1, "ev-1"): ("b1", "penalties"), (1, "ev-2"): ("b1", "contractualRisks")}
+
+
+def lines_as(spark, tmp_path):
+    """Documents of each of the three kinds that blocks() makes, with blank lines and one without a text."""
+    texts = ["\n".join(f"سطر رقم {i} من {d}" if i % 6 != 4 else "" for i in range(45)) for d in range(21)]
+    texts[3] = None
+    spark.createDataFrame([(i, t, "ar", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path), {i: t.split("\n") for i, t in enumerate(texts) if t is not None}
+
+
+def test_evidence_of_files_is_their_lines(spark, tmp_path):
+    path, lines = lines_as(spark, tmp_path)
+    got = sorted((int(r["file_name"][5:]), r["at"], r["evidence_id"], r["page_number"], r["excerpt_md5"]) for r in all_queries()["multidoc_evidence"](spark, path).collect())
+    assert got == [(d, i, f"e{i}", i // 20 + 1, md5(x.encode()).hexdigest()) for d in lines if d % 6 for i, x in enumerate(lines[d])]
+
