@@ -213,7 +213,7 @@ _SORTED_LINES = f"WITH {_LINES}, l AS (SELECT doc_id, ord, line, (doc_id + ord)
 
 
 def _stored_reports(spark, sf_dir):
-    lines = blocks(spark, sf_dir).where("text <> ''").withColumn("cat", (F.col("document_id") + F.col("ord")) % 12)
+    lines = _lines(spark, sf_dir).where("text <> ''").withColumn("cat", (F.col("document_id") + F.col("ord")) % 12)
     names = F.array(*[F.lit(c) for c in ev.CATEGORIES])
     lines = lines.withColumn("category", F.get(names, F.col("cat").cast("int")))
     f = F.struct("ord", F.col("text").alias("statement"), F.lit("info").alias("severity"), F.lit("medium").alias("confidence"), F.array(F.concat(F.lit("ev-"), "ord")).alias("evidence_ids"))

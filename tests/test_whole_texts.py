@@ -61,3 +61,19 @@ def test_evidence_of_files_is_their_lines(spark, tmp_path):
     got = sorted((int(r["file_name"][5:]), r["at"], r["evidence_id"], r["page_number"], r["excerpt_md5"]) for r in all_queries()["multidoc_evidence"](spark, path).collect())
     assert got == [(d, i, f"e{i}", i // 20 + 1, md5(x.encode()).hexdigest()) for d in lines if d % 6 for i, x in enumerate(lines[d])]
 
+
+def test_stored_reports_are_of_lines(spark, tmp_path):
+    path, lines = lines_as(spark, tmp_path)
+    said = {d: [(i, x) for i, x in enumerate(own) if x] for d, own in lines.items()}
+    place = {c: evidence.STORED_ORDER.index(c) for c in evidence.CATEGORIES}
+    want = []
+    for d, own in said.items():
+        of = lambda i, d=d: evidence.CATEGORIES[(d + i) % 12]
+        want += [(d, n, of(i), f"ev-{i}") for n, (i, _) in enumerate(sorted(own, key=lambda x: (place[of(x[0])], x[0])), 1)]
+    got = all_queries()["report_flatten"](spark, path).select("report_id", "finding_no", "category", "evidence_ids").collect()
+    assert sorted(map(tuple, got)) == want
+    got = all_queries()["report_flatten_evidence"](spark, path).select("report_id", "pos", "evidence_id", "page_number", "excerpt_md5").collect()
+    assert sorted(map(tuple, got)) == [(d, n, f"ev-{i}", i // 20 + 1, md5(x.encode()).hexdigest()) for d, own in said.items() for n, (i, x) in enumerate(own)]
+    got = all_queries()["report_flatten_jobs"](spark, path).select("report_id", "n_findings", "n_evidence").collect()
+    assert sorted(map(tuple, got)) == [(d, len(own), len(own)) for d, own in said.items()]
+
