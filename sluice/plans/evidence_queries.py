@@ -150,7 +150,7 @@ def _selections(spark, sf_dir):
 
 def _candidates(spark, sf_dir):
     """Lines of whole documents of 8 to 400 characters."""
-    return blocks(spark, sf_dir).where("length(text) between 8 and 400").select("document_id", F.concat(F.lit("c"), "ord").alias("candidate_id"), F.col("text").alias("excerpt"))
+    return _lines(spark, sf_dir).where("length(text) between 8 and 400").select("document_id", F.concat(F.lit("c"), "ord").alias("candidate_id"), F.col("text").alias("excerpt"))
 
 
 _LINES = "lines AS (SELECT doc_id, unnest(range(0, len(l))) AS ord, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"

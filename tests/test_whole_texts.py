@@ -77,3 +77,12 @@ def test_stored_reports_are_of_lines(spark, tmp_path):
     got = all_queries()["report_flatten_jobs"](spark, path).select("report_id", "n_findings", "n_evidence").collect()
     assert sorted(map(tuple, got)) == [(d, len(own), len(own)) for d, own in said.items()]
 
+
+def test_selections_choose_among_lines(spark, tmp_path):
+    """Document 20 names lines 6, 2 and 0; document 3, without a text, some that it has not."""
+    path, lines = lines_as(spark, tmp_path)
+    got = all_queries()["selection_materialize"](spark, path).where("selection_id = 20").first()
+    assert (got["status"], got["findings"], got["evidence"]) == ("ok", "eligibilityRequirements:0,criticalQuantities:0,criticalQuantities:1", "c6,c2,c0")
+    assert got["summary_md5"] == md5("؛ ".join(lines[20][i] for i in (6, 2, 0)).encode()).hexdigest()
+    codes = {r["selection_id"]: r["codes"] for r in all_queries()["selection_audit"](spark, path).collect()}
+    assert (codes[20], codes[3]) == ("", "severity,unknown-id,sufficiency-repeated-id,sufficiency-unknown-id")
