@@ -185,7 +185,8 @@ def saved_search_match(searches: DataFrame, tenders: DataFrame, now: str, top: i
     # pieces of the words that a search requires
     terms = F.filter(F.array_append("specialties", F.col("needle")), lambda t: t != "")
     pieces = asked.where("wanted is null").select("chip_id", F.explode(terms).alias("term")).withColumn("size", F.least(F.length("term"), F.lit(GRAM)))
-    pieces = pieces.select("chip_id", "size", F.explode(_grams(F.col("term"), F.col("size"))).alias("key"))
+    # stored, so that Spark knows how few they are before it would shuffle all pieces of all tenders
+    pieces = stored(pieces.select("chip_id", "size", F.explode(_grams(F.col("term"), F.col("size"))).alias("key")))
     sizes = [r["size"] for r in pieces.select("size").distinct().collect()]  # at most GRAM
     held = F.flatten(F.array(*[_grams(hay, n) for n in sizes])) if sizes else F.array().cast("array<string>")
     uses = tenders.select(F.explode(held).alias("key")).join(pieces.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("uses"))
@@ -193,7 +194,7 @@ def saved_search_match(searches: DataFrame, tenders: DataFrame, now: str, top: i
     j = asked.join(rarest, "chip_id", "left")
     only_fee = F.coalesce(F.concat(F.lit("fee "), "fee_chip"), F.lit("any"))
     keys = F.when(F.col("wanted").isNotNull(), F.array(F.concat(F.lit("="), "wanted"))).when(F.col("rarest").isNotNull(), F.array(F.concat(F.lit("+"), "rarest"))).when(F.size("regions") > 0, F.transform("regions", lambda r: F.concat(F.lit("@"), r))).otherwise(F.array(only_fee))
-    keyed = j.withColumn("key", F.explode(keys))
+    keyed = stored(j.withColumn("key", F.explode(keys)))
     named = F.filter(F.array(*[F.lit(w) for w in REGION_WORDS]), lambda w: F.col("region").contains(w))
     fee_keys = F.when(F.col("fee") == 0, F.array(F.lit("fee 0"))).when(F.col("fee") > 0, F.array(F.lit("fee paid"))).otherwise(F.array().cast("array<string>"))
     own = F.concat(F.array(F.concat(F.lit("="), "reference"), F.lit("any")), fee_keys, F.transform(F.coalesce(named, F.array().cast("array<string>")), lambda w: F.concat(F.lit("@"), w)), F.transform(held, lambda g: F.concat(F.lit("+"), g)))
