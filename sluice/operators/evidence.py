@@ -172,37 +172,62 @@ def _entry(name: str) -> tuple[str, int]:
     return (block, int(part)) if block and part.isdigit() else (name, 0)
 
 
-def _candidates_of(blocks: pa.Table, chunks: pa.Table) -> pa.Table:
-    """All candidates of one document, from its blocks and chunks, in order."""
+def _candidates_of(doc: int, file: tuple, chunks: list[tuple], blocks: Iterator[tuple], every: bool) -> Iterator[tuple]:
+    """The candidates of one document (checksum, type) in order, from its chunks (chunk_id, text,
+    block_ids) and blocks (block_id, text, source); without `every` none after the catalog is full."""
     holders: dict[str, dict[int, tuple]] = {}
-    for chunk in sorted(chunks.to_pylist(), key=lambda c: c["ordinal"]):
-        for name in chunk["block_ids"] or []:
+    for chunk, body, names in chunks:
+        for name in names or []:
             block, part = _entry(name)
-            holders.setdefault(block, {}).setdefault(part, (name, chunk))
-    rows: list[tuple] = []
-    total = 0
-    for b in sorted(blocks.to_pylist(), key=lambda b: b["ord"]):
-        held = sorted(holders.get(b["block"], {}).items())
-        spans = segments(b["text"] or "") if held else []
-        for _, (name, chunk) in held:
+            holders.setdefault(block, {}).setdefault(part, (name, chunk, body or ""))
+    n = total = 0
+    for block, value, source in blocks:
+        held = sorted(holders.get(block, {}).items())
+        spans = segments(value or "") if held and (every or (n < MAX_CANDIDATES and total <= MAX_TOTAL)) else []
+        for _, (name, chunk, body) in held if spans else []:
             for start, end, excerpt in spans:
-                if excerpt in (chunk["chunk_text"] or ""):
+                if excerpt in body:
                     total += len(excerpt)
-                    rows.append((b["document_id"], len(rows), total, b["source"], name, chunk["chunk_id"], start, end, excerpt, chunk["checksum"], chunk["source_type"]))
-    return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_FOUND), _FOUND, strict=True)], schema=_FOUND)
+                    yield doc, n, total, source, name, chunk, start, end, excerpt, *file
+                    n += 1
 
 
-def _candidates(documents: DataFrame, blocks: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Every candidate of each document in order, with its number and the characters up to it. A
-    document's blocks and chunks meet once, whole, as doc_chunk holds them, and no text is copied to
-    each of its excerpts."""
+def _candidates(documents: DataFrame, blocks: DataFrame, chunks: DataFrame, every: bool = False) -> DataFrame:
+    """Candidates of each document in order, each with its number and the characters up to it: all,
+    or without `every` at least those that _fits keeps. A document's row, its chunks and its blocks come
+    one after another in one sorted stream, as in doc_chunk; a task holds one document's at a time."""
     placed = F.col("page_number").isNotNull() | F.col("sheet_name").isNotNull() | F.col("section").isNotNull()
-    doc = F.col("document_id").cast("long").alias("document_id")
-    own = with_places(blocks).where(placed).select(doc, "ord", F.col("block_id").alias("block"), F.struct(*PLACES).alias("source"), "text")
     kind = F.col("document_type") if "document_type" in documents.columns else F.lit("pdf")
-    held = chunks.select(doc, "ordinal", "chunk_id", text.squash(F.col("text")).alias("chunk_text"), "block_ids")
-    held = held.join(documents.select(doc, "checksum", kind.alias("source_type")), "document_id")
-    found = own.groupBy("document_id").cogroup(held.groupBy("document_id")).applyInArrow(_candidates_of, _FOUND_SQL).select("*", "source.*")
+    columns = {"at": "long", "name": "string", "text": "string", "source": PLACE, "block_ids": "array<string>"}
+
+    def side(table: DataFrame, number: int, **own: Column | str) -> DataFrame:
+        given = {c: own.get(c, F.lit(None)) for c in columns}
+        return table.select(F.col("document_id").cast("long").alias("document_id"), F.lit(number).alias("side"), *[(F.col(x) if isinstance(x, str) else x).cast(columns[c]).alias(c) for c, x in given.items()])
+
+    files = side(documents, 0, name="checksum", text=kind)
+    held = side(chunks, 1, at="ordinal", name="chunk_id", text=text.squash(F.col("text")), block_ids="block_ids")
+    own = side(with_places(blocks).where(placed), 2, at="ord", name="block_id", text="text", source=F.struct(*PLACES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(doc: int, held: list[list[tuple]]) -> Iterator[tuple]:
+            return _candidates_of(doc, held[0][-1][:2], held[1], held[2], every) if all(held) else iter(())
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_FOUND), _FOUND, strict=True)], schema=_FOUND)
+
+        doc, held = None, [[], [], []]
+        for batch in batches:
+            rows = []
+            for d, s, _, name, value, source, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if d != doc:
+                    rows += found(doc, held)
+                    doc, held = d, [[], [], []]
+                held[s].append((name, value, source if s == 2 else ids))
+            yield table(rows)
+        yield table(list(found(doc, held)))
+
+    stream = files.unionByName(held).unionByName(own).where("document_id is not null").repartition("document_id").sortWithinPartitions("document_id", "side", "at")
+    found = stream.mapInArrow(run, _FOUND_SQL).select("*", "source.*")
     text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     sheet = F.concat(F.lit("sheet:"), "sheet_name", F.lit("!"), text_of("cell_range"))
     place = F.coalesce(F.concat(F.lit("page:"), "page_number"), sheet, F.concat(F.lit("section:"), text_of("section")))
@@ -226,22 +251,22 @@ def candidate_catalog(documents: DataFrame, blocks: DataFrame, chunks: DataFrame
 def catalog_summary(documents: DataFrame, blocks: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per document how many candidates it gives, how many of them its catalog has no room for, and
     the characters of those kept. Documents without candidates count none."""
-    per = _candidates(documents, blocks, chunks).groupBy("document_id").agg(F.count("*").alias("generated"), F.count_if(~_fits()).alias("excluded"), F.max(F.when(_fits(), F.col("running"))).alias("excerpt_chars"))
+    per = _candidates(documents, blocks, chunks, every=True).groupBy("document_id").agg(F.count("*").alias("generated"), F.count_if(~_fits()).alias("excluded"), F.max(F.when(_fits(), F.col("running"))).alias("excerpt_chars"))
     return documents.select("document_id").join(per, "document_id", "left").na.fill(0, ["generated", "excluded", "excerpt_chars"])
 
 
 def catalog_fingerprint(candidates: DataFrame) -> DataFrame:
     """SHA-256 of each catalog's canonical lines in index order: thirteen fields, missing places
     written as null. Null for a catalog in which another field is missing or a number is negative."""
-    quoted = lambda c: F.get(F.split(F.to_json(F.struct(F.col(c).alias("v"))), r"^\{\"v\":", 2), F.lit(1)).substr(F.lit(1), F.length(F.to_json(F.struct(F.col(c).alias("v")))) - 6)
-    stated = lambda c: F.when(F.col(c).isNotNull(), quoted(c))
-    whole = lambda c: F.when(F.col(c) >= 0, F.col(c).cast("string"))
-    or_null = lambda c: F.coalesce(c, F.lit("null"))
-    page = F.when(F.col("page_number").isNull(), "null").otherwise(whole("page_number"))
-    pairs = [("index", whole("idx")), *[(n, stated(c)) for n, c in (("candidateId", "candidate_id"), ("documentId", "document_key"), ("sourceType", "source_type"), ("excerpt", "excerpt"), ("chunkId", "chunk_id"), ("blockId", "block_id"))],
-             ("startOffset", whole("start_offset")), ("endOffset", whole("end_offset")), ("pageNumber", page), *[(n, or_null(stated(c))) for n, c in (("sheetName", "sheet_name"), ("cellRange", "cell_range"), ("section", "section"))]]
-    parts = [x for i, (n, v) in enumerate(pairs) for x in (F.lit(f'{"," if i else "{"}"{n}":'), v)]
-    line = F.concat(*parts, F.lit("}"))
+    names = {"index": "idx", "candidateId": "candidate_id", "documentId": "document_key", "sourceType": "source_type", "excerpt": "excerpt", "chunkId": "chunk_id", "blockId": "block_id", "startOffset": "start_offset", "endOffset": "end_offset", "pageNumber": "page_number", "sheetName": "sheet_name", "cellRange": "cell_range", "section": "section"}
+    whole = F.lit(True)
+    for c in names.values():
+        if c in ("idx", "start_offset", "end_offset"):
+            whole = whole & F.coalesce(F.col(c) >= 0, F.lit(False))
+        elif c not in PLACES:
+            whole = whole & F.col(c).isNotNull()
+    whole = whole & F.coalesce(F.col("page_number") >= 0, F.lit(True))
+    line = F.when(whole, F.to_json(F.struct(*[F.col(c).alias(n) for n, c in names.items()]), {"ignoreNullFields": "false"}))
     lined = with_places(candidates).withColumn("document_key", F.col("document_id").cast("string")).select("document_id", F.struct("idx", line.alias("line")).alias("l"))
     digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n"), 256)
     return lined.groupBy("document_id").agg(F.when(F.bool_and(F.col("l.line").isNotNull()), digest).alias("catalog_sha256"), F.count("*").alias("candidates"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sluice.operators import board
+from sluice.operators import evidence as ev
 
 
 def test_saved_searches_are_sent_to_the_tenders(spark):
@@ -23,3 +24,17 @@ def test_saved_searches_are_sent_to_the_tenders(spark):
         }
     finally:
         spark.conf.set(name, before)
+
+
+def test_catalogs_come_of_one_sorted_stream(spark):
+    """Documents, chunks and blocks are shuffled together once; no message goes to Python for each document."""
+    documents = spark.createDataFrame([(1, "c", "pdf"), (2, "c", "pdf")], "document_id long, checksum string, document_type string")
+    line = "عبارة من عبارات المستند رقم "
+    blocks = spark.range(200).selectExpr("id % 2 + 1 AS document_id", "id AS ord", "'b' || id AS block_id", "'paragraph' AS kind", f"'{line}' || id AS text", "NULL AS table_id", "1 AS page_number")
+    chunks = ev.doc_chunk(blocks)
+    found = ev.candidate_catalog(documents, blocks, chunks)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "CoGroup" not in plan and "Join" not in plan
+    rows = sorted((r["document_id"], r["idx"], r["excerpt"]) for r in found.collect())
+    assert rows == [(d, i, f"{line}{2 * i + d - 1}") for d in (1, 2) for i in range(48)]
+    assert {(r["generated"], r["excluded"]) for r in ev.catalog_summary(documents, blocks, chunks).collect()} == {(100, 52)}
