@@ -55,6 +55,13 @@ def _ids(words: list[str], tokenizer, cache: dict[str, bytes], most: int) -> lis
 CLOSING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def _bytes_of(words: pa.Array) -> np.ndarray:
+    """The bytes of all strings one after another, as they lie in Arrow's own memory; no nulls."""
+    _, ends, data = words.buffers()
+    at = np.frombuffer(ends, np.int64 if pa.types.is_large_string(words.type) else np.int32)
+    return np.frombuffer(data, np.uint8)[at[words.offset] : at[words.offset + len(words)]] if data else np.zeros(0, np.uint8)
+
+
 def _stem_and_close(words: pa.Array) -> tuple[pa.Array, pa.Array]:
     """Each word's stem and closing punctuation, where the stem ends in a letter; else the word and
     nothing."""
@@ -62,7 +69,7 @@ def _stem_and_close(words: pa.Array) -> tuple[pa.Array, pa.Array]:
     stem = pc.if_else(pc.utf8_is_alpha(pc.utf8_slice_codeunits(stem, -1)), stem, words)
     whole, kept = (pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (words, stem))
     rest = whole - kept
-    joined = np.frombuffer("".join(words.to_pylist()).encode(), np.uint8)
+    joined = _bytes_of(words)
     tails = joined[ragged(np.cumsum(whole) - rest, rest)]
     offsets = np.concatenate([[0], np.cumsum(rest)]).astype(np.int32)
     return stem, pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(tails.tobytes())])
@@ -85,7 +92,7 @@ class Encoded:
         lengths, flats, starts, at = [], [], [], 0
         for part in parts:
             coded = part.dictionary_encode()
-            known = _ids(coded.dictionary.to_pylist(), tokenizer, cache, remember)
+            known = _ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), tokenizer, cache, remember)
             n = np.fromiter(map(len, known), np.int64, len(known)) // 4
             codes = coded.indices.to_numpy(zero_copy_only=False)
             lengths.append(n[codes])
