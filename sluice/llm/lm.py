@@ -10,9 +10,11 @@ training documents; words never seen in training are one further word of each su
 
 The cell is a gated recurrent unit with diagonal recurrent weights: the gate z and the candidate k
 read the word before and the state, h' = h + z (k - h). It is trained by truncated backpropagation
-through time in numpy: first on a bounded sample at the driver, then over all training documents,
-each partition from the same start, and the weights are averaged by tokens. Scoring carries the
-state across windows, so a text of any length gets its complete log-likelihood.
+through time in numpy over all training documents, in rounds that share them out: the first, short
+one is learnt by one task, every further round by many tasks from the weights of the one before, and
+their weights are averaged by tokens. The topics come from the n-grams of all training documents:
+like documents are summed in the tasks, the sums are grouped by a mixture. Scoring carries the state
+across windows, so a text of any length gets its complete log-likelihood.
 
 Texts are tokenised once, into stored slices of word hashes and codes; counting, learning and
 scoring read those. Counts of the most frequent words are broadcast up to a fixed number of
@@ -32,8 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Grams, Words, fold, give_back, materialize, segment_sum, slices, together, word_hashes
-from .toxicity import bounded_texts
+from .common import Grams, Words, fold, give_back, materialize, ragged, segment_sum, slices, together, word_hashes
 
 TOPICS, LOW, HIGH, BUCKETS = 8, 1, 3, 4096
 SHAPES = 4
@@ -43,10 +44,14 @@ OWN_WORDS, CLASS_SIZE = 2048, 48
 HIDDEN, WINDOW = 24, 24
 #: Tokens of a document after which learning (not scoring) starts anew, so that lanes are equally long.
 SEGMENT = 768
-#: Training documents and their text bytes, at most, that shape the topics and warm up the network.
-SAMPLE, SAMPLE_BYTES, WARM_EPOCHS, WARM_RATE = 1500, 12 << 20, 6, 0.01
-#: Learning rate of the pass over all training documents, and tokens per step it aims at.
-RATE, STEP_TOKENS = 0.003, 20_480
+#: Groups of like documents whose n-grams are summed, sums that are held before they are grouped in
+#: turn, and the dimensions in which documents are compared.
+GROUPS, HELD, PLANE = 16, 128, 16
+#: Training tokens of the first round, how many times as many come up to the end of each next one, and
+#: passes over all of them, at most, where they fill no more than one round.
+FIRST, GROWTH, EPOCHS = 4_000_000, 32, 6
+#: Learning rates of the first round, where it falls, and of those after it, and tokens per step aimed at.
+FIRST_RATE, RATE, STEP_TOKENS = 0.01, 0.003, 20_480
 #: Tokens that are scored in step: of neighbouring slices, so that one slice's long documents share
 #: their steps with another's.
 SCORED = 1_500_000
@@ -93,18 +98,82 @@ def learn_topics(counts: np.ndarray, seed: int = 11) -> np.ndarray:
     return log_p.T.astype(np.float32)
 
 
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in together(batches):
-        for part in slices(batch):
+def _plane() -> np.ndarray:
+    return np.random.default_rng(5).normal(0, 1, (BUCKETS, PLANE)).astype(np.float32)
+
+
+def groups_of(points: np.ndarray, most: int = GROUPS, seed: int = 7) -> np.ndarray:
+    """The group, of at most `most`, of each point: nearest centres, the first ones drawn far apart."""
+    rng = np.random.default_rng(seed)
+    far, centres = np.full(len(points), np.inf), []
+    while len(centres) < most and far.max(initial=0) > 0:
+        centres.append(points[int(rng.choice(len(points), p=far / far.sum())) if centres else int(rng.integers(len(points)))])
+        far = np.minimum(far, ((points - centres[-1]) ** 2).sum(1, dtype=np.float64))
+    if not centres:
+        return np.zeros(len(points), np.int64)
+    at = np.array(centres)
+    for _ in range(8):
+        own = ((at**2).sum(1) - 2 * points @ at.T).argmin(1)
+        n = np.bincount(own, minlength=len(at))
+        at = np.where(n[:, None] > 0, np.stack([np.bincount(own, x, len(at)) for x in points.T], 1) / np.maximum(1, n)[:, None], at).astype(points.dtype)
+    return own
+
+
+def _joined(held: list[np.ndarray]) -> np.ndarray:
+    """Counts of like groups added up."""
+    counts = np.concatenate(held)
+    if len(counts) <= GROUPS:
+        return counts
+    own = groups_of((counts / np.maximum(1, counts.sum(1, keepdims=True))) @ _plane())
+    return np.stack([counts[own == g].sum(0) for g in np.unique(own)])
+
+
+def _sent(counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes() for x in counts], pa.binary())], ["counts"])
+
+
+def gram_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n-gram counts of a task's texts, every text counted once, in at most GROUPS sums of like texts."""
+    plane, held = _plane(), []
+    for batch in together(batches, most=SLICE):
+        for part in slices(batch, most=SLICE):
             words = Words(part.column("text"))
             grams = Grams(words.distinct, LOW, HIGH, BUCKETS)
-            of_text = np.zeros((part.num_rows, BUCKETS), np.float32)
-            levels = [(ids[fits], np.repeat(np.arange(len(grams.lengths)), grams.lengths)[fits]) for ids, fits in grams.levels()]
-            for r, (at, n) in enumerate(zip(words.starts, words.counts, strict=True)):
-                uses = np.bincount(words.codes[at : at + n], minlength=len(words.distinct))
-                for ids, owner in levels if n else []:
-                    of_text[r] += np.bincount(ids, uses[owner], BUCKETS)
-            yield pa.RecordBatch.from_arrays([part.column("text"), pa.array([x.tobytes() for x in of_text], pa.binary())], ["text", "counts"])
+            texts = words.per_text(grams.sums(plane)[words.codes]) / np.maximum(1, words.per_text(grams.sizes()[words.codes]))[:, None].astype(np.float32)
+            own = groups_of(texts)
+            uses = np.bincount(own[words.rows] * len(words.distinct) + words.codes, minlength=GROUPS * len(words.distinct)).reshape(GROUPS, -1)
+            total, levels = np.zeros((GROUPS, BUCKETS)), list(grams.levels())
+            for g in range(GROUPS):
+                used = np.nonzero(uses[g])[0]
+                at, n = ragged(grams.starts[used], grams.lengths[used]), np.repeat(uses[g][used], grams.lengths[used])
+                for ids, fits in levels:
+                    there = fits[at]
+                    total[g] += np.bincount(ids[at[there]], n[there], BUCKETS)
+            held.append(total[total.sum(1) > 0])
+            if sum(map(len, held)) > HELD:
+                held = [_joined(held)]
+    if held:
+        yield _sent(_joined(held))
+    give_back()
+
+
+def gram_totals(texts: DataFrame) -> np.ndarray:
+    """n-gram counts (groups, BUCKETS) of all texts: summed in the tasks, then over about as many tasks
+    as the root of their number."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held += [np.frombuffer(x.as_buffer(), np.float64)[None] for x in batch.column("counts")]
+            if len(held) > HELD:
+                held = [x[None] for x in _joined(held)]
+        if held:
+            yield _sent(_joined(held))
+
+    found = materialize(texts.select("text").mapInArrow(gram_groups, "counts binary"))
+    ways = max(1, int((found.count() / GROUPS) ** 0.5))
+    got = found.repartition(ways).mapInArrow(join, "counts binary").toArrow().column("counts")
+    return np.frombuffer(b"".join(got.to_pylist()), np.float64).reshape(-1, BUCKETS)
 
 
 # --- vocabulary ---------------------------------------------------------------------------------
@@ -410,21 +479,27 @@ class Trainer:
 
 # --- Spark --------------------------------------------------------------------------------------
 
-CODED = "doc_ids array<{id}>, train array<boolean>, counts array<int>, hashes binary, spelling binary, codes binary"
+CODED = "doc_ids array<{id}>, train array<boolean>, counts array<int>, hashes binary, spelling binary, codes binary, place long, tokens long"
 
 
 def coded_slices(docs: DataFrame, topics: np.ndarray, train: Column) -> DataFrame:
     """Stored slices of documents: their ids and numbers of words, the distinct words' hashes and
-    spellings, and a code per word. Texts are tokenised here and nowhere else."""
+    spellings, and a code per word; a hash that places the slice among the others, and its training
+    tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(topics)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in together(batches, most=SLICE):
             for part in slices(batch, most=SLICE):
                 words = Words(part.column("text"))
                 one = lambda c: pa.ListArray.from_arrays([0, len(c)], c)
                 raw = [word_hashes(words.distinct), spelling_of(words.distinct, shared.value).astype(np.uint8), words.codes.astype(np.uint32)]
-                yield pa.RecordBatch.from_arrays([one(part.column("doc_id")), one(part.column("train")), one(pa.array(words.counts.astype(np.int32))), *(pa.array([x.tobytes()], pa.binary()) for x in raw)], ["doc_ids", "train", "counts", "hashes", "spelling", "codes"])
+                parts = [x.tobytes() for x in raw]
+                tokens = (words.counts + 1)[part.column("train").to_numpy(zero_copy_only=False).astype(bool)].sum()
+                placed = [pa.array([xxhash.xxh3_64_intdigest(b"".join(parts)) >> 1]), pa.array([int(tokens)])]
+                yield pa.RecordBatch.from_arrays([one(part.column("doc_id")), one(part.column("train")), one(pa.array(words.counts.astype(np.int32))), *(pa.array([x], pa.binary()) for x in parts), *placed], ["doc_ids", "train", "counts", "hashes", "spelling", "codes", "place", "tokens"])
         give_back()
 
     return materialize(docs.select("doc_id", "text", train.alias("train")).mapInArrow(run, CODED.format(id=dict(docs.dtypes)["doc_id"])), "zstd")
@@ -523,13 +598,10 @@ def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, boo
 
 
 def fit(docs: DataFrame, train: Column, head: int = HEAD, own_words: int = OWN_WORDS) -> tuple[Model, DataFrame, DataFrame]:
-    """The model as far as the sample takes its network, the coded documents and the counts of all
+    """The model with the first weights of its network, the coded documents and the counts of all
     training words."""
     learnt = docs.where(train)
-    ids = learnt.select("doc_id", F.lit(0).alias("y")).orderBy(F.xxhash64("doc_id", F.lit(7))).limit(SAMPLE).distinct()
-    got = bounded_texts(learnt, ids, (SAMPLE_BYTES, 0)).select("text").mapInArrow(_gram_counts, "text string, counts binary").toArrow()
-    topics = learn_topics(np.frombuffer(b"".join(got.column("counts").to_pylist()), np.float32).reshape(-1, BUCKETS))
-    coded = coded_slices(docs, topics, train)
+    coded = coded_slices(docs, learn_topics(gram_totals(learnt)), train)
     counts = materialize(count_words(coded), "zstd")
     top = counts.orderBy(F.col("n").desc(), "h").limit(own_words).toArrow()
     n = top.column("n").to_numpy()
@@ -542,34 +614,42 @@ def fit(docs: DataFrame, train: Column, head: int = HEAD, own_words: int = OWN_W
     of_own = np.zeros(v.words, np.int64)
     of_own[v.ids[np.searchsorted(v.hashes, top.column("h").to_numpy().view(np.uint64))]] = n
     rare_tokens, rare_words = tokens - np.bincount(spelling, n, SPELLINGS), words - np.bincount(spelling, minlength=SPELLINGS)
-    trainer = Trainer(start_weights(v, np.concatenate([of_own, rare_tokens, [ends]])), v, WARM_RATE)
-    texts = pa.chunked_array(got.column("text"), pa.string()).combine_chunks()
-    if len(texts):
-        w = Words(texts)
-        tokens_of = v.tokens(word_hashes(w.distinct), spelling_of(w.distinct, topics))
-        sequence = np.insert(tokens_of[w.codes], np.cumsum(w.counts), v.end)
-        for epoch in range(WARM_EPOCHS):
-            trainer.rate = WARM_RATE / (1 + epoch)
-            trainer.train(sequence, np.cumsum(w.counts + 1) - w.counts - 1, w.counts + 1)
+    first = start_weights(v, np.concatenate([of_own, rare_tokens, [ends]]))
     hashes, known, complete = _frequent(counts, head)
-    model = Model(v, trainer.w, hashes, known, complete, rare_tokens, rare_words, int(tokens.sum()) + ends, int(words.sum()) + (ends > 0), ends)
+    model = Model(v, first, hashes, known, complete, rare_tokens, rare_words, int(tokens.sum()) + ends, int(words.sum()) + (ends > 0), ends)
     return model, coded, counts
 
 
-def learn_everywhere(coded: DataFrame, model: Model) -> dict[str, np.ndarray]:
-    """One pass over all training documents: every partition goes on from the same weights, and
-    the results are averaged by tokens, in two levels of means; one row comes back."""
-    first = coded.sparkSession.sparkContext.broadcast((model.vocabulary, model.weights))
+def rounds(tokens: np.ndarray, first: int = FIRST, growth: int = GROWTH) -> list[tuple[int, int]]:
+    """Slices in order are cut into rounds (from, to), which share them out: the first of about `first`
+    tokens, up to the end of each next one `growth` times as many; the last takes what is left."""
+    total, ends, goal = np.cumsum(tokens), [0], first
+    while len(total) and goal * 2 <= total[-1]:
+        ends.append(int(np.searchsorted(total, goal)) + 1)
+        goal *= growth
+    cuts = sorted({x for x in ends if x < len(total)}) + [len(total)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def learn_round(coded: DataFrame, model: Model, w: dict[str, np.ndarray], rate: float, due: float = 0, epochs: int = 1) -> dict[str, np.ndarray]:
+    """Every partition goes on from the same weights, and the results are averaged by tokens, in two
+    levels of means; one row comes back. The rate falls to a twentieth by `due` tokens, if given."""
+    first = coded.sparkSession.sparkContext.broadcast((model.vocabulary, w))
 
     def out(mean: np.ndarray, tokens: float) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([mean.astype(np.float32).tobytes()], pa.binary()), pa.array([float(tokens)])], ["mean", "tokens"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, w = first.value
-        trainer, tokens = Trainer(w, v, RATE), 0
-        for own in _slices_of(batches):
+        trainer, tokens, found = Trainer(w, v, rate), 0, _slices_of(batches)
+        if epochs > 1:  # few slices, all of which fit a round
+            held = list(found)
+            found = (own for _ in range(epochs) for own in held)
+        for own in found:
             if own.train.any():
                 sequence, starts, counts = own.sequence(v, own.train)
+                if due:
+                    trainer.rate = rate * (1 - 0.95 * min(1, tokens / due))
                 trainer.train(sequence, starts, counts)
                 tokens += len(sequence)
         if tokens:
@@ -589,8 +669,24 @@ def learn_everywhere(coded: DataFrame, model: Model) -> dict[str, np.ndarray]:
     ways = max(1, int(learnt.count() ** 0.5))
     found = learnt.repartition(ways).mapInArrow(add, schema).coalesce(1).mapInArrow(add, schema).toArrow()
     if not found.num_rows:
-        return model.weights
-    return unflat(np.frombuffer(found.column("mean")[0].as_py(), np.float32), model.weights)
+        return w
+    return unflat(np.frombuffer(found.column("mean")[0].as_py(), np.float32), w)
+
+
+def learn_everywhere(coded: DataFrame, model: Model) -> dict[str, np.ndarray]:
+    """One pass over all training documents, in rounds of slices by their places. What comes to the
+    driver of a slice is its place and its size."""
+    known = coded.groupBy("place").agg(F.sum("tokens").alias("tokens")).orderBy("place").toArrow()
+    place, tokens = (known.column(c).to_numpy() for c in ("place", "tokens"))
+    w, shares = model.weights, rounds(tokens)
+    for k, (low, high) in enumerate(shares):
+        own, n = coded.where(F.col("place").between(int(place[low]), int(place[high - 1]))), int(tokens[low:high].sum())
+        alone = len(shares) == 1
+        epochs = int(min(EPOCHS, max(1, -(-2 * FIRST // max(1, n))))) if alone else 1
+        if alone or k < len(shares) - 1:  # the last share stays where it lies
+            own = own.repartition(max(1, n // FIRST))
+        w = learn_round(own, model, w, *((FIRST_RATE, n * epochs, epochs) if k == 0 else (RATE,)))
+    return w
 
 
 def paths(w: dict[str, np.ndarray], v: Vocabulary, group: list[Slice]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:

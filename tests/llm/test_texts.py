@@ -437,3 +437,19 @@ def test_rows_of_one_id_join_their_groups(spark):
                 parent[hi] = lo
     got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, find(i)) for i in parent}
+
+
+def test_topics_and_rounds_take_all_training_texts(spark):
+    """No sample: the n-grams of every text are counted once, and every slice is in one round."""
+    texts = [None, ""] + [f"{'wort' if i % 2 else 'parole'} w{i} x{i * i} ende." for i in range(1700)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    got = lm.gram_totals(docs)
+    words = [w for t in texts for w in (t or "").split()]
+    grams = lm.Grams(pa.array(words), lm.LOW, lm.HIGH, lm.BUCKETS)
+    want = sum(np.bincount(ids[fits], minlength=lm.BUCKETS) for ids, fits in grams.levels())
+    assert np.array_equal(got.sum(0), want)
+    assert lm.gram_totals(docs.where("doc_id < 2")).sum() == 0
+    for n in (0, 1, 5, 90, 900):
+        tokens = np.random.default_rng(n).integers(1, 100, n)
+        shares = lm.rounds(tokens, 60, 4)
+        assert [i for low, high in shares for i in range(low, high)] == list(range(n)) and len(shares) <= 6
